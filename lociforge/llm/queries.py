@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, topk, warc
+from . import chat, jaccard, mixing, multiindex, quality, sharding, topk, warc
 from .common import scratch, table
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), n=3, percent=90).withColumnRenamed("id", "doc_id")
+
+
+OP1_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (
+  select doc_id, unnest(case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    when len(w) > 0 then [array_to_string(w, ' ')] else []::varchar[] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select x, y from i join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 90 * (p.n + q.n - c)),
+r as (select doc_id as x, doc_id as y from documents union select r.x, l.y from r join l on l.x = r.y)
+select d.doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(r.y) as component_id
+from documents d left join n on n.doc_id = d.doc_id left join r on r.x = d.doc_id group by d.doc_id
+"""
+
+
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
     return placed.select(
@@ -103,6 +122,14 @@ select page_id, n as payload_bytes, h as payload_digest,
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9).withColumnRenamed("id", "vec_id")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, k=5)
 
@@ -116,5 +143,5 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op2_shard": op2_shard, "op3_mix": op3_mix, "op4_chat": op4_chat, "op7_warc": op7_warc, "op10_topk": op10_topk}
-ORACLE_SQL = {"op3_mix": OP3_SQL, "op4_chat": OP4_SQL, "op7_warc": OP7_SQL, "op10_topk": OP10_SQL}
+QUERIES = {"op1_jaccard": op1_jaccard, "op2_shard": op2_shard, "op3_mix": op3_mix, "op4_chat": op4_chat, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_neardup": op9_neardup, "op10_topk": op10_topk}
+ORACLE_SQL = {"op1_jaccard": OP1_SQL, "op3_mix": OP3_SQL, "op4_chat": OP4_SQL, "op7_warc": OP7_SQL, "op10_topk": OP10_SQL}

@@ -91,9 +91,7 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return out
     padded = np.zeros(len(data) + 8, dtype=np.uint8)
     padded[: len(data)] = data
-    lanes = np.lib.stride_tricks.as_strided(padded.view(), shape=(len(data) + 1,), strides=(1,))
     words = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
-    del lanes
     masks = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
     live, at, left = None, starts, n
     while True:
@@ -116,10 +114,10 @@ def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     if not len(hashes):
         return hashes
     if len(hashes) < n:
-        h = np.uint64(len(hashes))
-        for w in hashes:
-            h = mix(np.array([h * _BASE ^ w], dtype=np.uint64))[0]
-        return np.array([h], dtype=np.uint64)
+        h = np.array([len(hashes)], dtype=np.uint64)
+        for k in range(len(hashes)):
+            h = mix(h * _BASE ^ hashes[k : k + 1])
+        return h
     m = len(hashes) - n + 1
     out = np.full(m, np.uint64(n))
     for k in range(n):
