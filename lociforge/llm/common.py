@@ -61,12 +61,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def text_slices(batches, column: str, most: int = 4 << 20):
+def text_slices(batches, column: str | int, most: int = 4 << 20):
     """Record batches cut so that their text column holds about `most` bytes (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = batch.column(batch.schema.get_field_index(column))
+        texts = batch.column(column)
         n = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
         at = np.cumsum(n) // most
         edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]

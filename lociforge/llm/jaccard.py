@@ -377,3 +377,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc
     copies = known.join(equal.withColumnRenamed("id", "first"), ["f1", "f2", "n"]).where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     found = connected_components(links.unionByName(copies))
     return base.join(found, base.id == found.node, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one document of each class of jaccard_join, that of the smallest id.
+
+    Rows without words or without an id stay.  Of rows with the same id and
+    the same text one stays.
+    """
+    found = jaccard_join(docs, n, percent, key, text, **options)
+    first = found.where("id = component_id").select(F.col("id").alias("_kept")).distinct()
+    nth = F.row_number().over(Window.partitionBy(key, "_text").orderBy("_text"))
+    rows = docs.withColumn("_text", F.xxhash64(text)).join(first, F.col(key) == F.col("_kept")).withColumn("_nth", nth).where("_nth = 1")
+    return rows.select(docs.columns).unionByName(docs.where(F.col(key).isNull()))

@@ -149,6 +149,24 @@ def fit(features: DataFrame, labels: DataFrame, label_key: str = "doc_id", label
     return Discriminant.fit(n, held[:, 1 : 1 + d], held[:, 1 + d :].reshape(2, d, d))
 
 
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.3, **options) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold.
+
+    The rows are scored where they are scanned, so that no text is moved.
+    Without two labelled rows of each class every row stays.
+    """
+    model = fit(written(featurise(docs, key, text), "features"), labels, **options)
+    if not isinstance(model, Discriminant):
+        return docs
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for part in text_slices(batches, at):
+            yield part.filter(pa.array(model.score(statistics(part.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "quality", threshold: float = 0.3, folds: int = 5) -> DataFrame:
     """(id, held_out, score, predicted) for every row of docs.
 
