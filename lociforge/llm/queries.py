@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, multiindex, pieces, quality, sharding, topk, warc
+from . import chat, jaccard, mixing, multiindex, pieces, pitmanyor, quality, sharding, topk, warc
 from .common import scratch, table
 
 
@@ -109,6 +109,13 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), verify=True).withColumnRenamed("id", "doc_id")
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 7
+    scored = pitmanyor.score_documents(table(spark, sf_dir, "documents"), rest != 2)
+    held = F.coalesce(F.crc32(F.encode(F.col("id").cast("string"), "utf-8")) % 7 == 2, F.lit(False))
+    return scored.select(F.col("id").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -147,5 +154,5 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op1_jaccard": op1_jaccard, "op2_shard": op2_shard, "op3_mix": op3_mix, "op4_chat": op4_chat, "op5_pieces": op5_pieces, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_neardup": op9_neardup, "op10_topk": op10_topk}
+QUERIES = {"op1_jaccard": op1_jaccard, "op2_shard": op2_shard, "op3_mix": op3_mix, "op4_chat": op4_chat, "op5_pieces": op5_pieces, "op6_lm": op6_lm, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_neardup": op9_neardup, "op10_topk": op10_topk}
 ORACLE_SQL = {"op1_jaccard": OP1_SQL, "op3_mix": OP3_SQL, "op4_chat": OP4_SQL, "op7_warc": OP7_SQL, "op10_topk": OP10_SQL}
