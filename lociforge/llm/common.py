@@ -81,13 +81,46 @@ def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> p
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Distinct edges up to which one task finds the components; 16 bytes each.
+ONE_TASK = 1_000_000
+
+
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node that each reaches) of edges (a, b)."""
+    nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = back[: len(a)], back[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for at in (label[x], label[y], x, y):
+            np.minimum.at(new, at, low)
+        while not np.array_equal(new, jumped := new[new]):
+            new = jumped
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def _in_one_task(e: DataFrame) -> DataFrame:
+    def run(batches):
+        held = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches if x.num_rows]
+        if held:
+            nodes, component = smallest_reachable(*(np.concatenate(c) for c in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(component)], names=["node", "component"])
+
+    return e.coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for every node that an edge joins to another; component is the smallest node it reaches.
 
-    Alternating large-star and small-star steps; the links stay in tables on
-    the cluster and only a count and a checksum reach the driver.  A hub's rows
-    meet in an aggregate (combined before the shuffle) and a join that AQE can
-    split.  Null ends and self-links are ignored; no edges give no rows.
+    Up to one_task distinct edges (their number is checked) go to one task.
+    More are solved by alternating large-star and small-star steps: the links
+    stay in tables on the cluster and only a count and a checksum reach the
+    driver.  A hub's rows meet in an aggregate (combined before the shuffle)
+    and a join that AQE can split.  Null ends and self-links are ignored; no
+    edges give no rows.
     """
     e = cut(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -101,6 +134,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
+        if found[0] <= one_task:
+            return _in_one_task(e)
         state = tuple(found)
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         both = low.select("u", "m").unionByName(e.select(F.col("v").alias("u"), F.col("v").alias("m")))
