@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 
 
+#: Windows of a chunk; finding a position in a string takes time in proportion to it.
+CHUNK = 256
+
+
 def explode_kmers(df: DataFrame, key: list[str], seq: str, k: int, distinct: bool = True) -> DataFrame:
-    """(key, km), canonical; sequences are dealt evenly first, as exploding is where the work is."""
-    many = S.canonical_kmers(F.col(seq), k) if distinct else F.transform(S.kmers(F.col(seq), k), S.canonical)
-    return df.select(*key, seq).repartition(*key).select(*key, F.explode(many).alias("km"))
+    """(key, km), canonical; sequences are dealt evenly and cut into overlapping chunks first."""
+    rows = df.select(*key, F.col(seq).alias("_s")).where(F.length("_s") >= k).repartition(*key)
+    chunks = rows.select(*key, "_s", F.explode(F.sequence(F.lit(0), F.length("_s") - k, F.lit(CHUNK))).alias("_i")).select(*key, F.substring("_s", F.col("_i") + 1, F.lit(CHUNK + k - 1)).alias("_c"))
+    windows = chunks.select(*key, "_c", F.explode(F.sequence(F.lit(1), F.length("_c") - (k - 1))).alias("_i")).select(*key, F.substring("_c", F.col("_i"), F.lit(k)).alias("_w"))
+    out = windows.where(~F.upper("_w").contains("N")).select(*key, S.canonical(F.col("_w")).alias("km"))
+    return out.distinct() if distinct else out
 
 
 def depth_of_alleles(alleles: DataFrame, reads: DataFrame, key: list[str], k: int = 31) -> DataFrame:
@@ -21,7 +28,7 @@ def depth_of_alleles(alleles: DataFrame, reads: DataFrame, key: list[str], k: in
     (absent k-mers count 0), chi2 and df over the depths above 0, and
     unexpected: the share of the reads' distinct k-mers outside the alleles.
     """
-    a = explode_kmers(alleles, key, "seq", k).distinct()
+    a = explode_kmers(alleles, key, "seq", k)
     n = explode_kmers(reads, key, "seq", k, distinct=False).groupBy(*key, "km").agg(F.count("*").alias("d"))
     both = n.join(a.withColumn("_a", F.lit(1)), [*key, "km"], "full")
     inside, seen = F.col("_a").isNotNull(), F.col("d").isNotNull()
