@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 LOCUS = ["sample_id", "locus"]
 
@@ -57,7 +58,7 @@ def chi2_sf(x: float, df: float) -> float:
     return front * h
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_pvalue(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(x, df)], dtype="float64")
 

@@ -49,3 +49,19 @@ def dna(spark: SparkSession, sf_dir: str, table: str, key: str, name: str) -> Da
     letters = "abcdefghijklmnopqrstuvwxyz"
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return rows.selectExpr(f"{key} as {name}", f"translate(regexp_replace(lower(text),'[^a-z]',''), '{letters}', '{('ACGT' * 7)[:26]}') as seq")
+
+
+#: Evidence of every kind for (sample, locus), made from the alignments' counts.
+EVIDENCE = (
+    ALIGNMENTS
+    + """, en as (select sample_id*100+pos as sample_id, locus, count(*)+pos as n, count(*) as k from aln group by sample_id*100+pos, locus, pos),
+ev as (select sample_id, locus, n, n%60 as total_reads, cast(floor((n%60)*(n%7)/6) as bigint) as explained, 0.5e0+(n%11)*0.05e0 as posterior, (n%5)*0.05e0 as gap, 0.6e0+(n%9)*0.05e0 as covered, (n%8)*0.05e0 as unexpected,
+ n%7 as snp_diff, n%4 as n_het_sites, n%3<>0 as phased, (n%10)*0.1e0 as balance, n%9>=6 as concordant, n%2=0 as same_protein, n%3=0 as is_homozygous, case when n%4=0 then 'exome' else 'short' end as data_type, n%6=0 as assembly_novel,
+ case when n%17=0 then '' else concat(locus,'*0',cast(1+n%3 as string),':0',cast(1+n%4 as string)) end as allele1, case when n%17=0 then '' else concat(locus,'*0',cast(1+n%2 as string),':0',cast(1+(n+1)%4 as string)) end as allele2,
+ case when n%5=0 then concat(locus,'*09:01') else concat(locus,'*0',cast(1+n%2 as string),':0',cast(1+(n+1)%4 as string)) end as t1, case when n%11=0 then concat(locus,'*08:01') else concat('HLA-',locus,'*0',cast(1+n%3 as string),':0',cast(1+n%4 as string),':01') end as t2,
+ case sample_id%5 when 0 then 'AFR' when 1 then 'AMR' when 2 then 'EAS' when 3 then 'EUR' else 'SAS' end as ancestry from en)"""
+)
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relation(spark, sf_dir, EVIDENCE, "select * from ev")

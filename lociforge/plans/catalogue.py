@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import annotation, genotyping
+from . import annotation, genotyping, reporting
 
-MODULES = [genotyping, annotation]
+MODULES = [genotyping, annotation, reporting]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
