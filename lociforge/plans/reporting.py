@@ -237,3 +237,26 @@ def downsample(spark, d):
 def depth_curve(spark, d):
     kept = evaluate.depth_curve(adapter.alignments(spark, d), 60.0)
     return kept.groupBy("target", "sample_id", "locus").agg(F.countDistinct("read_id").alias("reads"))
+
+
+@query()
+def typing_run_calls(spark, d):
+    from . import typing_run
+
+    c = typing_run.run(adapter.alignments(spark, d)).calls
+    return c.select("sample_id", "locus", "allele1", "allele2", "confidence", "status", "reads_explained", "total_reads")
+
+
+@query("select time_bucket(interval '1 hour', ts) as start,event_type,count(*) n,round(sum(value),4) total from events group by 1,2")
+def stream_windows(spark, d):
+    from ..streaming import depth
+
+    return depth.windowed(spark.read.parquet(f"{d}/events.parquet")).withColumn("total", F.round("total", 4))
+
+
+@query(_ALNS + ", c as (select distinct sample_id,locus from aln) select count(*) n_loci,sum(case when locus in ('A','B','C') then 3 else 2 end)::bigint fields from c")
+def resolution_control(spark, d):
+    from ..functions import names
+
+    c = adapter.alignments(spark, d).select("sample_id", "locus").distinct()
+    return c.agg(F.count("*").alias("n_loci"), F.sum(names.max_fields(F.col("locus"), "short")).alias("fields"))
