@@ -19,10 +19,10 @@ LOCUS = ["sample_id", "locus"]
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """Psi by recurrence up to 6 and the asymptotic series."""
+    """Psi by recurrence up to 10 and the asymptotic series."""
     x = np.array(x, dtype=float)
     out = np.zeros_like(x)
-    while (low := x < 6).any():
+    while (low := x < 10).any():
         out[low] -= 1 / x[low]
         x[low] += 1
     f = 1 / (x * x)
