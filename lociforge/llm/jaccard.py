@@ -1,14 +1,12 @@
 """N-gram Jaccard join with signature trees.
 
 1. Each document becomes its set of word shingles (64-bit hashes).
-2. Routing.  Two sets of similarity t differ in at most
-   D = (1 - t) / (1 + t) * (|x| + |y|) shingles.  Shingle space is cut into
-   more than D ranges, so two such sets hold the same shingles in one range at
-   least; ranges' contents are the routing keys.  Sets of one size class meet
-   those of their own and the next class.  A range that is empty in both sets
-   says nothing: there are enough spare ranges for the expected number of
-   empty ones, and a set with more of them than spare ranges is also routed by
-   its empty ranges.  No pair is lost and none is enumerated here: a key links
+2. Routing.  Shingles stand in one order over the corpus, rarest first.  Two
+   sets of similarity t have a shingle in common among the first
+   n - ceil(t * n) + 1 of each.  Shingles that one document alone has fill
+   these places without being able to match, so most documents drop out at
+   once, passages that many documents share come last, and only what is left
+   is a routing key.  No pair is lost and none is enumerated here: a key links
    its sets to the first of them only.
 3. Sets that keys connect form a candidate class.  Over each class a signature
    tree is built: leaves are the sets' bitmaps, inner nodes hold OR-combined
@@ -22,16 +20,13 @@
 
 from __future__ import annotations
 
-import math
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, text_slices, written
+from .common import connected_components, small_side, text_slices, written
 from .wordscan import mix, scan, shingle_sets
 
 #: Shingles of a block; a task holds two blocks.
@@ -42,50 +37,6 @@ FANOUT = 16
 SALTS = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 
 
-class Classes:
-    """Size classes for a similarity of percent / 100: class k holds sizes low[k]..high[k]."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.low, self.high = [1], [100 // percent]
-
-    def of(self, n: int) -> int:
-        while self.high[-1] < n:
-            self.low.append(self.high[-1] + 1)
-            self.high.append(self.low[-1] * 100 // self.percent)
-        lo, hi = 0, len(self.high) - 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.high[mid] >= n else (mid + 1, hi)
-        return lo
-
-    @lru_cache(maxsize=None)
-    def ranges(self, k: int) -> tuple[int, int]:
-        """(number of ranges, spare ranges) where sets of classes k - 1 and k meet."""
-        while len(self.high) <= k:
-            self.of(self.high[-1] + 1)
-        differ = (100 - self.percent) * 2 * self.high[k] // (100 + self.percent)
-        least = self.low[max(k - 1, 0)]
-        if not differ:
-            return 1, 0
-        spare = 0
-        for _ in range(20):
-            parts = differ + 1 + spare
-            empty = parts * math.exp(-least / parts)
-            spare = max(spare, math.ceil(empty + 3 * math.sqrt(empty)))
-        return differ + 1 + spare, spare
-
-
-@lru_cache(maxsize=4096)
-def _borders(parts: int) -> np.ndarray:
-    return np.array([(j << 64) // parts for j in range(1, parts)], dtype=np.uint64)
-
-
-@lru_cache(maxsize=4096)
-def _seeds(tag: int, parts: int) -> np.ndarray:
-    return mix(np.arange(parts, dtype=np.uint64) + np.uint64(tag << 32) + np.uint64(1))
-
-
 def _running(flat: np.ndarray, salt: int) -> np.ndarray:
     total = np.zeros(len(flat) + 1, dtype=np.uint64)
     np.cumsum(mix(flat + np.uint64(salt)), out=total[1:])
@@ -104,28 +55,9 @@ def fingerprints(sets: list[np.ndarray]) -> list[np.ndarray]:
     return [(t := _running(flat, salt))[ends] - t[starts] for salt in SALTS]
 
 
-def routing_keys(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, keys a set, two fingerprints a set)."""
-    flat, starts, ends = _spans(sets)
-    total, other = (_running(flat, salt) for salt in SALTS)
-    keys, counts = [], np.zeros(len(sets), dtype=np.int64)
-    for i, s in enumerate(sets):
-        if not len(s):
-            continue
-        k = classes.of(len(s))
-        for tag in (k, k + 1):
-            parts, spare = classes.ranges(tag)
-            at = np.empty(parts + 1, dtype=np.int64)
-            at[0], at[-1] = 0, len(s)
-            at[1:-1] = np.searchsorted(s, _borders(parts))
-            at += starts[i]
-            content = (total[at[1:]] - total[at[:-1]]) ^ _seeds(tag, parts)
-            full = at[1:] > at[:-1]
-            if parts - np.count_nonzero(full) <= spare:
-                content = content[full]
-            keys.append(content)
-            counts[i] += len(content)
-    return mix(np.concatenate(keys)) if keys else np.zeros(0, np.uint64), counts, total[ends] - total[starts], other[ends] - other[starts]
+def places(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of a set's first shingles must be looked at, one to spare for hash clashes."""
+    return n + (-percent * n) // 100 + 2
 
 
 class SignatureTree:
@@ -223,10 +155,6 @@ def tree_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
     return links
 
 
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.view(np.int64)
-
-
 def _pack5(*columns: np.ndarray) -> bytes:
     """Rows of five-byte numbers."""
     return np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, :5] for c in columns], axis=1).tobytes()
@@ -257,54 +185,131 @@ def hub_edges(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pairs, order[first]
 
 
-_ROUTED = "kind int, id long, n long, f1 long, f2 long, a long, b long"
-_ARROW = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("id", "n", "f1", "f2", "a", "b"))])
+_BASE = pa.schema([(c, pa.int64()) for c in ("id", "n", "f1", "f2")])
+_PACKED = "slice long, bucket int, blob binary"
+
 
+def _packed(slices, buckets, blobs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "bucket", "blob"])
 
-def _rows_of(kind: int, **columns) -> pa.Table:
-    n = len(next(iter(columns.values())))
-    return pa.table([pa.array(np.full(n, kind, np.int32)) if f.name == "kind" else (columns[f.name] if f.name in columns else pa.nulls(n, pa.int64())) for f in _ARROW], schema=_ARROW)
+
+def _signed(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values).view(np.int64)
 
 
-def _route(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """Rows of kind 0: (id, n, f1, f2) of every document; of kind 1: candidate edges (a, b) between sets.
+def _counted(docs: DataFrame, n: int, buckets: int) -> DataFrame:
+    """Packed rows: bucket -1 holds (id, n, f1, f2) of a slice's documents, any other those of their shingles that more documents have, with their number.
 
-    A slice of documents sends each bucket one packed row, with a key once
-    however many of its sets have it, so no key gathers more than a row a slice.
+    A slice sends each bucket one row with its shingles; the name of a slice
+    depends on its documents alone.
     """
 
     def run(batches):
-        classes = Classes(percent)
         for part in text_slices(batches, "text"):
             sets = list(shingle_sets(scan(part.column(1)), n))
-            keys, counts, f1, f2 = routing_keys(sets, classes)
-            edges, first = hub_edges(keys, np.repeat(node_of(f1), counts))
-            keys, nodes = keys[first], np.repeat(node_of(f1), counts)[first]
-            to = (keys % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            keys, nodes, to = keys[order] // np.uint64(buckets), nodes[order], to[order]
-            at = np.searchsorted(to, np.arange(buckets + 1))
+            f1, f2 = fingerprints(sets)
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
             ids = part.column(0)
-            blobs = [_ipc(t) for t in (_rows_of(0, id=ids, n=pa.array([len(s) for s in sets], pa.int64()), f1=pa.array(_signed(f1)), f2=pa.array(_signed(f2))), _rows_of(1, a=pa.array(_signed(edges[:, 0].copy())), b=pa.array(_signed(edges[:, 1].copy()))))]
-            home = int(f1[0] % np.uint64(buckets)) if len(f1) else 0
-            out = [(home, 0, b) for b in blobs] + [(j, 1, _pack5(keys[at[j] : at[j + 1]], nodes[at[j] : at[j + 1]])) for j in range(buckets) if at[j] < at[j + 1]]
-            bucket, kind, blob = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "kind", "blob"])
+            name = mix(f1 + mix(np.asarray(ids.fill_null(-1)).astype(np.uint64)) + np.arange(len(sets), dtype=np.uint64))
+            sid = int(np.bitwise_xor.reduce(name) >> np.uint64(1))
+            base = pa.table([ids, pa.array(sizes), pa.array(_signed(f1)), pa.array(_signed(f2))], schema=_BASE)
+            flat = np.concatenate(sets)
+            doc = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+            to = (flat % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            flat, doc = flat[order] // np.uint64(buckets), doc[order]
+            at = np.searchsorted(to[order], np.arange(buckets + 1))
+            out = [(-1, _ipc(base))] + [(j, _pack5(flat[at[j] : at[j + 1]]) + doc[at[j] : at[j + 1]].astype(np.uint32).tobytes()) for j in range(buckets) if at[j] < at[j + 1]]
+            yield _packed([sid] * len(out), *zip(*out))
+
+    def count(t: pa.Table) -> pa.Table:
+        bucket = t.column("bucket")[0].as_py()
+        if bucket < 0:
+            return t
+        slices, blobs = t.column("slice").to_pylist(), t.column("blob").to_pylist()
+        rows = [len(b) // 9 for b in blobs]
+        shingle = _unpack5(b"".join(b[: 5 * r] for b, r in zip(blobs, rows)), 1)[0]
+        order = np.argsort(shingle, kind="stable")
+        new = np.ones(len(order), dtype=bool)
+        np.not_equal(shingle[order][1:], shingle[order][:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(order)))
+        df = np.empty(len(order), dtype=np.uint32)
+        df[order] = np.repeat(np.minimum(times, np.iinfo(np.uint32).max), times)
+        out, at = [], 0
+        for sid, b, r in zip(slices, blobs, rows):
+            some = df[at : at + r] > 1
+            if some.any():
+                doc = np.frombuffer(b, dtype=np.uint32, offset=5 * r)
+                out.append((sid, bucket, _pack5(shingle[at : at + r][some]) + doc[some].tobytes() + df[at : at + r][some].tobytes()))
+            at += r
+        return pa.Table.from_batches([_packed(*zip(*out))]) if out else t.slice(0, 0)
+
+    # The documents' own rows go to as many groups as there are slices.
+    group = F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.col("bucket").cast("long"))
+    return docs.mapInArrow(run, _PACKED).groupBy(group).applyInArrow(count, _PACKED)
+
+
+def first_places(doc: np.ndarray, shingle: np.ndarray, df: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the documents' shared shingles stand in the first places; all others of a document are its own and come before."""
+    order = np.lexsort((shingle, df, doc))
+    shared = np.bincount(doc, minlength=len(n))
+    rank = np.arange(len(doc)) - np.repeat(np.cumsum(shared) - shared, shared)
+    return order[rank < (places(n, percent) - (n - shared))[doc[order]]]
+
+
+def _edges(counted: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Candidate edges (a, b) between sets that have a routing key in common."""
+
+    def keys(t: pa.Table) -> pa.Table:
+        held, base = [], None
+        for bucket, blob in zip(t.column("bucket").to_pylist(), t.column("blob").to_pylist()):
+            if bucket < 0:
+                base = pa.ipc.open_stream(blob).read_all()
+            else:
+                r = len(blob) // 13
+                shingle = _unpack5(blob[: 5 * r], 1)[0]
+                held.append((np.frombuffer(blob, np.uint32, r, 5 * r), mix(shingle * np.uint64(buckets) + np.uint64(bucket)), np.frombuffer(blob, np.uint32, r, 9 * r)))
+        if base is None or not held:
+            return t.slice(0, 0)
+        doc, shingle, df = (np.concatenate(x) for x in zip(*held))
+        n = base.column("n").to_numpy()
+        at = first_places(doc.astype(np.int64), shingle, df, n, percent)
+        nodes = node_of(base.column("f1").to_numpy())[doc[at]]
+        if not len(at):
+            return t.slice(0, 0)
+        edges, first = hub_edges(shingle[at], nodes)
+        key, nodes = shingle[at][first], nodes[first]
+        to = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        key, nodes = key[order] // np.uint64(buckets), nodes[order]
+        cut = np.searchsorted(to[order], np.arange(buckets + 1))
+        out = [(j, _pack5(key[cut[j] : cut[j + 1]], nodes[cut[j] : cut[j + 1]])) for j in range(buckets) if cut[j] < cut[j + 1]]
+        if len(edges):
+            out.append((-1, _signed(edges).tobytes()))
+        return pa.Table.from_batches([_packed([0] * len(out), *zip(*out))])
 
     def meet(t: pa.Table) -> pa.Table:
-        out = []
-        packed = []
-        for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob")):
-            if kind:
-                packed.append(blob.as_py())
-            else:
-                out.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
-        if packed:
-            edges, _ = hub_edges(*_unpack5(b"".join(packed), 2))
-            out.append(_rows_of(1, a=pa.array(_signed(edges[:, 0].copy())), b=pa.array(_signed(edges[:, 1].copy()))))
-        return pa.concat_tables(out) if out else _ARROW.empty_table()
+        blobs = t.column("blob").to_pylist()
+        if t.column("bucket")[0].as_py() < 0:
+            edges = np.unique(np.frombuffer(b"".join(blobs), dtype=np.int64).reshape(-1, 2), axis=0)
+        else:
+            edges = _signed(hub_edges(*_unpack5(b"".join(blobs), 2))[0])
+        return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
+
+    met = counted.groupBy("slice").applyInArrow(keys, _PACKED)
+    return met.groupBy("bucket", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("blob"), F.lit(buckets))).otherwise(F.lit(0))).applyInArrow(meet, "a long, b long")
+
+
+def _base_rows(counted: DataFrame) -> DataFrame:
+    """(id, n, f1, f2) of every document."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                yield from pa.ipc.open_stream(blob.as_buffer()).read_all().to_batches()
 
-    return docs.mapInArrow(run, "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(meet, _ROUTED)
+    return counted.where("bucket = -1").select("blob").mapInArrow(run, "id long, n long, f1 long, f2 long")
 
 
 def _ipc(t: pa.Table) -> bytes:
@@ -348,7 +353,7 @@ def _verify(docs: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFra
         found = tree_links(held, percent, side)
         return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
-    texts = docs.join(placed, "id").select("id", "text", "f1", "task", "side")
+    texts = docs.join(small_side(written(placed, "placed")), "id").select("id", "text", "f1", "task", "side")
     return texts.mapInArrow(sets, "id long, task string, side int, set binary").groupBy("task").applyInArrow(search, "a long, b long")
 
 
@@ -366,10 +371,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc
     """
     d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     size = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    routed = written(_route(d, n, percent, max(8, size // BUCKET)), "routed")
-    base = routed.where("kind = 0").select("id", "n", "f1", "f2")
+    buckets = max(8, size // BUCKET)
+    counted = written(_counted(d, n, buckets), "counted")
+    base = written(_base_rows(counted), "base")
     known = base.where("id is not null and n > 0")
-    classes = connected_components(routed.where("kind = 1").select("a", "b"))
+    classes = connected_components(_edges(counted, percent, buckets))
     equal = known.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"))
     node = F.shiftrightunsigned("f1", 24)
     members = written(equal.join(classes, node == classes.node).select("id", "n", "f1", "component"), "members")
@@ -385,8 +391,14 @@ def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     Rows without words or without an id stay.  Of rows with the same id and
     the same text one stays.
     """
-    found = jaccard_join(docs, n, percent, key, text, **options)
-    first = found.where("id = component_id").select(F.col("id").alias("_kept")).distinct()
+    found = written(jaccard_join(docs, n, percent, key, text, **options).select("id", "component_id"), "found")
+    gone = found.where("id <> component_id").select(F.col("id").alias("_id")).distinct()
+    kept = docs.join(small_side(gone), F.col(key) == F.col("_id"), "left_anti")
+    again = written(found.where("id is not null").groupBy(F.col("id").alias("_id")).count().where("count > 1").select("_id"), "again")
+    n_again = again.count()
+    if not n_again:
+        return kept
+    again = small_side(again, n_again)
     nth = F.row_number().over(Window.partitionBy(key, "_text").orderBy("_text"))
-    rows = docs.withColumn("_text", F.xxhash64(text)).join(first, F.col(key) == F.col("_kept")).withColumn("_nth", nth).where("_nth = 1")
-    return rows.select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    some = kept.join(again, F.col(key) == F.col("_id"), "left_semi").withColumn("_text", F.xxhash64(text)).withColumn("_nth", nth).where("_nth = 1")
+    return kept.join(again, F.col(key) == F.col("_id"), "left_anti").unionByName(some.select(docs.columns))
