@@ -112,3 +112,26 @@ def screen(evidence: DataFrame, unexplained: float = 0.15, unexpected: float = 0
     )
     out = evidence.withColumn("signals", signals).withColumn("n_signals", F.size("signals")).where("n_signals > 0")
     return out.withColumn("confidence", F.when(F.col("n_signals") >= 3, "HIGH").when(F.col("n_signals") == 2, "MEDIUM").otherwise("LOW"))
+
+
+def annotate(variants: DataFrame) -> DataFrame:
+    """variants(region, kind, len, ref_codon, codon_pos, alt) with effect, codon_change and aa_change.
+
+    Base changes in exons are classed by their codon, insertions and deletions
+    by their length; outside exons the region decides.
+    """
+    c = codon_effect(F.col("ref_codon"), F.col("codon_pos"), F.col("alt"))
+    snp, exon = F.col("kind") == "SNP", F.col("region").startswith("exon_")
+    other = F.when(F.col("region").startswith("intron"), "intronic").otherwise("non_coding")
+    effect = F.when(snp & exon, c.effect).when(snp, other).otherwise(S.indel_class(F.col("region"), F.col("kind"), F.col("len")))
+    change = lambda name: F.when(snp & exon, c[name]).otherwise(F.lit(""))
+    return variants.withColumn("effect", effect).withColumn("codon_change", change("codon_change")).withColumn("aa_change", change("aa_change"))
+
+
+def summary(report: DataFrame, variants: DataFrame, shown: int = 5) -> DataFrame:
+    """(id, text): counts of a report and its first variants by position."""
+    v = F.concat(F.col("position").cast("string"), F.lit(":"), F.col("ref_base"), F.lit(">"), F.col("alt_base"))
+    first = variants.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", v.alias("v")))).alias("_v"))
+    first = first.select(F.col("id").alias("_id"), F.array_join(F.slice(F.col("_v.v"), 1, shown), ", ").alias("_t"))
+    text = F.concat(F.format_string("%.2f%% identity: %d SNPs, %d insertions, %d deletions", F.col("identity") * 100, "n_snps", "n_ins", "n_del"), F.coalesce(F.concat(F.lit(". "), F.col("_t")), F.lit("")))
+    return report.join(first, F.col("id") == F.col("_id"), "left").select("id", text.alias("text"))

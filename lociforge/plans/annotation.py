@@ -284,3 +284,20 @@ def novel_report(spark, d):
 @query(_CGS + " select id,len(list_filter(range(1,65), lambda i: substring(ref,i::int,1)<>substring(query,i::int,1)))::int distance from c")
 def snp_distance(spark, d):
     return _cigars(spark, d).select("id", S.snp_distance(F.col("ref"), F.col("query")).alias("distance"))
+
+
+@query(_CODON + " select ok,ln,region,kind,case when ra=xa then 'synonymous' else 'non_synonymous' end effect,concat(rc,'>',xc) codon_change from ef union all select ok,ln,region,kind,case when kind<>'SNP' and region like 'exon%' then case when len%3<>0 then 'frameshift' when kind='INS' then 'in_frame_ins' else 'in_frame_del' end when region like 'intron%' then 'intronic' else 'non_coding' end,'' from j where kind<>'SNP' or region not like 'exon%'")
+def annotate_variants(spark, d):
+    j = _regions(spark, d).withColumn("codon_pos", F.when(F.col("start").isNotNull(), (F.col("pos") - F.col("start")) % 3).cast("int")).withColumn("cs", F.col("pos") - F.coalesce("codon_pos", F.lit(0)))
+    base = lambda i: F.substring(F.lit("ACGT"), (1 + ((F.col("cs") + i) * 7 + F.floor((F.col("cs") + i) / 11)) % 4).cast("int"), F.lit(1))
+    j = j.withColumn("ref_codon", F.concat(*[base(i) for i in range(3)]))
+    alt = F.substring(F.lit("ACGT"), (1 + (F.instr(F.lit("ACGT"), F.substring("ref_codon", F.col("codon_pos") + 1, F.lit(1))) + F.col("ok") % 3) % 4).cast("int"), F.lit(1))
+    return novel.annotate(j.withColumn("alt", alt)).select("ok", "ln", "region", "kind", "effect", "codon_change")
+
+
+@query()
+def variant_summary(spark, d):
+    c = _cigars(spark, d)
+    length = F.aggregate(F.filter(S.cigar(F.col("cigar")), lambda t: t.op.isin("M", "I", "D")), F.lit(0), lambda a, t: a + t.len)
+    v = novel.cigar_variants(c)
+    return novel.summary(novel.novel_report(v, c.select("id", length.alias("length"))), v)

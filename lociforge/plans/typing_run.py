@@ -1,12 +1,13 @@
 """A typing run: from alignments to final calls for all samples at once.
 
-Every stage is a lazy DataFrame keyed by (sample_id, locus) and nothing is
-collected.  The evidence matrix and the best pairs are kept for the stages that
-share them until Result.release().
+Every stage is a DataFrame keyed by (sample_id, locus) and nothing is
+collected.  The evidence matrix, the genotypes and the best pairs, which many
+stages share, are checkpointed in the shared folder; all else is lazy.
 """
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -33,9 +34,13 @@ class Result:
     calls: DataFrame
     best: DataFrame
 
-    def release(self) -> None:
-        self.matrix.unpersist()
-        self.best.unpersist()
+
+def kept(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder of spark.checkpoint.dir, or a temporary one where none is set."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lociforge-"))
+    return df.checkpoint(eager=True)
 
 
 def run(alignments: DataFrame, config: Config | None = None, kmers: DataFrame | None = None, groups: DataFrame | None = None) -> Result:
@@ -48,13 +53,13 @@ def run(alignments: DataFrame, config: Config | None = None, kmers: DataFrame |
     a = alignments.where(F.col("locus").isin(*c.loci))
     found = candidates.prefilter(a, c.preset.candidates)
     refined = candidates.refine(a.join(found.select("sample_id", "locus", "allele"), ["sample_id", "locus", "allele"], "left_semi"), four=c.preset.refined)
-    # The matrix is what most stages start from; Spark computes it once, and anew where an executor is lost.
-    m = matrix.evidence(a, refined.select("sample_id", "allele")).persist()
+    # The matrix is what most stages start from: written once, it also keeps the plans after it short.
+    m = kept(matrix.evidence(a, refined.select("sample_id", "allele")))
     whole, local = matrix.normalise(m), matrix.normalise(m, within_locus=True)
     copies = samples.copy_number(samples.depths(a))
-    genotypes = samples.apply_copy_number(genotype.calls(whole), copies)
+    genotypes = kept(samples.apply_copy_number(genotype.calls(whole), copies))
     posteriors = posterior.pair_posteriors(local)
-    best = posterior.best_with_gap(posteriors).persist()
+    best = kept(posterior.best_with_gap(posteriors))
     sites = phasing.het_sites(a, c.preset.het_depth, c.preset.minor_share, 1 - c.preset.minor_share)
     long_reads = c.preset.aligner.startswith("map-")
     bins = kernels.phase(phasing.read_matrix(a, sites), "signature" if long_reads else "greedy", c.preset.min_sites)
