@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -12,6 +13,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _TRIM = None
+
 #: Words are maximal runs of characters other than the blank and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -61,6 +67,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers are reused and else keep their peak."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def text_slices(batches, column: str | int, most: int = 4 << 20):
     """Record batches cut so that their text column holds about `most` bytes (one row at least)."""
     for batch in batches:
@@ -72,6 +85,7 @@ def text_slices(batches, column: str | int, most: int = 4 << 20):
         edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+            give_back()
 
 
 def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -81,6 +95,19 @@ def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> p
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
+#: Rows up to which a narrow side of a join is broadcast; its number is checked each time.
+BROADCAST_ROWS = 400_000
+
+
+def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, marked for broadcast if it has BROADCAST_ROWS rows at most: a join with it then moves no texts.
+
+    df should be narrow and cheap to read again; beyond the bound the join shuffles.
+    """
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 #: Distinct edges up to which one task finds the components; 16 bytes each.
 ONE_TASK = 1_000_000
 

@@ -403,7 +403,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, key: str = "doc_id", tex
 
     def run(batches):
         enc = encoder_of(content)
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", 3 << 20):
             ids, count = enc.encode(part.column(1))
             columns = [part.column(0), pa.array(count), list_column(ids, count, pa.int32())]
             if verify:
