@@ -14,6 +14,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,10 @@ from .common import written
 
 #: Partial partitions combined in one task.
 CHUNK = 20_000
+#: Chunks of small groups at least, and partial partitions that the last step takes.
+LEAST_CHUNKS, TOP = 64, 1024
+#: A group of more than this share of a shard is large: at most shards x LARGE groups are.
+LARGE = 1024
 #: Row buckets per shard in which slots are numbered independently.
 SLOT_BUCKETS = 256
 
@@ -72,29 +77,45 @@ def _combine(k: int):
     return run
 
 
+def _last(k: int):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.select(["chunk", "bin", "item", "bytes"]).sort_by([("chunk", "ascending"), ("bin", "ascending"), ("item", "ascending")])
+        parts = np.zeros((t.num_rows, k), dtype=np.int64)
+        parts[:, 0] = t.column("bytes").to_numpy()
+        return t.drop_columns(["bytes"]).append_column("shard", pa.array(difference(parts)[0][:, 0], pa.int32()))
+
+    return run
+
+
 def shards_of_groups(groups: DataFrame, shards: int, chunk: int = CHUNK) -> DataFrame:
     """(_g, shard) for groups(_g binary, bytes long): differencing level by level."""
-    items = groups.select(
-        F.col("_g"), F.expr("conv(substr(hex(_g), 1, 14), 16, 10)").cast("long").alias("hash"), F.array(F.col("bytes"), *[F.lit(0).cast("long")] * (shards - 1)).alias("sums")
-    )
-    n = groups.count()
-    levels, width = [], max(1, -(-n // chunk))
-    level = items.select(F.xxhash64("_g").alias("item"), "sums", F.pmod("hash", F.lit(width)).alias("chunk"))
-    while True:
-        done = written(level.groupBy("chunk").applyInPandas(_combine(shards), "chunk long, items array<long>, bins array<int>, sums array<long>"), "shards")
-        levels.append(done)
-        if width == 1:
-            break
-        width = -(-width // chunk)
-        level = done.select(F.col("chunk").alias("item"), "sums", F.pmod("chunk", F.lit(width)).alias("chunk"))
-    # From the top down: where each bin of a chunk ends.
-    top = levels[-1]
-    place = top.select("chunk", F.expr(f"sequence(0, {shards - 1})").alias("to"))
-    for i in range(len(levels) - 1, -1, -1):
-        into = levels[i].join(place, "chunk").select(F.arrays_zip("items", F.expr(f"transform(items, (x, i) -> slice(bins, i * {shards} + 1, {shards}))").alias("b")).alias("z"), "to")
-        one = into.select(F.explode("z").alias("z"), "to").select(F.col("z.items").alias("item"), F.expr("transform(z.b, x -> to[x])").alias("to"))
-        place = one.withColumnRenamed("item", "chunk")
-    return items.select("_g", F.xxhash64("_g").alias("chunk")).join(place, "chunk").select("_g", F.col("to")[0].cast("int").alias("shard"))
+    n, total = groups.agg(F.count("*"), F.sum("bytes")).first()
+    items = groups.select("_g", F.xxhash64("_g").alias("item"), "bytes", (F.lit(n <= chunk) | (F.col("bytes") * F.lit(shards * LARGE) > F.lit(total or 0))).alias("_large"))
+    none = F.lit(None).cast("long")
+    last = items.where("_large").select(none.alias("chunk"), none.cast("int").alias("bin"), "item", "bytes")
+    levels = []
+    if n > chunk:
+        width = max(LEAST_CHUNKS, -(-n // chunk))
+        level = items.where("not _large").select("item", F.array(F.col("bytes"), *[F.lit(0).cast("long")] * (shards - 1)).alias("sums"), F.pmod(F.xxhash64("item"), F.lit(width)).alias("chunk"))
+        while True:
+            levels.append(written(level.groupBy("chunk").applyInPandas(_combine(shards), "chunk long, items array<long>, bins array<int>, sums array<long>"), "shards"))
+            if width <= TOP:
+                break
+            width = -(-width // TOP)
+            level = levels[-1].select(F.col("chunk").alias("item"), "sums", F.pmod("chunk", F.lit(width)).alias("chunk"))
+        last = last.unionByName(levels[-1].select("chunk", F.posexplode("sums").alias("bin", "bytes")).withColumn("item", none))
+    # One task: at most TOP x shards sums and shards x LARGE groups, or `chunk` groups.
+    done = written(last.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(_last(shards), "chunk long, bin int, item long, shard int"), "last")
+    out = done.where("chunk is null").select("item", "shard")
+    place = done.where("chunk is not null").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bin", "shard"))).alias("t")).select("chunk", F.col("t.shard").alias("to"))
+    for level in reversed(levels):
+        # From the top down: where each bin of an item ends.
+        of = F.expr(f"transform(items, (x, i) -> struct(x as item, slice(bins, i * {shards} + 1, {shards}) as b))")
+        into = level.join(place, "chunk").select(F.explode(of).alias("z"), "to")
+        place = into.select(F.col("z.item").alias("chunk"), F.expr("transform(z.b, x -> to[x])").alias("to"))
+    if levels:
+        out = out.unionByName(place.select(F.col("chunk").alias("item"), F.col("to")[0].cast("int").alias("shard")))
+    return items.select("_g", "item").join(out, "item").select("_g", "shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
