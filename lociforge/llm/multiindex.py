@@ -157,16 +157,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id"
     all ask.  Vectors that are null, zero, or hold null or non-finite
     components link with nothing; a shorter vector counts as one that ends in
     zeros.  Equal vectors are compared once and count each other.  Repeated
-    ids are rows of their own that share one node; a null id links with
-    nothing.  An empty table gives no rows; other columns are left out.
+    ids are rows of their own that share one node, counted once where its rows
+    are equal; a null id links with nothing.  An empty table gives no rows; other columns are left out.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     good = usable(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
-    # Copies of a row's id under one vector count once.
     held = rows.where(good).groupBy("v", "id").agg(F.count("*").alias("c"))
-    reps = written(held.groupBy("v").agg(F.min("id").alias("id"), F.sum("c").alias("n")), "vectors")
+    reps = written(held.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vectors")
     n, width = reps.agg(F.count("*"), F.max(F.size("v"))).first()
-    copies = held.join(reps.select(F.col("v").alias("w"), F.col("id").alias("first"), "n"), F.col("v") == F.col("w")).select("id", "first", "n", "c")
+    copies = held.join(reps.select(F.col("v").alias("w"), F.col("id").alias("first"), "n"), F.col("v") == F.col("w")).select("id", "first", "n")
     if n:
         taken = reps.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
         k = codes or max(4, min(1024, round(math.sqrt(n / 16))))
@@ -177,7 +176,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id"
     adds = links.where("id is not null").groupBy(F.col("id").alias("first")).agg(F.sum("add").alias("add"))
     edges = links.where("a is not null").select("a", "b").unionByName(copies.where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")))
     found = connected_components(edges)
-    own = copies.join(adds, "first", "left").groupBy("id").agg(F.sum(F.coalesce("add", F.lit(0)) + F.col("n") - F.col("c")).alias("links"))
+    own = copies.join(adds, "first", "left").groupBy("id").agg(F.sum(F.coalesce("add", F.lit(0)) + F.col("n") - 1).alias("links"))
     out = rows.select("id").join(own, "id", "left").join(found, F.col("id") == F.col("node"), "left")
     out = out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
