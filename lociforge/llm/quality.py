@@ -26,6 +26,8 @@ _CLASS[[ord(c) for c in ".,;:"]], _CLASS[[ord(c) for c in "!?"]], _CLASS[ord("|"
 _CLASS[[ord(c) for c in "#$%&*+/<=>@\\^_`~{}[]()\"'-"]], _CLASS[10] = 7, 8
 NAMES = ("words", "word_bytes", "upper", "digits", "marks", "shouts", "bars", "symbols", "lines", "repeats", "distinct", "top")
 _SOFT = 0.002
+#: Words that a text is treated as having besides its own, all plain.
+_FEW = 16
 
 
 def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -41,11 +43,12 @@ def statistics(texts: pa.Array) -> np.ndarray:
     """Documents x NAMES, transformed; a text without words has the statistics of nothing (all shares 0)."""
     w = scan(texts, lower=False)
     kinds = _CLASS[w.data]
-    size = np.maximum(np.diff(w.offsets), 1)
+    size = np.diff(w.offsets) + 8 * _FEW  # short texts lean towards no share at all
     n = np.diff(w.first)
     some = np.maximum(n, 1)
+    many = n + _FEW
     share = lambda k: _sums((kinds == k).view(np.int8), w.offsets) / size
-    letters = np.maximum(_sums(((kinds == 1) | (kinds == 2)).view(np.int8), w.offsets), 1)
+    letters = _sums(((kinds == 1) | (kinds == 2)).view(np.int8), w.offsets) + 8 * _FEW
     doc = w.doc_of
     again = np.zeros(len(doc), dtype=np.int8)
     if len(doc) > 1:
@@ -63,9 +66,9 @@ def statistics(texts: pa.Array) -> np.ndarray:
             np.log1p(_sums(w.ends - w.starts, w.first) / some),
             log(_sums((kinds == 1).view(np.int8), w.offsets) / letters),
             *(log(share(k)) for k in (3, 4, 5, 6, 7, 8)),
-            log(_sums(again, w.first) / some),
+            log(_sums(again, w.first) / many),
             np.log1p(distinct) / np.log1p(some),
-            log(top / some / np.sqrt(np.maximum(100 / some, 1))),
+            log(np.maximum(top - 1, 0) / many),
         ],
         axis=1,
     )
