@@ -17,7 +17,7 @@ def explode_kmers(df: DataFrame, key: list[str], seq: str, k: int, distinct: boo
     rows = df.select(*key, F.col(seq).alias("_s")).where(F.length("_s") >= k).repartition(*key)
     chunks = rows.select(*key, "_s", F.explode(F.sequence(F.lit(0), F.length("_s") - k, F.lit(CHUNK))).alias("_i")).select(*key, F.substring("_s", F.col("_i") + 1, F.lit(CHUNK + k - 1)).alias("_c"))
     windows = chunks.select(*key, "_c", F.explode(F.sequence(F.lit(1), F.length("_c") - (k - 1))).alias("_i")).select(*key, F.substring("_c", F.col("_i"), F.lit(k)).alias("_w"))
-    out = windows.where(~F.upper("_w").contains("N")).select(*key, S.canonical(F.col("_w")).alias("km"))
+    out = windows.where(~F.col("_w").contains("N") & ~F.col("_w").contains("n")).select(*key, S.canonical(F.col("_w")).alias("km"))
     return out.distinct() if distinct else out
 
 
@@ -58,11 +58,25 @@ def validate(depths: DataFrame, min_covered: float = 0.90, max_unexpected: float
     return depths.withColumn("concordant", ok).withColumn("flags", flags)
 
 
+#: K-mers of the right side up to which it is broadcast; counted each time.
+BROADCAST_KMERS = 500_000
+
+
 def jaccard(left: DataFrame, right: DataFrame, k: int = 21) -> DataFrame:
-    """(id, other, common, jaccard) of sequences left(id, seq) and right(other, seq) with common k-mers."""
-    a, b = explode_kmers(left, ["id"], "seq", k), explode_kmers(right, ["other"], "seq", k)
-    na, nb = a.groupBy("id").agg(F.count("*").alias("n1")), b.groupBy("other").agg(F.count("*").alias("n2"))
-    c = a.join(b, "km").groupBy("id", "other").agg(F.count("*").alias("common")).join(na, "id").join(nb, "other")
+    """(id, other, common, jaccard) of sequences left(id, seq) and right(other, seq) with common k-mers.
+
+    A right side of bounded size meets the windows of the left before they are
+    made distinct, so that only matches are shuffled; a larger one meets the
+    distinct k-mers.  The left's sizes are counted for ids with a match alone.
+    """
+    b = explode_kmers(right, ["other"], "seq", k)
+    small = b.count() <= BROADCAST_KMERS
+    met = explode_kmers(left, ["id"], "seq", k, distinct=not small).join(F.broadcast(b) if small else b, "km")
+    c = (met.distinct() if small else met).groupBy("id", "other").agg(F.count("*").alias("common")).persist()  # matches only, read twice
+    some = left.join(c.select("id").distinct(), "id", "left_semi")
+    na = explode_kmers(some, ["id"], "seq", k).groupBy("id").agg(F.count("*").alias("n1"))
+    nb = b.groupBy("other").agg(F.count("*").alias("n2"))
+    c = c.join(na, "id").join(nb, "other")
     return c.select("id", "other", "common", (F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))).alias("jaccard"))
 
 
