@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,10 @@ def depth_of_alleles(alleles: DataFrame, reads: DataFrame, key: list[str], k: in
         F.count_if(inside).alias("n_kmers"), F.count_if(inside & seen).alias("_hit"), F.avg(d).alias("mean_depth"), F.count_if(seen).alias("_reads"), F.count_if(seen & ~inside).alias("_out"),
         F.sum(F.when(inside & seen, F.col("d"))).alias("_s1"), F.sum(F.when(inside & seen, F.col("d") * F.col("d"))).alias("_s2"),
     )
+    return _coverage(stats, key)
+
+
+def _coverage(stats: DataFrame, key: list[str]) -> DataFrame:
     mu = F.col("_s1") / F.col("_hit")
     chi2 = F.when(F.col("_hit") > 5, F.col("_s2") / mu - F.col("_s1"))
     return stats.select(
@@ -45,6 +52,151 @@ def depth_of_alleles(alleles: DataFrame, reads: DataFrame, key: list[str], k: in
     )
 
 
+#: Letters of a slice, and about as many k-mers as a bucket holds.
+SLICE, BUCKET = 4 << 20, 2 << 20
+_LETTERS = np.full(256, 9, dtype=np.uint8)
+_LETTERS[[ord(c) for c in "ACGTN"]] = range(5)
+
+
+def kmer_codes(bases: bytes, k: int, piece: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """(where, code) of the windows without N: canonical, two bits a base; k up to 31.  Made piece by piece, to need little memory."""
+    n = max(len(bases) - k + 1, 0)
+    where, codes = np.empty(n, dtype=np.uint32), np.empty(n, dtype=np.uint64)
+    have = 0
+    for a in range(0, n, piece):
+        w, c = _piece_codes(bases[a : a + piece + k - 1], k)
+        where[have : have + len(w)], codes[have : have + len(w)] = w + a, c
+        have += len(w)
+    return where[:have], codes[:have]
+
+
+def _piece_codes(bases: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    c = _LETTERS[np.frombuffer(bases, dtype=np.uint8)]
+    if (c > 4).any():
+        raise ValueError("bases other than A, C, G, T and N")
+    bad = np.concatenate([[0], np.cumsum(c == 4, dtype=np.int32)])
+    where = np.flatnonzero(bad[k:] == bad[:-k])
+    two = lambda i: np.uint64(2 * i)
+    # Windows of 1, 2, 4 ... bases, put together to windows of k.
+    f, r, size = (c & 3).astype(np.uint64), (3 - (c & 3)).astype(np.uint64), 1
+    forward, back, have = None, None, 0
+    while True:
+        if k & size:
+            if forward is None:
+                forward, back = f, r
+            else:
+                m = min(len(forward) - size, len(f) - have)
+                forward, back = forward[:m] << two(size) | f[have : have + m], back[:m] | r[have : have + m] << two(have)
+            have += size
+        if have == k:
+            return where, np.minimum(forward[where], back[where])
+        f, r, size = f[:-size] << two(size) | f[size:], r[:-size] | r[size:] << two(size), 2 * size
+
+
+def _sorted_counts(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and how often each occurs."""
+    if counts is None:
+        codes.sort()
+    else:
+        by = np.argsort(codes)
+        codes, counts = codes[by], counts[by]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.diff(np.append(first, len(codes))) if counts is None else np.add.reduceat(counts, first)
+
+
+def _packed(a: np.ndarray) -> bytes:
+    """An array, compressed byte plane by byte plane."""
+    raw = a.view(np.uint8).reshape(len(a), -1).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _dealt(k: int, bits: int):
+    """Per slice a row a bucket: its sets, and of each set the distinct k-mers and their counts."""
+    odd, low = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 2 * k) - 1)
+    shift = np.uint64(max(2 * k - bits, 0))
+
+    def run(batches):
+        for batch in batches:
+            n = np.asarray(pa.compute.binary_length(batch.column(1))).astype(np.int64)
+            at = np.cumsum(n) // SLICE
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(edges, edges[1:]):
+                names, member = np.unique(np.array(batch.column(0)[a:b].to_pylist(), dtype=object), return_inverse=True)
+                seqs = batch.column(1)[a:b].to_pylist()
+                by = np.argsort(member, kind="stable")
+                ends = np.cumsum([len(seqs[i]) + 1 for i in by])
+                where, codes = kmer_codes("N".join(seqs[i] for i in by).encode(), k)
+                codes *= odd  # mixed one to one, so that the upper bits deal evenly
+                codes &= low
+                last = np.searchsorted(where, ends[np.searchsorted(member[by], np.arange(len(names)), side="right") - 1])
+                parts = [_sorted_counts(codes[i:j]) for i, j in zip([0, *last[:-1]], last) if i < j]
+                del seqs, where
+                if not parts:
+                    continue
+                of = np.repeat(np.flatnonzero(np.diff(last, prepend=0)), [len(p[0]) for p in parts])
+                codes, counts = (np.concatenate(x) for x in zip(*parts))
+                bucket = (codes >> shift).astype(np.uint16)
+                order = np.argsort(bucket, kind="stable")
+                of, codes, counts, bucket = of[order].astype(np.int32), codes[order], counts[order].astype(np.uint32), bucket[order]
+                del parts, order
+                first = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1 if bucket[0] else 1))
+                rows = []
+                for i, j in zip(first, [*first[1:], len(bucket)]):
+                    has, sizes = _sorted_counts(of[i:j])
+                    rows.append((int(bucket[i]), names[has].tolist(), sizes.tolist(), _packed(np.diff(codes[i:j], prepend=np.uint64(0))), _packed(counts[i:j])))
+                x = list(zip(*rows))
+                kinds = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(x, kinds)], names=["bucket", "sets", "sizes", "codes", "counts"])
+                del of, codes, counts, bucket, rows, x
+
+    return run
+
+
+def _bucket_stats(t: pa.Table) -> pa.Table:
+    held: dict[str, list] = {}
+    for sets, sizes, codes, counts in zip(*(t.column(c).to_pylist() for c in ("sets", "sizes", "codes", "counts"))):
+        codes, counts = np.cumsum(_unpacked(codes, np.uint64), dtype=np.uint64), _unpacked(counts, np.uint32)
+        at = np.cumsum(sizes)
+        for name, i, j in zip(sets, [0, *at[:-1]], at):
+            held.setdefault(name, []).append((codes[i:j], counts[i:j]))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    out = []
+    for key in sorted({name[1:] for name in held}):
+        a, d = (_sorted_counts(*(np.concatenate(x) for x in zip(*[(c, n.astype(np.int64)) for c, n in held[s + key]]))) if s + key in held else none for s in "ar")
+        inside = d[1][np.isin(d[0], a[0], assume_unique=True)]
+        out.append((key, len(a[0]), len(inside), len(d[0]), len(d[0]) - len(inside), int(inside.sum()), int((inside * inside).sum())))
+    names = ["_key", "n_kmers", "_hit", "_reads", "_out", "_s1", "_s2"]
+    return pa.table({n: pa.array(v, pa.string() if n == "_key" else pa.int64()) for n, v in zip(names, zip(*out))})
+
+
+def depth_of_dna(alleles: DataFrame, reads: DataFrame, key: list[str], k: int = 31, letters: int | None = None) -> DataFrame:
+    """depth_of_alleles for sequences of A, C, G, T and N (others are an error) and k up to 31, for whole corpora.
+
+    Every k-mer of every sequence counts.  Slices combine their k-mers as
+    numbers and deal them to buckets by their bits; a bucket counts those of
+    all sets, and the buckets' sums are added up.  letters: about how many
+    there are; read if not given.  Null keys are a key of their own.
+    """
+    if k > 31:
+        raise ValueError("k is 31 at most")
+    side = lambda df, s: df.where(F.col("seq").isNotNull()).select(F.concat(F.lit(s), F.to_json(F.struct(*key))).alias("set"), "seq")
+    rows = side(alleles, "a").unionByName(side(reads, "r"))
+    if letters is None:
+        letters = rows.agg(F.sum(F.length("seq").cast("long"))).first()[0] or 0
+    bits = min(max(2, int(letters // BUCKET).bit_length()), 16, 2 * k)
+    dealt = rows.mapInArrow(_dealt(k, bits), "bucket int, sets array<string>, sizes array<long>, codes binary, counts binary")
+    found = dealt.groupBy("bucket").applyInArrow(_bucket_stats, "_key string, n_kmers long, _hit long, _reads long, _out long, _s1 long, _s2 long")
+    stats = found.groupBy("_key").agg(*[F.sum(c).alias(c) for c in found.columns[1:]])
+    schema = reads.select(*key).schema
+    stats = stats.withColumn("_k", F.from_json("_key", schema)).select(*[F.col("_k")[c].alias(c) for c in key], *found.columns[1:])
+    return _coverage(stats.withColumn("mean_depth", F.when(F.col("n_kmers") > 0, F.col("_s1") / F.col("n_kmers"))), key)
+
+
 def validate(depths: DataFrame, min_covered: float = 0.90, max_unexpected: float = 0.30) -> DataFrame:
     """depths with concordant and flags."""
     flags = F.filter(

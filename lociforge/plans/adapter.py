@@ -6,7 +6,8 @@ The text of each view is plain SQL that both Spark and another engine read;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ALIGNMENTS = """b as (select l_orderkey as read_id, cast(floor(l_orderkey/64) as bigint) % 4 as sample_id, l_orderkey % 64 as bk, l_partkey as pk, l_suppkey as sk, l_linenumber as ln, cast(l_quantity as int) as as_score, cast(round(l_discount*100) as int) as mapq from {lineitem}),
 l as (select *, case when bk<8 then 'A' when bk<16 then 'B' when bk<23 then 'C' when bk<35 then 'DRB1' when bk<39 then 'DQA1' when bk<45 then 'DQB1' when bk<48 then 'DPA1' when bk<51 then 'DPB1' when bk<54 then 'DRB3' when bk<63 then 'DRB4' else 'DRB5' end as locus, least(pk % 10, sk % 10) as ai from b),
@@ -44,11 +45,14 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, VARIANTS, "select * from v")
 
 
+def bases(text: Column) -> Column:
+    """Text read as a sequence: letters to bases, all else left out."""
+    return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26])
+
+
 def dna(spark: SparkSession, sf_dir: str, table: str, key: str, name: str) -> DataFrame:
     """Texts of a table read as sequences: letters to bases, all else left out."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return rows.selectExpr(f"{key} as {name}", f"translate(regexp_replace(lower(text),'[^a-z]',''), '{letters}', '{('ACGT' * 7)[:26]}') as seq")
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias(name), bases(F.col("text")).alias("seq"))
 
 
 #: Evidence of every kind for (sample, locus), made from the alignments' counts.

@@ -133,11 +133,13 @@ _KD = _KV + ", a as (select distinct * from (" + _KM.format(t="al") + ") x), r a
 
 
 def _kmer_depths(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source")
-    s = adapter.dna(spark, d, "documents", "doc_id", "doc_id").join(docs, "doc_id")
-    alleles = s.where("doc_id % 2 = 0 and doc_id < 400").select("lang", "source", F.substring("seq", 1, 400).alias("seq"))
-    reads = s.where("doc_id < 600").select("lang", "source", F.substring("seq", 200, 300).alias("seq"))
-    return kmers.depth_of_alleles(alleles, reads, ["lang", "source"], 21)
+    """Whole benchmark passages as each (lang, source)'s alleles, all whole documents as its reads."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    keys = ["lang", "source"]
+    reads = docs.select(*keys, adapter.bases(F.col("text")).alias("seq"))
+    alleles = docs.select(*keys).distinct().crossJoin(F.broadcast(adapter.dna(spark, d, "benchmark", "item_id", "item")).select("seq"))
+    letters = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return kmers.depth_of_dna(alleles, reads, keys, 21, letters)
 
 
 @query(_KD + " select lang,source,n_kmers,round(case when n_kmers>0 then hit*1.0::double/n_kmers else 0 end,6) covered,round(coalesce(mean_depth,0),6) mean_depth,n_kmers>0 and hit*1.0::double/n_kmers>=0.9 and outs*1.0::double/greatest(rds,1)<=0.3 concordant from st")
