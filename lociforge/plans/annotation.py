@@ -83,8 +83,8 @@ def gl_string(spark, d):
 @query("with s as (select doc_id,lang,substring(" + _DNA + ",1,6) seq from documents) select lang,seq,min(doc_id) first_id,count(*) n from s group by 1,2")
 def reduced_panel(spark, d):
     """One sequence of each set of equal ones: the first."""
-    x = adapter.dna(spark, d, "documents", "doc_id", "doc_id").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id")
-    return x.withColumn("seq", F.substring("seq", 1, 6)).groupBy("lang", "seq").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", adapter.bases(F.col("text")).alias("seq"))
+    return x.groupBy("lang", "seq").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
 @query(_P + " select locus,count(*) n,count(distinct concat(f1,':',f2)) n_proteins from parsed group by 1")

@@ -100,3 +100,13 @@ def test_cigar_queries_read_all_of_lineitem(spark, tmp_path, name):
     norm = lambda x: repr(round(x, 6)) if isinstance(x, float) else str(x)
     want = sorted(tuple(norm(back[r[cols.index(c)]] if c == "id" else r[cols.index(c)]) for c in sorted(cols)) for r in rel.fetchall())
     assert sorted(tuple(norm(r[c]) for c in sorted(df.columns)) for r in found) == want
+
+
+def test_reduced_panel_compares_whole_sequences(spark, corpus):
+    d, docs, _ = corpus
+    want = {}
+    for i, text, lang, _ in docs:
+        first, n = want.get((lang, bases(text)), (i, 0))
+        want[lang, bases(text)] = (min(first, i), n + 1)
+    got = {(r["lang"], r["seq"]): (r["first_id"], r["n"]) for r in catalogue.QUERIES["reduced_panel"](spark, d).collect()}
+    assert got == want and (6000, 2) in got.values() and (6001, 1) in got.values()
