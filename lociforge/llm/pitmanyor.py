@@ -34,6 +34,8 @@ ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 20.0
 #: Gibbs steps, and how many of the last are averaged.
 STEPS, KEPT = 20, 12
 SLICE, BUCKET = 6 << 20, 8 << 20
+#: Customers that are seated at once.
+BLOCK = 1 << 19
 END = np.uint64(0x51ED270B35F7A3C9)
 
 
@@ -70,7 +72,7 @@ class Restaurants:
         self.live = np.flatnonzero(self.c > 1)
 
     def seat(self, new_weight, discount: float, crowd: int = 256) -> None:
-        """First seating, one customer after the other; in very large dishes the later ones join the largest table."""
+        """First seating of every customer, one after the other; customers beyond a crowd are drawn in blocks."""
         c = self.c[self.live]
         a = new_weight(self.live)
         t = np.ones(len(c), dtype=np.int64)
@@ -80,6 +82,7 @@ class Restaurants:
             at = order[:m]
             p = a[at] / (a[at] + n - discount * t[at])
             t[at[self.rng.random(m) < p]] += 1
+        self._seat_rest(c, a, t, discount, crowd)
         # All tables but the largest hold one customer to begin with.
         t = np.minimum(t, c)
         self.tp = np.repeat(np.arange(len(c)), t)
@@ -88,6 +91,34 @@ class Restaurants:
         self.ts[first] = c - t + 1
         self.t[self.live] = t
 
+    def _seat_rest(self, c: np.ndarray, a: np.ndarray, t: np.ndarray, discount: float, crowd: int) -> None:
+        """Adds to t the tables that the customers from `crowd` on open.
+
+        Whether a customer opens a table depends on the openings before it
+        alone, so the openings of a block are the one fixed point of the rule
+        for its uniform numbers: the same as customer by customer.
+        """
+        live = np.flatnonzero(c > crowd)
+        done = np.full(len(live), crowd, dtype=np.int64)
+        while len(live):
+            n = np.minimum(c[live] - done, max(BLOCK // len(live), 1))
+            of = np.repeat(np.arange(len(live)), n)
+            first = np.cumsum(n) - n
+            free = a[live][of] + done[of] + np.arange(len(of)) - first[of] - discount * t[live][of]
+            u = self.rng.random(len(of))
+            opens = u * free < a[live][of]
+            while True:
+                before = np.cumsum(opens) - opens
+                before -= before[first][of]
+                again = u * (free - discount * before) < a[live][of]
+                if np.array_equal(again, opens):
+                    break
+                opens = again
+            t[live] += np.bincount(of[opens], minlength=len(live))
+            done += n
+            more = done < c[live]
+            live, done = live[more], done[more]
+
     def step(self, new_weight, discount: float) -> np.ndarray:
         """One customer of each dish stands up and sits down again; the changes of the dishes' tables."""
         n = len(self.live)
