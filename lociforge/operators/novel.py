@@ -133,5 +133,5 @@ def summary(report: DataFrame, variants: DataFrame, shown: int = 5) -> DataFrame
     v = F.concat(F.col("position").cast("string"), F.lit(":"), F.col("ref_base"), F.lit(">"), F.col("alt_base"))
     first = variants.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", v.alias("v")))).alias("_v"))
     first = first.select(F.col("id").alias("_id"), F.array_join(F.slice(F.col("_v.v"), 1, shown), ", ").alias("_t"))
-    text = F.concat(F.format_string("%.2f%% identity: %d SNPs, %d insertions, %d deletions", F.col("identity") * 100, "n_snps", "n_ins", "n_del"), F.coalesce(F.concat(F.lit(". "), F.col("_t")), F.lit("")))
+    text = F.concat(F.format_string("%.2f%% identity: %d SNPs, %d insertions, %d deletions", F.bround(F.col("identity") * 100, 2), "n_snps", "n_ins", "n_del"), F.coalesce(F.concat(F.lit(". "), F.col("_t")), F.lit("")))
     return report.join(first, F.col("id") == F.col("_id"), "left").select("id", text.alias("text"))

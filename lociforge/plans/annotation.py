@@ -80,7 +80,7 @@ def gl_string(spark, d):
     return s.select("locus", names.gl_string(F.col("a"), F.col("b")).alias("gl"))
 
 
-@query("with s as (select doc_id,lang,substring(" + _DNA + ",1,6) seq from documents) select lang,seq,min(doc_id) first_id,count(*) n from s group by 1,2")
+@query("with s as (select doc_id,lang," + _DNA + " seq from documents) select lang,seq,min(doc_id) first_id,count(*) n from s group by 1,2")
 def reduced_panel(spark, d):
     """One sequence of each set of equal ones: the first."""
     x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", adapter.bases(F.col("text")).alias("seq"))
@@ -127,9 +127,9 @@ def phred(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("pk"), F.round(S.phred_error(c), 9).alias("p_error"), F.round(S.phred_correct(c), 9).alias("p_correct"))
 
 
-_KV = "with s as (select doc_id,lang,source," + _DNA + " seq from documents), al as (select lang,source,substring(seq,1,400) seq from s where doc_id%2=0 and doc_id<400), rd as (select lang,source,substring(seq,200,300) seq from s where doc_id<600)"
+_KV = "with s as (select lang,source," + _DNA + " seq from documents), al as (select lang,source," + _DNA + " seq from (select distinct lang,source from documents) k, benchmark)"
 _KM = "select lang,source,least(k,reverse(translate(k,'ACGT','TGCA'))) km from (select lang,source,unnest(list_transform(range(1,length(seq)-19), lambda i: substring(seq,i::int,21))) k from {t} where length(seq)>=21) q"
-_KD = _KV + ", a as (select distinct * from (" + _KM.format(t="al") + ") x), r as (" + _KM.format(t="rd") + "), n as (select lang,source,km,count(*) d from r group by 1,2,3), j as (select coalesce(a.lang,n.lang) lang,coalesce(a.source,n.source) source,a.km is not null ia,n.d from a full join n on a.lang=n.lang and a.source=n.source and a.km=n.km), st as (select lang,source,count(*) filter (where ia) n_kmers,count(*) filter (where ia and d is not null) hit,avg(case when ia then coalesce(d,0) end) mean_depth,count(d) rds,count(*) filter (where d is not null and not ia) outs,sum(case when ia then d end)::double s1,sum(case when ia then d*d end)::double s2 from j group by 1,2)"
+_KD = _KV + ", a as (select distinct * from (" + _KM.format(t="al") + ") x), r as (" + _KM.format(t="s") + "), n as (select lang,source,km,count(*) d from r group by 1,2,3), j as (select coalesce(a.lang,n.lang) lang,coalesce(a.source,n.source) source,a.km is not null ia,n.d from a full join n on a.lang is not distinct from n.lang and a.source is not distinct from n.source and a.km=n.km), st as (select lang,source,count(*) filter (where ia) n_kmers,count(*) filter (where ia and d is not null) hit,avg(case when ia then coalesce(d,0) end) mean_depth,count(d) rds,count(*) filter (where d is not null and not ia) outs,sum(case when ia then d end)::double s1,sum(case when ia then d*d end)::double s2 from j group by 1,2)"
 
 
 def _kmer_depths(spark, d):
@@ -251,9 +251,9 @@ def temp_name(spark, d):
     return _names(spark, d).select("pk", S.temporary_name(p.locus, p.field1).alias("temp_name"))
 
 
-_CG = "select (l_orderkey*10+l_linenumber)*10000000+l_partkey*1000+l_suppkey id, l_partkey%5 pos0, cast(5+l_partkey%20 as int) m1, cast(1+l_suppkey%3 as int) x1, cast(5+l_suppkey%15 as int) m2, case when l_partkey%3=0 then 'I' when l_partkey%3=1 then 'D' else 'N' end op, repeat('ACGTTGCA',8) ref, repeat(case when l_suppkey%2=0 then 'ACGTTGCA' else 'ACGATGCT' end,8) query from {lineitem}"
-#: The SQL takes a twentieth of the rows; the queries take all.
-_CGS = "with cg as (" + _CG.format(lineitem="lineitem") + " where l_orderkey%20=0), c as (select *,concat(m1,'M',x1,op,m2,'M2S') cigar from cg)"
+#: One alignment for each distinct (order, line, part, supplier): repeated rows are the same alignment.
+_CG = "select distinct concat(l_orderkey,'-',l_linenumber,'-',l_partkey,'-',l_suppkey) id, l_partkey%5 pos0, cast(5+l_partkey%20 as int) m1, cast(1+l_suppkey%3 as int) x1, cast(5+l_suppkey%15 as int) m2, case when l_partkey%3=0 then 'I' when l_partkey%3=1 then 'D' else 'N' end op, repeat('ACGTTGCA',8) ref, repeat(case when l_suppkey%2=0 then 'ACGTTGCA' else 'ACGATGCT' end,8) query from {lineitem}"
+_CGS = "with cg as (" + _CG.format(lineitem="lineitem") + "), c as (select *,concat(m1,'M',x1,op,m2,'M2S') cigar from cg)"
 
 
 def _cigars(spark, d):
@@ -298,7 +298,11 @@ def annotate_variants(spark, d):
     return novel.annotate(j.withColumn("alt", alt)).select("ok", "ln", "region", "kind", "effect", "codon_change")
 
 
-@query()
+_NR = SQL["novel_report"].replace("with cg as", "with recursive cg as", 1)
+_NR_BODY, _NR_TAIL = _NR.rsplit(") select c.id,", 1)
+
+
+@query(_NR_BODY + "), rp as (select c.id," + _NR_TAIL + "), nv as (select id,position,ref_base,alt_base,row_number() over (partition by id order by position,ref_base,alt_base) k from vv), fv as (select id,string_agg(position||':'||ref_base||'>'||alt_base,', ' order by k) t from nv where k<=5 group by 1) select rp.id,printf('%.2f%% identity: %d SNPs, %d insertions, %d deletions',identity*100,n_snps,n_ins,n_del)||coalesce('. '||t,'') as text from rp left join fv on fv.id=rp.id")
 def variant_summary(spark, d):
     c = _cigars(spark, d)
     length = F.aggregate(F.filter(S.cigar(F.col("cigar")), lambda t: t.op.isin("M", "I", "D")), F.lit(0), lambda a, t: a + t.len)
