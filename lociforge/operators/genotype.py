@@ -44,19 +44,28 @@ def allele_pairs(scores: DataFrame, distinct: bool = False) -> DataFrame:
     return pairs.where(F.col("a1") < F.col("a2")) if distinct else pairs.where(F.col("a1") <= F.col("a2"))
 
 
-def pair_scores(scores: DataFrame, value: str) -> DataFrame:
-    """(locus keys, a1, a2, read_id, p1, p2) of every read that has a score for one of the pair.
+def pair_sums(weighted: DataFrame) -> DataFrame:
+    """(locus keys, a1, a2, s, k) of every pair a1 <= a2: the sum of ln((w1 + w2) / 2) over the k reads that either explains.
 
-    Each score row meets the pairs that hold its allele and rows of one read
-    are added up, so reads without either allele cost nothing.
+    The sum over a pair is that of each allele alone plus a correction for the
+    reads that hold both, so only alleles that meet in a read are paired: a
+    read's evidence is gathered once, its few pairs are added up before the
+    shuffle, and what is shuffled are rows of alleles, not of reads.
     """
-    pairs = allele_pairs(scores)
-    first = pairs.select(*LOCUS, "a1", "a2", F.col("a1").alias("allele"), F.lit(1).alias("side"))
-    second = pairs.where("a1 <> a2").select(*LOCUS, "a1", "a2", F.col("a2").alias("allele"), F.lit(2).alias("side"))
-    rows = scores.join(first.unionByName(second), [*LOCUS, "allele"])
-    one = lambda s: F.max(F.when(F.col("side") == s, F.col(value)))
-    both = rows.groupBy(*LOCUS, "a1", "a2", "read_id").agg(F.coalesce(one(1), F.lit(0.0)).alias("p1"), one(2).alias("_p2"))
-    return both.select(*LOCUS, "a1", "a2", "read_id", "p1", F.when(F.col("a1") == F.col("a2"), F.col("p1")).otherwise(F.coalesce("_p2", F.lit(0.0))).alias("p2"))
+    read = weighted.where("weight > 0").groupBy(*LOCUS, "read_id").agg(F.array_sort(F.collect_list(F.struct("allele", F.col("weight").alias("w")))).alias("e"))
+    inside = F.expr(
+        "flatten(transform(e, (x, i) -> transform(slice(e, i + 1, size(e) - i), y -> struct(x.allele as a1, y.allele as a2,"
+        " if(x.allele = y.allele, ln(x.w), ln((x.w + y.w) / 2) - ln(x.w / 2) - ln(y.w / 2)) as s))))"
+    )
+    met = read.select(*LOCUS, F.explode(inside).alias("p")).groupBy(*LOCUS, "p.a1", "p.a2").agg(F.sum("p.s").alias("s"), F.count("*").alias("k"))
+    alone = met.where("a1 = a2").select(*LOCUS, F.col("a1").alias("allele"), "s", "k")
+    one = lambda i: alone.select(*LOCUS, F.col("allele").alias(f"a{i}"), F.col("s").alias(f"_s{i}"), F.col("k").alias(f"_k{i}"))
+    pairs = allele_pairs(weighted).join(one(1), [*LOCUS, "a1"], "left").join(one(2), [*LOCUS, "a2"], "left").join(met.where("a1 <> a2"), [*LOCUS, "a1", "a2"], "left")
+    pairs = pairs.na.fill(0, ["_k1", "_k2", "k"]).na.fill(0.0, ["_s1", "_s2", "s"])
+    half = F.log(F.lit(2.0))
+    both = F.col("_s1") - half * F.col("_k1") + F.col("_s2") - half * F.col("_k2") + F.col("s")
+    same = F.col("a1") == F.col("a2")
+    return pairs.select(*LOCUS, "a1", "a2", F.when(same, F.col("_s1")).otherwise(both).alias("s"), F.when(same, F.col("_k1")).otherwise(F.col("_k1") + F.col("_k2") - F.col("k")).alias("k"))
 
 
 def max_coverage_pair(scores: DataFrame) -> DataFrame:
@@ -74,5 +83,4 @@ def max_coverage_pair(scores: DataFrame) -> DataFrame:
 
 def pair_loglik(weighted: DataFrame) -> DataFrame:
     """Sum of ln of the mean weight of the two alleles over reads that either explains."""
-    p = pair_scores(weighted, "weight").where("p1 > 0 or p2 > 0")
-    return p.groupBy(*LOCUS, "a1", "a2").agg(F.round(F.sum(F.log((F.col("p1") + F.col("p2")) / 2)), 4).alias("ll"), F.count("*").alias("n_reads"))
+    return pair_sums(weighted).where("k > 0").select(*LOCUS, "a1", "a2", F.round("s", 4).alias("ll"), F.col("k").alias("n_reads"))

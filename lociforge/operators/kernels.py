@@ -1,7 +1,9 @@
 """Iterative kernels that columns cannot express: one pandas group is one locus of one sample.
 
 Everything around them is native; each ships only the columns that it needs.
-A group is bounded by the reads of one locus.
+Reads with equal evidence are combined, with their number, before a kernel
+sees them, so a group is bounded by the different patterns of one locus.  Keys
+keep the types of the input.
 """
 
 from __future__ import annotations
@@ -63,9 +65,16 @@ def chi2_pvalue(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(x, df)], dtype="float64")
 
 
-def variational_weights(m: np.ndarray, prior: np.ndarray | None = None, rounds: int = 200, tolerance: float = 1e-6):
-    """(weights, dosages, evidence bound, rounds) of the allele mixture of reads x alleles scores."""
-    reads, n = m.shape
+def _typed(df: DataFrame, *columns: str) -> str:
+    """The columns with their types, as a schema."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def variational_weights(m: np.ndarray, prior: np.ndarray | None = None, rounds: int = 200, tolerance: float = 1e-6, times: np.ndarray | None = None):
+    """(weights, dosages, evidence bound, rounds) of the allele mixture of reads x alleles scores; times: how many reads each row stands for."""
+    n = m.shape[1]
+    k = np.ones(len(m)) if times is None else times.astype(float)
+    reads = k.sum()
     top = m.max(axis=1, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
         ll = np.where(m > 0, np.log(m / top), -np.inf)
@@ -83,34 +92,48 @@ def variational_weights(m: np.ndarray, prior: np.ndarray | None = None, rounds:
 
     q, last, bound, r = expect(alpha), -np.inf, -np.inf, 0
     for r in range(1, rounds + 1):
-        alpha = a0 + q.sum(axis=0)
+        alpha = a0 + k @ q
         q = expect(alpha)
         e = digamma(alpha) - digamma(np.array([alpha.sum()]))[0]
         some = q > 0
-        bound = (q[some & finite] * ll[some & finite]).sum() + (q * e).sum() + log_beta(a0) + ((a0 - 1) * e).sum() - (q[some] * np.log(q[some])).sum() - log_beta(alpha) - ((alpha - 1) * e).sum()
+        kq = k[:, None] * q
+        bound = (kq[some & finite] * ll[some & finite]).sum() + (kq * e).sum() + log_beta(a0) + ((a0 - 1) * e).sum() - (kq[some] * np.log(q[some])).sum() - log_beta(alpha) - ((alpha - 1) * e).sum()
         if abs(bound - last) < tolerance:
             break
         last = bound
-    dosage = q.mean(axis=0)
+    dosage = k @ q / reads if reads else np.zeros(n)
     return alpha / alpha.sum(), dosage / dosage.sum() if dosage.sum() else dosage, float(bound), r
 
 
 def vb_em(weighted: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
     """(locus keys, allele, weight, dosage, elbo, iterations); frequencies(allele, freq) are optional priors.
 
-    Alleles stand in order of name and reads in order of id, so reruns agree.
+    Reads of equal weights are counted before the kernel; patterns stand in
+    order of their alleles and weights, so reruns agree.  An allele without a
+    frequency has the mean share.
     """
-    rows = weighted.select(*LOCUS, "read_id", "allele", F.col("weight").alias("w"))
-    rows = rows.join(frequencies, "allele", "left") if frequencies is not None else rows.withColumn("freq", F.lit(None).cast("double"))
+    of_read = weighted.groupBy(*LOCUS, "read_id").agg(F.array_sort(F.collect_list(F.struct("allele", F.col("weight").alias("w")))).alias("e"))
+    rows = of_read.groupBy(*LOCUS, "e").agg(F.count("*").alias("times"))
+    rows = rows.select(*LOCUS, F.col("e.allele").alias("alleles"), F.col("e.w").alias("w"), "times")
+    known = {}
+    if frequencies is not None:
+        alleles = weighted.select("locus", "allele").distinct().join(frequencies, "allele").groupBy("locus").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("allele", "freq")))).alias("freq"))
+        rows = rows.join(alleles, "locus", "left")
+        known = {"freq": True}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf.pivot_table(index="read_id", columns="allele", values="w", aggfunc="max", fill_value=0.0).sort_index()
-        f = pdf.groupby("allele")["freq"].max().reindex(t.columns)
-        prior = None if f.isna().all() else f.fillna(1 / len(f)).to_numpy()
-        w, d, bound, r = variational_weights(t.to_numpy(dtype=float), prior)
-        return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "locus": pdf["locus"].iloc[0], "allele": t.columns, "weight": w, "dosage": d, "elbo": bound, "iterations": r})
+        names, column = np.unique(np.concatenate(pdf["alleles"].to_numpy()).astype(str), return_inverse=True)
+        m = np.zeros((len(pdf), len(names)))
+        m[np.repeat(np.arange(len(pdf)), pdf["alleles"].map(len)), column] = np.concatenate(pdf["w"].to_numpy())
+        order = np.lexsort(m.T[::-1])
+        prior = None
+        if known and pdf["freq"].iloc[0] is not None:
+            f = dict(pdf["freq"].iloc[0])
+            prior = np.array([f.get(a, 1 / len(names)) for a in names])
+        w, d, bound, r = variational_weights(m[order], prior, times=pdf["times"].to_numpy()[order])
+        return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "locus": pdf["locus"].iloc[0], "allele": names, "weight": w, "dosage": d, "elbo": bound, "iterations": r})
 
-    return rows.groupBy(*LOCUS).applyInPandas(run, "sample_id long, locus string, allele string, weight double, dosage double, elbo double, iterations int")
+    return rows.groupBy(*LOCUS).applyInPandas(run, _typed(weighted, *LOCUS, "allele") + ", weight double, dosage double, elbo double, iterations int")
 
 
 def greedy_bins(m: np.ndarray) -> np.ndarray:
@@ -137,42 +160,85 @@ def greedy_bins(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def signature_bins(m: np.ndarray) -> np.ndarray:
-    """Two bins by the most divergent pair of read signatures."""
-    sig, back = np.unique(m, axis=0, return_inverse=True)
-    back = back.reshape(-1)
-    first_seen = np.array([np.flatnonzero(back == k)[0] for k in range(len(sig))])
-    order = np.argsort(first_seen)
+def _signatures(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows in order of first appearance, which one each row is, how many rows each is)."""
+    sig, first, back, times = np.unique(m, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(first)
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
-    sig, back = sig[order], rank[back]
+    return sig[order], rank[back.reshape(-1)], times[order]
+
+
+def signature_bins(m: np.ndarray) -> np.ndarray:
+    """Two bins by the most divergent pair of read signatures."""
+    sig, back, _ = _signatures(m)
     if len(sig) < 2:
         return np.zeros(len(m), dtype=int)
-    seen = sig >= 0
-    both = (seen[:, None] & seen[None]).sum(axis=2)
-    differ = ((sig[:, None] != sig[None]) & seen[:, None] & seen[None]).sum(axis=2)
-    differ = np.where((both > 0) & np.triu(np.ones_like(both), 1).astype(bool), differ, -1)
-    i, j = np.unravel_index(int(differ.argmax()), differ.shape) if differ.max() >= 0 else (0, 1)
-    agree = [((sig == sig[s]) & seen & seen[s]).sum(axis=1) for s in (i, j)]
+    seen = (sig >= 0).astype(np.float32)
+    one, zero = (sig == 1).astype(np.float32), (sig == 0).astype(np.float32)
+    best, pair = -1, (0, 1)
+    for i in range(len(sig) - 1):  # one signature against all later ones: memory stays linear
+        both = seen[i + 1 :] @ seen[i]
+        differ = np.where(both > 0, both - one[i + 1 :] @ one[i] - zero[i + 1 :] @ zero[i], -1)
+        j = int(differ.argmax())
+        if differ[j] > best:
+            best, pair = differ[j], (i, i + 1 + j)
+    agree = [((sig == sig[s]) & (sig >= 0) & (sig[s] >= 0)).sum(axis=1) for s in pair]
     return np.where(agree[0] >= agree[1], 0, 1)[back]
 
 
+def _second_vector(a: np.ndarray, first: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Eigenvector of the second largest eigenvalue of a symmetric matrix whose first is known: Lanczos steps, all of them solved if these do not settle."""
+    n = len(a)
+    if n > 4 * steps:
+        first = first / np.linalg.norm(first)
+        basis = np.zeros((steps + 1, n))
+        x = np.cos(np.arange(n) * 2.399963)  # a fixed start
+        x -= first * (first @ x)
+        basis[0] = x / np.linalg.norm(x)
+        t = np.zeros((steps + 1, steps + 1))
+        for k in range(steps):
+            y = a @ basis[k]
+            t[k, k] = basis[k] @ y
+            y -= first * (first @ y)
+            for _ in range(2):
+                y -= basis[: k + 1].T @ (basis[: k + 1] @ y)
+            size = np.linalg.norm(y)
+            t[k, k + 1] = t[k + 1, k] = size
+            value, vector = np.linalg.eigh(t[: k + 1, : k + 1]) if k % 20 == 19 or size < 1e-12 else (None, None)
+            if value is not None and abs(size * vector[-1, -1]) < 1e-9:
+                return basis[: k + 1].T @ vector[:, -1]
+            if size < 1e-12:
+                break
+            basis[k + 1] = y / size
+    _, vectors = np.linalg.eigh(a)
+    return vectors[:, -2] if n > 1 else vectors[:, 0]
+
+
 def spectral_bins(m: np.ndarray) -> np.ndarray:
-    """Two bins by the second eigenvector of the normalised Laplacian of reads' agreement, cut at its median."""
-    seen = (m >= 0).astype(float)
+    """Two bins by the second eigenvector of the normalised Laplacian of reads' agreement, cut at its median.
+
+    Reads of equal signature have equal entries in the eigenvector, so it is
+    found on signatures weighted by their reads.
+    """
+    sig, back, times = _signatures(m)
+    seen = (sig >= 0).astype(float)
     both = seen @ seen.T
-    same = sum(((m == v).astype(float) @ (m == v).astype(float).T) for v in (0, 1))
+    same = sum(((sig == v).astype(float) @ (sig == v).astype(float).T) for v in (0, 1))
     sim = np.divide(same, both, out=np.zeros_like(both), where=both > 0)
-    np.fill_diagonal(sim, 0)
-    degree = sim.sum(axis=1)
+    own = np.diag(sim)
+    degree = sim @ times - own
     degree[degree == 0] = 1e-10
-    scale = 1 / np.sqrt(degree)
+    scale = np.sqrt(times / degree)
+    near = scale[:, None] * sim * scale[None]
+    near[np.diag_indices(len(sig))] -= own / degree  # the Laplacian is 1 less this
     try:
-        _, vectors = np.linalg.eigh(np.eye(len(m)) - scale[:, None] * sim * scale[None])
+        v = _second_vector(near, np.sqrt(times * degree))
     except np.linalg.LinAlgError:
         return greedy_bins(m)
-    v = vectors[:, 1] if len(m) > 1 else vectors[:, 0]
+    v = v / np.sqrt(times)
     v = v * (np.sign(v[np.flatnonzero(np.abs(v) > 1e-12)[:1]]).prod() or 1)  # a fixed sign
+    v = v[back]
     return np.where(v <= np.median(v), 0, 1)
 
 
@@ -197,4 +263,4 @@ def phase(matrix: DataFrame, method: str = "greedy", min_sites: int = 2, min_rea
                 bins, used = spectral_bins(m), "spectral"
         return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "locus": pdf["locus"].iloc[0], "read_id": t.index, "bin": bins, "method": used})
 
-    return matrix.groupBy(*LOCUS).applyInPandas(run, "sample_id long, locus string, read_id long, bin int, method string")
+    return matrix.groupBy(*LOCUS).applyInPandas(run, _typed(matrix, *LOCUS, "read_id") + ", bin int, method string")

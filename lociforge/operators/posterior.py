@@ -5,25 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .genotype import LOCUS, allele_pairs, pair_scores
+from .genotype import LOCUS, pair_sums
 
 #: Log-likelihood of a read that neither allele explains.
 UNMAPPED = 1e-10
 
 
-def pair_posteriors(weighted: DataFrame) -> DataFrame:
+def pair_posteriors(weighted: DataFrame, weights: DataFrame | None = None, most: int = 60) -> DataFrame:
     """(locus keys, a1, a2, ll, p): softmax of the pairs' log-likelihoods under a uniform prior.
 
-    Reads without either allele add ln 1e-10 each; they are counted, not joined.
+    Reads without either allele add ln 1e-10 each; they are counted, not
+    joined.  Where a locus has one allele there is nothing to weigh it
+    against: its posterior is a twentieth for each read with evidence, 1 at
+    most.  All pairs enter the softmax; weights(locus keys, allele, weight),
+    if given, leave the `most` pairs of the largest sum of weights, ties by name.
     """
-    scored = pair_scores(weighted, "weight").where("p1 > 0 or p2 > 0")
-    sums = scored.groupBy(*LOCUS, "a1", "a2").agg(F.sum(F.log((F.col("p1") + F.col("p2")) / 2)).alias("_s"), F.count("*").alias("_k"))
-    reads = weighted.groupBy(*LOCUS).agg(F.countDistinct("read_id").alias("_n"))
-    ll = F.coalesce("_s", F.lit(0.0)) + (F.col("_n") - F.coalesce("_k", F.lit(0))) * F.log(F.lit(UNMAPPED))
-    out = allele_pairs(weighted).join(reads, LOCUS).join(sums, [*LOCUS, "a1", "a2"], "left").withColumn("ll", ll)
+    reads = weighted.groupBy(*LOCUS).agg(F.countDistinct("read_id").alias("_n"), F.min("allele").alias("_x"), F.max("allele").alias("_y"))
+    ll = F.col("s") + (F.col("_n") - F.col("k")) * F.log(F.lit(UNMAPPED))
+    out = pair_sums(weighted).join(reads, LOCUS).withColumn("ll", ll)
     locus = Window.partitionBy(*LOCUS)
-    e = F.exp(F.col("ll") - F.max("ll").over(locus))
-    return out.withColumn("_e", e).select(*LOCUS, "a1", "a2", "ll", (F.col("_e") / F.sum("_e").over(locus)).alias("p"))
+    if weights is not None:
+        w = weights.select(*LOCUS, "allele", "weight")
+        one = lambda i: w.select(*LOCUS, F.col("allele").alias(f"a{i}"), F.col("weight").alias(f"_w{i}"))
+        sums = F.coalesce("_w1", F.lit(0.0)) + F.coalesce("_w2", F.lit(0.0))
+        out = out.join(one(1), [*LOCUS, "a1"], "left").join(one(2), [*LOCUS, "a2"], "left")
+        out = out.withColumn("_r", F.row_number().over(locus.orderBy(F.round(sums, 9).desc(), "a1", "a2"))).where(F.col("_r") <= most)
+    out = out.withColumn("_e", F.exp(F.col("ll") - F.max("ll").over(locus)))
+    p = F.when(F.col("_x") == F.col("_y"), single_allele(F.col("k"))[0]).otherwise(F.col("_e") / F.sum("_e").over(locus))
+    return out.select(*LOCUS, "a1", "a2", "ll", p.alias("p"))
 
 
 def ranked(posteriors: DataFrame, k: int = 20) -> DataFrame:
