@@ -1,42 +1,141 @@
-"""Command line: type, validate and build-panel."""
+"""Command line: type, validate, build-panel, benchmark and setup-db."""
 
 from __future__ import annotations
 
 import argparse
+import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import PRESETS, PROFILES, Config
+from .config import PRESETS, PROFILES, Config, check_release
 from .operators import evaluate
-from .plans import typing_run
+from .plans import outputs, typing_run
 from .sources import callers, sequences, sinks
 
 
-def main(argv: list[str] | None = None) -> None:
+def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lociforge")
     sub = p.add_subparsers(dest="command", required=True)
-    t = sub.add_parser("type", help="alignments (Parquet) to calls")
+    t = sub.add_parser("type", help="alignments (Parquet, or SAM text of one sample) to calls and reports")
     t.add_argument("alignments")
     t.add_argument("out")
     t.add_argument("--assay", choices=PRESETS, default="short")
     t.add_argument("--profile", choices=PROFILES)
     t.add_argument("--candidates", type=int)
+    t.add_argument("--pairs", type=int, help="pairs of the largest weights that enter the posteriors; all by default")
+    t.add_argument("--resolution", default=None, help="G, max or a number of fields")
+    t.add_argument("--sample", default="sample")
+    t.add_argument("--sequences", help="allele FASTA")
+    t.add_argument("--frequencies")
+    t.add_argument("--population")
+    t.add_argument("--g-groups")
+    t.add_argument("--release", help="the reference release that is required")
+    t.add_argument("--reference", help="folder of the reference, for its release")
+    t.add_argument("--clinical", action="store_true")
+    t.add_argument("--strict", action="store_true")
     v = sub.add_parser("validate", help="a result table against a truth table")
     v.add_argument("results")
     v.add_argument("truth")
     b = sub.add_parser("build-panel", help="FASTA without repeated sequences")
     b.add_argument("fasta")
     b.add_argument("out")
-    a = p.parse_args(argv)
+    m = sub.add_parser("benchmark", help="result tables, or alignments that are typed first, against a truth table")
+    m.add_argument("truth")
+    m.add_argument("out")
+    m.add_argument("--results", help="folder with a types table a sample")
+    m.add_argument("--alignments", help="Parquet of all samples")
+    m.add_argument("--assay", choices=PRESETS, default="short")
+    m.add_argument("--resolution", type=int, default=2)
+    s = sub.add_parser("setup-db", help="register a reference folder that is already there: check its release, write its lock")
+    s.add_argument("folder")
+    s.add_argument("--release", default="unknown")
+    return p
+
+
+def found_release(folder: str, wanted: str) -> str:
+    """The release that a reference folder tells."""
+    texts = {}
+    for k, name in (("provenance", "provenance.json"), ("version", "release_version.txt"), ("list", "Allelelist.txt")):
+        path = os.path.join(folder, name)
+        if os.path.exists(path):
+            with open(path) as f:
+                texts[k] = f.read(1 << 16)
+    tags = os.path.join(folder, ".git", "refs", "tags")
+    if os.path.isdir(tags) and os.listdir(tags):
+        texts["tag"] = sorted(os.listdir(tags))[-1]
+    return sequences.release(texts, wanted)
+
+
+def alleles_of(spark: SparkSession, path: str) -> DataFrame:
+    """(locus, allele, seq) of a FASTA; the allele is the first word of a header that holds '*', else its first word."""
+    from .functions import names
+
+    f = sequences.fasta(spark, path)
+    second = sequences.fasta(spark, path, 1)
+    rows = f.where(F.instr("name", "*") > 0).unionByName(second.where(F.instr("name", "*") > 0))
+    a = rows.select(names.strip_prefix(F.col("name")).alias("allele"), "seq")
+    return a.select(names.parse(F.col("allele")).locus.alias("locus"), "allele", "seq").dropDuplicates(["locus", "allele"])
+
+
+def type_command(spark: SparkSession, a: argparse.Namespace) -> None:
+    given = {"clinical": a.clinical, "strict": a.strict, "pairs": a.pairs}
+    if a.resolution is not None:
+        given["resolution"] = a.resolution if a.resolution in ("G", "max") else int(a.resolution)
+    release = found_release(a.reference, "unknown") if a.reference else "unknown"
+    if a.release:
+        check_release(a.release, release)
+    config = Config.create(a.assay, a.profile, a.candidates, release=release, **given)
+    more = {}
+    if a.alignments.endswith(".sam"):
+        rows = sequences.sam(spark, a.alignments)
+        alignments = sequences.alignments_of(rows, a.sample)
+        more["bases"] = sequences.aligned_bases(rows, a.sample, secondary=True)
+        own = rows.where((F.col("flag").bitwiseAND(0x900) == 0) & (F.col("seq") != "*"))
+        more["reads"] = own.select(F.lit(a.sample).alias("sample_id"), F.col("name").alias("read_id"), "seq")
+    else:
+        alignments = spark.read.parquet(a.alignments)
+    if a.sequences:
+        more["sequences"] = alleles_of(spark, a.sequences)
+    if a.frequencies:
+        more["frequencies"] = sequences.frequencies(spark, a.frequencies, a.population)
+    groups = sequences.g_groups(spark, a.g_groups) if a.g_groups else None
+    result = typing_run.run(alignments, config, groups=groups, **more)
+    files = outputs.write_run(result, a.out, config, groups, release, alleles=more.get("sequences"))
+    for r in sinks.summary_text(result.calls, result.novel, files).orderBy("sample_id").limit(20).collect():  # shown, not written
+        print(f"{r['sample_id']}\n{r['value']}\n")
+
+
+def main(argv: list[str] | None = None) -> None:
+    a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("lociforge").getOrCreate()
     if a.command == "type":
-        result = typing_run.run(spark.read.parquet(a.alignments), Config.create(a.assay, a.profile, a.candidates))
-        result.calls.write.mode("overwrite").parquet(a.out)
+        type_command(spark, a)
     elif a.command == "validate":
         key = lambda df, c, d: df.select(F.col("locus").alias("key"), F.col("a1").alias(c), F.col("a2").alias(d))
         found = evaluate.validate(key(callers.result_tsv(spark, a.results), "c1", "c2"), key(callers.result_tsv(spark, a.truth), "t1", "t2"))
         found.orderBy("key").show(100, False)
+        right = found.agg(F.sum(F.greatest("matches", F.lit(0))), F.count("*")).first()
+        print(f"{right[0] or 0} of {2 * right[1]} alleles")
+    elif a.command == "benchmark":
+        truth = callers.truth_tsv(spark, a.truth)
+        calls = outputs.results_of(spark, a.results) if a.results else typing_run.run(spark.read.parquet(a.alignments), Config.create(a.assay)).calls
+        name = os.path.splitext(os.path.basename(a.truth))[0]
+        overall = outputs.write_benchmark(outputs.benchmark(truth, calls, a.resolution), a.out, name)
+        print(f"accuracy {overall['accuracy']:.4f}, call rate {overall['call_rate']:.4f}")
+    elif a.command == "setup-db":
+        if not os.path.isdir(a.folder):
+            raise SystemExit(f"{a.folder} is not there: the engine fetches nothing, copy the reference first")
+        release = found_release(a.folder, a.release)
+        if a.release != "unknown":
+            check_release(a.release, release)
+        listed = os.path.join(a.folder, "Allelelist.txt")
+        content = open(listed, "rb").read() if os.path.exists(listed) else b""
+        files = [x for x in sorted(os.listdir(os.path.join(a.folder, "fasta"))) if x.endswith("_gen.fasta")] if os.path.isdir(os.path.join(a.folder, "fasta")) else []
+        rows = [(x.removesuffix("_gen.fasta"), sequences.fasta(spark, os.path.join(a.folder, "fasta", x)).count()) for x in files]  # one small file a locus
+        counts = spark.createDataFrame(rows, "locus string, n long")
+        outputs.write_text(spark, os.path.join(a.folder, "imgt_lock.json"), sinks.lockfile(counts, release, "unknown", content))
+        print(f"{a.folder}: release {release}")
     else:
         s = sequences.fasta(spark, a.fasta).select(F.lit("").alias("locus"), F.col("name").alias("allele"), "seq")
         sinks.write_fasta(sequences.non_redundant(s), a.out)

@@ -32,15 +32,43 @@ class Preset:
     informative: int
 
 
-# Thresholds by assay, in the order of Preset's fields.
+# Thresholds by assay.
 PRESETS = {
-    "short": Preset("sr", 30, 5, True, False, 80, 20, 0.90, 0.80, 5, 0.15, 2, 31, 0.90, 0.30, "megahit", 300, 15_000, 5),
-    "exome": Preset("sr", 60, 10, True, True, 60, 15, 0.90, 0.85, 8, 0.15, 2, 31, 0.85, 0.35, "megahit", 300, 10_000, 3),
-    "targeted_capture": Preset("sr", 200, 20, False, False, 100, 25, 0.95, 0.90, 10, 0.20, 2, 31, 0.95, 0.20, "megahit", 300, 15_000, 5),
-    "pacbio": Preset("map-pb", 15, 3, True, False, 60, 15, 0.85, 0.75, 3, 0.20, 1, 21, 0.80, 0.40, "flye", 600, 15_000, 3),
-    "hifi": Preset("map-hifi", 20, 5, True, False, 60, 15, 0.95, 0.85, 3, 0.20, 1, 31, 0.92, 0.25, "hifiasm", 600, 15_000, 3),
-    "ont": Preset("map-ont", 20, 5, True, False, 60, 15, 0.85, 0.75, 3, 0.20, 1, 21, 0.80, 0.40, "flye", 600, 15_000, 3),
-    "rna": Preset("splice", 50, 10, True, True, 60, 15, 0.90, 0.85, 8, 0.15, 2, 31, 0.85, 0.35, "megahit", 300, 10_000, 3),
+    "short": Preset(
+        aligner="sr", coverage=30, min_coverage=5, unmapped=True, exons_only=False, candidates=80, refined=20, confidence=0.9, assembly_trigger=0.8,
+        het_depth=5, minor_share=0.15, min_sites=2, k=31, kmer_covered=0.9, kmer_unexpected=0.3, assembler="megahit", timeout=300, genome=15000,
+        informative=5,
+    ),
+    "exome": Preset(
+        aligner="sr", coverage=60, min_coverage=10, unmapped=True, exons_only=True, candidates=60, refined=15, confidence=0.9, assembly_trigger=0.85,
+        het_depth=8, minor_share=0.15, min_sites=2, k=31, kmer_covered=0.85, kmer_unexpected=0.35, assembler="megahit", timeout=300, genome=10000,
+        informative=3,
+    ),
+    "targeted_capture": Preset(
+        aligner="sr", coverage=200, min_coverage=20, unmapped=False, exons_only=False, candidates=100, refined=25, confidence=0.95,
+        assembly_trigger=0.9, het_depth=10, minor_share=0.2, min_sites=2, k=31, kmer_covered=0.95, kmer_unexpected=0.2, assembler="megahit",
+        timeout=300, genome=15000, informative=5,
+    ),
+    "pacbio": Preset(
+        aligner="map-pb", coverage=15, min_coverage=3, unmapped=True, exons_only=False, candidates=60, refined=15, confidence=0.85,
+        assembly_trigger=0.75, het_depth=3, minor_share=0.2, min_sites=1, k=21, kmer_covered=0.8, kmer_unexpected=0.4, assembler="flye", timeout=600,
+        genome=15000, informative=3,
+    ),
+    "hifi": Preset(
+        aligner="map-hifi", coverage=20, min_coverage=5, unmapped=True, exons_only=False, candidates=60, refined=15, confidence=0.95,
+        assembly_trigger=0.85, het_depth=3, minor_share=0.2, min_sites=1, k=31, kmer_covered=0.92, kmer_unexpected=0.25, assembler="hifiasm",
+        timeout=600, genome=15000, informative=3,
+    ),
+    "ont": Preset(
+        aligner="map-ont", coverage=20, min_coverage=5, unmapped=True, exons_only=False, candidates=60, refined=15, confidence=0.85,
+        assembly_trigger=0.75, het_depth=3, minor_share=0.2, min_sites=1, k=21, kmer_covered=0.8, kmer_unexpected=0.4, assembler="flye", timeout=600,
+        genome=15000, informative=3,
+    ),
+    "rna": Preset(
+        aligner="splice", coverage=50, min_coverage=10, unmapped=True, exons_only=True, candidates=60, refined=15, confidence=0.9,
+        assembly_trigger=0.85, het_depth=8, minor_share=0.15, min_sites=2, k=31, kmer_covered=0.85, kmer_unexpected=0.35, assembler="megahit",
+        timeout=300, genome=10000, informative=3,
+    ),
 }
 
 
@@ -57,17 +85,30 @@ class Profile:
     strict: bool
 
 
-# Use cases, in the order of Profile's fields.
+# Use cases.
 PROFILES = {
-    "transplant": Profile(("A", "B", "C", "DRB1", "DQB1", "DPB1"), "HIGH", True, 2, True, True, True),
-    "research": Profile(DEFAULT_LOCI + EXTENDED, "LOW", False, "max", True, False, False),
-    "immuno_onc": Profile(("A", "B", "C"), "MEDIUM", False, 2, False, False, False),
+    "transplant": Profile(
+        loci=("A", "B", "C", "DRB1", "DQB1", "DPB1"), least="HIGH", phasing=True, resolution=2, novel=True, clinical=True, strict=True,
+    ),
+    "research": Profile(
+        loci=DEFAULT_LOCI + EXTENDED, least="LOW", phasing=False,
+        resolution="max", novel=True, clinical=False, strict=False,
+    ),
+    "immuno_onc": Profile(
+        loci=("A", "B", "C"), least="MEDIUM", phasing=False, resolution=2, novel=False, clinical=False, strict=False,
+    ),
 }
 
 
 @dataclass(frozen=True)
 class Config:
-    """Configuration of a typing run; a profile's loci and resolution come before those given, its flags are added."""
+    """Configuration of a typing run; a profile's loci and resolution come before those given, its flags are added.
+
+    least: the lowest tier that a clinical report shows; phasing: loci whose
+    heterozygous sites are not phased are flagged; strict: outputs include a
+    manifest and a lock; pairs: how many pairs of the largest variational
+    weights enter the posteriors (None: all, the exact way; 60 is the usual cut).
+    """
 
     assay: str = "short"
     loci: tuple[str, ...] = DEFAULT_LOCI
@@ -77,6 +118,7 @@ class Config:
     strict: bool = False
     least: str = "MEDIUM"
     phasing: bool = False
+    pairs: int | None = None
     preset: Preset = field(default=PRESETS["short"])
 
     @classmethod

@@ -35,13 +35,14 @@ def best_groups(scores: DataFrame, digits: int, k: int) -> DataFrame:
 
 
 def refine(alignments: DataFrame, two: int = 6, four: int = 20) -> DataFrame:
-    """Alleles left after keeping the best two-digit and then the best four-digit groups."""
-    s = allele_scores(alignments)
+    """Alleles left after keeping the best two-digit and then the best four-digit groups; alignments are summed up once."""
     p = names.parse(F.col("allele"))
-    rows = s.withColumn("g2", names.two_digit(p)).withColumn("g4", names.four_digit(p))
-    kept = rows.join(best_groups(s, 2, two).select(*LOCUS, F.col("grp").alias("g2")), [*LOCUS, "g2"], "left_semi")
-    groups = best_groups(kept.select(*LOCUS, "allele", "score"), 4, four).select(*LOCUS, F.col("grp").alias("g4"))
-    return kept.join(groups, [*LOCUS, "g4"], "left_semi").select(*LOCUS, "allele", "score", "g2", "g4")
+    rows = allele_scores(alignments).withColumn("_p", p).withColumn("g2", names.two_digit(F.col("_p"))).withColumn("g4", names.four_digit(F.col("_p"))).drop("_p")
+    locus = Window.partitionBy(*LOCUS)
+    for group, k in (("g2", two), ("g4", four)):
+        rows = rows.withColumn("_s", F.sum("score").over(Window.partitionBy(*LOCUS, group)))
+        rows = rows.withColumn("_r", F.dense_rank().over(locus.orderBy(F.col("_s").desc(), group))).where(F.col("_r") <= k).drop("_s", "_r")
+    return rows.select(*LOCUS, "allele", "score", "g2", "g4")
 
 
 def add_phased(candidates: DataFrame, phased: DataFrame) -> DataFrame:

@@ -63,17 +63,21 @@ def consensus(callers: DataFrame, fields: int = 2, least: int = 2, share: float
     return out.where("_k = 1").withColumn("ok", (F.col("n") >= least) & (F.col("rate") >= share)).drop("_first", "_k")
 
 
+def _draw(key: str, seed: int) -> Column:
+    """A number from 0 to 99 by the MD5 of seed and key: the same on any layout."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(100))
+
+
 def downsample(reads: DataFrame, fraction: float, key: str = "read_id", seed: int = 42) -> DataFrame:
-    """The reads whose hash falls below the fraction, in whole hundredths: all rows of a read stay or go together, on any layout."""
-    return reads.where(F.pmod(F.crc32(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")), F.lit(100)) < int(fraction * 100))
+    """The reads whose hash falls below the fraction, in whole hundredths: all rows of a read stay or go together."""
+    return reads.where(_draw(key, seed) < int(fraction * 100))
 
 
 def depth_curve(reads: DataFrame, depth: float, targets=(5, 10, 20, 30, 50, 100), key: str = "read_id", seed: int = 42) -> DataFrame:
     """reads once for each target depth below the present one, at that depth's fraction (column target)."""
-    h = F.pmod(F.crc32(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")), F.lit(100))
     steps = [(t, int(100 * t / depth)) for t in targets if t < depth]
-    kept = F.filter(F.array(*[F.when(h < share, F.lit(t)) for t, share in steps]).cast("array<int>"), lambda x: x.isNotNull())
-    return reads.select("*", F.explode(kept).alias("target"))
+    kept = F.filter(F.array(*[F.when(F.col("_h") < share, F.lit(t)) for t, share in steps]).cast("array<int>"), lambda x: x.isNotNull())
+    return reads.withColumn("_h", _draw(key, seed)).select(*reads.columns, F.explode(kept).alias("target"))
 
 
 def estimate_depth(contigs: DataFrame, read_length: int = 150, default: float = 30.0) -> DataFrame:

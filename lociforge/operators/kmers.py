@@ -15,9 +15,15 @@ from ..functions import sequences as S
 CHUNK = 256
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys if its scan has fewer partitions than the cluster has cores; a large scan stays as it is."""
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(*keys) if few else df
+
+
 def explode_kmers(df: DataFrame, key: list[str], seq: str, k: int, distinct: bool = True) -> DataFrame:
-    """(key, km), canonical; sequences are dealt evenly and cut into overlapping chunks first."""
-    rows = df.select(*key, F.col(seq).alias("_s")).where(F.length("_s") >= k).repartition(*key)
+    """(key, km), canonical; sequences are cut into overlapping chunks first."""
+    rows = spread(df.select(*key, F.col(seq).alias("_s")).where(F.length("_s") >= k), *key)
     chunks = rows.select(*key, "_s", F.explode(F.sequence(F.lit(0), F.length("_s") - k, F.lit(CHUNK))).alias("_i")).select(*key, F.substring("_s", F.col("_i") + 1, F.lit(CHUNK + k - 1)).alias("_c"))
     windows = chunks.select(*key, "_c", F.explode(F.sequence(F.lit(1), F.length("_c") - (k - 1))).alias("_i")).select(*key, F.substring("_c", F.col("_i"), F.lit(k)).alias("_w"))
     out = windows.where(~F.col("_w").contains("N") & ~F.col("_w").contains("n")).select(*key, S.canonical(F.col("_w")).alias("km"))
@@ -214,24 +220,90 @@ def validate(depths: DataFrame, min_covered: float = 0.90, max_unexpected: float
 BROADCAST_KMERS = 500_000
 
 
+def kmer_lists(df: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, n, codes): the distinct canonical k-mers of each sequence df(key, seq) as numbers, two bits a base; k up to 31.
+
+    Windows with N have none; other letters are an error.  Null sequences
+    count as empty.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [np.unique(kmer_codes((s or "").encode(), k)[1]).view(np.int64) for s in part.column(1).to_pylist()]
+                n = np.array([len(c) for c in found], dtype=np.int64)
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[key, "n", "codes"])
+
+    if k > 31:
+        raise ValueError("k is 31 at most")
+    return df.select(key, "seq").mapInArrow(run, f"`{key}` {kind}, n long, codes array<long>")
+
+
 def jaccard(left: DataFrame, right: DataFrame, k: int = 21) -> DataFrame:
-    """(id, other, common, jaccard) of sequences left(id, seq) and right(other, seq) with common k-mers.
+    """(id, other, common, jaccard) of sequences left(id, seq) and right(other, seq) of A, C, G, T and N with common k-mers.
 
-    A right side of bounded size meets the windows of the left before they are
-    made distinct, so that only matches are shuffled; a larger one meets the
-    distinct k-mers.  The left's sizes are counted for ids with a match alone.
+    K-mers are numbers that are made, with their count, in one pass over each
+    side.  A right side of bounded size is broadcast, so that only matches are
+    shuffled; a larger one meets the left's k-mers in a join.
     """
-    b = explode_kmers(right, ["other"], "seq", k)
+    a = kmer_lists(spread(left, "id"), "id", k).select("id", F.col("n").alias("n1"), F.explode("codes").alias("km"))
+    b = kmer_lists(right, "other", k).select("other", F.col("n").alias("n2"), F.explode("codes").alias("km"))
     small = b.count() <= BROADCAST_KMERS
-    met = explode_kmers(left, ["id"], "seq", k, distinct=not small).join(F.broadcast(b) if small else b, "km")
-    c = (met.distinct() if small else met).groupBy("id", "other").agg(F.count("*").alias("common")).persist()  # matches only, read twice
-    some = left.join(c.select("id").distinct(), "id", "left_semi")
-    na = explode_kmers(some, ["id"], "seq", k).groupBy("id").agg(F.count("*").alias("n1"))
-    nb = b.groupBy("other").agg(F.count("*").alias("n2"))
-    c = c.join(na, "id").join(nb, "other")
+    c = a.join(F.broadcast(b) if small else b, "km").groupBy("id", "other", "n1", "n2").agg(F.count("*").alias("common"))
     return c.select("id", "other", "common", (F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))).alias("jaccard"))
 
 
+def seed_hits(reads: DataFrame, alleles: DataFrame, k: int = 15, least: int = 2) -> DataFrame:
+    """Alignments without an aligner: reads(sample_id, read_id, seq) against alleles(locus, allele, seq) by common k-mers.
+
+    (sample_id, read_id, locus, allele, as_score, mapq, is_secondary): score is
+    the number of common distinct k-mers, `least` at least.  A read's best hit
+    (ties by name) is primary; quality is 60 where it stands alone, 1 for hits
+    that share the best score, 0 for all others.
+    """
+    r = reads.select(F.struct("sample_id", "read_id").alias("id"), "seq")
+    hits = jaccard(r.withColumn("id", F.to_json("id")), alleles.select(F.to_json(F.struct("locus", "allele")).alias("other"), "seq"), k).where(F.col("common") >= least)
+    keys, targets = reads.select("sample_id", "read_id").schema, alleles.select("locus", "allele").schema
+    rows = hits.select(F.from_json("id", keys).alias("r"), F.from_json("other", targets).alias("t"), F.col("common").cast("int").alias("as_score")).select("r.*", "t.*", "as_score")
+    read = Window.partitionBy("sample_id", "read_id")
+    rows = rows.withColumn("_best", F.max("as_score").over(read)).withColumn("_k", F.row_number().over(read.orderBy(F.col("as_score").desc(), "allele")))
+    rows = rows.withColumn("_top", F.count_if(F.col("as_score") == F.col("_best")).over(read))
+    mapq = F.when(F.col("as_score") < F.col("_best"), 0).when(F.col("_top") > 1, 1).otherwise(60)
+    return rows.select("sample_id", "read_id", "locus", "allele", "as_score", mapq.alias("mapq"), (F.col("_k") > 1).alias("is_secondary"))
+
+
+def closest_alleles(needed: DataFrame, contigs: DataFrame, alleles: DataFrame, hits: DataFrame | None = None, k: int = 21, top: int = 5, novel: float = 0.995) -> DataFrame:
+    """needed(sample_id, locus) with closest, identity, n_contigs and is_novel.
+
+    A locus's contigs(sample_id, locus, seq) are compared as one set of k-mers
+    with alleles(locus, allele, seq).  Where hits(sample_id, locus, allele,
+    cigar, nm), their alignments, hold one of the `top` most similar alleles, the
+    one of highest identity is the closest; else the most similar by k-mers.
+    Less than `novel` identity is novel, and so is a locus without contigs.
+    """
+    key = ["sample_id", "locus"]
+    joined = contigs.join(needed.select(*key), key, "left_semi").groupBy(*key).agg(F.concat_ws("N", F.array_sort(F.collect_list("seq"))).alias("seq"), F.count("*").alias("n_contigs"))
+    ids = joined.withColumn("id", F.to_json(F.struct(*key)))
+    targets = alleles.select(F.to_json(F.struct("locus", "allele")).alias("other"), "seq")
+    similar = jaccard(ids.select("id", "seq"), targets, k).withColumn("t", F.from_json("other", alleles.select("locus", "allele").schema))
+    similar = similar.join(ids.select("id", *key), "id").where(F.col("t.locus") == F.col("locus")).select(*key, F.col("t.allele").alias("allele"), "jaccard")
+    order = Window.partitionBy(*key).orderBy(F.round("jaccard", 9).desc(), "allele")
+    best = similar.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
+    if hits is not None:
+        own = hits.select(*key, "allele", S.identity(F.col("cigar"), F.coalesce("nm", F.lit(0))).alias("_i")).groupBy(*key, "allele").agg(F.max("_i").alias("_i"))
+        best = best.join(own, [*key, "allele"], "left")
+    else:
+        best = best.withColumn("_i", F.lit(None).cast("double"))
+    pick = Window.partitionBy(*key).orderBy(F.when(F.col("_i") > 0, F.col("_i")).desc_nulls_last(), "_r")
+    one = best.withColumn("_p", F.row_number().over(pick)).where("_p = 1").select(*key, F.col("allele").alias("closest"), F.when(F.col("_i") > 0, F.col("_i")).otherwise(F.col("jaccard")).alias("identity"))
+    out = needed.join(joined.select(*key, "n_contigs"), key, "left").join(one, key, "left").na.fill(0, ["n_contigs"]).na.fill(0.0, ["identity"]).na.fill("", ["closest"])
+    return out.withColumn("is_novel", F.col("identity") < novel)
+
+
 def best_matches(similar: DataFrame, k: int = 5) -> DataFrame:
     order = Window.partitionBy("id").orderBy(F.round("jaccard", 9).desc(), "other")
     return similar.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CLASS_I_CUTS, CLASS_II_CUTS, GENE_MODEL_A, TWO_EXON_LOCI
+from ..functions import names
 from ..functions import sequences as S
 
 
@@ -135,3 +136,36 @@ def summary(report: DataFrame, variants: DataFrame, shown: int = 5) -> DataFrame
     first = first.select(F.col("id").alias("_id"), F.array_join(F.slice(F.col("_v.v"), 1, shown), ", ").alias("_t"))
     text = F.concat(F.format_string("%.2f%% identity: %d SNPs, %d insertions, %d deletions", F.bround(F.col("identity") * 100, 2), "n_snps", "n_ins", "n_del"), F.coalesce(F.concat(F.lit(". "), F.col("_t")), F.lit("")))
     return report.join(first, F.col("id") == F.col("_id"), "left").select("id", text.alias("text"))
+
+
+def annotate_alignments(alignments: DataFrame) -> DataFrame:
+    """Annotated differences of alignments(sample_id, locus, allele, pos0, cigar, query, ref), a row an alignment with any.
+
+    (sample_id, locus, closest, temporary_name, identity, n_coding, n_nonsyn,
+    n_syn, n_noncoding, any_typing, variants): locus A has its measured model,
+    all others that of their class by the length of the reference.
+    """
+    key = ["sample_id", "locus", "allele"]
+    a = alignments.withColumn("id", F.to_json(F.struct(*key)))
+    v = cigar_variants(a)
+    lengths = a.select("id", "locus", F.length("ref").alias("length"))
+    share = proportional_model(lengths.select("locus", "length").where("locus <> 'A'").distinct()).select("locus", "length", "region", "start", "end")
+    fixed = F.broadcast(gene_model(alignments.sparkSession))
+    model = lengths.join(share, ["locus", "length"]).select("id", "region", "start", "end").unionByName(lengths.where("locus = 'A'").select("id").crossJoin(fixed))
+    m = model.select(F.col("id").alias("_m"), "region", "start", "end")
+    placed = v.join(m, (F.col("id") == F.col("_m")) & (F.col("position") >= F.col("start")) & (F.col("position") < F.col("end")), "left").drop("_m")
+    placed = placed.join(a.select("id", "ref", "allele"), "id").withColumn("region", F.coalesce("region", F.lit("unknown")))
+    at = ((F.col("position") - F.col("start")) % 3).cast("int")
+    placed = placed.withColumn("codon_pos", at).withColumn("ref_codon", F.substring("ref", F.col("position") - F.coalesce("codon_pos", F.lit(0)) + 1, F.lit(3)))
+    taken = F.when(F.col("kind") == "INS", F.length("alt_base")).when(F.col("kind") == "DEL", F.length("ref_base")).otherwise(1)
+    said = annotate(placed.withColumn("alt", F.col("alt_base")).withColumn("len", taken))
+    said = said.withColumn("hgvs", S.hgvs(F.col("allele"), F.col("kind"), F.col("position"), F.col("ref_base"), F.col("alt_base")))
+    listed = said.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", "kind", "ref_base", "alt_base", "region", "effect", "codon_change", "aa_change", "hgvs"))).alias("variants"))
+    counts = variant_counts(said, "id")
+    length = F.aggregate(F.filter(S.cigar(F.col("cigar")), lambda t: t.op.isin("M", "I", "D")), F.lit(0), lambda acc, t: acc + t.len)
+    report = novel_report(v, a.select("id", length.alias("length"))).select("id", "identity")
+    p = names.parse(F.col("allele"))
+    return (
+        a.select("id", *key, S.temporary_name(p.locus, p.field1).alias("temporary_name")).join(counts, "id").join(report, "id").join(listed, "id")
+        .select("sample_id", "locus", F.col("allele").alias("closest"), "temporary_name", "identity", "n_coding", "n_nonsyn", "n_syn", "n_noncoding", "any_typing", "variants")
+    )

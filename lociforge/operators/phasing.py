@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 LOCUS = ["sample_id", "locus"]
 
 
-def het_sites(bases: DataFrame, min_depth: int = 5, low: float = 0.15, high: float = 0.85) -> DataFrame:
-    """Positions of enough depth whose second base is neither too rare nor too frequent."""
-    n = bases.where(F.col("base").isin("A", "C", "G", "T")).groupBy(*LOCUS, "pos", "base").agg(F.count("*").alias("n"))
+def het_sites(bases: DataFrame, min_depth: int = 5, low: float = 0.15, high: float = 0.85, min_quality: int = 20) -> DataFrame:
+    """Positions of enough depth whose second base is neither too rare nor too frequent.
+
+    Deletions and skips have no base and do not count; where bases have a
+    quality, those below min_quality do not count either.
+    """
+    good = F.col("base").isin("A", "C", "G", "T")
+    if "quality" in bases.columns:
+        good = good & (F.coalesce("quality", F.lit(min_quality)) >= min_quality)
+    n = bases.where(good).groupBy(*LOCUS, "pos", "base").agg(F.count("*").alias("n"))
     at = Window.partitionBy(*LOCUS, "pos")
     r = n.withColumn("depth", F.sum("n").over(at)).withColumn("_r", F.row_number().over(at.orderBy(F.col("n").desc(), "base")))
     pick = lambda k, c: F.max(F.when(F.col("_r") == k, F.col(c)))
@@ -32,9 +39,9 @@ def bin_consensus(matrix: DataFrame, bins: DataFrame, sites: DataFrame) -> DataF
     return c.join(sites.select(*LOCUS, "pos", "major", "minor"), [*LOCUS, "pos"]).select(*LOCUS, "bin", "pos", F.when(F.col("v") == 0, F.col("major")).otherwise(F.col("minor")).alias("base"), "n")
 
 
-def match_bins(consensus: DataFrame, sequences: DataFrame) -> DataFrame:
-    """The allele of each bin whose sequence agrees with most of its bases; sequences(locus, allele, seq)."""
-    j = consensus.join(sequences, "locus")
+def match_bins(consensus: DataFrame, sequences: DataFrame, by: str | list[str] = "locus") -> DataFrame:
+    """The allele of each bin whose sequence agrees with most of its bases; sequences(by, allele, seq): those of the locus, or of the sample's locus."""
+    j = consensus.join(sequences, by)
     inside = F.col("pos") < F.length("seq")
     s = j.groupBy(*LOCUS, "bin", "allele").agg(
         F.count_if(inside & (F.substring("seq", F.col("pos") + 1, F.lit(1)) == F.col("base"))).alias("matches"), F.count_if(inside).alias("compared")

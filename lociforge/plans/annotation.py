@@ -8,6 +8,7 @@ from ..constants import CODONS, FREQUENCIES, GENE_MODEL_A
 from ..functions import names
 from ..functions import sequences as S
 from ..operators import kmers, novel
+from ..sources import sequences
 from . import adapter
 
 QUERIES, SQL = {}, {}
@@ -83,8 +84,8 @@ def gl_string(spark, d):
 @query("with s as (select doc_id,lang," + _DNA + " seq from documents) select lang,seq,min(doc_id) first_id,count(*) n from s group by 1,2")
 def reduced_panel(spark, d):
     """One sequence of each set of equal ones: the first."""
-    x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", adapter.bases(F.col("text")).alias("seq"))
-    return x.groupBy("lang", "seq").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    x = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("allele"), F.col("lang").alias("locus"), adapter.bases(F.col("text")).alias("seq"))
+    return sequences.non_redundant(x).select(F.col("locus").alias("lang"), "seq", F.col("allele").alias("first_id"), "n")
 
 
 @query(_P + " select locus,count(*) n,count(distinct concat(f1,':',f2)) n_proteins from parsed group by 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import evaluate, genotype, kernels, matrix, novel, phasing, posterior, reports, samples
 from ..sources import callers
 from . import adapter, annotation
@@ -17,6 +18,19 @@ _CMP = _E + ", z as (select *," + ",".join(_CUT.format(a=c) + f" x{i}" for i, c
 _COUNT = "count(*) n_samples,count(*) filter (where matches=2) n_correct_both,count(*) filter (where matches=1) n_correct_one,count(*) filter (where matches=0) n_incorrect,count(*) filter (where matches=-1) n_no_call,round((2*count(*) filter (where matches=2)+count(*) filter (where matches=1))/(2.0::double*count(*)),6) accuracy,round(1-count(*) filter (where matches=-1)/(1.0::double*count(*)),6) call_rate"
 
 
+def _suggestions() -> str:
+    """The suggestions as a SQL expression."""
+    values = {"{kmer_coverage}": "round(covered*100)::int||'%'", "{snp_diff_to_alternative}": "snp_diff", "{total_reads}": "total_reads", "{low_depth_threshold}": str(reports.LOW_DEPTH)}
+
+    def filled(text: str) -> str:
+        sql = "'" + text.replace("'", "''") + "'"
+        for k, v in values.items():
+            sql = sql.replace(k, f"'||{v}||'")
+        return sql
+
+    return "case h[1] " + " ".join(f"when '{r}' then {filled(t)}" for r, t in reports.SUGGESTIONS.items()) + f" else '{reports.NO_SUGGESTION}' end"
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -67,7 +81,7 @@ def novel_screen(spark, d):
     return novel.screen(e).select("sample_id", "locus", F.array_join("signals", ",").alias("signals"), "n_signals", "confidence")
 
 
-@query(_E + ", r as (select sample_id,locus,total_reads,snp_diff,covered,case when posterior>=0.99 and gap>=0.10 then ['unambiguous'] else list_filter([case when total_reads<10 then 'low_depth' end,case when snp_diff<=3 then 'close_alleles' end,case when n_het_sites>0 and not phased then 'phase_break' end,case when covered<0.70 then 'coverage_gap' end,case when data_type in ('exome','rna') and same_protein then 'exon_only' end,case when is_homozygous and gap<0.10 then 'homo_ambig' end], lambda x: x is not null) end f from ev), g as (select *,case when len(f)=0 then ['close_alleles'] else f end h from r) select sample_id,locus,h[1] reason,array_to_string(h[2:],',') secondary,case h[1] when 'low_depth' then 'Only '||total_reads||' reads at this locus (minimum 10). Increase sequencing depth.' when 'close_alleles' then 'Top pairs differ by only '||snp_diff||' SNPs. Higher coverage or full-gene sequencing may discriminate.' when 'phase_break' then 'Use long-read sequencing to span heterozygous sites across the full gene.' when 'coverage_gap' then 'Increase sequencing depth or use targeted capture. Current k-mer coverage is '||round(covered*100)::int||'%.' when 'exon_only' then 'Alleles differ only in intronic/non-coding regions. Full-gene sequencing (WGS or targeted capture) is needed.' when 'homo_ambig' then 'Cannot distinguish true homozygosity from close heterozygosity. Higher depth or family/population priors may help.' else 'No specific suggestion available.' end suggestion from g")
+@query(_E + ", r as (select sample_id,locus,total_reads,snp_diff,covered,case when posterior>=0.99 and gap>=0.10 then ['unambiguous'] else list_filter([case when total_reads<10 then 'low_depth' end,case when snp_diff<=3 then 'close_alleles' end,case when n_het_sites>0 and not phased then 'phase_break' end,case when covered<0.70 then 'coverage_gap' end,case when data_type in ('exome','rna') and same_protein then 'exon_only' end,case when is_homozygous and gap<0.10 then 'homo_ambig' end], lambda x: x is not null) end f from ev), g as (select *,case when len(f)=0 then ['close_alleles'] else f end h from r) select sample_id,locus,h[1] reason,array_to_string(h[2:],',') secondary," + _suggestions() + " suggestion from g")
 def ambiguity_reason(spark, d):
     e = adapter.evidence(spark, d).withColumnRenamed("covered", "kmer_coverage")
     return reports.ambiguity(e).select("sample_id", "locus", "reason", "secondary", "suggestion")
@@ -228,12 +242,15 @@ def mhc_reads(spark, d):
     return evaluate.region_reads(r.withColumn("end", F.col("pos") + 150), "chr6", 28510120, 33480577).drop("end")
 
 
-@query()
+_H = ", h as (select *, ('0x'||substr(md5('42|'||read_id::varchar),1,8))::bigint % 100 h from aln)"
+
+
+@query(_ALNS + _H + " select sample_id,locus,count(distinct read_id) reads from h where h<25 group by 1,2")
 def downsample(spark, d):
     return evaluate.downsample(adapter.alignments(spark, d), 0.25).groupBy("sample_id", "locus").agg(F.countDistinct("read_id").alias("reads"))
 
 
-@query()
+@query(_ALNS + _H + ", t as (select * from (values (5,8),(10,16),(20,33),(30,50),(50,83)) v(target,share)) select target::int target,sample_id,locus,count(distinct read_id) reads from h join t on h.h<share group by 1,2,3")
 def depth_curve(spark, d):
     kept = evaluate.depth_curve(adapter.alignments(spark, d), 60.0)
     return kept.groupBy("target", "sample_id", "locus").agg(F.countDistinct("read_id").alias("reads"))
@@ -247,6 +264,18 @@ def typing_run_calls(spark, d):
     return c.select("sample_id", "locus", "allele1", "allele2", "confidence", "status", "reads_explained", "total_reads")
 
 
+_ONE = _ALNS + ", o as (select sample_id*1000+read_id%997 as s, read_id, as_score, mapq, is_secondary from aln where locus='A' and allele='A*01:01'), n as (select s,count(*) filter (where mapq>=1) n from o group by 1), pm as (select distinct o.s,read_id from o join n on n.s=o.s where n>=2 and not is_secondary and mapq>=0), t as (select s,count(*) reads from pm group by 1)"
+
+
+@query(_ONE + " select s sample_id,'A' locus,least(1.0,reads/20.0)::double posterior,1.0::double gap,case when reads>=20 then 'HIGH' when reads>=18 then 'MEDIUM' when reads>=10 then 'LOW' else 'VERY_LOW' end confidence,reads total_reads,'trivial' status from t")
+def typing_run_single(spark, d):
+    """Loci with one candidate allele and few reads: the posterior is a twentieth a read."""
+    from . import typing_run
+
+    a = adapter.alignments(spark, d).where("locus = 'A' and allele = 'A*01:01'").withColumn("sample_id", F.col("sample_id") * 1000 + F.col("read_id") % 997)
+    return typing_run.run(a).calls.select("sample_id", "locus", "posterior", "gap", "confidence", "total_reads", "status")
+
+
 @query("select time_bucket(interval '1 hour', ts) as start,event_type,count(*) n,round(sum(value),4) total from events group by 1,2")
 def stream_windows(spark, d):
     from ..streaming import depth
@@ -254,9 +283,17 @@ def stream_windows(spark, d):
     return depth.windowed(spark.read.parquet(f"{d}/events.parquet")).withColumn("total", F.round("total", 4))
 
 
-@query(_ALNS + ", c as (select distinct sample_id,locus from aln) select count(*) n_loci,sum(case when locus in ('A','B','C') then 3 else 2 end)::bigint fields from c")
-def resolution_control(spark, d):
-    from ..functions import names
+_RES = annotation._G + ", c as (select *,case when locus in ('A','B','C') then 3 else 2 end mx from parsed), gg as (select al,gg from g), q as (select c.*,coalesce(gg.gg,c.name) g1 from c left join gg on gg.al=concat(c.locus,'*',c.f1,':',c.f2))"
 
-    c = adapter.alignments(spark, d).select("sample_id", "locus").distinct()
-    return c.agg(F.count("*").alias("n_loci"), F.sum(names.max_fields(F.col("locus"), "short")).alias("fields"))
+
+@query(_RES + " select pk,concat(locus,'*',f1,suffix) one,concat(locus,'*',f1,':',f2,case when mx=3 and f3<>'' then ':'||f3 else '' end,suffix) most,g1 grp,case when pk%7=0 then '' else concat(locus,'*',f1,suffix) end other from q")
+def resolution_control(spark, d):
+    """Both alleles shown by number of fields, at the assay's most, and as G groups."""
+    n = adapter.allele_names(spark, d)
+    p = n.select(names.parse(F.col("name")).alias("p"))
+    groups = p.where(F.col("p.field2").isin("01", "02")).select(names.four_digit(F.col("p")).alias("allele"), F.concat(F.col("p.locus"), F.lit("*"), F.col("p.field1"), F.lit(":01:01G")).alias("g_group")).distinct()
+    calls = n.select("pk", names.parse(F.col("name")).locus.alias("locus"), F.col("name").alias("allele1"), F.when(F.col("pk") % 7 == 0, "").otherwise(F.col("name")).alias("allele2"))
+    one = reports.at_resolution(calls, 1).select("pk", F.col("allele1").alias("one"), F.col("allele2").alias("other"))
+    most = reports.at_resolution(calls, "max", "short").select("pk", F.col("allele1").alias("most"))
+    grp = reports.at_resolution(calls, "G", groups=groups).select("pk", F.col("allele1").alias("grp"))
+    return one.join(most, "pk").join(grp, "pk").select("pk", "one", "most", "grp", "other")

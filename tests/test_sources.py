@@ -45,4 +45,5 @@ def test_documents_of_a_run(spark):
     counts = spark.createDataFrame([("A", 100), ("B", 200)], "locus string, n long")
     lock = sinks.lockfile(counts, "3.50", "abc", b"x")
     assert json.loads(lock)["total"] == 300 and sinks.verify_lock(lock, "3.50") and not sinks.verify_lock(lock, "3.49") and not sinks.verify_lock(lock, "3.50", "def")
-    assert "<th>locus</th>" in sinks.dashboard([{"locus": "A", "x": "<"}]) and "&lt;" in sinks.dashboard([{"locus": "A", "x": "<"}])
+    page = sinks.dashboard(spark.createDataFrame([("s", "A", "<")], "sample_id string, locus string, x string")).first()["value"]
+    assert "<th>locus</th>" in page and "&lt;" in page and "<td>A</td>" in page
