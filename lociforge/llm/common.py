@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import kept, shared_dir
+
 try:
     _TRIM = ctypes.CDLL(None).malloc_trim
 except (AttributeError, OSError, TypeError):  # another C library
@@ -26,18 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lociforge-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -61,10 +50,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+cut = kept
+
+
+class Fresh:
+    """Names of internal columns that no column of a table has, by attribute: fresh.rank is '_rank', or '__rank' where that is taken, and so on."""
+
+    def __init__(self, *tables: DataFrame):
+        self._taken = {c.lower() for t in tables for c in t.columns}
+
+    def __getattr__(self, name: str) -> str:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        out = "_" + name
+        while out.lower() in self._taken:
+            out = "_" + out
+        return out
+
+
+def own(columns) -> list:
+    """The columns by name, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
 def give_back() -> None:

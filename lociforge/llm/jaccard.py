@@ -25,8 +25,9 @@ import pyarrow as pa
 import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import connected_components, small_side, text_slices, written
+from .common import Fresh, connected_components, own, small_side, text_slices, written
 from .wordscan import mix, scan, shingle_sets
 
 #: Shingles of a block; a task holds two blocks.
@@ -336,7 +337,7 @@ def _placed(members: DataFrame, percent: int, block: int) -> DataFrame:
 
 
 def _verify(docs: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) between documents, found by the signature trees of each task."""
+    """Links (a, b) between sets, by their fingerprints, found by the signature trees of each task."""
 
     def sets(batches):
         for part in text_slices(batches, "text"):
@@ -344,32 +345,21 @@ def _verify(docs: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFra
             f1 = fingerprints(found)[0]
             same = _signed(f1) == np.asarray(part.column(2))  # else another row of the same id
             out = part.append_column("set", pa.array([s.tobytes() for s in found], pa.binary())).filter(pa.array(same))
-            yield out.select(["id", "task", "side", "set"])
+            yield out.select(["f1", "task", "side", "set"])
 
     def search(t: pa.Table) -> pa.Table:
         held = [np.frombuffer(b, dtype=np.uint64) for b in t.column("set").to_pylist()]
-        ids = t.column("id").to_numpy()
+        ids = t.column("f1").to_numpy()
         side = None if t.column("side").null_count else t.column("side").to_numpy()
         found = tree_links(held, percent, side)
         return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
     texts = docs.join(small_side(written(placed, "placed")), "id").select("id", "text", "f1", "task", "side")
-    return texts.mapInArrow(sets, "id long, task string, side int, set binary").groupBy("task").applyInArrow(search, "a long, b long")
+    return texts.mapInArrow(sets, "f1 long, task string, side int, set binary").groupBy("task").applyInArrow(search, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id) for every row of docs: classes of texts linked by shingle similarity.
-
-    A text's words are lower-cased (A-Z) and its set is that of its windows of
-    n words; with fewer words the whole sequence is the one shingle; without
-    words, or null, the set is empty and linked with nothing.  Two texts link
-    when 100 * |intersection| >= percent * |union|; equal sets do.  The
-    component is the smallest id reachable by links, the row's own included.
-    Repeated rows are rows of their own; rows that share an id are one node of
-    the graph; a row with a null id is linked with nothing and has a null
-    component.  An empty table gives no rows; other columns are left out.
-    """
-    d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+def _classes(d: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """(id, n, f1, first) for every row of d(id, text): its set's size and fingerprint, and the least (id, f1) of its class; first is null without words or id."""
     size = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(8, size // BUCKET)
     counted = written(_counted(d, n, buckets), "counted")
@@ -380,25 +370,61 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc
     node = F.shiftrightunsigned("f1", 24)
     members = written(equal.join(classes, node == classes.node).select("id", "n", "f1", "component"), "members")
     links = _verify(d, _placed(members, percent, block), n, percent)
-    copies = known.join(equal.withColumnRenamed("id", "first"), ["f1", "f2", "n"]).where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    found = connected_components(links.unionByName(copies))
-    return base.join(found, base.id == found.node, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    # The graph's nodes are sets, so equal sets are one node and rows that share an id are not.
+    found = connected_components(links)
+    labelled = known.join(found, known.f1 == found.node, "left").select("id", "f1", F.coalesce("component", "f1").alias("label"))
+    first = labelled.groupBy("label").agg(F.min(F.struct("id", "f1")).alias("first"))
+    sets = labelled.select("f1", "label").distinct().join(first, "label").select(F.col("f1").alias("_f"), "first")
+    held = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("f1"))
+    return base.join(sets, held == F.col("_f"), "left").select("id", "n", "f1", "first")
 
 
-def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(id, n_shingles, component_id) for every row of docs: classes of texts linked by shingle similarity.
+
+    A text's words are lower-cased (A-Z) and its set is that of its windows of
+    n words; with fewer words the whole sequence is the one shingle; without
+    words, or null, the set is empty and linked with nothing.  Two texts link
+    when 100 * |intersection| >= percent * |union|; equal sets do.  The
+    component is the smallest id reachable by links, the row's own included.
+    Repeated rows are rows of their own, whatever ids they share; a row with a
+    null id is linked with nothing and has a null component.  An empty table
+    gives no rows; other columns are left out.
+    """
+    d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    found = _classes(d, n, percent, block)
+    return found.select("id", F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """docs with one document of each class of jaccard_join, that of the smallest id.
 
-    Rows without words or without an id stay.  Of rows with the same id and
-    the same text one stays.
+    Rows without words or without an id stay.  Of rows that repeat an id and a
+    set of shingles one stays; rows of one id with other texts are judged each
+    by its own.  Columns of any name stay as they are; an empty table gives no rows.
     """
-    found = written(jaccard_join(docs, n, percent, key, text, **options).select("id", "component_id"), "found")
-    gone = found.where("id <> component_id").select(F.col("id").alias("_id")).distinct()
-    kept = docs.join(small_side(gone), F.col(key) == F.col("_id"), "left_anti")
-    again = written(found.where("id is not null").groupBy(F.col("id").alias("_id")).count().where("count > 1").select("_id"), "again")
+    f = Fresh(docs)
+    d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    found = written(_classes(d, n, percent, block).where("id is not null"), "found")
+    gone = found.where("first is not null and (id <> first.id or f1 <> first.f1)")
+    again = written(found.groupBy(F.col("id").alias(f.id)).count().where("count > 1").select(f.id), "again")
     n_again = again.count()
+    kept = docs.join(small_side(gone.select(F.col("id").alias(f.id)).distinct()), F.col(key) == F.col(f.id), "left_anti")
     if not n_again:
         return kept
-    again = small_side(again, n_again)
-    nth = F.row_number().over(Window.partitionBy(key, "_text").orderBy("_text"))
-    some = kept.join(again, F.col(key) == F.col("_id"), "left_semi").withColumn("_text", F.xxhash64(text)).withColumn("_nth", nth).where("_nth = 1")
-    return kept.join(again, F.col(key) == F.col("_id"), "left_anti").unionByName(some.select(docs.columns))
+    kept = kept.join(small_side(again, n_again), F.col(key) == F.col(f.id), "left_anti")
+    # Rows of repeated ids, and they alone, are told apart by their sets.
+    rows = docs.join(small_side(again, n_again), F.col(key) == F.col(f.id), "left_semi")
+    at = docs.columns.index(text)
+
+    def marked(batches):
+        for part in text_slices(batches, at):
+            sets = list(shingle_sets(scan(part.column(at)), n))
+            f1 = pa.array(_signed(fingerprints(sets)[0]), mask=np.array([not len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([*part.columns, f1], names=[*part.schema.names, f.f1])
+
+    rows = rows.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField(f.f1, T.LongType())]))
+    copies = gone.select(F.col("id").alias(f.id), F.col("f1").alias(f.gone)).distinct()
+    rows = rows.join(small_side(copies), (F.col(key) == F.col(f.id)) & (F.col(f.f1) == F.col(f.gone)), "left_anti")
+    nth = F.when(F.col(f.f1).isNull(), F.lit(1)).otherwise(F.row_number().over(Window.partitionBy(key, f.f1).orderBy(F.lit(1))))
+    return kept.unionByName(rows.withColumn(f.nth, nth).where(F.col(f.nth) == 1).select(*own(docs.columns)))

@@ -6,7 +6,8 @@ expected copies, shifted by one random offset a source, crosses.  The running
 sum needs only a document's rank, which is counted in two levels: rows are
 numbered within (source, size class, salt), and the cells' counts, of which a
 source has a bounded number, give each cell's start.  No source is ever
-gathered in one task.
+gathered in one task.  Words are counted once: what is ranked are rows of
+(key, source, size, hash of the text), and texts move only to meet their copies.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, Fresh, own, small_side, written
 
 #: Cells of a size class that are numbered independently.
-SALTS = 32
+SALTS = 4096
 #: Size classes in a factor of e.
 FINE = 8
 
@@ -50,44 +51,66 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), most: float = 3.0) -> Da
     return stops.select("source", "source_size", F.when(F.col("_stop"), F.col("_cap")).otherwise(left / rest * F.col("_w")).alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights=(5, 2, 1), most: float = 3.0, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs with size (words), source_size, target and copies.
-
-    Null texts have size 0; a null source is a source of its own; a source
-    without words has target 0 and no copies; repeated rows count as rows of
-    their own, ties in size stand in order of key and text; an empty table
-    gives no rows.  Columns of these names in the input are replaced.
-    """
-    clash = [c for c in docs.columns if c in ("size", "source_size", "target", "copies")]
-    rows = docs.drop(*clash).withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
-    rows = rows.withColumn("_class", F.floor(F.log(F.col("size") + 1.0) * FINE).cast("int")).withColumn(
-        "_salt", F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 9, 6), 16, 10).cast("int"), F.lit(SALTS))
-    )
-    rows = rows.withColumn("_source", F.col(source))
-    cells = rows.groupBy("_source", "_class", "_salt").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
-    sizes = cells.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size"))
-    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "_t")
-    upto = Window.partitionBy("_source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offset = _unit(F.concat(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("null"))))
-    starts = cells.join(targets, F.col("_source").eqNullSafe(F.col("_t"))).select(
-        F.col("_source").alias("_s"),
-        F.col("_class").alias("_c"),
-        F.col("_salt").alias("_a"),
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_start"),
-        "source_size",
-        "target",
-        offset.alias("_u"),
+def _planned(docs: DataFrame, weights, most: float, seed: int, key: str, text: str, source: str) -> DataFrame:
+    """(k, s, h, n, size, source_size, target, u, each, before): the n rows of one key, source and text, and the rank before their first."""
+    words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    one = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), F.xxhash64(text).alias("h"), words.alias("size"))
+    rows = written(one.groupBy("k", "s", "h", "size").agg(F.count("*").alias("n")), "sizes")
+    rows = rows.withColumn("c", F.floor(F.log(F.col("size") + 1.0) * FINE).cast("int")).withColumn(
+        "a", F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("k").cast("string"), F.lit(""))), 9, 6), 16, 10).cast("int"), F.lit(SALTS))
     )
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_source", "_class", "_salt").orderBy("size", key, F.xxhash64(text))))
-    out = rows.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")) & (F.col("_salt") == F.col("_a")))
+    cells = rows.groupBy("s", "c", "a").agg(F.sum("n").alias("cell"), F.sum(F.col("n") * F.col("size")).alias("words"))
+    sizes = cells.groupBy(F.col("s").alias("source")).agg(F.sum("words").alias("source_size"))
+    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "t")
+    upto = Window.partitionBy("s").orderBy("c", "a").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offset = _unit(F.concat(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("s"), F.col("s")), F.lit("null"))))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rank = F.col("_start") + F.col("_rank")
-    copies = F.floor(F.col("_u") + rank * each) - F.floor(F.col("_u") + (rank - 1) * each)
-    out = out.withColumn("copies", F.least(copies, F.ceil(F.lit(most))).cast("long"))
-    return out.drop("_class", "_salt", "_source", "_s", "_c", "_a", "_start", "_u", "_rank")
+    starts = cells.join(targets, F.col("s").eqNullSafe(F.col("t"))).select(
+        F.col("s").alias("s2"), F.col("c").alias("c2"), F.col("a").alias("a2"), (F.sum("cell").over(upto) - F.col("cell")).alias("start"), "source_size", "target", offset.alias("u"), each.alias("each")
+    )
+    cell = Window.partitionBy("s", "c", "a").orderBy("size", "k", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("in_cell", F.sum("n").over(cell) - F.col("n"))
+    out = rows.join(starts, F.col("s").eqNullSafe(F.col("s2")) & (F.col("c") == F.col("c2")) & (F.col("a") == F.col("a2")))
+    return out.select("k", "s", "h", "n", "size", "source_size", "target", "u", "each", (F.col("start") + F.col("in_cell")).alias("before"))
+
+
+def _copies(u, each, rank, most: float):
+    """How many whole numbers the running sum crosses at a rank (from 1)."""
+    crossed = F.floor(u + rank * each) - F.floor(u + (rank - 1) * each)
+    return F.least(crossed, F.ceil(F.lit(most))).cast("long")
+
 
+def plan_rows(docs: DataFrame, weights=(5, 2, 1), most: float = 3.0, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(key, source, size, source_size, target, copies), a row a row of docs, without its texts.
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: each row as often as plan_mix says, with the columns of docs."""
-    planned = plan_mix(docs, **options)
-    return planned.where("copies > 0").select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
+    size counts words.  Null texts have size 0; a null source is a source of its
+    own and a null key a key; a source without words has target 0 and no
+    copies; repeated rows count as rows of their own, ties in size stand in
+    order of key and text; an empty table gives no rows.
+    """
+    p = _planned(docs, weights, most, seed, key, text, source)
+    rows = p.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
+    return rows.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", _copies(F.col("u"), F.col("each"), F.col("before") + F.col("i"), most).alias("copies"))
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), most: float = 3.0, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mixed documents: each row of docs, as it is, as often as plan_rows says.
+
+    Columns of any name stay as they are.  Rows of one key, source and text
+    are told apart by no rule: which of them is taken how often is not fixed.
+    """
+    f = Fresh(docs)
+    p = _planned(docs, weights, most, seed, key, text, source)
+    total = lambda n: F.floor(F.col("u") + (F.col("before") + n) * F.col("each")) - F.floor(F.col("u") + F.col("before") * F.col("each"))
+    p = p.where((F.col("n") > 1) | (total(F.lit(1)) > 0))  # single rows without copies are gone before texts move
+    names = {"k": f.k, "s": f.s, "h": f.h, "n": f.n, "u": f.u, "each": f.each, "before": f.before}
+    p = written(p.select(*[F.col(a).alias(b) for a, b in names.items()]), "copies")
+    rows, again = p.agg(F.count("*"), F.count_if(F.col(f.n) > 1)).first()
+    same = F.col(key).eqNullSafe(F.col(f.k)) & F.col(source).eqNullSafe(F.col(f.s)) & (F.col(f.t) == F.col(f.h))
+    out = docs.withColumn(f.t, F.xxhash64(text)).join(small_side(p, rows), same)
+    taken = lambda df, i: df.withColumn(f.copies, _copies(F.col(f.u), F.col(f.each), F.col(f.before) + i, most)).where(F.col(f.copies) > 0).select(*own(docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col(f.copies))).alias(f.copy)).drop(f.copy)
+    if not again:
+        return taken(out, F.lit(1))
+    nth = F.row_number().over(Window.partitionBy(f.k, f.s, f.h).orderBy(f.before))
+    more = out.where(F.col(f.n) > 1).withColumn(f.nth, nth)
+    return taken(out.where(F.col(f.n) == 1), F.lit(1)).unionByName(taken(more, F.col(f.nth)))

@@ -5,8 +5,13 @@ Vectors are normalised and halved; each half has a codebook of its own
 in the order of its squared distance to them, which the multi-sequence
 traversal gives from the two sorted lists of distances, until the distance
 exceeds that of the nearest cell by more than `reach`.  The reach is set so
-that pairs exactly at the similarity threshold, made from sample vectors, are
-found with the target recall.  What is found is verified in double precision.
+that pairs at the similarity threshold are found with the target recall
+whatever sets them apart: it is the largest of those that partners in random
+directions, along one dimension, within one half, along the data's own spread
+and towards other vectors need, and that true neighbours within the sample
+need.  The recall is then measured on vectors that were not fitted on, and the
+reach grows until each kind reaches the target; the least is in the result.
+What is found is verified in double precision.
 
 Rows of the grid (cells with one first code) are the units of the cluster: a
 row is cut into blocks of a bounded number of vectors, and a vector visits a
@@ -27,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import connected_components, written
 from .topk import usable
 
-#: Vectors that codebooks and reach are fitted on, at most.
-SAMPLE = 16_384
+#: Vectors that codebooks and reach are fitted on, at most, and partners of each kind made from them.
+SAMPLE, PARTNERS = 16_384, 2048
+#: Codewords a half at most; further vectors fill the cells, which are compared whole.
+CODES = SAMPLE // 4
 #: Vectors of a block, on either side of a comparison.
 BLOCK = 8192
 #: Share of threshold pairs whose cells one of the two visits.
@@ -65,21 +72,73 @@ def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float):
                 heapq.heappush(heap, (a[ia[nxt[0]]] + b[ib[nxt[1]]], *nxt))
 
 
+def partners(x: np.ndarray, cosine: float, half: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """For each unit vector a partner at exactly the cosine, by what sets them apart; rows that have no such partner are NaN."""
+    n, width = x.shape
+    spread = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][: max(1, width // 8)]
+    one = np.zeros_like(x)
+    one[np.arange(n), rng.integers(0, width, n)] = rng.choice([-1.0, 1.0], n)
+    first, last = rng.standard_normal(x.shape), rng.standard_normal(x.shape)
+    first[:, half:], last[:, :half] = 0, 0
+    few = np.zeros_like(x)
+    few[:, : max(1, half // 4)] = rng.standard_normal((n, max(1, half // 4)))
+    kinds = {"random": rng.standard_normal(x.shape), "one dimension": one, "first half": first, "second half": last, "few dimensions": few, "spread": rng.standard_normal((n, len(spread))) @ spread, "other vectors": x[rng.permutation(n)]}
+    out = {}
+    for kind, to in kinds.items():
+        to = to - (to * x).sum(axis=1, keepdims=True) * x
+        norm = np.linalg.norm(to, axis=1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[kind] = np.where(norm > 1e-9, cosine * x + math.sqrt(1 - cosine**2) * to / norm, np.nan)
+    return out
+
+
+def neighbours(x: np.ndarray, cosine: float, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of the sample whose cosine is in the range just above the threshold, by brute force; of each i the four least similar."""
+    left, right = [], []
+    for s in range(0, len(x), chunk):
+        c = x[s : s + chunk] @ x.T
+        c[(c < cosine) | (np.arange(len(x))[None] <= np.arange(s, s + len(c))[:, None])] = np.inf
+        near = np.argpartition(c, min(4, len(x) - 1), axis=1)[:, :4]
+        i, k = np.nonzero(np.isfinite(np.take_along_axis(c, near, axis=1)))
+        left.append(i + s)
+        right.append(near[i, k])
+    return np.concatenate(left), np.concatenate(right)
+
+
 class Grid:
-    """Two codebooks and the reach."""
+    """Two codebooks, the reach, and the recall measured on vectors apart from those that the reach was fitted on."""
 
     def __init__(self, sample: np.ndarray, k: int, cosine: float, recall: float, seed: int = 7):
         self.half = max(1, sample.shape[1] // 2)
         self.books = [kmeans(h, k, seed=seed + i) for i, h in enumerate(self.halves(sample))]
-        # Partners at exactly the threshold, in random directions.
         rng = np.random.default_rng(seed)
-        x = sample[:4096]
-        noise = rng.standard_normal(x.shape)
-        noise -= (noise * x).sum(axis=1, keepdims=True) * x
-        norm = np.linalg.norm(noise, axis=1, keepdims=True)
-        y = cosine * x + math.sqrt(1 - cosine**2) * np.divide(noise, norm, out=np.zeros_like(noise), where=norm > 1e-12)
-        gaps = np.minimum(self._gap(x, y), self._gap(y, x))
-        self.reach = float(np.quantile(gaps, recall)) if len(gaps) else 0.0
+        order = rng.permutation(len(sample))
+        parts = [sample[order[:PARTNERS]], sample[order[PARTNERS : 2 * PARTNERS]]]
+        if not len(parts[1]):
+            parts[1] = parts[0]
+        gaps = [self._gaps(x, cosine, rng) for x in parts]
+        i, j = neighbours(sample, cosine)
+        for s, held in enumerate(gaps):  # true neighbours, half to fit and half to measure
+            own = i % 2 == s
+            if own.any():
+                held["neighbours"] = self._either(sample[i[own]], sample[j[own]])
+        self.reach = max((float(np.quantile(g, recall)) for g in gaps[0].values() if len(g)), default=0.0)
+        measure = lambda: min((float((g <= self.reach).mean()) for g in gaps[1].values() if len(g)), default=1.0)
+        if measure() < recall:  # what was held back needs more
+            self.reach = max(self.reach, *(float(np.quantile(g, recall)) for g in gaps[1].values() if len(g)))
+        self.measured = measure()
+
+    def _either(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The lesser gap of the two: a link is found if either visits the other's cell."""
+        return np.minimum(self._gap(x, y), self._gap(y, x))
+
+    def _gaps(self, x: np.ndarray, cosine: float, rng: np.random.Generator) -> dict[str, np.ndarray]:
+        out = {}
+        for kind, y in partners(x, cosine, self.half, rng).items():
+            ok = ~np.isnan(y).any(axis=1)
+            if ok.any():
+                out[kind] = self._either(x[ok], y[ok])
+        return out
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]
@@ -149,12 +208,14 @@ def _compare(grid: Grid, cosine: float, d: dict, q: dict, chunk: int = 1024):
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", vector: str = "embedding", codes: int | None = None, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row: vectors linked by a cosine of `cosine` or more.
+    """(id, n_links, component_id, kept, index_recall) for every row: vectors linked by a cosine of `cosine` or more.
 
     codes: codewords a half; by default they grow as the square root of the
-    number of vectors, so that cells hold alike at every size.  Codebooks and
-    reach are fitted on `sample` vectors at most; all vectors are indexed and
-    all ask.  Vectors that are null, zero, or hold null or non-finite
+    number of vectors up to CODES, beyond which cells hold more and are
+    compared whole as before, in blocks.  Codebooks and reach are fitted on
+    `sample` vectors at most; all vectors are indexed and all ask.
+    index_recall is the least share of pairs at the threshold that the index
+    finds, measured on vectors that the reach was not fitted on (1 without vectors).  Vectors that are null, zero, or hold null or non-finite
     components link with nothing; a shorter vector counts as one that ends in
     zeros.  Equal vectors are compared once and count each other.  Repeated
     ids are rows of their own that share one node, counted once where its rows
@@ -168,10 +229,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id"
     copies = held.join(reps.select(F.col("v").alias("w"), F.col("id").alias("first"), "n"), F.col("v") == F.col("w")).select("id", "first", "n")
     if n:
         taken = reps.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
-        k = codes or max(4, min(1024, round(math.sqrt(n / 16))))
+        k = codes or max(4, min(CODES, round(math.sqrt(n / 16))))
         grid = Grid(_unit(_read(taken.column(0), width)), min(k, taken.num_rows), cosine, recall)
         links = written(_links(reps, grid, width, cosine, block), "links")
+        measured = grid.measured
     else:
+        measured = 1.0
         links = reps.sparkSession.createDataFrame([], "id long, add long, a long, b long")
     adds = links.where("id is not null").groupBy(F.col("id").alias("first")).agg(F.sum("add").alias("add"))
     edges = links.where("a is not null").select("a", "b").unionByName(copies.where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")))
@@ -179,18 +242,30 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id"
     own = copies.join(adds, "first", "left").groupBy("id").agg(F.sum(F.coalesce("add", F.lit(0)) + F.col("n") - 1).alias("links"))
     out = rows.select("id").join(own, "id", "left").join(found, F.col("id") == F.col("node"), "left")
     out = out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumn("index_recall", F.lit(measured))
 
 
 def _links(reps: DataFrame, grid: Grid, width: int, cosine: float, block: int) -> DataFrame:
     k = len(grid.books[0])
 
-    def code(batches):
+    def coded(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = _unit(_read(batch.column(batch.schema.get_field_index("v")), width))
-            a, b = grid.distances(m)
+            if batch.num_rows:
+                m = _unit(_read(batch.column(batch.schema.get_field_index("v")), width))
+                a, b = grid.distances(m)
+                yield batch, m, a, b
+
+    def count(batches):
+        d, q = np.zeros(k, np.int64), np.zeros(k, np.int64)
+        for _, _, a, b in coded(batches):
+            d += np.bincount(a.argmin(axis=1), minlength=k)
+            # A row of the grid is visited if its nearest cell is.
+            low = b.min(axis=1)[:, None]
+            q += (a + low <= a.min(axis=1)[:, None] + low + grid.reach).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(d), pa.array(q)], names=["i", "d", "q"])
+
+    def code(batches):
+        for batch, m, a, b in coded(batches):
             i, j = a.argmin(axis=1), b.argmin(axis=1)
             ids = np.asarray(batch.column(batch.schema.get_field_index("id")))
             n = np.asarray(batch.column(batch.schema.get_field_index("n")))
@@ -200,13 +275,6 @@ def _links(reps: DataFrame, grid: Grid, width: int, cosine: float, block: int) -
                     rows.setdefault(x, np.zeros(k, dtype=bool))[y] = True
                 yield r, ids[r], n[r], m[r], int(i[r]), int(j[r]), rows
 
-    def count(batches):
-        d, q = np.zeros(k, np.int64), np.zeros(k, np.int64)
-        for _, _, _, _, i, _, rows in code(batches):
-            d[i] += 1
-            q[list(rows)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(d), pa.array(q)], names=["i", "d", "q"])
-
     # One number a grid row: k rows at most reach the driver.
     sizes = reps.mapInArrow(count, "i int, d long, q long").groupBy("i").agg(F.sum("d"), F.sum("q")).collect()
     parts = {r[0]: (max(1, -(-r[1] // block)), max(1, -(-r[2] // block))) for r in sizes}

@@ -29,11 +29,13 @@ from documents d left join n on n.doc_id = d.doc_id left join r on r.x = d.doc_i
 
 
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+    docs = table(spark, sf_dir, "documents")
+    # The checksum is made at the scan, so that no text is moved for it.
+    placed = sharding.shard_documents(docs.withColumn("text_crc32", F.crc32(F.encode("text", "utf-8"))), shards=8)
     return placed.select(
         "doc_id",
         "size",
-        F.crc32(F.encode("text", "utf-8")).alias("text_crc32"),
+        "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         "slot",
@@ -42,7 +44,7 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    plan = mixing.plan_rows(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -61,7 +63,7 @@ t as (select source, source_size, case when stop then cap else
    ('0x' || substr(md5('0|' || coalesce('s' || source, 'null')), 1, 8))::bigint / 4294967296.0::double as u from p),
 r as (select d.doc_id, d.size, t.source_size, t.target, t.u,
    case when t.source_size > 0 then t.target / t.source_size else 0.0 end as e,
-   row_number() over (partition by d.source order by floor(ln(d.size + 1.0::double) * 8)::int, (('0x' || substr(md5(d.doc_id::varchar), 9, 6))::bigint) % 32, d.size, d.doc_id) as k
+   row_number() over (partition by d.source order by floor(ln(d.size + 1.0::double) * 8)::int, (('0x' || substr(md5(d.doc_id::varchar), 9, 6))::bigint) % 4096, d.size, d.doc_id) as k
    from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, (least(floor(u + k * e) - floor(u + (k - 1) * e), 3) * size)::bigint as taken from r
 """

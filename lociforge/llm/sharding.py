@@ -5,7 +5,8 @@ tree: each task takes a bounded chunk of groups, repeatedly combines the two
 partial partitions of largest spread in opposite order, and ends with one
 partial partition of `shards` sums.  The partial partitions of all chunks are
 the items of the next level, until one is left.  Only (size, key) pairs enter
-the kernels; texts move once, to be joined with their shard.
+the kernels, and slots are numbered on them; texts move once, to be joined with
+their shard and slot, and only if they are asked for.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Fresh, own, small_side, written
 
 #: Partial partitions combined in one task.
 CHUNK = 20_000
@@ -119,33 +120,43 @@ def shards_of_groups(groups: DataFrame, shards: int, chunk: int = CHUNK) -> Data
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """docs with `shard` and `slot`: shards of near-equal bytes that keep equal texts together.
+    """docs with `size`, `shard` and `slot`: shards of near-equal bytes that keep equal texts together.
 
     A row weighs its text's UTF-8 bytes plus 1.  Null texts form one group of
     weight 1 a row, empty texts another; a null key is a key like any other;
     repeated rows get slots of their own; an empty table gives no rows.  Slots
     count from 0 without gaps in each shard, in an order that depends on the
-    rows alone.  Columns named shard, slot or _... of the input are replaced.
+    rows' keys and texts alone.  Columns named size, shard or slot of the input
+    are replaced; all others, whatever their names, stay as they are.
     """
-    base = docs.drop("shard", "slot", "size").select(
-        "*",
-        F.coalesce(F.unhex(F.md5(F.encode(text, "utf-8"))), F.encode(F.lit("null"), "utf-8")).alias("_g"),
+    kept_columns = [c for c in docs.columns if c not in ("shard", "slot", "size")]
+    f = Fresh(docs)
+    base = docs.select(
+        *own(kept_columns),
+        F.coalesce(F.unhex(F.md5(F.encode(text, "utf-8"))), F.encode(F.lit("null"), "utf-8")).alias(f.g),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
     )
-    rows = base.groupBy(F.col(key).alias("_k"), "_g").agg(F.count("*").alias("_n"), F.sum("size").alias("bytes"))
+    rows = base.groupBy(F.col(key).alias("k"), F.col(f.g).alias("_g")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     rows = written(rows, "rows")
     groups = written(rows.groupBy("_g").agg(F.sum("bytes").cast("long").alias("bytes")), "groups")
-    placed = rows.join(shards_of_groups(groups, shards, chunk), "_g").withColumn("_b", F.pmod(F.xxhash64("_k", "_g"), F.lit(SLOT_BUCKETS)))
-    counts = placed.groupBy("shard", "_b").agg(F.sum("_n").alias("_c"))
-    before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = counts.select("shard", "_b", (F.sum("_c").over(before) - F.col("_c")).alias("_start"))  # at most shards x SLOT_BUCKETS rows
-    within = Window.partitionBy("shard", "_b").orderBy("_k", "_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slots = placed.withColumn("_at", F.sum("_n").over(within) - F.col("_n")).join(F.broadcast(starts), ["shard", "_b"]).select("_k", F.col("_g").alias("_h"), "shard", (F.col("_start") + F.col("_at")).alias("_first"))
-    same = Window.partitionBy("_k", "_h").orderBy("_first")
-    out = base.join(slots, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_g") == F.col("_h")))
-    return out.withColumn("slot", F.col("_first") + F.row_number().over(same) - 1).drop("_g", "_h", "_k", "_first")
+    placed = rows.join(shards_of_groups(groups, shards, chunk), "_g").withColumn("b", F.pmod(F.xxhash64("k", "_g"), F.lit(SLOT_BUCKETS)))
+    counts = placed.groupBy("shard", "b").agg(F.sum("n").alias("c"))
+    before = Window.partitionBy("shard").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = counts.select("shard", "b", (F.sum("c").over(before) - F.col("c")).alias("start"))  # at most shards x SLOT_BUCKETS rows
+    within = Window.partitionBy("shard", "b").orderBy("k", "_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slots = placed.withColumn("at", F.sum("n").over(within) - F.col("n")).join(F.broadcast(starts), ["shard", "b"])
+    slots = written(slots.select(F.col("k").alias(f.k), F.col("_g").alias(f.h), "shard", (F.col("start") + F.col("at")).alias(f.first), F.col("n").alias(f.n)), "slots")
+    n, n_again = slots.agg(F.count("*"), F.count_if(F.col(f.n) > 1)).first()
+    out = base.join(small_side(slots, n), F.col(key).eqNullSafe(F.col(f.k)) & (F.col(f.g) == F.col(f.h)))
+    done = lambda df, slot: df.select(*own(kept_columns), "size", "shard", slot.alias("slot"))
+    if not n_again:
+        return done(out, F.col(f.first))
+    # Rows that repeat key and text, and they alone, are numbered among themselves.
+    nth = F.row_number().over(Window.partitionBy(f.k, f.h).orderBy(f.first))
+    once = done(out.where(F.col(f.n) == 1), F.col(f.first))
+    return once.unionByName(done(out.where(F.col(f.n) > 1).withColumn(f.nth, nth), F.col(f.first) + F.col(f.nth) - 1))
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Writes the sharded rows as Parquet folders shard=0, shard=1, ..."""
+    """Writes shard_documents(docs, **options) as Parquet folders shard=0, shard=1, ...; an empty table gives a folder without rows."""
     shard_documents(docs, **options).write.partitionBy("shard").parquet(path)

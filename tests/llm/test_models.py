@@ -184,3 +184,27 @@ def test_word_scan():
     words = [bytes(w.data[a:b]).decode() for a, b in zip(w.starts, w.ends)]
     assert words == ["ab", "cd", "e", "é", "ü", "longerthaneight", "longerthaneight", "\x1f\x85", "x"]
     assert np.diff(w.first).tolist() == [3, 0, 0, 2, 2, 2] and w.hashes[5] == w.hashes[6] and len(set(w.hashes.tolist())) == 8
+
+
+@pytest.mark.parametrize("kind", ["random", "correlated", "one dimension", "first dimension"])
+def test_recall_in_any_direction(spark, kind):
+    """Pairs planted at a cosine of 0.90 to 0.93, against a full product."""
+    rng = np.random.default_rng(2)
+    n, width = 1500, 32
+    scale = 1 / np.arange(1, width + 1) ** 0.7 if kind == "correlated" else np.ones(width)
+    x = rng.standard_normal((n, width)) * scale
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    to = rng.standard_normal((n, width)) * scale
+    if kind.endswith("dimension"):
+        to = np.zeros((n, width))
+        to[np.arange(n), rng.integers(0, width // 2, n) if kind == "one dimension" else 0] = 1
+    to -= (to * x).sum(axis=1, keepdims=True) * x
+    to /= np.linalg.norm(to, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.93, (n, 1))
+    every = np.concatenate([x, c * x + np.sqrt(1 - c * c) * to])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    rows = multiindex.near_duplicates(df, 0.9, sample=1000, codes=24).collect()
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    want = int((unit @ unit.T >= 0.9).sum()) - len(every)
+    found = sum(r["n_links"] for r in rows)
+    assert found <= want and found >= 0.95 * want and rows[0]["index_recall"] >= 0.95

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from lociforge.llm import chat, mixing, sharding, warc
+from lociforge.llm import chat, jaccard, mixing, sharding, warc
 
 TEXTS = ["", None, "a", "b b", "c " * 50, "d " * 400, "é ñ"] + [f"w{i} " * (i % 37 + 1) for i in range(200)] + ["copy " * 30] * 60
 
@@ -62,19 +62,19 @@ def test_targets(spark):
 
 def test_mix(spark, docs_schema):
     d = docs(spark, docs_schema)
-    plan = mixing.plan_mix(d).collect()
-    again = mixing.plan_mix(d.repartition(7)).collect()
+    plan = mixing.plan_rows(d).collect()
+    again = mixing.plan_rows(d.repartition(7)).collect()
     assert sorted((r["doc_id"], r["copies"]) for r in plan) == sorted((r["doc_id"], r["copies"]) for r in again)
     taken, target, most = Counter(), {}, {}
     for r in plan:
-        assert r["size"] == len((r["text"] or "").split()) and 0 <= r["copies"] <= 3
+        assert r["size"] == len((TEXTS[r["doc_id"]] or "").split()) and 0 <= r["copies"] <= 3
         taken[r["source"]] += r["copies"] * r["size"]
         target[r["source"]] = r["target"]
         most[r["source"]] = max(most.get(r["source"], 0), r["size"])
     assert all(abs(taken[s] - target[s]) <= 3 * most[s] for s in target)
     out = mixing.mix(d)
     assert out.columns == d.columns and out.count() == sum(r["copies"] for r in plan)
-    assert mixing.plan_mix(d.where("false")).count() == 0
+    assert mixing.plan_rows(d.where("false")).count() == 0
 
 
 def test_native_plans(spark, docs_schema):
@@ -127,3 +127,54 @@ def test_unequal_small_payloads_are_responses(spark):
     df = spark.createDataFrame([(1, "u", "a" * 999), (2, "u", "a" * 999), (3, "u", "a" * 1000), (4, "u", "a" * 1000)], "page_id long, url string, html string")
     kinds = Counter(r["value"].split("WARC-Type: ")[1].split("\r")[0] for r in warc.transactions(df).where(F.col("value").contains("WARC-Payload-Digest")).collect())
     assert kinds == {"response": 3, "revisit": 1}
+
+
+def named(spark, d, names):
+    """d with a column of each name that holds the row's id and that name."""
+    return d.select("*", *[F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(n)).alias(n) for n in names])
+
+
+INTERNAL = ["_g", "_k", "_h", "_n", "_s", "_t", "_u", "_c", "_b", "_first", "_nth", "_at", "_copy", "_copies", "_rank", "_source", "_class", "_salt", "_each", "_before", "_text", "_id", "_f1", "_gone", "__g", "size", "target", "copies", "k", "s", "h", "n", "u", "f1", "first", "each", "before", "component_id"]
+
+
+def test_columns_of_any_name_stay(spark, docs_schema):
+    d = named(spark, docs(spark, docs_schema), INTERNAL)
+    whole = lambda df, cols: Counter(tuple(r[c] for c in cols) for r in df.collect())
+    kept = [c for c in d.columns if c not in ("size", "shard", "slot")]
+    got = sharding.shard_documents(d)
+    assert set(got.columns) == {*kept, "size", "shard", "slot"} and whole(got, kept) == whole(d, kept)
+    plan = Counter()
+    for r in mixing.plan_rows(d).collect():
+        plan[r["doc_id"]] += r["copies"]
+    out = mixing.mix(d)
+    taken = out.collect()
+    assert out.columns == d.columns and Counter(r["doc_id"] for r in taken) == +plan
+    assert all(r[c] == f"{r['doc_id']}{c}" for r in taken for c in INTERNAL)
+    left = jaccard.distinct_documents(d, 3, 90)
+    rows = left.collect()
+    assert left.columns == d.columns and all(r[c] == f"{r['doc_id']}{c}" for r in rows for c in INTERNAL)
+    assert len({r["text"] for r in rows if r["text"]}) == len([r for r in rows if (r["text"] or "").strip()])
+
+
+def test_mix_of_repeated_rows_and_write_shards(spark, docs_schema, tmp_path):
+    rows = [(i % 3, f"w{i % 3} " * 4, "en", "s", 0) for i in range(60)] + [(None, None, "en", None, 0)] * 2
+    d = spark.createDataFrame(rows, docs_schema)
+    total = sum(r["copies"] for r in mixing.plan_rows(d).collect())
+    out = mixing.mix(d).collect()
+    assert len(out) == total and sum(len(r["text"].split()) for r in out if r["text"]) == 60 * 4
+    sharding.write_shards(d, str(tmp_path / "s"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 62 and sorted((r["shard"], r["slot"]) for r in back.collect()) == sorted((r["shard"], r["slot"]) for r in sharding.shard_documents(d, 4).collect())
+
+
+def test_shards_against_every_split(spark, docs_schema):
+    """The spread of sizes is that of the best split of a few groups over two shards, within what differencing promises."""
+    rng = np.random.default_rng(5)
+    texts = ["x" * int(n) for n in rng.integers(50, 400, 12)]
+    rows = sharding.shard_documents(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], docs_schema), 2).collect()
+    sizes = np.array([len(t) + 1 for t in texts])
+    total = Counter()
+    for r in rows:
+        total[r["shard"]] += r["size"]
+    best = min(abs(int(sizes.sum()) - 2 * int(sizes[[bool(m >> i & 1) for i in range(12)]].sum())) for m in range(1 << 12))
+    assert best <= abs(total[0] - total[1]) <= best + 30
