@@ -1,42 +1,51 @@
 """Hierarchical Pitman-Yor language model, fitted and applied on packed batches.
 
 The model has three levels: a uniform base over the training words and one
-unknown word, a root restaurant of single words, and context restaurants that
-share the root as their parent.  A word's context is the class of the word
-before it: its hash modulo `contexts`, or the start of the text.
-
-A slice of documents sends each word bucket one packed row with its distinct
-(word, context) pairs and their training counts.  A bucket holds all of its
-words' counts and samples their seating: customers leave and sit down again one
-at a time in each dish of each restaurant, opening a table with the parent's
-probability, and every table is a customer of the root.  Totals over all words
-that a step needs are estimated from the bucket (words are dealt by hash), as
-in approximate distributed Gibbs sampling; the totals that scores use are exact
-sums of the buckets' averages over the kept samples.  Each slice is sent back
-what it asked for and scores its documents.
+unknown word, a root restaurant of single words, and a restaurant for each
+context, the word before (or the start of the text), whose parent is the root.
+
+1. A slice of documents becomes a row of word numbers.  It sends each context's
+   bucket one packed row: the words after it and their training counts.
+2. A bucket holds whole restaurants.  A dish of one customer has one table; all
+   others are live and are seated.  A sweep draws each restaurant's rate from
+   its gamma distribution given its tables, which makes its dishes independent,
+   and then seats every customer of every live dish anew, in proposals that are
+   weighed against each other by the ratio of the seating's probability to the
+   proposal's (they are drawn from random numbers that belong to the dish, so
+   they are the same however the corpus is dealt).
+3. Every table is a customer of the root.  Buckets send the tables of their
+   words to the root, which seats them in the same way and sends the words'
+   probabilities back; sweeps go on from there.
+4. Of each kept sample, the tables of pairs, of contexts and of the root go back
+   to the slices that asked; a token's probability is the mean over the samples
+   of the probability that each predicts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_slices, written
 from .wordscan import mix, scan
 
-#: Classes of context words; bounds what the driver and each task hold of all contexts.
-CONTEXTS = 1024
 #: Discount and strength of the context restaurants and of the root.
-DISCOUNT, STRENGTH = 0.75, 20.0
+DISCOUNT, STRENGTH = 0.75, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 20.0
-#: Gibbs steps, and how many of the last are averaged.
-STEPS, KEPT = 20, 12
+#: Sweeps before the root's first answer, sweeps after it that are not kept, samples kept, proposals of a sweep.
+FIRST, BURN, KEPT, TRIES = 3, 2, 4, 4
 SLICE, BUCKET = 6 << 20, 8 << 20
-#: Customers that are seated at once.
-BLOCK = 1 << 19
-END = np.uint64(0x51ED270B35F7A3C9)
+#: Customers that are seated one step at a time over all dishes, and how many at once beyond.
+CROWD, BLOCK = 256, 1 << 19
+END, START = np.uint64(0x51ED270B35F7A3C9), np.uint64(0x2C1B3C6D9E77A5F1)
+_GOLD = 0x9E3779B97F4A7C15
+_ROW = "kind int, slice long, bucket int, blob binary, id long, v array<int>, x array<double>"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("id", pa.int64()), ("v", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])
+#: Kinds of rows: live dishes; what a slice is told of counts; where a slice's questions stand; words of a bucket; sums; a slice's samples; words' samples; a slice's tokens.
+LIVE, COUNTS, PLACES, WORDS, SUMS, TABLES, ROOTS, TOKENS = range(8)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -60,308 +69,433 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-class Restaurants:
-    """Seating of dishes in restaurants: `count` customers a dish, `where` its restaurant, tables by dish and size.
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Differences, which pack well; undone by a running sum."""
+    return np.diff(a, prepend=a.dtype.type(0))
 
-    Only dishes of two customers or more are sampled; one customer has one table.
-    """
 
-    def __init__(self, count: np.ndarray, rng: np.random.Generator):
-        self.c, self.rng = count.astype(np.int64), rng
-        self.t = np.minimum(self.c, 1)
-        self.live = np.flatnonzero(self.c > 1)
-
-    def seat(self, new_weight, discount: float, crowd: int = 256) -> None:
-        """First seating of every customer, one after the other; customers beyond a crowd are drawn in blocks."""
-        c = self.c[self.live]
-        a = new_weight(self.live)
-        t = np.ones(len(c), dtype=np.int64)
-        order = np.argsort(-c, kind="stable")
-        for n in range(1, min(int(c.max(initial=1)), crowd)):
-            m = int(np.searchsorted(-c[order], -n, side="left"))
-            at = order[:m]
-            p = a[at] / (a[at] + n - discount * t[at])
-            t[at[self.rng.random(m) < p]] += 1
-        self._seat_rest(c, a, t, discount, crowd)
-        # All tables but the largest hold one customer to begin with.
-        t = np.minimum(t, c)
-        self.tp = np.repeat(np.arange(len(c)), t)
-        self.ts = np.ones(len(self.tp), dtype=np.int64)
-        first = np.cumsum(t) - t
-        self.ts[first] = c - t + 1
-        self.t[self.live] = t
-
-    def _seat_rest(self, c: np.ndarray, a: np.ndarray, t: np.ndarray, discount: float, crowd: int) -> None:
-        """Adds to t the tables that the customers from `crowd` on open.
-
-        Whether a customer opens a table depends on the openings before it
-        alone, so the openings of a block are the one fixed point of the rule
-        for its uniform numbers: the same as customer by customer.
-        """
-        live = np.flatnonzero(c > crowd)
-        done = np.full(len(live), crowd, dtype=np.int64)
-        while len(live):
-            n = np.minimum(c[live] - done, max(BLOCK // len(live), 1))
-            of = np.repeat(np.arange(len(live)), n)
-            first = np.cumsum(n) - n
-            free = a[live][of] + done[of] + np.arange(len(of)) - first[of] - discount * t[live][of]
-            u = self.rng.random(len(of))
-            opens = u * free < a[live][of]
-            while True:
-                before = np.cumsum(opens) - opens
-                before -= before[first][of]
-                again = u * (free - discount * before) < a[live][of]
-                if np.array_equal(again, opens):
-                    break
-                opens = again
-            t[live] += np.bincount(of[opens], minlength=len(live))
-            done += n
-            more = done < c[live]
-            live, done = live[more], done[more]
-
-    def step(self, new_weight, discount: float) -> np.ndarray:
-        """One customer of each dish stands up and sits down again; the changes of the dishes' tables."""
-        n = len(self.live)
-        if not n:
-            return np.zeros(0, np.int64)
-        c, before = self.c[self.live], self.t[self.live].copy()
-        self._take(c, -1)
-        stay = self.ts > 0
-        self.tp, self.ts = self.tp[stay], self.ts[stay]
-        t = np.bincount(self.tp, minlength=n)
-        a = new_weight(self.live)
-        opens = self.rng.random(n) * (a + c - 1 - discount * t) < a
-        sit = np.flatnonzero(~opens)
-        while len(sit):
-            k = self._table(sit, c[sit] - 1, t)
-            ok = self.rng.random(len(sit)) * self.ts[k] < self.ts[k] - discount
-            self._chosen[sit[ok]] = k[ok]
-            sit = sit[~ok]
-        old = np.flatnonzero(~opens)
-        self.ts[self._chosen[old]] += 1
-        new = np.flatnonzero(opens)
-        tp = np.concatenate([self.tp, new])
-        by = np.argsort(tp, kind="stable")
-        self.tp, self.ts = tp[by], np.concatenate([self.ts, np.ones(len(new), np.int64)])[by]
-        self.t[self.live] = np.bincount(self.tp, minlength=n)
-        return self.t[self.live] - before
-
-    def _table(self, dishes: np.ndarray, customers: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """A table of each dish, with probability in proportion to its size."""
-        total = np.cumsum(self.ts)
-        first = np.cumsum(t) - t
-        start = np.concatenate([[0], total])[first[dishes]]
-        return np.searchsorted(total, start + (self.rng.random(len(dishes)) * customers).astype(np.int64), side="right")
-
-    def _take(self, c: np.ndarray, by: int) -> None:
-        t = np.bincount(self.tp, minlength=len(c))
-        k = self._table(np.arange(len(c)), c, t)
-        self.ts[k] += by
-        self._chosen = np.zeros(len(c), dtype=np.int64)
-
-
-def sample(word: np.ndarray, context: np.ndarray, count: np.ndarray, words: int, contexts: int, buckets: int, seed: int):
-    """Averages over the kept samples of one bucket.
-
-    word, context, count: its pairs.  Returns (tables of each pair, customers
-    and tables of each word at the root, tables of each context).
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)] if rows else [pa.array([], f.type) for f in _SCHEMA], schema=_SCHEMA)
+
+
+def _row(kind: int, bucket: int, blob: bytes | None, sid: int = -1, x: list | None = None) -> tuple:
+    return kind, sid, bucket, blob, None, None, x
+
+
+def uniform(key: np.ndarray, k) -> np.ndarray:
+    """The k-th random number in (0, 1) of each key; k is one number or one for each key."""
+    step = np.uint64(int(k) * _GOLD & 0xFFFFFFFFFFFFFFFF) if np.isscalar(k) else k.astype(np.uint64) * np.uint64(_GOLD)
+    return ((mix(key + step) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def gamma(shape: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+    """Gamma numbers of shapes of 1 and more (Marsaglia and Tsang), from each key's random numbers."""
+    d = shape - 1 / 3
+    out = np.empty(len(shape))
+    todo = np.arange(len(shape))
+    while len(todo):
+        u, v, w = (uniform(key[todo], salt + i) for i in range(3))
+        salt += 3
+        z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+        cube = (1 + z / np.sqrt(9 * d[todo])) ** 3
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ok = (cube > 0) & (np.log(w) < 0.5 * z * z + d[todo] * (1 - cube + np.log(np.where(cube > 0, cube, 1))))
+        out[todo[ok]] = d[todo[ok]] * cube[ok]
+        todo = todo[~ok]
+    return out
+
+
+def propose(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tables, log weight) of seating c customers of each dish one after the other.
+
+    A customer opens a table with weight a and sits down at one of n with
+    weight n - discount.  The weight is what the seating's probability, a to
+    the power of its tables times that of its sizes, is above the proposal's.
     """
-    rng = np.random.default_rng(seed)
-    seats = Restaurants(count, rng)
-    pairs = np.flatnonzero(count)
-    tables = np.bincount(context[pairs], minlength=contexts).astype(np.float64)
-    root = np.bincount(word[pairs], minlength=words).astype(np.float64)
-    base = 1.0 / (buckets * max(words, 1) + 1)
-
-    def weight(i: np.ndarray) -> np.ndarray:
-        total = root.sum() * buckets
-        dishes = np.count_nonzero(root) * buckets
-        p = (np.maximum(root[word[i]] - ROOT_DISCOUNT, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * dishes) * base) / (ROOT_STRENGTH + total)
-        return (STRENGTH + DISCOUNT * tables[context[i]] * buckets) * p
-
-    seats.seat(weight, DISCOUNT)
-    mean_t = np.zeros(len(count))
-    recount = lambda: (np.bincount(context, weights=seats.t, minlength=contexts), np.bincount(word, weights=seats.t, minlength=words))
-    tables, root = recount()
-    mean_tables, mean_root = np.zeros(contexts), np.zeros(words)
-    for s in range(STEPS):
-        seats.step(weight, DISCOUNT)
-        tables, root = recount()
-        if s >= STEPS - KEPT:
-            mean_t += seats.t
-            mean_tables += tables
-            mean_root += root
-    # The root's customers are the tables of the last sample.
-    top = Restaurants(root.astype(np.int64), rng)
-    dishes = float(np.count_nonzero(root))
-    opens = lambda i: np.full(len(i), (ROOT_STRENGTH + ROOT_DISCOUNT * dishes * buckets) * base)
-    top.seat(opens, ROOT_DISCOUNT)
-    mean_top = np.zeros(words)
-    for s in range(STEPS):
-        top.step(opens, ROOT_DISCOUNT)
-        if s >= STEPS - KEPT:
-            mean_top += top.t
-    return mean_t / KEPT, mean_root / KEPT, mean_top / KEPT, mean_tables / KEPT
-
-
-def contexts_of(hashes: np.ndarray, first: np.ndarray, contexts: int) -> np.ndarray:
-    """The context class of each token; the start of a text is class 0."""
-    out = np.empty(len(hashes), dtype=np.int64)
-    out[1:] = 1 + (mix(hashes[:-1]) % np.uint64(contexts - 1)).astype(np.int64)
-    out[first] = 0
+    order = np.argsort(-c, kind="stable")
+    c, a, key = c[order], a[order], key[order]
+    t, w = np.ones(len(c), dtype=np.int64), np.zeros(len(c))
+    for n in range(1, min(int(c.max(initial=1)), CROWD)):
+        m = int(np.searchsorted(-c, -n, side="left"))
+        free = a[:m] + n - discount * t[:m]
+        w[:m] += np.log(free)
+        t[:m] += uniform(key[:m], salt + n) * free < a[:m]
+    many = int(np.searchsorted(-c, -CROWD, side="left"))
+    if many:
+        _propose_rest(c[:many], a[:many], discount, key[:many], salt, t, w)
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    return t[back], w[back]
+
+
+def _propose_rest(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray, salt: int, t: np.ndarray, w: np.ndarray) -> None:
+    """The customers from CROWD on.
+
+    Whether one opens a table depends on the openings before it alone, so the
+    openings of a block are the one fixed point of the rule for its random
+    numbers: the same as customer by customer.
+    """
+    live, done = np.arange(len(c)), np.full(len(c), CROWD, dtype=np.int64)
+    while len(live):
+        n = np.minimum(c[live] - done, max(BLOCK // len(live), 1))
+        of = np.repeat(np.arange(len(live)), n)
+        first = np.cumsum(n) - n
+        nth = done[of] + np.arange(len(of)) - first[of]
+        u = uniform(key[live][of], nth + salt)
+        weight = a[live][of]
+        free = weight + nth - discount * t[live][of]
+        opens = u * free < weight
+        while True:
+            before = np.cumsum(opens) - opens
+            before -= before[first][of]
+            left = free - discount * before
+            again = u * left < weight
+            if np.array_equal(again, opens):
+                break
+            opens = again
+        t[live] += np.bincount(of[opens], minlength=len(live))
+        w[live] += np.bincount(of, weights=np.log(left), minlength=len(live))
+        done = done + n
+        more = done < c[live]
+        live, done = live[more], done[more]
+
+
+def sweep(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray, salt: int, tries: int = TRIES) -> np.ndarray:
+    """Tables of each dish after all its customers were seated anew: a chain of proposals, each taken with the ratio of the weights."""
+    t, w = propose(c, a, discount, key, salt << 40)
+    for k in range(1, tries):
+        t2, w2 = propose(c, a, discount, key, salt + k << 40)
+        take = np.log(uniform(key, (salt + k << 40) + (1 << 39))) < w2 - w
+        t, w = np.where(take, t2, t), np.where(take, w2, w)
+    return t
+
+
+def seat(context: np.ndarray, count: np.ndarray, p: np.ndarray, single: np.ndarray, word: np.ndarray, name: np.ndarray, sweeps: int, keep: int, seed: int):
+    """The last `keep` samples of (tables of live dishes, tables of contexts).
+
+    context, count, p, word: of each live dish its restaurant, customers,
+    probability at the root and id; single, name: of each restaurant its
+    dishes of one customer and its id.
+    """
+    key = mix(word ^ mix(name[context] + np.uint64(seed)))
+    own = mix(name + np.uint64(seed + 1))
+    total = single + np.bincount(context, minlength=len(single))
+    out = []
+    for s in range(sweeps):
+        rate = gamma(STRENGTH / DISCOUNT + total, own, s << 32)
+        t = sweep(count, DISCOUNT * rate[context] * p, DISCOUNT, key, s * TRIES + 1)
+        total = single + np.bincount(context, weights=t, minlength=len(single)).astype(np.int64)
+        if s >= sweeps - keep:
+            out.append((t, total))
     return out
 
 
 def _tokens(words) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with one end after each document, and where each document begins."""
+    """Word hashes with one end after each document, and how many tokens each document has."""
     n = np.diff(words.first) + 1
-    first = np.cumsum(n) - n
     out = np.empty(int(n.sum()), dtype=np.uint64)
     is_end = np.zeros(len(out), dtype=bool)
-    is_end[first + n - 1] = True
+    is_end[np.cumsum(n) - 1] = True
     out[is_end] = END
     out[~is_end] = words.hashes
-    return out, first
+    return out, n
+
+
+def _sliced(batches):
+    """One row a slice: its documents, its words and its tokens as places among the words, the frequent ones first."""
+    task = TaskContext.get()
+    sid = (task.partitionId() if task else 0) << 32
+    for part in text_slices(batches, "text", SLICE):
+        tokens, n = _tokens(scan(part.column(1)))
+        names, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        del tokens
+        by = np.argsort(-times, kind="stable")
+        place = np.empty(len(by), dtype=np.uint32)
+        place[by] = np.arange(len(by), dtype=np.uint32)
+        ids = part.column(0)
+        blob = _pack(np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), np.asarray(part.column(2).fill_null(False)), n.astype(np.uint32), names[by], place[at])
+        yield _rows([_row(TOKENS, -1, blob, sid)])
+        sid += 1
+
+
+class Slice:
+    """A slice's words in order of bucket and hash (the start among them), its tokens and its pairs (context, word)."""
+
+    def __init__(self, blob: bytes, buckets: int):
+        self.ids, self.missing, self.train, n, names, tokens = _unpack(blob)
+        self.n = n.astype(np.int64)
+        names = np.append(names, START)
+        to = (names >> np.uint64(24)) % np.uint64(buckets)
+        by = np.lexsort((names, to))
+        place = np.empty(len(by), dtype=np.int64)
+        place[by] = np.arange(len(by))
+        self.names, self.to = names[by], to[by].astype(np.int64)
+        self.word = place[tokens]
+        self.first = np.cumsum(self.n) - self.n
+        before = np.empty(len(tokens), dtype=np.int64)
+        before[1:] = self.word[:-1]
+        before[self.first] = place[-1]
+        pairs, self.pair_of = np.unique(before * len(names) + self.word, return_inverse=True)
+        self.context, self.after = pairs // len(names), pairs % len(names)
+        learnt = np.repeat(self.train, self.n)
+        self.count = np.bincount(self.pair_of, weights=learnt, minlength=len(pairs)).astype(np.int64)
+        self.seen = np.bincount(self.word, weights=learnt, minlength=len(names)).astype(np.int64)
+
+    def cuts(self, buckets: int):
+        """(bucket, range of words, range of pairs) of each bucket that the slice asks."""
+        have = np.unique(self.to)
+        w = np.append(np.searchsorted(self.to, have), len(self.to))
+        p = np.searchsorted(self.context, w)
+        for i, b in enumerate(have.tolist()):
+            yield b, slice(w[i], w[i + 1]), slice(p[i], p[i + 1])
+
+
+def _questions(buckets: int):
+    def run(batches):
+        for batch in batches:
+            for sid, blob in zip(batch.column("slice").to_pylist(), batch.column("blob")):
+                s = Slice(blob.as_py(), buckets)
+                rows = []
+                for b, w, p in s.cuts(buckets):
+                    each = np.bincount(s.context[p] - w.start, minlength=w.stop - w.start).astype(np.uint32)
+                    rows.append(_row(TOKENS, b, _pack(s.names[w], s.seen[w].astype(np.uint32), each, s.names[s.after[p]] >> np.uint64(24), s.count[p].astype(np.uint32)), sid))
+                yield _rows(rows)
 
+    return run
 
-def _dealt(docs: DataFrame, contexts: int, buckets: int) -> DataFrame:
-    """Per slice: one row with its documents and tokens (bucket -1), and a row a bucket with the pairs it asks for."""
 
-    def run(batches):
-        for part in text_slices(batches, "text", SLICE):
-            words = scan(part.column(1))
-            tokens, first = _tokens(words)
-            del words
-            n = np.diff(np.append(first, len(tokens)))
-            train = np.asarray(part.column(2).fill_null(False))
-            ctx = contexts_of(tokens, first, contexts)
-            names, local = np.unique(tokens, return_inverse=True)
-            to = (names % np.uint64(buckets)).astype(np.int64)
-            # Words stand by bucket, so that each bucket's are a range.
-            by = np.argsort(to, kind="stable")
-            place = np.empty(len(by), dtype=np.int64)
-            place[by] = np.arange(len(by))
-            names, to, local = names[by], to[by], place[local]
-            pairs, pair_of = np.unique(local * contexts + ctx, return_inverse=True)
-            count = np.bincount(pair_of, weights=np.repeat(train, n), minlength=len(pairs)).astype(np.uint32)
-            word = pairs // contexts
-            ids = part.column(0)
-            missing = np.asarray(ids.is_null())
-            totals = np.bincount(ctx, weights=np.repeat(train, n), minlength=contexts)
-            sid = int(np.random.SeedSequence().entropy & 0x7FFFFFFFFFFFFFFF)
-            rows = [(sid, -1, _pack(np.asarray(ids.fill_null(0)), missing, train, n.astype(np.uint32), pair_of.astype(np.uint32), np.diff(word, prepend=0).astype(np.uint32), (pairs % contexts).astype(np.uint16), totals))]
-            wa = np.searchsorted(to, np.arange(buckets + 1))
-            pat = np.searchsorted(word, wa)
-            for b in range(buckets):
-                if wa[b] < wa[b + 1]:
-                    w, p = slice(wa[b], wa[b + 1]), slice(pat[b], pat[b + 1])
-                    each = np.bincount(word[p] - wa[b], minlength=wa[b + 1] - wa[b]).astype(np.uint16 if contexts < 65536 else np.uint32)
-                    rows.append((sid, b, _pack(names[w], each, (pairs[p] % contexts).astype(np.uint16), count[p])))
-            s, b, blob = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(b, pa.int32()), pa.array(blob, pa.binary())], names=["slice", "bucket", "blob"])
-
-    return docs.mapInArrow(run, "slice long, bucket int, blob binary")
-
-
-def _fit_bucket(contexts: int, buckets: int, seed: int):
+def _combine(t: pa.Table) -> pa.Table:
+    """A bucket's restaurants from all slices' counts, and what each slice may know at once."""
+    bucket, slices = t.column("bucket")[0].as_py(), t.column("slice").to_pylist()
+    asked = [_unpack(b.as_py()) for b in t.column("blob")]
+    names, back = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    seen = np.bincount(back, weights=np.concatenate([a[1] for a in asked]), minlength=len(names)).astype(np.int64)
+    context = np.repeat(back, np.concatenate([a[2] for a in asked]).astype(np.int64)).astype(np.uint64)
+    pairs, pair_of = np.unique(context << np.uint64(40) | np.concatenate([a[3] for a in asked]), return_inverse=True)
+    del context
+    count = np.bincount(pair_of, weights=np.concatenate([a[4] for a in asked]), minlength=len(pairs)).astype(np.int64)
+    of, word = (pairs >> np.uint64(40)).astype(np.int64), pairs & np.uint64((1 << 40) - 1)
+    live, some = count > 1, count > 0
+    total = np.bincount(of, weights=count, minlength=len(names)).astype(np.int64)
+    single = np.bincount(of[count == 1], minlength=len(names))
+    ids, at = np.unique(word[some], return_inverse=True)
+    rows = [
+        _row(LIVE, bucket, _pack(names, _steps(of[live]), word[live], count[live].astype(np.uint32), single.astype(np.uint32))),
+        _row(WORDS, bucket, _pack(_steps(ids), np.bincount(at, weights=~live[some], minlength=len(ids)).astype(np.uint32), np.bincount(at, weights=live[some], minlength=len(ids)).astype(np.uint32))),
+        _row(SUMS, bucket, None, x=[float(seen.sum()), float((seen > 0).sum()), float(some.sum())]),
+    ]
+    live_at = np.cumsum(live) - 1
+    w = p = 0
+    for sid, a in zip(slices, asked):
+        ws, ps = back[w : w + len(a[0])], pair_of[p : p + len(a[3])]
+        w, p = w + len(a[0]), p + len(a[3])
+        rows.append(_row(COUNTS, bucket, _pack(seen[ws].astype(np.uint32), total[ws].astype(np.uint32), count[ps].astype(np.uint32)), sid))
+        rows.append(_row(PLACES, bucket, _pack(_steps(ws), _steps(live_at[ps[live[ps]]])), sid))
+    return pa.Table.from_batches([_rows(rows)])
+
+
+def _words(batches):
+    """(id, bucket, singles, lives) of the words that a bucket's restaurants serve."""
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
+            ids, single, live = _unpack(blob.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(ids).astype(np.int64)), pa.array(np.full(len(ids), bucket, np.int32)), pa.array(single.astype(np.int64)), pa.array(live.astype(np.int64))], names=["id", "bucket", "single", "live"])
+
+
+def _restaurants(sweeps: int, keep: int, seed: int, last: bool):
+    """Seats a bucket's live dishes, given its words' probabilities: the tables of its words and, at last, what its slices asked."""
+
     def run(t: pa.Table) -> pa.Table:
-        slices = t.column("slice").to_pylist()
+        kind = t.column("kind").to_numpy()
         bucket = t.column("bucket")[0].as_py()
-        asked = [_unpack(b.as_py()) for b in t.column("blob")]
-        names, back = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        key = np.repeat(back, np.concatenate([a[1] for a in asked]).astype(np.int64)) * contexts + np.concatenate([a[2] for a in asked])
-        pairs, pair_of = np.unique(key, return_inverse=True)
-        count = np.bincount(pair_of, weights=np.concatenate([a[3] for a in asked]), minlength=len(pairs)).astype(np.int64)
-        word, ctx = pairs // contexts, pairs % contexts
-        c = np.bincount(word, weights=count, minlength=len(names)).astype(np.int64)
-        known = np.flatnonzero(c)
-        dense = np.cumsum(c > 0) - 1
-        seen = np.flatnonzero(count)
-        tables, root, top, context_tables = sample(dense[word[seen]], ctx[seen], count[seen], len(known), contexts, buckets, seed + bucket)
-        part = np.zeros(len(pairs), dtype=np.float32)
-        part[seen] = count[seen] - DISCOUNT * tables
-        own = np.zeros(len(names), dtype=np.float32)
-        own[known] = root - ROOT_DISCOUNT * top
-        totals = np.concatenate([[c.sum(), len(known), root.sum(), top.sum()], context_tables])
-        out, w, p = [(-1, bucket, _pack(totals))], 0, 0
-        for sid, a in zip(slices, asked):
-            ws, ps = back[w : w + len(a[0])], pair_of[p : p + len(a[2])]
-            w, p = w + len(a[0]), p + len(a[2])
-            out.append((sid, bucket, _pack(c[ws].astype(np.uint64), own[ws], part[ps])))
-        s, b, blob = zip(*out)
-        return pa.table({"slice": pa.array(s, pa.int64()), "bucket": pa.array(b, pa.int32()), "blob": pa.array(blob, pa.binary())})
+        blobs, slices = t.column("blob"), t.column("slice")
+        place = np.flatnonzero(kind == LIVE)
+        if not len(place):
+            return pa.Table.from_batches([_rows([])])
+        names, of, word, count, single = _unpack(blobs[int(place[0])].as_py())
+        of = np.cumsum(of)
+        given = t.filter(pa.array(kind == ROOTS))
+        ids = given.column("id").to_numpy().astype(np.uint64)
+        p = np.asarray([x[0] for x in given.column("x").to_pylist()], dtype=np.float64)
+        by = np.argsort(ids)
+        p = p[by][np.searchsorted(ids[by], word)] if len(word) else np.zeros(0)
+        samples = seat(of, count.astype(np.int64), p, single.astype(np.int64), word, names >> np.uint64(24), sweeps, keep, seed)
+        ids, at = np.unique(word, return_inverse=True)
+        tables = np.stack([np.bincount(at, weights=x, minlength=len(ids)) for x, _ in samples], axis=1).astype(np.int32)
+        n, k = tables.shape
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(tables.reshape(-1)))
+        none = lambda f: pa.nulls(n, f.type)
+        full = lambda v, f: pa.array(np.full(n, v), f.type)
+        cols = [full(ROOTS, _SCHEMA[0]), full(-1, _SCHEMA[1]), full(bucket, _SCHEMA[2]), none(_SCHEMA[3]), pa.array(ids.astype(np.int64)), lists, none(_SCHEMA[6])]
+        out = [pa.RecordBatch.from_arrays(cols, schema=_SCHEMA)]
+        if last:
+            rows = []
+            for i in np.flatnonzero(kind == PLACES).tolist():
+                ws, ls = (np.cumsum(x) for x in _unpack(blobs[i].as_py()))
+                rows.append(_row(TABLES, bucket, _pack(*[x[ls].astype(np.uint32) for x, _ in samples], *[y[ws].astype(np.uint32) for _, y in samples]), slices[i].as_py()))
+            out.append(_rows(rows))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def _sum_blobs(t: pa.Table) -> pa.Table:
-    total = sum(_unpack(b.as_py())[0] for b in t.column("blob"))
-    return pa.table({"v": pa.array([total.tolist()], pa.list_(pa.float64()))})
+def _root_tables(samples: int, weights: list[float], seed: int):
+    """Tables of the root's dishes (id, c array<int>) in each sample."""
 
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            id_ = np.asarray(batch.column(0)).astype(np.uint64)
+            c = np.asarray(batch.column(1).flatten()).astype(np.int64).reshape(-1, samples)
+            t = np.stack([np.minimum(sweep(c[:, s], np.full(len(c), weights[s]), ROOT_DISCOUNT, mix(id_ + np.uint64(seed + s)), 1), c[:, s]) for s in range(samples)], axis=1).astype(np.int32)
+            offsets = pa.array(np.arange(len(c) + 1, dtype=np.int32) * samples)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(t.reshape(-1)))], names=["id", "c", "t"])
 
-def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "text", contexts: int = CONTEXTS, seed: int = 11) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) of every row.
+    return run
 
-    train: the condition (null: false) under which a row's text is learnt
-    from.  A text's tokens are its lower-cased words and one end; null and
-    empty texts have the end alone.  base_score is the sum of the log10 of
-    add-one unigram probabilities, score that of the model's probabilities.
-    Words not in training share the unknown word's probability.  Without
-    training rows every token has the base probability.  Repeated rows are
-    rows of their own; an empty table gives no rows; other columns are left out.
+
+def _root(single: DataFrame, up: DataFrame, samples: int, v: float, seed: int) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """(id, c, t) of every word, and (customers, tables) of the root in each sample.
+
+    The weight of a new table depends on the number of all tables: a first
+    seating gives that number for the second.
     """
-    d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    size = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(4, size // BUCKET)
-    dealt = written(_dealt(d, contexts, buckets), "tokens")
-    replies = written(dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(_fit_bucket(contexts, buckets, seed), "slice long, bucket int, blob binary"), "replies")
-    # Totals: a vector of contexts + 4 numbers a bucket and of contexts a slice, added up in groups on the cluster.
-    many = lambda df: df.groupBy(F.pmod(F.hash("slice", "bucket"), F.lit(64))).applyInArrow(_sum_blobs, "v array<double>").collect()
-    found = many(replies.where("slice = -1"))
-    if not found:
-        return d.select("id", *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")], *[F.lit(0.0).alias(c) for c in ("base_score", "score")])
-    totals = np.sum([r[0] for r in found], axis=0)
-    customers = np.sum([r[0] for r in many(_context_counts(dealt.where("bucket = -1")))], axis=0)
-    n_train, v, root, top = totals[:4]
-    unknown = (ROOT_STRENGTH + ROOT_DISCOUNT * top) / (v + 1)
-    share = (STRENGTH + DISCOUNT * totals[4:]) / (STRENGTH + customers)
+    sums = up.groupBy("id").agg(F.array(*[F.sum(F.col("v")[s]).cast("int") for s in range(samples)]).alias("u"))
+    every = single.join(sums, "id", "left").select("id", F.array(*[(F.col("single") + F.coalesce(F.col("u")[s], F.lit(0))).cast("int") for s in range(samples)]).alias("c"))
+    every = written(every, "customers")
+    weight = lambda tables: [(ROOT_STRENGTH + ROOT_DISCOUNT * x) / (v + 1) for x in tables]
+    seated = lambda tables, k: every.mapInArrow(_root_tables(samples, weight(tables), seed + k), "id long, c array<int>, t array<int>")
+    total = lambda df: df.agg(*[F.sum(F.col(x)[s].cast("long")) for x in ("c", "t") for s in range(samples)]).first()
+    words = written(seated(total(seated([v] * samples, 0))[samples:], samples), "root")
+    found = total(words)
+    return words, [(float(found[s]), float(found[samples + s])) for s in range(samples)]
+
+
+def _known_words(samples: int):
+    """What the slices of a bucket asked of its words: customers and tables at the root in each sample."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kind, bucket = t.column("kind").to_numpy(), t.column("bucket")[0].as_py()
+        blobs, slices = t.column("blob"), t.column("slice")
+        place = np.flatnonzero(kind == LIVE)
+        if not len(place):
+            return pa.Table.from_batches([_rows([])])
+        names = _unpack(blobs[int(place[0])].as_py())[0] >> np.uint64(24)
+        given = t.filter(pa.array(kind == ROOTS))
+        ids = given.column("id").to_numpy().astype(np.uint64)
+        value = np.asarray(given.column("v").combine_chunks().flatten()).astype(np.uint32).reshape(-1, 2 * samples)
+        by = np.argsort(ids)
+        out = np.zeros((len(names), 2 * samples), dtype=np.uint32)
+        if len(ids):
+            at = np.minimum(np.searchsorted(ids[by], names), len(ids) - 1)
+            hit = ids[by][at] == names
+            out[hit] = value[by][at[hit]]
+        rows = []
+        for i in np.flatnonzero(kind == PLACES).tolist():
+            ws = np.cumsum(_unpack(blobs[i].as_py())[0])
+            rows.append(_row(ROOTS, bucket, _pack(*[np.ascontiguousarray(out[ws, j]) for j in range(2 * samples)]), slices[i].as_py()))
+        return pa.Table.from_batches([_rows(rows)])
 
+    return run
+
+
+def _scored(buckets: int, n_train: int, v: float, totals: list[tuple[float, float]]):
     def run(t: pa.Table) -> pa.Table:
-        state, parts = None, {}
-        for b, blob in zip(t.column("bucket").to_pylist(), t.column("blob")):
-            if b < 0:
-                state = _unpack(blob.as_py())
+        kinds, of = t.column("kind").to_pylist(), t.column("bucket").to_pylist()
+        held = {k: {} for k in (COUNTS, TABLES, ROOTS)}
+        s = None
+        for kind, b, blob in zip(kinds, of, t.column("blob")):
+            if kind == TOKENS:
+                s = Slice(blob.as_py(), buckets)
             else:
-                parts[b] = _unpack(blob.as_py())
-        ids, missing, learnt, n, pair_of, word, ctx, _ = state
-        word = np.cumsum(word.astype(np.int64))
-        c, own, part = (np.concatenate([parts[b][k] for b in sorted(parts)]).astype(np.float64) for k in range(3))
-        p = (own[word] + unknown) / (ROOT_STRENGTH + root)
-        log = np.log10(part / (STRENGTH + customers[ctx]) + share[ctx] * p)[pair_of]
-        first = (np.cumsum(n.astype(np.int64)) - n).astype(np.int64)
-        token_c = c[word][pair_of]
-        add = lambda x: np.add.reduceat(x, first)
+                held[kind][b] = _unpack(blob.as_py())
+        order = sorted(held[COUNTS])
+        join = lambda kind, k: np.concatenate([held[kind][b][k] for b in order]).astype(np.float64)
+        seen, total, count = (join(COUNTS, k) for k in range(3))
+        own, back = count[:] / (STRENGTH + total[s.context]), 1 / (STRENGTH + total[s.context])
+        p = np.zeros(len(count))
+        live = count > 1
+        for k, (customers, tables) in enumerate(totals):
+            t_pair = (count > 0).astype(np.float64)
+            t_pair[live] = join(TABLES, k)
+            t_context = join(TABLES, KEPT + k)
+            base = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (v + 1)
+            root = (join(ROOTS, k) - ROOT_DISCOUNT * join(ROOTS, KEPT + k) + base) / (ROOT_STRENGTH + customers)
+            p += own - DISCOUNT * t_pair * back + (STRENGTH + DISCOUNT * t_context[s.context]) * back * root[s.after]
+        log = np.log10(p / len(totals))[s.pair_of]
+        c = seen[s.word]
+        add = lambda x: np.add.reduceat(x, s.first)
         return pa.table(
             {
-                "id": pa.array(ids, mask=missing),
-                "n_tokens": pa.array(n.astype(np.int64)),
-                "n_known": pa.array(add((token_c > 0).astype(np.int64))),
-                "train_tokens": pa.array(np.full(len(n), int(n_train), np.int64)),
-                "base_score": pa.array(add(np.log10((token_c + 1) / (n_train + v + 1)))),
-                "score": pa.array(add(log)),
+                "id": pa.array(s.ids, mask=s.missing), "n_tokens": pa.array(s.n), "n_known": pa.array(add((c > 0).astype(np.int64))),
+                "train_tokens": pa.array(np.full(len(s.n), n_train, np.int64)), "base_score": pa.array(add(np.log10((c + 1) / (n_train + v + 1)))), "score": pa.array(add(log)),
             }
-        )
+        )
 
-    both = dealt.where("bucket = -1").unionByName(replies.where("slice <> -1"))
-    return both.groupBy("slice").applyInArrow(run, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return run
 
 
-def _context_counts(states: DataFrame) -> DataFrame:
-    """The slices' training counts by context, a row a slice."""
+def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "text", seed: int = 11, bucket_bytes: int = BUCKET) -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
+    train: the condition (null: false) under which a row's text is learnt
+    from.  A text's tokens are its lower-cased words and one end; null and
+    empty texts have the end alone.  base_score is the sum of the log10 of
+    add-one unigram probabilities, score that of the model's probabilities,
+    each the mean over the kept samples.  Words not in training share the
+    unknown word's probability; contexts not in training fall back to the
+    root.  Without training rows every token has the base probability.
+    Repeated rows are rows of their own; an empty table gives no rows; other
+    columns are left out.  Restaurants and random numbers go by the upper 40
+    bits of a word's hash: words that share them share a parent dish, counts
+    never.  The number of buckets only deals the work and changes no score.
+    """
+    d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    size = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(4, size // bucket_bytes)
+    tokens = written(d.mapInArrow(_sliced, _ROW), "tokens")
+    held = written(tokens.mapInArrow(_questions(buckets), _ROW).groupBy("bucket").applyInArrow(_combine, _ROW), "counts")
+    found = held.where(F.col("kind") == SUMS).agg(*[F.sum(F.col("x")[i]) for i in range(3)]).first()
+    n_train, v, pairs = (float(x or 0) for x in found)
+    if not n_train:
+        return _untrained(tokens)
+    words = held.where(F.col("kind") == WORDS).select("bucket", "blob").mapInArrow(_words, "id long, bucket int, single long, live long")
+    words = written(words, "words")
+    blank = {"kind": F.lit(ROOTS), "slice": F.lit(-1).cast("long"), "blob": F.lit(None).cast("binary"), "v": F.lit(None).cast("array<int>"), "x": F.lit(None).cast("array<double>")}
+    shaped = lambda df, **given: df.select(*[given.get(c, blank.get(c, F.col(c))).alias(c) for c in ("kind", "slice", "bucket", "blob", "id", "v", "x")])
+    # To begin with every pair has one table.
+    all_tables = F.sum(F.col("single") + F.col("live")).over(Window.partitionBy("id"))
+    start = words.withColumn("c", all_tables).where("live > 0")
+    p = (F.col("c") + F.lit(ROOT_STRENGTH / (v + 1))) / F.lit(ROOT_STRENGTH + pairs)
+    lives = held.where(F.col("kind") == LIVE)
+    single = written(words.groupBy("id").agg(F.sum("single").alias("single")), "single")
+    first = lives.unionByName(shaped(start, x=F.array(p))).groupBy("bucket").applyInArrow(_restaurants(FIRST, 1, seed, False), _ROW)
+    up = written(first, "first").where(F.col("kind") == ROOTS)
+    root, ((customers, tables),) = _root(single, up, 1, v, seed)
+    base = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (v + 1)
+    p = (F.col("c")[0] - ROOT_DISCOUNT * F.col("t")[0] + F.lit(base)) / F.lit(ROOT_STRENGTH + customers)
+    second = shaped(up.select("bucket", "id").join(root.select("id", p.alias("p")), "id"), x=F.array("p"))
+    places = held.where(F.col("kind") == PLACES)
+    told = lives.unionByName(places).unionByName(second).groupBy("bucket").applyInArrow(_restaurants(BURN + KEPT, KEPT, seed + 7, True), _ROW)
+    told = written(told, "tables")
+    root, totals = _root(single, told.where(F.col("kind") == ROOTS), KEPT, v, seed + 13)
+    asked = shaped(root.withColumn("bucket", F.pmod("id", F.lit(buckets)).cast("int")), v=F.concat("c", "t"))
+    known = lives.unionByName(places).unionByName(asked).groupBy("bucket").applyInArrow(_known_words(KEPT), _ROW)
+    answers = [held.where(F.col("kind") == COUNTS), told.where(F.col("kind") == TABLES), known]
+    both = tokens
+    for a in answers:
+        both = both.unionByName(a)
+    return both.select("kind", "slice", "bucket", "blob").groupBy("slice").applyInArrow(_scored(buckets, int(n_train), v, totals), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _untrained(tokens: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            got = [_pack(_unpack(b.as_py())[7]) for b in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["slice", "bucket", "blob"])
+            for blob in batch.column("blob"):
+                ids, missing, _, n, _, _ = _unpack(blob.as_py())
+                none = pa.array(np.zeros(len(n), np.int64))
+                zero = pa.array(np.zeros(len(n)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=missing), pa.array(n.astype(np.int64)), none, none, zero, zero], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return states.mapInArrow(run, "slice long, bucket int, blob binary")
+    return tokens.mapInArrow(run, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

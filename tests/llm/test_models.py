@@ -86,16 +86,150 @@ def test_language_model_is_a_distribution(spark):
     assert 0 < cat_end < 1 and 0 < mass < 1
 
 
-def test_seating_keeps_customers():
-    rng = np.random.default_rng(0)
-    r = pitmanyor.Restaurants(np.array([1, 2, 5, 400, 0, 3]), rng)
-    weight = lambda i: np.full(len(i), 2.0)
-    r.seat(weight, 0.5)
-    for _ in range(50):
-        r.step(weight, 0.5)
-        assert np.array_equal(np.bincount(r.tp, weights=r.ts, minlength=len(r.live)), r.c[r.live])
-        assert np.array_equal(np.bincount(r.tp, minlength=len(r.live)), r.t[r.live]) and (r.ts > 0).all()
-    assert r.t[0] == 1 and r.t[4] == 0
+class Plain:
+    """The same model, customer by customer: tables with their customers in every restaurant and at the root."""
+
+    def __init__(self, texts, rnd):
+        self.rnd, self.tables, self.top = rnd, {}, {}
+        self.customers = [(u, w) for t in texts for u, w in zip(["<s>", *t], [*t, "</s>"])]
+        self.v = len({w for _, w in self.customers})
+        self.seats = [None] * len(self.customers)
+        for i in range(len(self.customers)):
+            self.sit(i)
+
+    def root(self, w):
+        d, th = pitmanyor.ROOT_DISCOUNT, pitmanyor.ROOT_STRENGTH
+        own, tables, customers = self.top.get(w, []), sum(len(x) for x in self.top.values()), sum(map(sum, self.top.values()))
+        return (sum(own) - d * len(own) + (th + d * tables) / (self.v + 1)) / (th + customers)
+
+    def at(self, u):
+        mine = [x for (c, _), x in self.tables.items() if c == u]
+        return sum(map(sum, mine)), sum(map(len, mine))
+
+    def p(self, u, w):
+        d, th = pitmanyor.DISCOUNT, pitmanyor.STRENGTH
+        own = self.tables.get((u, w), [])
+        c, t = self.at(u)
+        return (sum(own) - d * len(own) + (th + d * t) * self.root(w)) / (th + c)
+
+    def _choose(self, weights):
+        return self.rnd.choices(range(len(weights)), weights)[0]
+
+    def sit(self, i):
+        u, w = self.customers[i]
+        own = self.tables.setdefault((u, w), [])
+        new = (pitmanyor.STRENGTH + pitmanyor.DISCOUNT * self.at(u)[1]) * self.root(w)
+        k = self._choose([n - pitmanyor.DISCOUNT for n in own] + [new])
+        if k < len(own):
+            own[k] += 1
+            return
+        own.append(1)
+        d, top = pitmanyor.ROOT_DISCOUNT, self.top.setdefault(w, [])
+        k = self._choose([n - d for n in top] + [(pitmanyor.ROOT_STRENGTH + d * sum(len(x) for x in self.top.values())) / (self.v + 1)])
+        if k < len(top):
+            top[k] += 1
+        else:
+            top.append(1)
+
+    def leave(self, i):
+        u, w = self.customers[i]
+        own = self.tables[u, w]
+        k = self._choose(own)
+        own[k] -= 1
+        if own[k]:
+            return
+        del own[k]
+        top = self.top[w]
+        j = self._choose(top)
+        top[j] -= 1
+        if not top[j]:
+            del top[j]
+
+
+@pytest.fixture(scope="module")
+def small_corpus():
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(14)]
+    after = {w: rnd.choices(words, k=4) for w in words}
+
+    def text(n):
+        out = [rnd.choice(words)]
+        while len(out) < n:
+            out.append(rnd.choice(after[out[-1]]) if rnd.random() < 0.8 else rnd.choice(words))
+        return out
+
+    return [text(rnd.randint(1, 14)) for _ in range(50)]
+
+
+def test_language_model_agrees_with_plain_sampling(spark, small_corpus):
+    """Scores of held-out texts against a sampler that moves one customer at a time, within the error of both."""
+    train, held = small_corpus[:38], small_corpus[38:] + [["unseen", "w1"], []]
+    chains = []
+    for seed in range(3):
+        m = Plain(train, random.Random(seed))
+        sums, n = [np.zeros(len(t) + 1) for t in held], 0
+        for sweep in range(60):
+            for i in range(len(m.customers)):
+                m.leave(i)
+                m.sit(i)
+            if sweep >= 20:
+                n += 1
+                for k, t in enumerate(held):
+                    sums[k] += [m.p(u, w) for u, w in zip(["<s>", *t], [*t, "</s>"])]
+        chains.append([float(np.log10(x / n).sum()) for x in sums])
+    want = np.mean(chains, axis=0)
+    rows = [(i, " ".join(t)) for i, t in enumerate(train)] + [(100 + k, " ".join(t)) for k, t in enumerate(held)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = []
+    for seed in range(4):
+        got = {r["id"]: r["score"] for r in pitmanyor.score_documents(df, F.col("doc_id") < 100, seed=seed).collect()}
+        runs.append([got[100 + k] for k in range(len(held))])
+    found = np.mean(runs, axis=0)
+    tokens = np.array([len(t) + 1 for t in held])
+    # A tenth of the gain over the base would be a model that did not learn; the samplers differ by far less.
+    assert np.abs(found - want).max() < 0.25 and abs((found - want).sum()) / tokens.sum() < 0.015
+    assert np.std([sum(r) for r in runs]) / tokens.sum() < 0.02
+
+
+def test_language_model_does_not_depend_on_buckets(spark, small_corpus):
+    df = spark.createDataFrame([(i, " ".join(t * 3)) for i, t in enumerate(small_corpus)], "doc_id long, text string").repartition(3, "doc_id")
+    score = lambda size: {r["id"]: round(r["score"], 9) for r in pitmanyor.score_documents(df, F.col("doc_id") % 5 > 0, bucket_bytes=size).collect()}
+    assert score(1 << 23) == score(100)
+
+
+def test_large_dishes_are_seated_like_small_ones(monkeypatch):
+    """Tables of large dishes, seated in blocks of any size, are those of one customer after the other."""
+    rng = np.random.default_rng(1)
+    c, a, key = np.array([3000, 700, 2, 1] * 10), np.array([20.0, 0.5, 3.0, 1.0] * 10), rng.integers(0, 2**63, 40).astype(np.uint64)
+    want = pitmanyor.propose(c, a, 0.5, key, 7)
+    for crowd, block in ((50, 1 << 19), (256, 500), (5000, 1 << 19)):
+        monkeypatch.setattr(pitmanyor, "CROWD", crowd)
+        monkeypatch.setattr(pitmanyor, "BLOCK", block)
+        t, w = pitmanyor.propose(c, a, 0.5, key, 7)
+        assert np.array_equal(t, want[0]) and np.allclose(w, want[1])
+    assert (want[0] >= 1).all() and (want[0] <= c).all() and (want[0][c == 1] == 1).all()
+
+
+def test_seating_has_the_exact_distribution():
+    """Table counts of a dish of six against the sum over all its seatings."""
+    d, a, n = 0.75, 0.8, 6
+    weight = {}
+
+    def extend(sizes, left, w):
+        if not left:
+            weight[len(sizes)] = weight.get(len(sizes), 0) + w
+            return
+        extend([*sizes, 1], left - 1, w * a)
+        for k in range(len(sizes)):
+            extend([*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]], left - 1, w * (sizes[k] - d))
+
+    extend([1], n - 1, 1.0)
+    total = sum(weight.values())
+    key = np.arange(40_000, dtype=np.uint64)
+    t = pitmanyor.sweep(np.full(40_000, n), np.full(40_000, a), d, pitmanyor.mix(key), 1, tries=12)
+    for k, w in weight.items():
+        assert abs((t == k).mean() - w / total) < 0.015
+    assert abs(pitmanyor.gamma(np.full(40_000, 3.5), pitmanyor.mix(key), 5).mean() - 3.5) < 0.05
 
 
 def test_quality(spark):
