@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,20 +108,3 @@ def test_reduced_panel_compares_whole_sequences(spark, corpus):
         want[lang, bases(text)] = (min(first, i), n + 1)
     got = {(r["lang"], r["seq"]): (r["first_id"], r["n"]) for r in catalogue.QUERIES["reduced_panel"](spark, d).collect()}
     assert got == want and (6000, 2) in got.values() and (6001, 1) in got.values()
-
-
-def test_language_model_seats_every_customer(monkeypatch):
-    """Tables of large dishes, seated in blocks of any size, are those of seating one customer after the other."""
-    pitmanyor = pytest.importorskip("lociforge.llm.pitmanyor")
-    size, weight, discount, dishes = 3000, 20.0, 0.5, 150
-    rnd, want = random.Random(1), []
-    for _ in range(dishes):
-        t = 1
-        for n in range(1, size):
-            t += rnd.random() * (weight + n - discount * t) < weight
-        want.append(t)
-    for block in (1 << 19, 5000):
-        monkeypatch.setattr(pitmanyor, "BLOCK", block, raising=False)
-        r = pitmanyor.Restaurants(np.array([size] * dishes + [300, 2]), np.random.default_rng(2))
-        r.seat(lambda i: np.full(len(i), weight), discount)
-        assert np.array_equal(np.bincount(r.tp, weights=r.ts), r.c) and abs(r.t[:dishes].mean() - np.mean(want)) < 5 * np.std(want) / dishes**0.5
