@@ -13,9 +13,9 @@ context, the word before (or the start of the text), whose parent is the root.
    weighed against each other by the ratio of the seating's probability to the
    proposal's (they are drawn from random numbers that belong to the dish, so
    they are the same however the corpus is dealt).
-3. Every table is a customer of the root.  Buckets send the tables of their
-   words to the root, which seats them in the same way and sends the words'
-   probabilities back; sweeps go on from there.
+3. Every table is a customer of the root, whose dishes lie in shards.  Buckets
+   send the tables of their words to the shards, which seat them in the same
+   way and send the words' probabilities back; sweeps go on from there.
 4. Of each kept sample, the tables of pairs, of contexts and of the root go back
    to the slices that asked; a token's probability is the mean over the samples
    of the probability that each predicts.
@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_slices, written
@@ -36,16 +36,18 @@ from .wordscan import mix, scan
 DISCOUNT, STRENGTH = 0.75, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 20.0
 #: Sweeps before the root's first answer, sweeps after it that are not kept, samples kept, proposals of a sweep.
-FIRST, BURN, KEPT, TRIES = 3, 2, 4, 4
+FIRST, BURN, KEPT, TRIES = 2, 1, 4, 3
 SLICE, BUCKET = 6 << 20, 8 << 20
+#: Words of a shard of the root, about.
+SHARD_WORDS = 1 << 19
 #: Customers that are seated one step at a time over all dishes, and how many at once beyond.
 CROWD, BLOCK = 256, 1 << 19
 END, START = np.uint64(0x51ED270B35F7A3C9), np.uint64(0x2C1B3C6D9E77A5F1)
 _GOLD = 0x9E3779B97F4A7C15
-_ROW = "kind int, slice long, bucket int, blob binary, id long, v array<int>, x array<double>"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("id", pa.int64()), ("v", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])
-#: Kinds of rows: live dishes; what a slice is told of counts; where a slice's questions stand; words of a bucket; sums; a slice's samples; words' samples; a slice's tokens.
-LIVE, COUNTS, PLACES, WORDS, SUMS, TABLES, ROOTS, TOKENS = range(8)
+_ROW = "kind int, slice long, bucket int, blob binary, x array<double>"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("x", pa.list_(pa.float64()))])
+#: Kinds of rows: live dishes; a bucket's names; what a slice is told of counts; where a slice's questions stand; words of a bucket; sums; a slice's samples; answers of the root; a slice's tokens; tables for the root; a shard's words.
+LIVE, NAMES, COUNTS, PLACES, WORDS, SUMS, TABLES, ROOTS, TOKENS, UP, SHARD = range(11)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -79,7 +81,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _row(kind: int, bucket: int, blob: bytes | None, sid: int = -1, x: list | None = None) -> tuple:
-    return kind, sid, bucket, blob, None, None, x
+    return kind, sid, bucket, blob, x
+
+
+def _of(t: pa.Table, kind: int):
+    """(slice, arrays) of a group's rows of a kind."""
+    for k, sid, blob in zip(t.column("kind").to_pylist(), t.column("slice").to_pylist(), t.column("blob")):
+        if k == kind:
+            yield sid, _unpack(blob.as_py())
 
 
 def uniform(key: np.ndarray, k) -> np.ndarray:
@@ -201,64 +210,77 @@ def _tokens(words) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def _sliced(batches):
-    """One row a slice: its documents, its words and its tokens as places among the words, the frequent ones first."""
-    task = TaskContext.get()
-    sid = (task.partitionId() if task else 0) << 32
-    for part in text_slices(batches, "text", SLICE):
-        tokens, n = _tokens(scan(part.column(1)))
-        names, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
-        del tokens
-        by = np.argsort(-times, kind="stable")
-        place = np.empty(len(by), dtype=np.uint32)
-        place[by] = np.arange(len(by), dtype=np.uint32)
-        ids = part.column(0)
-        blob = _pack(np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), np.asarray(part.column(2).fill_null(False)), n.astype(np.uint32), names[by], place[at])
-        yield _rows([_row(TOKENS, -1, blob, sid)])
-        sid += 1
+_TOKENS = "slice long, blob binary, names binary"
+
+
+def _sliced(buckets: int):
+    """One row a slice: its documents, its tokens as ranks of its words by frequency with the places of the ranks, and its words."""
+
+    def run(batches):
+        task = TaskContext.get()
+        sid = (task.partitionId() if task else 0) << 32
+        for part in text_slices(batches, "text", SLICE):
+            tokens, n = _tokens(scan(part.column(1)))
+            names, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            del tokens
+            by = np.argsort(-times, kind="stable")
+            rank = np.empty(len(by), dtype=np.uint32)
+            rank[by] = np.arange(len(by), dtype=np.uint32)
+            names = np.append(names[by], START)
+            # Words stand in order of bucket and hash, the start among them.
+            order = np.lexsort((names, _bucket(names, buckets)))
+            place = np.empty(len(order), dtype=np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            ids = part.column(0)
+            blob = _pack(np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), np.asarray(part.column(2).fill_null(False)), n.astype(np.uint32), place, rank[at])
+            yield pa.RecordBatch.from_arrays([pa.array([sid]), pa.array([blob], pa.binary()), pa.array([_pack(names[order])], pa.binary())], names=["slice", "blob", "names"])
+            sid += 1
+
+    return run
+
+
+def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
+    return ((names >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
 
 
 class Slice:
-    """A slice's words in order of bucket and hash (the start among them), its tokens and its pairs (context, word)."""
-
-    def __init__(self, blob: bytes, buckets: int):
-        self.ids, self.missing, self.train, n, names, tokens = _unpack(blob)
-        self.n = n.astype(np.int64)
-        names = np.append(names, START)
-        to = (names >> np.uint64(24)) % np.uint64(buckets)
-        by = np.lexsort((names, to))
-        place = np.empty(len(by), dtype=np.int64)
-        place[by] = np.arange(len(by))
-        self.names, self.to = names[by], to[by].astype(np.int64)
-        self.word = place[tokens]
+    """A slice's tokens as places among its words, and its pairs (context, word) with their counts."""
+
+    def __init__(self, blob: bytes):
+        self.ids, self.missing, self.train, n, place, rank = _unpack(blob)
+        self.n, self.words = n.astype(np.int64), len(place)
+        place = place.astype(np.int64)
+        self.word = place[rank]
         self.first = np.cumsum(self.n) - self.n
-        before = np.empty(len(tokens), dtype=np.int64)
+        before = np.empty(len(rank), dtype=np.int64)
         before[1:] = self.word[:-1]
         before[self.first] = place[-1]
-        pairs, self.pair_of = np.unique(before * len(names) + self.word, return_inverse=True)
-        self.context, self.after = pairs // len(names), pairs % len(names)
-        learnt = np.repeat(self.train, self.n)
-        self.count = np.bincount(self.pair_of, weights=learnt, minlength=len(pairs)).astype(np.int64)
-        self.seen = np.bincount(self.word, weights=learnt, minlength=len(names)).astype(np.int64)
+        pairs, self.pair_of = np.unique(before * self.words + self.word, return_inverse=True)
+        self.context, self.after = pairs // self.words, pairs % self.words
 
-    def cuts(self, buckets: int):
-        """(bucket, range of words, range of pairs) of each bucket that the slice asks."""
-        have = np.unique(self.to)
-        w = np.append(np.searchsorted(self.to, have), len(self.to))
-        p = np.searchsorted(self.context, w)
-        for i, b in enumerate(have.tolist()):
-            yield b, slice(w[i], w[i + 1]), slice(p[i], p[i + 1])
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of words and of pairs."""
+        learnt = np.repeat(self.train, self.n)
+        return np.bincount(self.word, weights=learnt, minlength=self.words), np.bincount(self.pair_of, weights=learnt, minlength=len(self.context))
 
 
 def _questions(buckets: int):
+    """What a slice asks each bucket: its words and their counts, and the words after each with theirs."""
+
     def run(batches):
         for batch in batches:
-            for sid, blob in zip(batch.column("slice").to_pylist(), batch.column("blob")):
-                s = Slice(blob.as_py(), buckets)
+            for sid, blob, names in zip(batch.column("slice").to_pylist(), batch.column("blob"), batch.column("names")):
+                s, names = Slice(blob.as_py()), _unpack(names.as_py())[0]
+                seen, count = (x.astype(np.uint32) for x in s.counts())
+                to = _bucket(names, buckets)
+                have = np.unique(to)
+                w = np.append(np.searchsorted(to, have), len(to))
+                p = np.searchsorted(s.context, w)
                 rows = []
-                for b, w, p in s.cuts(buckets):
-                    each = np.bincount(s.context[p] - w.start, minlength=w.stop - w.start).astype(np.uint32)
-                    rows.append(_row(TOKENS, b, _pack(s.names[w], s.seen[w].astype(np.uint32), each, s.names[s.after[p]] >> np.uint64(24), s.count[p].astype(np.uint32)), sid))
+                for i, b in enumerate(have.tolist()):
+                    words, pairs = slice(w[i], w[i + 1]), slice(p[i], p[i + 1])
+                    each = np.bincount(s.context[pairs] - w[i], minlength=w[i + 1] - w[i]).astype(np.uint32)
+                    rows.append(_row(TOKENS, b, _pack(names[words], seen[words], each, names[s.after[pairs]] >> np.uint64(24), count[pairs]), sid))
                 yield _rows(rows)
 
     return run
@@ -280,7 +302,8 @@ def _combine(t: pa.Table) -> pa.Table:
     single = np.bincount(of[count == 1], minlength=len(names))
     ids, at = np.unique(word[some], return_inverse=True)
     rows = [
-        _row(LIVE, bucket, _pack(names, _steps(of[live]), word[live], count[live].astype(np.uint32), single.astype(np.uint32))),
+        _row(NAMES, bucket, _pack(names)),
+        _row(LIVE, bucket, _pack(_steps(of[live]), word[live], count[live].astype(np.uint32), single.astype(np.uint32))),
         _row(WORDS, bucket, _pack(_steps(ids), np.bincount(at, weights=~live[some], minlength=len(ids)).astype(np.uint32), np.bincount(at, weights=live[some], minlength=len(ids)).astype(np.uint32))),
         _row(SUMS, bucket, None, x=[float(seen.sum()), float((seen > 0).sum()), float(some.sum())]),
     ]
@@ -294,120 +317,144 @@ def _combine(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(rows)])
 
 
-def _words(batches):
-    """(id, bucket, singles, lives) of the words that a bucket's restaurants serve."""
-    for batch in batches:
-        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
-            ids, single, live = _unpack(blob.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(ids).astype(np.int64)), pa.array(np.full(len(ids), bucket, np.int32)), pa.array(single.astype(np.int64)), pa.array(live.astype(np.int64))], names=["id", "bucket", "single", "live"])
+def _dealt_words(buckets: int, shards: int):
+    """A bucket's words to the shards of the root that hold them."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
+                ids, single, live = _unpack(blob.as_py())
+                ids = np.cumsum(ids)
+                yield _rows([_row(WORDS, k, _pack(_steps(ids[at]), single[at], live[at]), bucket) for k, at in _by_shard(ids, buckets, shards)])
+
+    return run
+
+
+def _by_shard(ids: np.ndarray, buckets: int, shards: int):
+    """(shard, places) of ascending ids; a shard holds whole buckets of words."""
+    to = (ids % np.uint64(buckets) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    have = np.unique(to)
+    for k, at in zip(have.tolist(), np.split(order, np.searchsorted(to[order], have[1:]))):
+        yield k, at
+
+
+def _root_tables(ids: np.ndarray, c: np.ndarray, weights: list[float], seed: int) -> np.ndarray:
+    """Tables of the root's dishes with c (words x samples) customers; a new table weighs as much for every word."""
+    return np.stack([np.minimum(sweep(c[:, k], np.full(len(c), w), ROOT_DISCOUNT, mix(ids + np.uint64(seed + k)), 1), c[:, k]) for k, w in enumerate(weights)], axis=1)
+
+
+def _new_table(tables: float, v: float) -> float:
+    return (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (v + 1)
 
 
-def _restaurants(sweeps: int, keep: int, seed: int, last: bool):
-    """Seats a bucket's live dishes, given its words' probabilities: the tables of its words and, at last, what its slices asked."""
+def _first_shard(v: float, pairs: float, seed: int):
+    """The root before any seating, every pair with one table: its words, and probabilities for the buckets."""
+
+    def run(t: pa.Table) -> pa.Table:
+        shard = t.column("bucket")[0].as_py()
+        asked = [(b, np.cumsum(x[0]), x[1], x[2]) for b, x in _of(t, WORDS)]
+        ids, back = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
+        total = lambda k: np.bincount(back, weights=np.concatenate([a[k] for a in asked]), minlength=len(ids)).astype(np.int64)
+        single = total(2)
+        c = single + total(3)
+        tables = _root_tables(ids, c[:, None], [_new_table(v, v)], seed)[:, 0]
+        p = (c - ROOT_DISCOUNT * tables + _new_table(v, v)) / (ROOT_STRENGTH + pairs)
+        rows = [_row(SHARD, shard, _pack(_steps(ids), single.astype(np.uint32))), _row(SUMS, shard, None, x=[float(single.sum()), float(tables.sum())])]
+        at = 0
+        for b, own, _, live in asked:
+            mine = back[at : at + len(own)][live > 0]
+            at += len(own)
+            rows.append(_row(ROOTS, b, _pack(_steps(ids[mine]), p[mine]), shard))
+        return pa.Table.from_batches([_rows(rows)])
+
+    return run
+
+
+def _restaurants(buckets: int, shards: int, sweeps: int, keep: int, seed: int, last: bool):
+    """Seats a bucket's live dishes, given its words' probabilities: the tables of its words for the root and, at last, what its slices asked."""
 
     def run(t: pa.Table) -> pa.Table:
-        kind = t.column("kind").to_numpy()
         bucket = t.column("bucket")[0].as_py()
-        blobs, slices = t.column("blob"), t.column("slice")
-        place = np.flatnonzero(kind == LIVE)
-        if not len(place):
+        place = next(_of(t, LIVE), None)
+        if place is None:
             return pa.Table.from_batches([_rows([])])
-        names, of, word, count, single = _unpack(blobs[int(place[0])].as_py())
+        of, word, count, single = place[1]
         of = np.cumsum(of)
-        given = t.filter(pa.array(kind == ROOTS))
-        ids = given.column("id").to_numpy().astype(np.uint64)
-        p = np.asarray([x[0] for x in given.column("x").to_pylist()], dtype=np.float64)
-        by = np.argsort(ids)
-        p = p[by][np.searchsorted(ids[by], word)] if len(word) else np.zeros(0)
-        samples = seat(of, count.astype(np.int64), p, single.astype(np.int64), word, names >> np.uint64(24), sweeps, keep, seed)
+        given = [(np.cumsum(x[0]), x[1]) for _, x in _of(t, ROOTS)]
+        p = np.zeros(0)
+        if len(word):
+            ids, p = (np.concatenate(x) for x in zip(*given))
+            by = np.argsort(ids)
+            p = p[by][np.searchsorted(ids[by], word)]
+        names = next(_of(t, NAMES))[1][0] >> np.uint64(24)
+        samples = seat(of, count.astype(np.int64), p, single.astype(np.int64), word, names, sweeps, keep, seed)
         ids, at = np.unique(word, return_inverse=True)
-        tables = np.stack([np.bincount(at, weights=x, minlength=len(ids)) for x, _ in samples], axis=1).astype(np.int32)
-        n, k = tables.shape
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(tables.reshape(-1)))
-        none = lambda f: pa.nulls(n, f.type)
-        full = lambda v, f: pa.array(np.full(n, v), f.type)
-        cols = [full(ROOTS, _SCHEMA[0]), full(-1, _SCHEMA[1]), full(bucket, _SCHEMA[2]), none(_SCHEMA[3]), pa.array(ids.astype(np.int64)), lists, none(_SCHEMA[6])]
-        out = [pa.RecordBatch.from_arrays(cols, schema=_SCHEMA)]
+        tables = [np.bincount(at, weights=x, minlength=len(ids)).astype(np.uint32) for x, _ in samples]
+        rows = [_row(UP, k, _pack(_steps(ids[i]), *[x[i] for x in tables]), bucket) for k, i in _by_shard(ids, buckets, shards)] if len(ids) else []
+        rows.append(_row(SUMS, bucket, None, x=[float(x.sum()) for x in tables]))
         if last:
-            rows = []
-            for i in np.flatnonzero(kind == PLACES).tolist():
-                ws, ls = (np.cumsum(x) for x in _unpack(blobs[i].as_py()))
-                rows.append(_row(TABLES, bucket, _pack(*[x[ls].astype(np.uint32) for x, _ in samples], *[y[ws].astype(np.uint32) for _, y in samples]), slices[i].as_py()))
-            out.append(_rows(rows))
-        return pa.Table.from_batches(out)
+            for sid, (ws, ls) in _of(t, PLACES):
+                ws, ls = np.cumsum(ws), np.cumsum(ls)
+                rows.append(_row(TABLES, bucket, _pack(*[x[ls].astype(np.uint32) for x, _ in samples], *[y[ws].astype(np.uint32) for _, y in samples]), sid))
+        return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
-def _root_tables(samples: int, weights: list[float], seed: int):
-    """Tables of the root's dishes (id, c array<int>) in each sample."""
+def _shard(buckets: int, samples: int, v: float, tables: list[float], customers: list[float], seed: int, last: bool):
+    """A shard of the root with the tables that the buckets sent: probabilities for them or, at last, the words' customers and tables for those who ask by word."""
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            id_ = np.asarray(batch.column(0)).astype(np.uint64)
-            c = np.asarray(batch.column(1).flatten()).astype(np.int64).reshape(-1, samples)
-            t = np.stack([np.minimum(sweep(c[:, s], np.full(len(c), weights[s]), ROOT_DISCOUNT, mix(id_ + np.uint64(seed + s)), 1), c[:, s]) for s in range(samples)], axis=1).astype(np.int32)
-            offsets = pa.array(np.arange(len(c) + 1, dtype=np.int32) * samples)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(t.reshape(-1)))], names=["id", "c", "t"])
+    def run(t: pa.Table) -> pa.Table:
+        shard = t.column("bucket")[0].as_py()
+        ids, single = next(_of(t, SHARD))[1]
+        ids = np.cumsum(ids)
+        c = np.repeat(single.astype(np.int64)[:, None], samples, axis=1)
+        asked = [(b, np.searchsorted(ids, np.cumsum(x[0])), x[1:]) for b, x in _of(t, UP)]
+        for _, at, up in asked:
+            c[at] += np.stack(up, axis=1).astype(np.int64)  # a bucket names a word once
+        own = _root_tables(ids, c, [_new_table(x, v) for x in tables], seed)
+        rows = [_row(SUMS, shard, None, x=[float(x) for x in (*c.sum(axis=0), *own.sum(axis=0))])]
+        if last:
+            both = np.concatenate([c, own], axis=1).astype(np.uint32)
+            for b, at in _by_shard(ids, 1 << 62, buckets):
+                rows.append(_row(ROOTS, b, _pack(_steps(ids[at]), *[np.ascontiguousarray(both[at, k]) for k in range(2 * samples)])))
+        else:
+            p = (c[:, 0] - ROOT_DISCOUNT * own[:, 0] + _new_table(tables[0], v)) / (ROOT_STRENGTH + customers[0])
+            rows += [_row(ROOTS, b, _pack(_steps(ids[at]), p[at]), shard) for b, at, _ in asked]
+        return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
-def _root(single: DataFrame, up: DataFrame, samples: int, v: float, seed: int) -> tuple[DataFrame, list[tuple[float, float]]]:
-    """(id, c, t) of every word, and (customers, tables) of the root in each sample.
-
-    The weight of a new table depends on the number of all tables: a first
-    seating gives that number for the second.
-    """
-    sums = up.groupBy("id").agg(F.array(*[F.sum(F.col("v")[s]).cast("int") for s in range(samples)]).alias("u"))
-    every = single.join(sums, "id", "left").select("id", F.array(*[(F.col("single") + F.coalesce(F.col("u")[s], F.lit(0))).cast("int") for s in range(samples)]).alias("c"))
-    every = written(every, "customers")
-    weight = lambda tables: [(ROOT_STRENGTH + ROOT_DISCOUNT * x) / (v + 1) for x in tables]
-    seated = lambda tables, k: every.mapInArrow(_root_tables(samples, weight(tables), seed + k), "id long, c array<int>, t array<int>")
-    total = lambda df: df.agg(*[F.sum(F.col(x)[s].cast("long")) for x in ("c", "t") for s in range(samples)]).first()
-    words = written(seated(total(seated([v] * samples, 0))[samples:], samples), "root")
-    found = total(words)
-    return words, [(float(found[s]), float(found[samples + s])) for s in range(samples)]
-
-
-def _known_words(samples: int):
+def _known_words(t: pa.Table) -> pa.Table:
     """What the slices of a bucket asked of its words: customers and tables at the root in each sample."""
-
-    def run(t: pa.Table) -> pa.Table:
-        kind, bucket = t.column("kind").to_numpy(), t.column("bucket")[0].as_py()
-        blobs, slices = t.column("blob"), t.column("slice")
-        place = np.flatnonzero(kind == LIVE)
-        if not len(place):
-            return pa.Table.from_batches([_rows([])])
-        names = _unpack(blobs[int(place[0])].as_py())[0] >> np.uint64(24)
-        given = t.filter(pa.array(kind == ROOTS))
-        ids = given.column("id").to_numpy().astype(np.uint64)
-        value = np.asarray(given.column("v").combine_chunks().flatten()).astype(np.uint32).reshape(-1, 2 * samples)
-        by = np.argsort(ids)
-        out = np.zeros((len(names), 2 * samples), dtype=np.uint32)
-        if len(ids):
-            at = np.minimum(np.searchsorted(ids[by], names), len(ids) - 1)
-            hit = ids[by][at] == names
-            out[hit] = value[by][at[hit]]
-        rows = []
-        for i in np.flatnonzero(kind == PLACES).tolist():
-            ws = np.cumsum(_unpack(blobs[i].as_py())[0])
-            rows.append(_row(ROOTS, bucket, _pack(*[np.ascontiguousarray(out[ws, j]) for j in range(2 * samples)]), slices[i].as_py()))
-        return pa.Table.from_batches([_rows(rows)])
-
-    return run
+    bucket = t.column("bucket")[0].as_py()
+    place = next(_of(t, NAMES), None)
+    if place is None:
+        return pa.Table.from_batches([_rows([])])
+    names = place[1][0] >> np.uint64(24)
+    out = np.zeros((len(names), 2 * KEPT), dtype=np.uint32)
+    for _, (ids, *value) in _of(t, ROOTS):
+        ids = np.cumsum(ids)
+        at = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
+        hit = ids[at] == names
+        out[hit] = np.stack(value, axis=1)[at[hit]]
+    rows = []
+    for sid, (ws, _) in _of(t, PLACES):
+        ws = np.cumsum(ws)
+        rows.append(_row(ROOTS, bucket, _pack(*[np.ascontiguousarray(out[ws, j]) for j in range(2 * KEPT)]), sid))
+    return pa.Table.from_batches([_rows(rows)])
 
 
-def _scored(buckets: int, n_train: int, v: float, totals: list[tuple[float, float]]):
+def _scored(n_train: int, v: float, totals: list[tuple[float, float]]):
     def run(t: pa.Table) -> pa.Table:
         kinds, of = t.column("kind").to_pylist(), t.column("bucket").to_pylist()
         held = {k: {} for k in (COUNTS, TABLES, ROOTS)}
         s = None
         for kind, b, blob in zip(kinds, of, t.column("blob")):
             if kind == TOKENS:
-                s = Slice(blob.as_py(), buckets)
+                s = Slice(blob.as_py())
             else:
                 held[kind][b] = _unpack(blob.as_py())
         order = sorted(held[COUNTS])
@@ -454,48 +501,37 @@ def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "te
     d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(4, size // bucket_bytes)
-    tokens = written(d.mapInArrow(_sliced, _ROW), "tokens")
+    tokens = written(d.mapInArrow(_sliced(buckets), _TOKENS), "tokens")
     held = written(tokens.mapInArrow(_questions(buckets), _ROW).groupBy("bucket").applyInArrow(_combine, _ROW), "counts")
-    found = held.where(F.col("kind") == SUMS).agg(*[F.sum(F.col("x")[i]) for i in range(3)]).first()
-    n_train, v, pairs = (float(x or 0) for x in found)
+    only = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
+    sums = lambda df, n: [float(x or 0) for x in only(df, SUMS).agg(*[F.sum(F.col("x")[i]) for i in range(n)]).first()]
+    n_train, v, pairs = sums(held, 3)
     if not n_train:
-        return _untrained(tokens)
-    words = held.where(F.col("kind") == WORDS).select("bucket", "blob").mapInArrow(_words, "id long, bucket int, single long, live long")
-    words = written(words, "words")
-    blank = {"kind": F.lit(ROOTS), "slice": F.lit(-1).cast("long"), "blob": F.lit(None).cast("binary"), "v": F.lit(None).cast("array<int>"), "x": F.lit(None).cast("array<double>")}
-    shaped = lambda df, **given: df.select(*[given.get(c, blank.get(c, F.col(c))).alias(c) for c in ("kind", "slice", "bucket", "blob", "id", "v", "x")])
-    # To begin with every pair has one table.
-    all_tables = F.sum(F.col("single") + F.col("live")).over(Window.partitionBy("id"))
-    start = words.withColumn("c", all_tables).where("live > 0")
-    p = (F.col("c") + F.lit(ROOT_STRENGTH / (v + 1))) / F.lit(ROOT_STRENGTH + pairs)
-    lives = held.where(F.col("kind") == LIVE)
-    single = written(words.groupBy("id").agg(F.sum("single").alias("single")), "single")
-    first = lives.unionByName(shaped(start, x=F.array(p))).groupBy("bucket").applyInArrow(_restaurants(FIRST, 1, seed, False), _ROW)
-    up = written(first, "first").where(F.col("kind") == ROOTS)
-    root, ((customers, tables),) = _root(single, up, 1, v, seed)
-    base = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (v + 1)
-    p = (F.col("c")[0] - ROOT_DISCOUNT * F.col("t")[0] + F.lit(base)) / F.lit(ROOT_STRENGTH + customers)
-    second = shaped(up.select("bucket", "id").join(root.select("id", p.alias("p")), "id"), x=F.array("p"))
-    places = held.where(F.col("kind") == PLACES)
-    told = lives.unionByName(places).unionByName(second).groupBy("bucket").applyInArrow(_restaurants(BURN + KEPT, KEPT, seed + 7, True), _ROW)
-    told = written(told, "tables")
-    root, totals = _root(single, told.where(F.col("kind") == ROOTS), KEPT, v, seed + 13)
-    asked = shaped(root.withColumn("bucket", F.pmod("id", F.lit(buckets)).cast("int")), v=F.concat("c", "t"))
-    known = lives.unionByName(places).unionByName(asked).groupBy("bucket").applyInArrow(_known_words(KEPT), _ROW)
-    answers = [held.where(F.col("kind") == COUNTS), told.where(F.col("kind") == TABLES), known]
-    both = tokens
-    for a in answers:
-        both = both.unionByName(a)
-    return both.select("kind", "slice", "bucket", "blob").groupBy("slice").applyInArrow(_scored(buckets, int(n_train), v, totals), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _untrained(tokens: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for blob in batch.column("blob"):
-                ids, missing, _, n, _, _ = _unpack(blob.as_py())
-                none = pa.array(np.zeros(len(n), np.int64))
-                zero = pa.array(np.zeros(len(n)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=missing), pa.array(n.astype(np.int64)), none, none, zero, zero], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return tokens.mapInArrow(run, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return tokens.select("blob").mapInArrow(_untrained, _SCORES)
+    shards = max(1, min(buckets, round(v / SHARD_WORDS)))
+    words = only(held, WORDS).mapInArrow(_dealt_words(buckets, shards), _ROW)
+    root = written(words.groupBy("bucket").applyInArrow(_first_shard(v, pairs, seed), _ROW), "root")
+    single, tables = sums(root, 2)
+    seats = lambda told, sweeps, keep, last: written(only(held, LIVE, NAMES, *[PLACES] * last).unionByName(only(told, ROOTS)).groupBy("bucket").applyInArrow(_restaurants(buckets, shards, sweeps, keep, seed + 7 * last, last), _ROW), "seats")
+    meet = lambda up, n, tables, customers, last: written(only(root, SHARD).unionByName(only(up, UP)).groupBy("bucket").applyInArrow(_shard(buckets, n, v, tables, customers, seed + 13 + 7 * last, last), _ROW), "root")
+    up = seats(root, FIRST, 1, False)
+    told = meet(up, 1, [tables], [single + sums(up, 1)[0]], False)
+    up = seats(told, BURN + KEPT, KEPT, True)
+    told = meet(up, KEPT, [sums(told, 2)[1]] * KEPT, [], True)
+    found = sums(told, 2 * KEPT)
+    known = only(held, NAMES, PLACES).unionByName(only(told, ROOTS)).groupBy("bucket").applyInArrow(_known_words, _ROW)
+    both = tokens.select(F.lit(TOKENS).alias("kind"), "slice", F.lit(-1).alias("bucket"), "blob")
+    for answers in (only(held, COUNTS), only(up, TABLES), known):
+        both = both.unionByName(answers.select("kind", "slice", "bucket", "blob"))
+    return both.groupBy("slice").applyInArrow(_scored(int(n_train), v, list(zip(found[:KEPT], found[KEPT:]))), _SCORES)
+
+
+_SCORES = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _untrained(batches):
+    for batch in batches:
+        for blob in batch.column(0):
+            ids, missing, _, n, _, _ = _unpack(blob.as_py())
+            none, zero = pa.array(np.zeros(len(n), np.int64)), pa.array(np.zeros(len(n)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=missing), pa.array(n.astype(np.int64)), none, none, zero, zero], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
