@@ -94,6 +94,20 @@ def text_slices(batches, column: str | int, most: int = 4 << 20):
             give_back()
 
 
+def gathered(batches, column: str | int, most: int):
+    """Record batches whose text column holds about `most` bytes (one row at least): small ones are joined, large ones cut."""
+    held, size = [], 0
+    for part in text_slices(batches, column, most):
+        n = part.column(column).nbytes
+        if held and size + n > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(part)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from its flat values and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)

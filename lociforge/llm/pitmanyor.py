@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import gathered, written
 from .wordscan import mix, scan
 
 #: Discount and strength of the context restaurants and of the root.
 DISCOUNT, STRENGTH = 0.75, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 20.0
 #: Sweeps before the root's first answer, sweeps after it that are not kept, samples kept, proposals of a sweep.
-FIRST, BURN, KEPT, TRIES = 2, 1, 4, 3
+FIRST, BURN, KEPT, TRIES = 3, 2, 4, 4
 SLICE, BUCKET = 6 << 20, 8 << 20
 #: Words of a shard of the root, about.
 SHARD_WORDS = 1 << 19
@@ -219,7 +219,7 @@ def _sliced(buckets: int):
     def run(batches):
         task = TaskContext.get()
         sid = (task.partitionId() if task else 0) << 32
-        for part in text_slices(batches, "text", SLICE):
+        for part in gathered(batches, "text", SLICE):
             tokens, n = _tokens(scan(part.column(1)))
             names, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
             del tokens
