@@ -98,12 +98,11 @@ def gathered(batches, column: str | int, most: int):
     """Record batches whose text column holds about `most` bytes (one row at least): small ones are joined, large ones cut."""
     held, size = [], 0
     for part in text_slices(batches, column, most):
-        n = part.column(column).nbytes
-        if held and size + n > most:
+        held.append(part)
+        size += part.column(column).nbytes
+        if 4 * size >= 3 * most:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, size = [], 0
-        held.append(part)
-        size += n
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 

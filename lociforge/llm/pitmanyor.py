@@ -37,7 +37,7 @@ DISCOUNT, STRENGTH = 0.75, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 20.0
 #: Sweeps before the root's first answer, sweeps after it that are not kept, samples kept, proposals of a sweep.
 FIRST, BURN, KEPT, TRIES = 3, 2, 4, 4
-SLICE, BUCKET = 6 << 20, 8 << 20
+SLICE, BUCKET = 8 << 20, 8 << 20
 #: Words of a shard of the root, about.
 SHARD_WORDS = 1 << 19
 #: Customers that are seated one step at a time over all dishes, and how many at once beyond.
@@ -280,7 +280,8 @@ def _questions(buckets: int):
                 for i, b in enumerate(have.tolist()):
                     words, pairs = slice(w[i], w[i + 1]), slice(p[i], p[i + 1])
                     each = np.bincount(s.context[pairs] - w[i], minlength=w[i + 1] - w[i]).astype(np.uint32)
-                    rows.append(_row(TOKENS, b, _pack(names[words], seen[words], each, names[s.after[pairs]] >> np.uint64(24), count[pairs]), sid))
+                    after, at = np.unique(names[s.after[pairs]] >> np.uint64(24), return_inverse=True)
+                    rows.append(_row(TOKENS, b, _pack(_steps(names[words]), seen[words], each, _steps(after), at.astype(np.uint32), count[pairs]), sid))
                 yield _rows(rows)
 
     return run
@@ -289,7 +290,10 @@ def _questions(buckets: int):
 def _combine(t: pa.Table) -> pa.Table:
     """A bucket's restaurants from all slices' counts, and what each slice may know at once."""
     bucket, slices = t.column("bucket")[0].as_py(), t.column("slice").to_pylist()
-    asked = [_unpack(b.as_py()) for b in t.column("blob")]
+    asked = []
+    for b in t.column("blob"):
+        words, seen, each, after, at, count = _unpack(b.as_py())
+        asked.append((np.cumsum(words), seen, each, np.cumsum(after)[at], count))
     names, back = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     seen = np.bincount(back, weights=np.concatenate([a[1] for a in asked]), minlength=len(names)).astype(np.int64)
     context = np.repeat(back, np.concatenate([a[2] for a in asked]).astype(np.int64)).astype(np.uint64)
