@@ -76,6 +76,18 @@ def _steps(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
 
+def _around(samples) -> list[np.ndarray]:
+    """Samples of counts as the first and what the others are away from it, folded to be positive: mostly noughts."""
+    first, *rest = (np.asarray(x).astype(np.int64) for x in samples)
+    return [first.astype(np.uint32), *[np.where(x < first, 2 * (first - x) - 1, 2 * (x - first)).astype(np.uint32) for x in rest]]
+
+
+def _samples(packed) -> list[np.ndarray]:
+    """What _around was given."""
+    first, *rest = (x.astype(np.int64) for x in packed)
+    return [first, *[first + np.where(x % 2 == 1, -(x + 1) // 2, x // 2) for x in rest]]
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)] if rows else [pa.array([], f.type) for f in _SCHEMA], schema=_SCHEMA)
 
@@ -395,12 +407,12 @@ def _restaurants(buckets: int, shards: int, sweeps: int, keep: int, seed: int, l
         samples = seat(of, count.astype(np.int64), p, single.astype(np.int64), word, names, sweeps, keep, seed)
         ids, at = np.unique(word, return_inverse=True)
         tables = [np.bincount(at, weights=x, minlength=len(ids)).astype(np.uint32) for x, _ in samples]
-        rows = [_row(UP, k, _pack(_steps(ids[i]), *[x[i] for x in tables]), bucket) for k, i in _by_shard(ids, buckets, shards)] if len(ids) else []
+        rows = [_row(UP, k, _pack(_steps(ids[i]), *_around([x[i] for x in tables])), bucket) for k, i in _by_shard(ids, buckets, shards)] if len(ids) else []
         rows.append(_row(SUMS, bucket, None, x=[float(x.sum()) for x in tables]))
         if last:
             for sid, (ws, ls) in _of(t, PLACES):
                 ws, ls = np.cumsum(ws), np.cumsum(ls)
-                rows.append(_row(TABLES, bucket, _pack(*[x[ls].astype(np.uint32) for x, _ in samples], *[y[ws].astype(np.uint32) for _, y in samples]), sid))
+                rows.append(_row(TABLES, bucket, _pack(*_around([x[ls] for x, _ in samples]), *_around([y[ws] for _, y in samples])), sid))
         return pa.Table.from_batches([_rows(rows)])
 
     return run
@@ -416,13 +428,12 @@ def _shard(buckets: int, samples: int, v: float, tables: list[float], customers:
         c = np.repeat(single.astype(np.int64)[:, None], samples, axis=1)
         asked = [(b, np.searchsorted(ids, np.cumsum(x[0])), x[1:]) for b, x in _of(t, UP)]
         for _, at, up in asked:
-            c[at] += np.stack(up, axis=1).astype(np.int64)  # a bucket names a word once
+            c[at] += np.stack(_samples(up), axis=1)  # a bucket names a word once
         own = _root_tables(ids, c, [_new_table(x, v) for x in tables], seed)
         rows = [_row(SUMS, shard, None, x=[float(x) for x in (*c.sum(axis=0), *own.sum(axis=0))])]
         if last:
-            both = np.concatenate([c, own], axis=1).astype(np.uint32)
             for b, at in _by_shard(ids, 1 << 62, buckets):
-                rows.append(_row(ROOTS, b, _pack(_steps(ids[at]), *[np.ascontiguousarray(both[at, k]) for k in range(2 * samples)])))
+                rows.append(_row(ROOTS, b, _pack(_steps(ids[at]), *_around(c[at].T), *_around(own[at].T))))
         else:
             p = (c[:, 0] - ROOT_DISCOUNT * own[:, 0] + _new_table(tables[0], v)) / (ROOT_STRENGTH + customers[0])
             rows += [_row(ROOTS, b, _pack(_steps(ids[at]), p[at]), shard) for b, at, _ in asked]
@@ -438,7 +449,7 @@ def _known_words(t: pa.Table) -> pa.Table:
     if place is None:
         return pa.Table.from_batches([_rows([])])
     names = place[1][0] >> np.uint64(24)
-    out = np.zeros((len(names), 2 * KEPT), dtype=np.uint32)
+    out = np.zeros((len(names), 2 * KEPT), dtype=np.uint32)  # folded differences pass through as they are
     for _, (ids, *value) in _of(t, ROOTS):
         ids = np.cumsum(ids)
         at = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
@@ -459,8 +470,9 @@ def _scored(n_train: int, v: float, totals: list[tuple[float, float]]):
         for kind, b, blob in zip(kinds, of, t.column("blob")):
             if kind == TOKENS:
                 s = Slice(blob.as_py())
-            else:
-                held[kind][b] = _unpack(blob.as_py())
+                continue
+            got = _unpack(blob.as_py())
+            held[kind][b] = got if kind == COUNTS else _samples(got[:KEPT]) + _samples(got[KEPT:])
         order = sorted(held[COUNTS])
         join = lambda kind, k: np.concatenate([held[kind][b][k] for b in order]).astype(np.float64)
         seen, total, count = (join(COUNTS, k) for k in range(3))
