@@ -23,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.ipc  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -201,18 +202,19 @@ def _signed(values: np.ndarray) -> np.ndarray:
 def _counted(docs: DataFrame, n: int, buckets: int) -> DataFrame:
     """Packed rows: bucket -1 holds (id, n, f1, f2) of a slice's documents, any other those of their shingles that more documents have, with their number.
 
-    A slice sends each bucket one row with its shingles; the name of a slice
-    depends on its documents alone.
+    A slice sends each bucket one row with its shingles; slices are numbered
+    within their task, so that equal ones are two.
     """
 
     def run(batches):
+        task = TaskContext.get()
+        sid = (task.partitionId() if task else 0) << 32
         for part in text_slices(batches, "text"):
+            sid += 1
             sets = list(shingle_sets(scan(part.column(1)), n))
             f1, f2 = fingerprints(sets)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             ids = part.column(0)
-            name = mix(f1 + mix(np.asarray(ids.fill_null(-1)).astype(np.uint64)) + np.arange(len(sets), dtype=np.uint64))
-            sid = int(np.bitwise_xor.reduce(name) >> np.uint64(1))
             base = pa.table([ids, pa.array(sizes), pa.array(_signed(f1)), pa.array(_signed(f2))], schema=_BASE)
             flat = np.concatenate(sets)
             doc = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)

@@ -96,3 +96,10 @@ def test_components(spark, one_task):
     got = {r["node"]: r["component"] for r in connected_components(df, one_task=one_task).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 5: 3, 7: 3, 3: 3, **{x: 900 for x in range(900, 920)}, 1000: 900}
     assert connected_components(df.where("false"), one_task=one_task).count() == 0
+
+
+def test_equal_rows_in_tasks_of_their_own(spark):
+    rows = [(1, "a b c d e")] * 4 + [(2, "a b c d e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted((r["id"], r["component_id"]) for r in jaccard.jaccard_join(df, 3, 90).collect()) == [(1, 1)] * 4 + [(2, 1)]
+    assert [r["doc_id"] for r in jaccard.distinct_documents(df, 3, 90).collect()] == [1]
