@@ -249,7 +249,7 @@ def _counted(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         return pa.Table.from_batches([_packed(*zip(*out))]) if out else t.slice(0, 0)
 
     # The documents' own rows go to as many groups as there are slices.
-    group = F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.col("bucket").cast("long"))
+    group = F.when(F.col("bucket") < 0, -1 - F.col("slice")).otherwise(F.col("bucket").cast("long"))
     return docs.mapInArrow(run, _PACKED).groupBy(group).applyInArrow(count, _PACKED)
 
 
