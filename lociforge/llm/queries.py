@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, multiindex, pieces, pitmanyor, quality, sharding, topk, warc
+from . import chat, fim, jaccard, mixing, multiindex, pieces, pii, pitmanyor, quality, sharding, topk, warc
 from .common import scratch, table
 
 
@@ -156,5 +156,45 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op1_jaccard": op1_jaccard, "op2_shard": op2_shard, "op3_mix": op3_mix, "op4_chat": op4_chat, "op5_pieces": op5_pieces, "op6_lm": op6_lm, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_neardup": op9_neardup, "op10_topk": op10_topk}
-ORACLE_SQL = {"op1_jaccard": OP1_SQL, "op3_mix": OP3_SQL, "op4_chat": OP4_SQL, "op7_warc": OP7_SQL, "op10_topk": OP10_SQL}
+
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count(kind) for kind in pii.KINDS],
+        F.sha2(F.encode(told(F.filter("spans", lambda s: s.base)), "utf-8"), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"),
+    )
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"), unit="line", seed=7, rate=100, suffix_first=50)
+    digest = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
+    return made.select(
+        F.col("id").alias("doc_id"),
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        digest(F.col("output")).alias("output_sha256"),
+        digest(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = """
+with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || doc_id) as h from documents),
+u as (select *, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') as l, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+  ('0x' || h[25:32])::bigint as h4 from d),
+c as (select *, len(l)::bigint as n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) as a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) as b from u),
+p as (select doc_id, t, n,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form,
+  coalesce(array_to_string(l[1:a], ''), '') as x, coalesce(array_to_string(l[a + 1:b], ''), '') as y, coalesce(array_to_string(l[b + 1:], ''), '') as z from c)
+select doc_id, n, form, case when form <> 'plain' then length(x)::bigint end as prefix_chars, case when form <> 'plain' then length(y)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end) as output_sha256,
+  sha256(t) as restored_sha256 from p
+"""
+
+QUERIES = {"op1_jaccard": op1_jaccard, "op2_shard": op2_shard, "op3_mix": op3_mix, "op4_chat": op4_chat, "op5_pieces": op5_pieces, "op6_lm": op6_lm, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_neardup": op9_neardup, "op10_topk": op10_topk, "op11_pii": op11_pii, "op12_fim": op12_fim}
+ORACLE_SQL = {"op1_jaccard": OP1_SQL, "op3_mix": OP3_SQL, "op4_chat": OP4_SQL, "op7_warc": OP7_SQL, "op10_topk": OP10_SQL, "op12_fim": OP12_SQL}
