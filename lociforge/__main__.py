@@ -5,19 +5,25 @@ from __future__ import annotations
 import argparse
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import PRESETS, PROFILES, Config, check_release
+from .constants import REGIONS
+from .functions import sequences as S
 from .operators import evaluate
-from .plans import outputs, typing_run
-from .sources import callers, sequences, sinks
+from .plans import outputs, reads, typing_run
+from .sources import callers, fastq, sequences, sinks
+
+
+#: Files of one sample's reads; anything else is Parquet.
+ONE_SAMPLE = (".sam", ".bam", *fastq.ENDINGS)
 
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lociforge")
     sub = p.add_subparsers(dest="command", required=True)
-    t = sub.add_parser("type", help="alignments (Parquet, or SAM text of one sample) to calls and reports")
+    t = sub.add_parser("type", help="alignments (Parquet) of samples, or one sample's SAM, BAM or FASTQ file, to calls and reports")
     t.add_argument("alignments")
     t.add_argument("out")
     t.add_argument("--assay", choices=PRESETS, default="short")
@@ -27,6 +33,9 @@ def _parser() -> argparse.ArgumentParser:
     t.add_argument("--resolution", default=None, help="G, max or a number of fields")
     t.add_argument("--sample", default="sample")
     t.add_argument("--sequences", help="allele FASTA")
+    t.add_argument("--mates", help="FASTQ file of the reads' mates")
+    t.add_argument("--build", choices=REGIONS, help="genome build of a BAM file, by default what its header tells")
+    t.add_argument("--contigs", help="FASTA of assembled contigs: loci that need assembly are compared with them, novel alleles described")
     t.add_argument("--frequencies")
     t.add_argument("--population")
     t.add_argument("--g-groups")
@@ -78,6 +87,16 @@ def alleles_of(spark: SparkSession, path: str) -> DataFrame:
     return a.select(names.parse(F.col("allele")).locus.alias("locus"), "allele", "seq").dropDuplicates(["locus", "allele"])
 
 
+def closest(aligned: DataFrame | None, result: typing_run.Result) -> DataFrame | None:
+    """Alignments of contigs with the allele that the assembly step found closest, one a locus (the one of most aligned bases)."""
+    if aligned is None:
+        return None
+    own = aligned.join(result.assembly.select("sample_id", "locus", F.col("closest").alias("allele")), ["sample_id", "locus", "allele"])
+    length = F.aggregate(F.filter(S.cigar(F.col("cigar")), lambda t: t.op == "M"), F.lit(0), lambda acc, t: acc + t.len)
+    first = Window.partitionBy("sample_id", "locus").orderBy(length.desc(), "pos0", "query")
+    return own.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "nm")
+
+
 def type_command(spark: SparkSession, a: argparse.Namespace) -> None:
     given = {"clinical": a.clinical, "strict": a.strict, "pairs": a.pairs}
     if a.resolution is not None:
@@ -86,22 +105,27 @@ def type_command(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.release:
         check_release(a.release, release)
     config = Config.create(a.assay, a.profile, a.candidates, release=release, **given)
-    more = {}
-    if a.alignments.endswith(".sam"):
-        rows = sequences.sam(spark, a.alignments)
+    more, aligned = {}, None
+    if a.sequences:
+        more["sequences"] = alleles_of(spark, a.sequences)
+    if a.alignments.endswith(ONE_SAMPLE):
+        rows = reads.alignment_rows(spark, a.alignments, a.sample, more.get("sequences"), a.mates, a.build)
         alignments = sequences.alignments_of(rows, a.sample)
         more["bases"] = sequences.aligned_bases(rows, a.sample, secondary=True)
-        own = rows.where((F.col("flag").bitwiseAND(0x900) == 0) & (F.col("seq") != "*"))
+        own = rows.where((F.col("flag").bitwiseAND(reads.PRIMARY) == 0) & (F.col("seq") != "*"))
         more["reads"] = own.select(F.lit(a.sample).alias("sample_id"), F.col("name").alias("read_id"), "seq")
     else:
         alignments = spark.read.parquet(a.alignments)
-    if a.sequences:
-        more["sequences"] = alleles_of(spark, a.sequences)
+    if a.contigs:
+        if "sequences" not in more:
+            raise SystemExit("contigs need --sequences")
+        more["contigs"], aligned = reads.contig_rows(spark, a.contigs, more["sequences"], a.sample)
+        more["contig_hits"] = aligned.select("sample_id", "locus", "allele", "cigar", "nm")
     if a.frequencies:
         more["frequencies"] = sequences.frequencies(spark, a.frequencies, a.population)
     groups = sequences.g_groups(spark, a.g_groups) if a.g_groups else None
     result = typing_run.run(alignments, config, groups=groups, **more)
-    files = outputs.write_run(result, a.out, config, groups, release, alleles=more.get("sequences"))
+    files = outputs.write_run(result, a.out, config, groups, release, contig_alignments=closest(aligned, result), alleles=more.get("sequences"))
     for r in sinks.summary_text(result.calls, result.novel, files).orderBy("sample_id").limit(20).collect():  # shown, not written
         print(f"{r['sample_id']}\n{r['value']}\n")
 

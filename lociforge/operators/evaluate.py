@@ -74,8 +74,8 @@ def downsample(reads: DataFrame, fraction: float, key: str = "read_id", seed: in
 
 
 def depth_curve(reads: DataFrame, depth: float, targets=(5, 10, 20, 30, 50, 100), key: str = "read_id", seed: int = 42) -> DataFrame:
-    """reads once for each target depth below the present one, at that depth's fraction (column target)."""
-    steps = [(t, int(100 * t / depth)) for t in targets if t < depth]
+    """reads once for each target depth, at that depth's fraction (column target): all of them for a target at or above the present depth."""
+    steps = [(t, int(100 * t / depth) if t < depth else 100) for t in targets]
     kept = F.filter(F.array(*[F.when(F.col("_h") < share, F.lit(t)) for t, share in steps]).cast("array<int>"), lambda x: x.isNotNull())
     return reads.withColumn("_h", _draw(key, seed)).select(*reads.columns, F.explode(kept).alias("target"))
 

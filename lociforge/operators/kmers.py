@@ -22,11 +22,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def explode_kmers(df: DataFrame, key: list[str], seq: str, k: int, distinct: bool = True) -> DataFrame:
-    """(key, km), canonical; sequences are cut into overlapping chunks first."""
+    """(key, km), canonical, of windows without other letters than A, C, G and T; sequences are cut into overlapping chunks first."""
     rows = spread(df.select(*key, F.col(seq).alias("_s")).where(F.length("_s") >= k), *key)
     chunks = rows.select(*key, "_s", F.explode(F.sequence(F.lit(0), F.length("_s") - k, F.lit(CHUNK))).alias("_i")).select(*key, F.substring("_s", F.col("_i") + 1, F.lit(CHUNK + k - 1)).alias("_c"))
     windows = chunks.select(*key, "_c", F.explode(F.sequence(F.lit(1), F.length("_c") - (k - 1))).alias("_i")).select(*key, F.substring("_c", F.col("_i"), F.lit(k)).alias("_w"))
-    out = windows.where(~F.col("_w").contains("N") & ~F.col("_w").contains("n")).select(*key, S.canonical(F.col("_w")).alias("km"))
+    out = windows.where(~F.col("_w").rlike("[^ACGTacgt]")).select(*key, S.canonical(F.col("_w")).alias("km"))
     return out.distinct() if distinct else out
 
 
@@ -60,12 +60,13 @@ def _coverage(stats: DataFrame, key: list[str]) -> DataFrame:
 
 #: Letters of a slice, and about as many k-mers as a bucket holds.
 SLICE, BUCKET = 4 << 20, 2 << 20
-_LETTERS = np.full(256, 9, dtype=np.uint8)
-_LETTERS[[ord(c) for c in "ACGTN"]] = range(5)
+#: Codes of letters; 4 breaks a k-mer: N, and with it the letters for several bases that contigs hold.
+_LETTERS = np.full(256, 4, dtype=np.uint8)
+_LETTERS[[ord(c) for c in "ACGT"]] = range(4)
 
 
 def kmer_codes(bases: bytes, k: int, piece: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """(where, code) of the windows without N: canonical, two bits a base; k up to 31.  Made piece by piece, to need little memory."""
+    """(where, code) of the windows of A, C, G and T only: canonical, two bits a base; k up to 31.  Made piece by piece, to need little memory."""
     n = max(len(bases) - k + 1, 0)
     where, codes = np.empty(n, dtype=np.uint32), np.empty(n, dtype=np.uint64)
     have = 0
@@ -78,8 +79,6 @@ def kmer_codes(bases: bytes, k: int, piece: int = 1 << 19) -> tuple[np.ndarray,
 
 def _piece_codes(bases: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
     c = _LETTERS[np.frombuffer(bases, dtype=np.uint8)]
-    if (c > 4).any():
-        raise ValueError("bases other than A, C, G, T and N")
     bad = np.concatenate([[0], np.cumsum(c == 4, dtype=np.int32)])
     where = np.flatnonzero(bad[k:] == bad[:-k])
     two = lambda i: np.uint64(2 * i)

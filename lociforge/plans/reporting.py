@@ -250,7 +250,7 @@ def downsample(spark, d):
     return evaluate.downsample(adapter.alignments(spark, d), 0.25).groupBy("sample_id", "locus").agg(F.countDistinct("read_id").alias("reads"))
 
 
-@query(_ALNS + _H + ", t as (select * from (values (5,8),(10,16),(20,33),(30,50),(50,83)) v(target,share)) select target::int target,sample_id,locus,count(distinct read_id) reads from h join t on h.h<share group by 1,2,3")
+@query(_ALNS + _H + ", t as (select * from (values (5,8),(10,16),(20,33),(30,50),(50,83),(100,100)) v(target,share)) select target::int target,sample_id,locus,count(distinct read_id) reads from h join t on h.h<share group by 1,2,3")
 def depth_curve(spark, d):
     kept = evaluate.depth_curve(adapter.alignments(spark, d), 60.0)
     return kept.groupBy("target", "sample_id", "locus").agg(F.countDistinct("read_id").alias("reads"))

@@ -71,9 +71,13 @@ def test_depth_of_dna(spark, k):
         assert {r[0]: tuple(r)[1:] for r in f(al, rd, ["key"], k).select("key", *columns).collect()} == want_depths(*sets, k), f.__name__
 
 
-def test_other_bases_are_an_error():
-    with pytest.raises(ValueError):
-        kmers.kmer_codes(b"ACGRT", 3)
+def test_other_bases_break_kmers(spark):
+    where, codes = kmers.kmer_codes(b"ACGRTTGNACxGGA", 3)
+    assert where.tolist() == [0, 4, 11] and codes.tolist() == kmers.kmer_codes(b"ACGNTTGNACNGGA", 3)[1].tolist()
+    left = spark.createDataFrame([("c", "ACGTTGCARGGATTACAGATC")], "id string, seq string")
+    right = spark.createDataFrame([("a", "ACGTTGCAAGGATTACAGATC")], "other string, seq string")
+    assert kmers.jaccard(left, right, 8).first()["common"] == 1 + 5
+    assert sorted(r["km"] for r in kmers.explode_kmers(left, ["id"], "seq", 8).collect()) == sorted({min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA"))) for w in ("ACGTTGCA", *("GGATTACAGATC"[i : i + 8] for i in range(5)))})
 
 
 CIGAR = ("cigar_tokens", "cigar_variants", "alignment_identity", "novel_report", "snp_distance", "variant_summary")
