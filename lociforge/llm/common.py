@@ -47,7 +47,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what `written` wrote, once nothing reads it any more: all that came of it must be written itself."""
+    _remove(df.sparkSession, df._written)
 
 
 cut = kept

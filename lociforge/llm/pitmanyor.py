@@ -7,15 +7,16 @@ context, the word before (or the start of the text), whose parent is the root.
 1. A slice of documents becomes a row of word numbers.  It sends each context's
    bucket one packed row: the words after it and their training counts.
 2. A bucket holds whole restaurants.  A dish of one customer has one table; all
-   others are live and are seated.  A sweep draws each restaurant's rate from
-   its gamma distribution given its tables, which makes its dishes independent,
-   and then seats every customer of every live dish anew, in proposals that are
-   weighed against each other by the ratio of the seating's probability to the
-   proposal's (they are drawn from random numbers that belong to the dish, so
-   they are the same however the corpus is dealt).
-3. Every table is a customer of the root, whose dishes lie in shards.  Buckets
-   send the tables of their words to the shards, which seat them in the same
-   way and send the words' probabilities back; sweeps go on from there.
+   others are live.  A sweep is a step of a block Gibbs sampler: each
+   restaurant's rate is drawn from its gamma distribution given its tables,
+   which makes its dishes independent, and then all customers of every live dish
+   are seated at once by an exact draw of the number of tables given the rate
+   (random numbers belong to the dish, so they are the same however the corpus
+   is dealt).  A restaurant's tables are kept from sweep to sweep.
+3. Every table is a customer of the root, whose dishes lie in shards.  After each
+   round of sweeps the buckets send the tables of their words to the shards,
+   which draw the root's rate and seat its dishes in the same way, and send the
+   words' probabilities back for the next round.
 4. Of each kept sample, the tables of pairs, of contexts and of the root go back
    to the slices that asked; a token's probability is the mean over the samples
    of the probability that each predicts.
@@ -23,31 +24,33 @@ context, the word before (or the start of the text), whose parent is the root.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, written
+from .common import discard, gathered, written
 from .wordscan import mix, scan
 
 #: Discount and strength of the context restaurants and of the root.
 DISCOUNT, STRENGTH = 0.75, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 20.0
-#: Sweeps before the root's first answer, sweeps after it that are not kept, samples kept, proposals of a sweep.
-FIRST, BURN, KEPT, TRIES = 3, 2, 4, 4
+#: Sweeps of the rounds before the last, sweeps of the last that are not kept, samples kept.
+ROUNDS, BURN, KEPT = (2, 2), 1, 4
 SLICE, BUCKET = 8 << 20, 8 << 20
 #: Words of a shard of the root, about.
 SHARD_WORDS = 1 << 19
-#: Customers that are seated one step at a time over all dishes, and how many at once beyond.
-CROWD, BLOCK = 256, 1 << 19
+#: Customers up to which the seating's recursion is run step by step, and cells of dishes x tables that are weighed at once.
+STEPS, CELLS = 4096, 1 << 20
 END, START = np.uint64(0x51ED270B35F7A3C9), np.uint64(0x2C1B3C6D9E77A5F1)
 _GOLD = 0x9E3779B97F4A7C15
 _ROW = "kind int, slice long, bucket int, blob binary, x array<double>"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("x", pa.list_(pa.float64()))])
-#: Kinds of rows: live dishes; a bucket's names; what a slice is told of counts; where a slice's questions stand; words of a bucket; sums; a slice's samples; answers of the root; a slice's tokens; tables for the root; a shard's words.
-LIVE, NAMES, COUNTS, PLACES, WORDS, SUMS, TABLES, ROOTS, TOKENS, UP, SHARD = range(11)
+#: Kinds of rows: live dishes; a bucket's names; what a slice is told of counts; where a slice's questions stand; words of a bucket; sums; a slice's samples; answers of the root; a slice's tokens; tables for the root; a shard's words; tables of a bucket's restaurants.
+LIVE, NAMES, COUNTS, PLACES, WORDS, SUMS, TABLES, ROOTS, TOKENS, UP, SHARD, STATE = range(12)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -126,85 +129,89 @@ def gamma(shape: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
     return out
 
 
-def propose(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tables, log weight) of seating c customers of each dish one after the other.
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in x])
 
-    A customer opens a table with weight a and sits down at one of n with
-    weight n - discount.  The weight is what the seating's probability, a to
-    the power of its tables times that of its sizes, is above the proposal's.
-    """
-    order = np.argsort(-c, kind="stable")
-    c, a, key = c[order], a[order], key[order]
-    t, w = np.ones(len(c), dtype=np.int64), np.zeros(len(c))
-    for n in range(1, min(int(c.max(initial=1)), CROWD)):
-        m = int(np.searchsorted(-c, -n, side="left"))
-        free = a[:m] + n - discount * t[:m]
-        w[:m] += np.log(free)
-        t[:m] += uniform(key[:m], salt + n) * free < a[:m]
-    many = int(np.searchsorted(-c, -CROWD, side="left"))
-    if many:
-        _propose_rest(c[:many], a[:many], discount, key[:many], salt, t, w)
-    back = np.empty(len(order), dtype=np.int64)
-    back[order] = np.arange(len(order))
-    return t[back], w[back]
-
-
-def _propose_rest(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray, salt: int, t: np.ndarray, w: np.ndarray) -> None:
-    """The customers from CROWD on.
-
-    Whether one opens a table depends on the openings before it alone, so the
-    openings of a block are the one fixed point of the rule for its random
-    numbers: the same as customer by customer.
+
+def draw_tables(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray, salt: int) -> np.ndarray:
+    """Tables of c customers of each dish, drawn from their distribution when a new table weighs a.
+
+    That is proportional to a**t times the generalised Stirling number of c and
+    t.  Those numbers, over their share for one table and times
+    discount**(t - 1) (t - 1)!, are probabilities r_c(t), as their recursion
+
+        r_{n+1}(t) = (discount (t - 1) r_n(t - 1) + (n - discount t) r_n(t)) / (n - discount)
+
+    mixes two of them, and t - 1 has the weights of a Poisson number of mean
+    a / discount times r_c(t): one row of the recursion serves all dishes of c
+    customers.  Beyond STEPS customers r_c(t) is taken from the last row at
+    the mean that the tables beside the first shrink to on the way there,
+    which is exact to first order.
     """
-    live, done = np.arange(len(c)), np.full(len(c), CROWD, dtype=np.int64)
-    while len(live):
-        n = np.minimum(c[live] - done, max(BLOCK // len(live), 1))
-        of = np.repeat(np.arange(len(live)), n)
-        first = np.cumsum(n) - n
-        nth = done[of] + np.arange(len(of)) - first[of]
-        u = uniform(key[live][of], nth + salt)
-        weight = a[live][of]
-        free = weight + nth - discount * t[live][of]
-        opens = u * free < weight
-        while True:
-            before = np.cumsum(opens) - opens
-            before -= before[first][of]
-            left = free - discount * before
-            again = u * left < weight
-            if np.array_equal(again, opens):
-                break
-            opens = again
-        t[live] += np.bincount(of[opens], minlength=len(live))
-        w[live] += np.bincount(of, weights=np.log(left), minlength=len(live))
-        done = done + n
-        more = done < c[live]
-        live, done = live[more], done[more]
-
-
-def sweep(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray, salt: int, tries: int = TRIES) -> np.ndarray:
-    """Tables of each dish after all its customers were seated anew: a chain of proposals, each taken with the ratio of the weights."""
-    t, w = propose(c, a, discount, key, salt << 40)
-    for k in range(1, tries):
-        t2, w2 = propose(c, a, discount, key, salt + k << 40)
-        take = np.log(uniform(key, (salt + k << 40) + (1 << 39))) < w2 - w
-        t, w = np.where(take, t2, t), np.where(take, w2, w)
-    return t
-
-
-def seat(context: np.ndarray, count: np.ndarray, p: np.ndarray, single: np.ndarray, word: np.ndarray, name: np.ndarray, sweeps: int, keep: int, seed: int):
+    out = np.ones(len(c), dtype=np.int64)
+    rate = a / discount
+    # No more tables than customers, nor than a Poisson number ever gives.
+    most = np.minimum(c, np.ceil(rate + 12 * np.sqrt(rate) + 40).astype(np.int64))
+    step = np.minimum(c, STEPS)
+    order = np.lexsort((most, step))
+    order = order[c[order] > 1]
+    if not len(order):
+        return out
+    far = c > STEPS
+    shrink = np.ones(len(c))
+    if far.any():
+        size = c[far].astype(np.float64)
+        end = np.full(1, float(STEPS))
+        shrink[far] = np.exp(_log_gamma(size - 2 * discount) - _log_gamma(size - discount) - _log_gamma(end - 2 * discount) + _log_gamma(end - discount))
+    need = np.ceil(most * shrink).astype(np.int64) + 2
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(step[order]) > 0]))
+    widest = np.maximum.accumulate(np.maximum.reduceat(need[order], starts)[::-1])[::-1]
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(most.max()) + 1)))])
+    u = uniform(key, salt)
+    beside = np.arange(int(widest.max()) + 1)
+    r, n = np.zeros(len(beside), dtype=np.longdouble), 1
+    r[0] = 1
+    for i, first in enumerate(starts):
+        wide = int(widest[i])
+        s, row = beside[:wide], r[:wide]
+        while n < step[order[first]]:
+            shifted = np.concatenate([row[:1] * 0, row[:-1]])
+            row = (discount * s * shifted + (n - discount * (s + 1)) * row) / (n - discount)
+            n += 1
+        r[:wide] = row
+        last = starts[i + 1] if i + 1 < len(starts) else len(order)
+        with np.errstate(divide="ignore"):
+            log_r = np.log(row).astype(np.float64)
+        log_r = np.maximum(log_r, -1e15)
+        at = first
+        while at < last:
+            ahead = most[order[at:last]]
+            take = order[at : at + max(1, int(np.searchsorted(ahead * np.arange(1, len(ahead) + 1), CELLS)))]
+            at += len(take)
+            t = np.arange(int(most[take].max()))
+            own = log_r[None, : len(t)] if n < STEPS or not far[take].any() else np.interp(t[None, :] * shrink[take][:, None], s, log_r)
+            weight = t[None, :] * np.log(rate[take])[:, None] - log_factorial[t][None, :] + own
+            weight[t[None, :] >= most[take][:, None]] = -np.inf
+            share = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            out[take] = 1 + (share < u[take][:, None] * share[:, -1:]).sum(axis=1)
+    return out
+
+
+def seat(context: np.ndarray, count: np.ndarray, p: np.ndarray, single: np.ndarray, word: np.ndarray, name: np.ndarray, sweeps: int, keep: int, seed: int, total: np.ndarray | None = None):
     """The last `keep` samples of (tables of live dishes, tables of contexts).
 
     context, count, p, word: of each live dish its restaurant, customers,
     probability at the root and id; single, name: of each restaurant its
-    dishes of one customer and its id.
+    dishes of one customer and its id; total: tables of restaurants after
+    earlier sweeps, by default one for each dish.
     """
     key = mix(word ^ mix(name[context] + np.uint64(seed)))
     own = mix(name + np.uint64(seed + 1))
-    total = single + np.bincount(context, minlength=len(single))
+    total = single + np.bincount(context, minlength=len(single)) if total is None else total
     out = []
     for s in range(sweeps):
         rate = gamma(STRENGTH / DISCOUNT + total, own, s << 32)
-        t = sweep(count, DISCOUNT * rate[context] * p, DISCOUNT, key, s * TRIES + 1)
+        t = draw_tables(count, DISCOUNT * rate[context] * p, DISCOUNT, key, s + 1)
         total = single + np.bincount(context, weights=t, minlength=len(single)).astype(np.int64)
         if s >= sweeps - keep:
             out.append((t, total))
@@ -355,16 +362,23 @@ def _by_shard(ids: np.ndarray, buckets: int, shards: int):
         yield k, at
 
 
+def _root_weight(tables: float, v: float, seed: int) -> float:
+    """What a new table weighs at the root for any word, by a rate drawn given the root's tables."""
+    rate = gamma(np.array([ROOT_STRENGTH / ROOT_DISCOUNT + tables]), mix(np.array([seed], dtype=np.uint64)), 1)[0]
+    return float(ROOT_DISCOUNT * rate / (v + 1))
+
+
 def _root_tables(ids: np.ndarray, c: np.ndarray, weights: list[float], seed: int) -> np.ndarray:
-    """Tables of the root's dishes with c (words x samples) customers; a new table weighs as much for every word."""
-    return np.stack([np.minimum(sweep(c[:, k], np.full(len(c), w), ROOT_DISCOUNT, mix(ids + np.uint64(seed + k)), 1), c[:, k]) for k, w in enumerate(weights)], axis=1)
+    """Tables of the root's dishes with c (words x samples) customers."""
+    one = lambda k, w: draw_tables(c[:, k], np.full(len(c), w), ROOT_DISCOUNT, mix(ids + np.uint64(seed + k)), 1)
+    return np.stack([np.minimum(one(k, w), c[:, k]) for k, w in enumerate(weights)], axis=1)
 
 
 def _new_table(tables: float, v: float) -> float:
     return (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (v + 1)
 
 
-def _first_shard(v: float, pairs: float, seed: int):
+def _first_shard(v: float, pairs: float, weight: float, seed: int):
     """The root before any seating, every pair with one table: its words, and probabilities for the buckets."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -374,7 +388,7 @@ def _first_shard(v: float, pairs: float, seed: int):
         total = lambda k: np.bincount(back, weights=np.concatenate([a[k] for a in asked]), minlength=len(ids)).astype(np.int64)
         single = total(2)
         c = single + total(3)
-        tables = _root_tables(ids, c[:, None], [_new_table(v, v)], seed)[:, 0]
+        tables = _root_tables(ids, c[:, None], [weight], seed)[:, 0]
         p = (c - ROOT_DISCOUNT * tables + _new_table(v, v)) / (ROOT_STRENGTH + pairs)
         rows = [_row(SHARD, shard, _pack(_steps(ids), single.astype(np.uint32))), _row(SUMS, shard, None, x=[float(single.sum()), float(tables.sum())])]
         at = 0
@@ -404,12 +418,15 @@ def _restaurants(buckets: int, shards: int, sweeps: int, keep: int, seed: int, l
             by = np.argsort(ids)
             p = p[by][np.searchsorted(ids[by], word)]
         names = next(_of(t, NAMES))[1][0] >> np.uint64(24)
-        samples = seat(of, count.astype(np.int64), p, single.astype(np.int64), word, names, sweeps, keep, seed)
+        before = next(_of(t, STATE), None)
+        samples = seat(of, count.astype(np.int64), p, single.astype(np.int64), word, names, sweeps, keep, seed, before and before[1][0].astype(np.int64))
         ids, at = np.unique(word, return_inverse=True)
         tables = [np.bincount(at, weights=x, minlength=len(ids)).astype(np.uint32) for x, _ in samples]
         rows = [_row(UP, k, _pack(_steps(ids[i]), *_around([x[i] for x in tables])), bucket) for k, i in _by_shard(ids, buckets, shards)] if len(ids) else []
         rows.append(_row(SUMS, bucket, None, x=[float(x.sum()) for x in tables]))
-        if last:
+        if not last:
+            rows.append(_row(STATE, bucket, _pack(samples[-1][1].astype(np.uint32))))
+        else:
             for sid, (ws, ls) in _of(t, PLACES):
                 ws, ls = np.cumsum(ws), np.cumsum(ls)
                 rows.append(_row(TABLES, bucket, _pack(*_around([x[ls] for x, _ in samples]), *_around([y[ws] for _, y in samples])), sid))
@@ -418,24 +435,24 @@ def _restaurants(buckets: int, shards: int, sweeps: int, keep: int, seed: int, l
     return run
 
 
-def _shard(buckets: int, samples: int, v: float, tables: list[float], customers: list[float], seed: int, last: bool):
+def _shard(buckets: int, weights: list[float], v: float, tables: float, customers: float, seed: int, last: bool):
     """A shard of the root with the tables that the buckets sent: probabilities for them or, at last, the words' customers and tables for those who ask by word."""
 
     def run(t: pa.Table) -> pa.Table:
         shard = t.column("bucket")[0].as_py()
         ids, single = next(_of(t, SHARD))[1]
         ids = np.cumsum(ids)
-        c = np.repeat(single.astype(np.int64)[:, None], samples, axis=1)
+        c = np.repeat(single.astype(np.int64)[:, None], len(weights), axis=1)
         asked = [(b, np.searchsorted(ids, np.cumsum(x[0])), x[1:]) for b, x in _of(t, UP)]
         for _, at, up in asked:
             c[at] += np.stack(_samples(up), axis=1)  # a bucket names a word once
-        own = _root_tables(ids, c, [_new_table(x, v) for x in tables], seed)
+        own = _root_tables(ids, c, weights, seed)
         rows = [_row(SUMS, shard, None, x=[float(x) for x in (*c.sum(axis=0), *own.sum(axis=0))])]
         if last:
             for b, at in _by_shard(ids, 1 << 62, buckets):
                 rows.append(_row(ROOTS, b, _pack(_steps(ids[at]), *_around(c[at].T), *_around(own[at].T))))
         else:
-            p = (c[:, 0] - ROOT_DISCOUNT * own[:, 0] + _new_table(tables[0], v)) / (ROOT_STRENGTH + customers[0])
+            p = (c[:, 0] - ROOT_DISCOUNT * own[:, 0] + _new_table(tables, v)) / (ROOT_STRENGTH + customers)
             rows += [_row(ROOTS, b, _pack(_steps(ids[at]), p[at]), shard) for b, at, _ in asked]
         return pa.Table.from_batches([_rows(rows)])
 
@@ -526,14 +543,24 @@ def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "te
         return tokens.select("blob").mapInArrow(_untrained, _SCORES)
     shards = max(1, min(buckets, round(v / SHARD_WORDS)))
     words = only(held, WORDS).mapInArrow(_dealt_words(buckets, shards), _ROW)
-    root = written(words.groupBy("bucket").applyInArrow(_first_shard(v, pairs, seed), _ROW), "root")
+    root = written(words.groupBy("bucket").applyInArrow(_first_shard(v, pairs, _root_weight(v, v, seed), seed), _ROW), "root")
     single, tables = sums(root, 2)
-    seats = lambda told, sweeps, keep, last: written(only(held, LIVE, NAMES, *[PLACES] * last).unionByName(only(told, ROOTS)).groupBy("bucket").applyInArrow(_restaurants(buckets, shards, sweeps, keep, seed + 7 * last, last), _ROW), "seats")
-    meet = lambda up, n, tables, customers, last: written(only(root, SHARD).unionByName(only(up, UP)).groupBy("bucket").applyInArrow(_shard(buckets, n, v, tables, customers, seed + 13 + 7 * last, last), _ROW), "root")
-    up = seats(root, FIRST, 1, False)
-    told = meet(up, 1, [tables], [single + sums(up, 1)[0]], False)
-    up = seats(told, BURN + KEPT, KEPT, True)
-    told = meet(up, KEPT, [sums(told, 2)[1]] * KEPT, [], True)
+    told, up = root, None
+    for i, sweeps in enumerate((*ROUNDS, BURN + KEPT)):
+        last = i == len(ROUNDS)
+        given = only(held, LIVE, NAMES, *[PLACES] * last).unionByName(only(told, ROOTS))
+        if up is not None:
+            given = given.unionByName(only(up, STATE))
+        seated = _restaurants(buckets, shards, sweeps, KEPT if last else 1, seed + 7 * i, last)
+        used, up = [told, up], written(given.groupBy("bucket").applyInArrow(seated, _ROW), "seats")
+        for x in used:
+            if x is not None and x is not root:
+                discard(x)
+        weights = [_root_weight(tables, v, seed + 101 * i + k) for k in range(KEPT if last else 1)]
+        customers = single + sums(up, 1)[0]
+        meet = _shard(buckets, weights, v, tables, customers, seed + 13 * (i + 1), last)
+        told = written(only(root, SHARD).unionByName(only(up, UP)).groupBy("bucket").applyInArrow(meet, _ROW), "root")
+        tables = sums(told, 2)[1]
     found = sums(told, 2 * KEPT)
     known = only(held, NAMES, PLACES).unionByName(only(told, ROOTS)).groupBy("bucket").applyInArrow(_known_words, _ROW)
     both = tokens.select(F.lit(TOKENS).alias("kind"), "slice", F.lit(-1).alias("bucket"), "blob")

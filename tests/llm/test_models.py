@@ -74,16 +74,26 @@ def test_language_model_counts(spark):
 
 
 def test_language_model_is_a_distribution(spark):
-    """After a context, the words of training and the unknown one have probability 1 in all."""
-    words = sorted({w for _, t in LM for w in (t or "").lower().split()} | {"neverseen"})
-    probe = [(10_000 + i, f"cat {w}") for i, w in enumerate(words)] + [(20_000, "cat")]
+    """After each context, the words of training, the end and the unknown word have probability 1 in all.
+
+    Scores are products along a text, so they give each transition up to a
+    factor of its two ends.  A matrix of transitions, the end leading back to
+    the start, has 1 as its largest eigenvalue if its rows sum to 1, and those
+    factors do not change that.
+    """
+    words = [*sorted({w for _, t in LM if t and len(t) < 300 for w in t.lower().split()} - {"unseen", "words", "only", "here"}), "neverseen"]
+    texts = ["", *words, *(f"{u} {w}" for u in words for w in words)]
+    probe = [(10_000 + i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(LM + probe, "doc_id long, text string")
     train = (F.col("doc_id") < 10_000) & (F.col("doc_id") != 202)
-    s = {r["id"]: r["score"] for r in pitmanyor.score_documents(df, train).collect() if r["id"] is not None and r["id"] >= 10_000}
-    # p(cat w END) / p(END | w) needs p(END | w): ask for w alone after the same start is not the same context, so use sums of p(w | cat) p(END | w) <= 1.
-    cat_end = 10 ** s[20_000]
-    mass = sum(10 ** s[10_000 + i] for i in range(len(words)))
-    assert 0 < cat_end < 1 and 0 < mass < 1
+    s = {r["id"]: 10 ** r["score"] for r in pitmanyor.score_documents(df, train).collect() if r["id"] is not None and r["id"] >= 10_000}
+    p = {t: s[10_000 + i] for i, t in enumerate(texts)}
+    m = np.full((len(words) + 1, len(words) + 1), p[""])
+    for j, w in enumerate(words, 1):
+        m[0, j] = p[w] / p[""]
+        for i, u in enumerate(words, 1):
+            m[i, j] = p[f"{u} {w}"] / p[u]
+    assert abs(np.abs(np.linalg.eigvals(m)).max() - 1) < 1e-6
 
 
 class Plain:
@@ -191,23 +201,75 @@ def test_language_model_agrees_with_plain_sampling(spark, small_corpus):
     assert np.std([sum(r) for r in runs]) / tokens.sum() < 0.02
 
 
+def test_language_model_agrees_with_plain_sampling_on_large_dishes(spark):
+    """Few words and many tokens: dishes of hundreds of customers, where tables are far fewer than customers."""
+    rnd = random.Random(6)
+    words = ["a", "b", "c", "d"]
+    text = lambda n: [w for _ in range(n) for w in rnd.choice((["a", "b"], ["c"], ["d", "a"], ["b"]))]
+    train, held = [text(12) for _ in range(60)], [text(5) for _ in range(6)] + [["a"] * 6, ["unseen", "a"]]
+    chains = []
+    for seed in range(2):
+        m = Plain(train, random.Random(seed))
+        sums, n = [np.zeros(len(t) + 1) for t in held], 0
+        for sweep in range(30):
+            for i in range(len(m.customers)):
+                m.leave(i)
+                m.sit(i)
+            if sweep >= 10:
+                n += 1
+                for k, t in enumerate(held):
+                    sums[k] += [m.p(u, w) for u, w in zip(["<s>", *t], [*t, "</s>"])]
+        chains.append([float(np.log10(x / n).sum()) for x in sums])
+    pairs = [p for t in train for p in zip(t, t[1:])]
+    assert max(map(pairs.count, set(pairs))) > 150 and set(words) == {w for t in train for w in t}
+    rows = [(i, " ".join(t)) for i, t in enumerate(train)] + [(100 + k, " ".join(t)) for k, t in enumerate(held)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [[r["score"] for r in sorted(pitmanyor.score_documents(df, F.col("doc_id") < 100, seed=seed).where("id >= 100").collect(), key=lambda r: r["id"])] for seed in range(4)]
+    away, tokens = np.mean(runs, axis=0) - np.mean(chains, axis=0), sum(len(t) + 1 for t in held)
+    # Chains of one seed differ by 0.1 in a text.
+    assert np.abs(away).max() < 0.1 and abs(away.sum()) / tokens < 0.005
+
+
 def test_language_model_does_not_depend_on_buckets(spark, small_corpus):
     df = spark.createDataFrame([(i, " ".join(t * 3)) for i, t in enumerate(small_corpus)], "doc_id long, text string").repartition(3, "doc_id")
     score = lambda size: {r["id"]: round(r["score"], 9) for r in pitmanyor.score_documents(df, F.col("doc_id") % 5 > 0, bucket_bytes=size).collect()}
     assert score(1 << 23) == score(100)
 
 
-def test_large_dishes_are_seated_like_small_ones(monkeypatch):
-    """Tables of large dishes, seated in blocks of any size, are those of one customer after the other."""
-    rng = np.random.default_rng(1)
-    c, a, key = np.array([3000, 700, 2, 1] * 10), np.array([20.0, 0.5, 3.0, 1.0] * 10), rng.integers(0, 2**63, 40).astype(np.uint64)
-    want = pitmanyor.propose(c, a, 0.5, key, 7)
-    for crowd, block in ((50, 1 << 19), (256, 500), (5000, 1 << 19)):
-        monkeypatch.setattr(pitmanyor, "CROWD", crowd)
-        monkeypatch.setattr(pitmanyor, "BLOCK", block)
-        t, w = pitmanyor.propose(c, a, 0.5, key, 7)
-        assert np.array_equal(t, want[0]) and np.allclose(w, want[1])
-    assert (want[0] >= 1).all() and (want[0] <= c).all() and (want[0][c == 1] == 1).all()
+def exact_mean(c, a, d):
+    """Mean table count by the recursion of the generalised Stirling numbers, in logarithms."""
+    top = int(min(c, a / d + 15 * math.sqrt(a / d) + 60))
+    row = np.full(top + 1, -np.inf)
+    row[1] = 0.0
+    t = np.arange(top + 1)
+    for n in range(1, c):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            row = np.logaddexp(np.concatenate([[-np.inf], row[:-1]]), np.where(n > d * t, np.log(np.maximum(n - d * t, 1e-300)), -np.inf) + row)
+    w = row + t * math.log(a)
+    w = np.exp(w - w.max())
+    return float((w * t).sum() / w.sum())
+
+
+@pytest.mark.parametrize("d", [pitmanyor.DISCOUNT, pitmanyor.ROOT_DISCOUNT])
+def test_table_counts_have_the_exact_mean(monkeypatch, d):
+    """With the settings that are used, alone and among dishes of all sizes."""
+    n = 20_000
+    keys = pitmanyor.mix(np.arange(n, dtype=np.uint64))
+    cases = [(c, a) for c in (2, 3, 10, 20, 100, 1000, 4095, 4096, 10_000) for a in (0.05, 0.5, 5.0, 50.0)]
+    want = {x: exact_mean(*x, d) for x in cases}
+    together = pitmanyor.draw_tables(np.repeat([c for c, _ in cases], n), np.repeat([a for _, a in cases], n), d, np.tile(keys, len(cases)), 3).reshape(len(cases), n)
+    for i, (c, a) in enumerate(cases):
+        t = pitmanyor.draw_tables(np.full(n, c), np.full(n, a), d, keys, 3)
+        assert np.array_equal(t, together[i]) and t.min() >= 1 and t.max() <= c
+        assert abs(t.mean() - want[c, a]) < 0.03 * want[c, a] and abs(t.mean() - want[c, a]) < 5 * t.std() / math.sqrt(n) + 2e-3 * want[c, a], (c, a, t.mean(), want[c, a])
+    # The step beyond the recursion's end, where tables press against the customers as well.
+    monkeypatch.setattr(pitmanyor, "STEPS", 300)
+    for c, a in ((1000, 5.0), (1000, 50.0), (1000, 300.0), (5000, 50.0), (5000, 900.0)):
+        t = pitmanyor.draw_tables(np.full(n, c), np.full(n, a), d, keys, 3)
+        assert abs(t.mean() - exact_mean(c, a, d)) < 0.03 * exact_mean(c, a, d), (c, a, t.mean(), exact_mean(c, a, d))
+    assert pitmanyor.draw_tables(np.array([1, 1]), np.array([1e9, 1e-9]), d, keys[:2], 3).tolist() == [1, 1]
+    big = pitmanyor.draw_tables(np.array([10**9, 4000, 5]), np.array([3e5, 1e7, 1e7]), d, keys[:3], 3)
+    assert abs(big[0] - 3e5 / d) < 0.02 * 3e5 / d and big[1] > 3900 and big[2] == 5
 
 
 def test_seating_has_the_exact_distribution():
@@ -226,7 +288,7 @@ def test_seating_has_the_exact_distribution():
     extend([1], n - 1, 1.0)
     total = sum(weight.values())
     key = np.arange(40_000, dtype=np.uint64)
-    t = pitmanyor.sweep(np.full(40_000, n), np.full(40_000, a), d, pitmanyor.mix(key), 1, tries=12)
+    t = pitmanyor.draw_tables(np.full(40_000, n), np.full(40_000, a), d, pitmanyor.mix(key), 1)
     for k, w in weight.items():
         assert abs((t == k).mean() - w / total) < 0.015
     assert abs(pitmanyor.gamma(np.full(40_000, 3.5), pitmanyor.mix(key), 5).mean() - 3.5) < 0.05
