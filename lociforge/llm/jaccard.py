@@ -11,11 +11,12 @@
 3. Sets that keys connect form a candidate class.  Over each class a signature
    tree is built: leaves are the sets' bitmaps, inner nodes hold OR-combined
    bitmaps and size ranges.  A dual traversal drops node pairs whose sizes
-   cannot match or whose largest possible overlap is too small, skips pairs
-   that are already connected, and compares the sets of what is left exactly.
-   Classes over a size limit are cut into blocks by size, and every pair of
-   blocks whose size ranges match is a task.
-4. Links and equal sets give the components.
+   cannot match or whose largest possible overlap is too small, and all pairs
+   of sets that are left are compared exactly, many at once.  Classes over a
+   size limit are cut into blocks by size, and every pair of blocks whose size
+   ranges match is a task.  A task returns each set's number of links, weighted
+   by how many texts have the other set, and edges that connect what links.
+4. Edges and equal sets give the components.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Fresh, connected_components, own, small_side, text_slices, written
+from .common import Fresh, connected_components, own, small_side, smallest_reachable, text_slices, written
 from .wordscan import mix, scan, shingle_sets
 
 #: Shingles of a block; a task holds two blocks.
@@ -102,59 +103,96 @@ def possible(a, i: np.ndarray, b, j: np.ndarray, percent: int) -> np.ndarray:
     return sizes & ((100 + percent) * most >= need)
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    common = int(np.count_nonzero(y[at] == x))
-    return 100 * common >= percent * (len(x) + len(y) - common)
+#: Pairs that are compared at once, and bytes of bits that the comparison may hold.
+PAIRS, BITS = 1 << 18, 1 << 26
 
 
-def tree_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what the similarity connects, none between sets that are not similar.
+def tree_pairs(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None):
+    """(a, b) in arrays: the pairs of sets that the dual traversal cannot rule out, each once.
 
-    side: if given, only sets of different sides are compared (two blocks).
+    side: if given, only sets of different sides are paired (two blocks).
     """
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0))
-    sides = [order] if side is None else [[i for i in order if side[i] == s] for s in (0, 1)]
-    if not all(sides):
-        return []
+    order = np.array(sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0)), dtype=np.int64)
+    sides = [order] if side is None else [order[side[order] == s] for s in (0, 1)]
+    if not all(len(x) for x in sides):
+        return
     bits = min(1 << 15, max(64, 1 << (4 * max(len(s) for s in sets)).bit_length()))
     trees = [SignatureTree([sets[i] for i in part], bits) for part in sides]
     left, right = trees[0], trees[-1]
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
+    stack, held, size = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)], [], 0
     while stack:
         p, i, q, j = stack.pop()
-        if p == 0 and q == 0:
-            a, b = sides[0][i], sides[-1][j]
-            if a != b and find(a) != find(b) and linked(sets[a], sets[b], percent):
-                parent[find(b)] = find(a)
-                links.append((a, b))
-            continue
-        if p <= 1 and q <= 1:
-            roots = {find(sides[0][x]) for x in left.leaves(p, i)} | {find(sides[-1][x]) for x in right.leaves(q, j)}
-            if len(roots) == 1:
-                continue
-        down_p, down_q = p and p >= q, q and q >= p
-        ci, pl = (left.children(p, i), p - 1) if down_p else (np.array([i]), p)
-        cj, ql = (right.children(q, j), q - 1) if down_q else (np.array([j]), q)
+        leaves = p <= 1 and q <= 1
+        down_p, down_q = leaves or p >= q, leaves or q >= p
+        ci, pl = (left.children(p, i), p - 1) if p and down_p else (np.array([i]), p)
+        cj, ql = (right.children(q, j), q - 1) if q and down_q else (np.array([j]), q)
         ok = possible(left.levels[pl], ci, right.levels[ql], cj, percent)
-        if side is None:
-            ok &= ci[:, None] <= cj[None]
-        # Nearest neighbours in size come off the stack first.
-        for x, y in sorted(zip(*(v.tolist() for v in np.nonzero(ok))), key=lambda t: -abs(int(ci[t[0]]) - int(cj[t[1]]))):
-            stack.append((pl, int(ci[x]), ql, int(cj[y])))
-    return links
+        if side is None and pl == ql:
+            ok &= ci[:, None] < cj[None] if leaves else ci[:, None] <= cj[None]
+        x, y = np.nonzero(ok)
+        if not leaves:
+            stack.extend((pl, int(ci[k]), ql, int(cj[m])) for k, m in zip(x, y))
+        elif len(x):
+            held.append((sides[0][ci[x]], sides[-1][cj[y]]))
+            size += len(x)
+            if size >= PAIRS:
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+class Overlaps:
+    """Exact sizes of intersections of many pairs of sets: a bit for each element that some but not all of the sets share."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        flat, starts, ends = _spans(sets)
+        self.n = ends - starts
+        values, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+        self.common = int((times == len(sets)).sum())
+        some = (times > 1) & (times < len(sets))
+        width = -(-int(some.sum()) // 64)
+        self.bits = None
+        if 8 * width * len(sets) <= BITS:
+            place = np.cumsum(some) - 1
+            of, column = np.repeat(np.arange(len(sets)), self.n)[some[at]], place[at[some[at]]]
+            self.bits = np.zeros((len(sets), width), dtype=np.uint64)
+            # Elements of a set stand in ascending columns, so those of a word are neighbours.
+            word = of * width + column // 64
+            new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else word
+            if len(word):
+                self.bits.reshape(-1)[word[new]] = np.bitwise_or.reduceat(np.uint64(1) << (column % 64).astype(np.uint64), new)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.bits is None:  # sets that share little: element by element
+            return np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(a, b)], dtype=np.int64)
+        out = np.full(len(a), self.common, dtype=np.int64)
+        step = max(1, (BITS >> 4) // max(self.bits.shape[1], 1))
+        for k in range(0, len(a), step):
+            out[k : k + step] += np.bitwise_count(self.bits[a[k : k + step]] & self.bits[b[k : k + step]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def tree_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None):
+    """(a, b) in arrays: all pairs of sets that link."""
+    overlaps = Overlaps(sets)
+    for a, b in tree_pairs(sets, percent, side):
+        both = overlaps.of(a, b)
+        ok = 100 * both >= percent * (overlaps.n[a] + overlaps.n[b] - both)
+        if ok.any():
+            yield a[ok], b[ok]
+
+
+def linked_sets(sets: list[np.ndarray], copies: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(for each set how many texts' other sets it links with, edges from each linked set to the first one that links lead to)."""
+    count, label = np.zeros(len(sets), dtype=np.int64), np.arange(len(sets))
+    for a, b in tree_links(sets, percent, side):
+        count += np.bincount(a, weights=copies[b], minlength=len(sets)).astype(np.int64) + np.bincount(b, weights=copies[a], minlength=len(sets)).astype(np.int64)
+        nodes, low = smallest_reachable(np.concatenate([label, a]), np.concatenate([np.arange(len(sets)), b]))
+        label[nodes] = low
+    own = np.flatnonzero(label != np.arange(len(sets)))
+    return count, np.stack([own, label[own]], axis=1)
 
 
 def _pack5(*columns: np.ndarray) -> bytes:
@@ -323,23 +361,23 @@ def _ipc(t: pa.Table) -> bytes:
 
 
 def _placed(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """members(id, n, f1, component) with the tasks they go to: task string, side int (null in a task of one block)."""
+    """members(id, n, f1, copies, component) with the tasks they go to: task string, side int (null in a task of one block)."""
     sized = members.groupBy("component").agg(F.sum("n").alias("weight"))
     big = sized.where(F.col("weight") > block)
     upto = Window.partitionBy("component").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    small = members.join(sized.where(F.col("weight") <= block), "component").select("id", "f1", F.concat(F.lit("c"), F.col("component")).alias("task"), F.lit(None).cast("int").alias("side"))
+    small = members.join(sized.where(F.col("weight") <= block), "component").select("id", "f1", "copies", F.concat(F.lit("c"), F.col("component")).alias("task"), F.lit(None).cast("int").alias("side"))
     blocks = members.join(big, "component").withColumn("block", F.floor((F.sum("n").over(upto) - F.col("n")) / block).cast("int"))
     ranges = blocks.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = ranges.alias("x"), ranges.alias("y")
     pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.high") * 100 >= F.col("y.low") * percent))
     pairs = pairs.select(F.col("x.component").alias("component"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     ends = pairs.select("component", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(None).cast("int").alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side"))))).alias("e"), F.concat_ws("-", F.lit("b"), "component", "i", "j").alias("task"))
-    large = blocks.join(ends.select("component", "e.block", "e.side", "task"), ["component", "block"]).select("id", "f1", "task", "side")
+    large = blocks.join(ends.select("component", "e.block", "e.side", "task"), ["component", "block"]).select("id", "f1", "copies", "task", "side")
     return small.unionByName(large)
 
 
 def _verify(docs: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) between sets, by their fingerprints, found by the signature trees of each task."""
+    """Of each task edges (a, b) between sets, by their fingerprints, that connect what links, and (a, n): the links of each set that has any."""
 
     def sets(batches):
         for part in text_slices(batches, "text"):
@@ -347,55 +385,64 @@ def _verify(docs: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFra
             f1 = fingerprints(found)[0]
             same = _signed(f1) == np.asarray(part.column(2))  # else another row of the same id
             out = part.append_column("set", pa.array([s.tobytes() for s in found], pa.binary())).filter(pa.array(same))
-            yield out.select(["f1", "task", "side", "set"])
+            yield out.select(["f1", "copies", "task", "side", "set"])
 
     def search(t: pa.Table) -> pa.Table:
+        # A set is one, however many rows of its id hold it.
+        ids, first = np.unique(t.column("f1").to_numpy(), return_index=True)
+        t = t.take(pa.array(first))
         held = [np.frombuffer(b, dtype=np.uint64) for b in t.column("set").to_pylist()]
-        ids = t.column("f1").to_numpy()
         side = None if t.column("side").null_count else t.column("side").to_numpy()
-        found = tree_links(held, percent, side)
-        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+        count, edges = linked_sets(held, t.column("copies").to_numpy(), percent, side)
+        some = np.flatnonzero(count)
+        a = np.concatenate([ids[edges[:, 0]], ids[some]])
+        none = lambda k: pa.nulls(k, pa.int64())
+        b, links = pa.chunked_array([pa.array(ids[edges[:, 1]], pa.int64()), none(len(some))]), pa.chunked_array([none(len(edges)), pa.array(count[some], pa.int64())])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": b, "n": links})
 
-    texts = docs.join(small_side(written(placed, "placed")), "id").select("id", "text", "f1", "task", "side")
-    return texts.mapInArrow(sets, "f1 long, task string, side int, set binary").groupBy("task").applyInArrow(search, "a long, b long")
+    texts = docs.join(small_side(written(placed, "placed")), "id").select("id", "text", "f1", "copies", "task", "side")
+    return texts.mapInArrow(sets, "f1 long, copies long, task string, side int, set binary").groupBy("task").applyInArrow(search, "a long, b long, n long")
 
 
 def _classes(d: DataFrame, n: int, percent: int, block: int) -> DataFrame:
-    """(id, n, f1, first) for every row of d(id, text): its set's size and fingerprint, and the least (id, f1) of its class; first is null without words or id."""
+    """(id, n, f1, first, links) for every row of d(id, text): its set's size and fingerprint, the least (id, f1) of its class and how many other rows it links with; first is null without words or id."""
     size = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(8, size // BUCKET)
     counted = written(_counted(d, n, buckets), "counted")
     base = written(_base_rows(counted), "base")
     known = base.where("id is not null and n > 0")
     classes = connected_components(_edges(counted, percent, buckets))
-    equal = known.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"))
+    equal = known.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     node = F.shiftrightunsigned("f1", 24)
-    members = written(equal.join(classes, node == classes.node).select("id", "n", "f1", "component"), "members")
-    links = _verify(d, _placed(members, percent, block), n, percent)
+    members = written(equal.join(classes, node == classes.node).select("id", "n", "f1", "copies", "component"), "members")
+    links = written(_verify(d, _placed(members, percent, block), n, percent), "links")
     # The graph's nodes are sets, so equal sets are one node and rows that share an id are not.
-    found = connected_components(links)
+    found = connected_components(links.where("b is not null"))
     labelled = known.join(found, known.f1 == found.node, "left").select("id", "f1", F.coalesce("component", "f1").alias("label"))
     first = labelled.groupBy("label").agg(F.min(F.struct("id", "f1")).alias("first"))
-    sets = labelled.select("f1", "label").distinct().join(first, "label").select(F.col("f1").alias("_f"), "first")
+    partners = links.where("b is null").groupBy(F.col("a").alias("f1")).agg(F.sum("n").alias("_others"))
+    sets = labelled.groupBy("f1", "label").agg(F.count("*").alias("_copies")).join(first, "label").join(partners, "f1", "left")
+    sets = sets.select(F.col("f1").alias("_f"), "first", (F.col("_copies") - 1 + F.coalesce("_others", F.lit(0))).alias("links"))
     held = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("f1"))
-    return base.join(sets, held == F.col("_f"), "left").select("id", "n", "f1", "first")
+    return base.join(sets, held == F.col("_f"), "left").select("id", "n", "f1", "first", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id) for every row of docs: classes of texts linked by shingle similarity.
+    """(id, n_shingles, component_id, n_links) for every row of docs: classes of texts linked by shingle similarity.
 
     A text's words are lower-cased (A-Z) and its set is that of its windows of
     n words; with fewer words the whole sequence is the one shingle; without
     words, or null, the set is empty and linked with nothing.  Two texts link
     when 100 * |intersection| >= percent * |union|; equal sets do.  The
-    component is the smallest id reachable by links, the row's own included.
+    component is the smallest id reachable by links, the row's own included;
+    n_links counts the other rows that the row itself links with.
     Repeated rows are rows of their own, whatever ids they share; a row with a
     null id is linked with nothing and has a null component.  An empty table
     gives no rows; other columns are left out.
     """
     d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     found = _classes(d, n, percent, block)
-    return found.select("id", F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"))
+    return found.select("id", F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"), F.col("links").alias("n_links"))
 
 
 def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:

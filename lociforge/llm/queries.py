@@ -23,8 +23,8 @@ n as (select doc_id, count(*) as n from s group by doc_id),
 i as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
 l as (select x, y from i join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 90 * (p.n + q.n - c)),
 r as (select doc_id as x, doc_id as y from documents union select r.x, l.y from r join l on l.x = r.y)
-select d.doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(r.y) as component_id
-from documents d left join n on n.doc_id = d.doc_id left join r on r.x = d.doc_id group by d.doc_id
+select d.doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(r.y) as component_id, coalesce(max(k.c), 0)::bigint as n_links
+from documents d left join n on n.doc_id = d.doc_id left join r on r.x = d.doc_id left join (select x, count(*) as c from l group by x) k on k.x = d.doc_id group by d.doc_id
 """
 
 

@@ -30,7 +30,9 @@ def brute(rows, n, percent):
             if i is not None and j is not None and a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    return sorted(((i, len(s), find(i) if i is not None else None) for i, s in sets), key=str)
+    link = lambda a, b: a and b and 100 * len(a & b) >= percent * len(a | b)
+    count = lambda k: sum(m != k and x is not None and bool(link(sets[k][1], s)) for m, (x, s) in enumerate(sets)) if sets[k][0] is not None else 0
+    return sorted(((i, len(s), find(i) if i is not None else None, count(k)) for k, (i, s) in enumerate(sets)), key=str)
 
 
 def corpus(seed):
@@ -55,7 +57,7 @@ def corpus(seed):
 def test_against_brute_force(spark, n, percent, block):
     rows = corpus(n + percent)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(df, n, percent, block=block).collect()), key=str)
+    got = sorted(((r["id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.jaccard_join(df, n, percent, block=block).collect()), key=str)
     assert got == brute(rows, n, percent)
 
 
@@ -73,7 +75,7 @@ def test_distinct_documents_keep_other_texts(spark):
     assert got == Counter([(1, "a b c d e f"), (1, "q r s t u v"), (3, None), (None, "a b c d e f"), (4, "z y x w v u")])
 
 
-def test_tree_equals_pairs():
+def test_tree_equals_pairs(monkeypatch):
     rng = np.random.default_rng(3)
     sets = []
     for _ in range(30):
@@ -83,10 +85,20 @@ def test_tree_equals_pairs():
             m = int(len(x) * rng.random() * 0.15)
             x[:m] = rng.integers(0, 2**63, m).astype(np.uint64)
             sets.append(np.unique(mix(x)))
-    want = [(i, j) for j in range(len(sets)) for i in range(j) if jaccard.linked(sets[i], sets[j], 80)]
-    found = jaccard.tree_links(sets, 80)
-    both = [smallest_reachable(np.array([a for a, _ in e]), np.array([b for _, b in e])) for e in (want, found)]
-    assert all(np.array_equal(x, y) for x, y in zip(*both)) and set(found) <= {(a, b) for i, j in want for a, b in ((i, j), (j, i))}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(both := np.intersect1d(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - len(both))}
+    for bits, pairs in ((jaccard.BITS, jaccard.PAIRS), (0, 7)):
+        monkeypatch.setattr(jaccard, "BITS", bits)
+        monkeypatch.setattr(jaccard, "PAIRS", pairs)
+        found = [(int(i), int(j)) for a, b in jaccard.tree_links(sets, 80) for i, j in zip(a, b)]
+        assert len(found) == len(set(found)) and {tuple(sorted(x)) for x in found} == want
+    side = rng.integers(0, 2, len(sets))
+    across = {tuple(sorted((int(i), int(j)))) for a, b in jaccard.tree_links(sets, 80, side) for i, j in zip(a, b)}
+    assert across == {(i, j) for i, j in want if side[i] != side[j]}
+    copies = rng.integers(1, 5, len(sets))
+    count, edges = jaccard.linked_sets(sets, copies, 80)
+    assert count.tolist() == [sum(int(copies[j]) for j in range(len(sets)) if tuple(sorted((i, j))) in want) for i in range(len(sets))]
+    both = [smallest_reachable(np.array([a for a, _ in e]), np.array([b for _, b in e])) for e in (sorted(want), edges.tolist())]
+    assert all(np.array_equal(x, y) for x, y in zip(*both))
 
 
 @pytest.mark.parametrize("one_task", [10**6, 0])
@@ -101,5 +113,5 @@ def test_components(spark, one_task):
 def test_equal_rows_in_tasks_of_their_own(spark):
     rows = [(1, "a b c d e")] * 4 + [(2, "a b c d e")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert sorted((r["id"], r["component_id"]) for r in jaccard.jaccard_join(df, 3, 90).collect()) == [(1, 1)] * 4 + [(2, 1)]
+    assert sorted((r["id"], r["component_id"], r["n_links"]) for r in jaccard.jaccard_join(df, 3, 90).collect()) == [(1, 1, 4)] * 4 + [(2, 1, 4)]
     assert [r["doc_id"] for r in jaccard.distinct_documents(df, 3, 90).collect()] == [1]
