@@ -43,7 +43,7 @@ ROUNDS, BURN, KEPT = (2, 2), 1, 4
 SLICE, BUCKET = 8 << 20, 8 << 20
 #: Words of a shard of the root, about.
 SHARD_WORDS = 1 << 19
-#: Customers up to which the seating's recursion is run step by step, and cells of dishes x tables that are weighed at once.
+#: Customers up to which the seating's recursion is run step by step (16 times as many where that matters), and cells of dishes x tables that are weighed at once.
 STEPS, CELLS = 4096, 1 << 20
 END, START = np.uint64(0x51ED270B35F7A3C9), np.uint64(0x2C1B3C6D9E77A5F1)
 _GOLD = 0x9E3779B97F4A7C15
@@ -146,23 +146,25 @@ def draw_tables(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray,
     a / discount times r_c(t): one row of the recursion serves all dishes of c
     customers.  Beyond STEPS customers r_c(t) is taken from the last row at
     the mean that the tables beside the first shrink to on the way there, which
-    is exact to first order: off by some per cent only where tables are nearly
-    half as many as the customers.
+    is exact to first order: off by some per cent only beyond 16 * STEPS
+    customers with tables for a good part of them.
     """
     out = np.ones(len(c), dtype=np.int64)
     rate = a / discount
     # No more tables than customers, nor than a Poisson number ever gives.
     most = np.minimum(c, np.ceil(rate + 12 * np.sqrt(rate) + 40).astype(np.int64))
-    step = np.minimum(c, STEPS)
+    # Where tables press against the customers the recursion is run further.
+    limit = np.where(rate > c**discount / 5, 16 * STEPS, STEPS)
+    step = np.minimum(c, limit)
     order = np.lexsort((most, step))
     order = order[c[order] > 1]
     if not len(order):
         return out
-    far = c > STEPS
+    far = c > limit
     shrink = np.ones(len(c))
     if far.any():
         size = c[far].astype(np.float64)
-        end = np.full(1, float(STEPS))
+        end = limit[far].astype(np.float64)
         shrink[far] = np.exp(_log_gamma(size - 2 * discount) - _log_gamma(size - discount) - _log_gamma(end - 2 * discount) + _log_gamma(end - discount))
     need = np.ceil(most * shrink).astype(np.int64) + 2
     starts = np.flatnonzero(np.concatenate([[True], np.diff(step[order]) > 0]))
@@ -190,7 +192,7 @@ def draw_tables(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray,
             take = order[at : at + max(1, int(np.searchsorted(ahead * np.arange(1, len(ahead) + 1), CELLS)))]
             at += len(take)
             t = np.arange(int(most[take].max()))
-            own = log_r[None, : len(t)] if n < STEPS or not far[take].any() else np.interp(t[None, :] * shrink[take][:, None], s, log_r)
+            own = log_r[None, : len(t)] if not far[take].any() else np.interp(t[None, :] * shrink[take][:, None], s, log_r)
             weight = t[None, :] * np.log(rate[take])[:, None] - log_factorial[t][None, :] + own
             weight[t[None, :] >= most[take][:, None]] = -np.inf
             share = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
