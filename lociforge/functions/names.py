@@ -26,17 +26,17 @@ def parse(name: Column) -> Column:
         locus = F.when(star, F.substring_index(body, "*", 1)).otherwise(F.regexp_extract(body, "^([^0-9]*)", 1))
         rest = F.when(star, F.regexp_replace(body, "^[^*]*[*]", "")).otherwise(F.regexp_replace(body, "^[^0-9]*", ""))
         part = lambda x, i: F.coalesce(F.get(x, F.lit(i)), F.lit("")).alias(f"field{i + 1}")
-        return _let(F.split(rest, ":"), lambda x: F.struct(locus.alias("locus"), *[part(x, i) for i in range(4)], suffix.alias("suffix")))
+        return let(F.split(rest, ":"), lambda x: F.struct(locus.alias("locus"), *[part(x, i) for i in range(4)], suffix.alias("suffix")))
 
     def split(bare: Column) -> Column:
         has = F.right(bare, F.lit(1)).isin(*SUFFIXES)
         suffix = F.when(has, F.right(bare, F.lit(1))).otherwise(F.lit(""))
-        return _let(F.when(has, F.left(bare, F.length(bare) - 1)).otherwise(bare), lambda body: fields(body, suffix))
+        return let(F.when(has, F.left(bare, F.length(bare) - 1)).otherwise(bare), lambda body: fields(body, suffix))
 
-    return _let(strip_prefix(name), split)
+    return let(strip_prefix(name), split)
 
 
-def _let(value: Column, then) -> Column:
+def let(value: Column, then) -> Column:
     """then(value) with value bound once, which keeps the generated code small."""
     return F.transform(F.array(value), then)[0]
 

@@ -17,7 +17,7 @@ def matches(c1: Column, c2: Column, t1: Column, t2: Column, fields: int = 2) ->
         one = (z.a == z.c) | (z.a == z.d) | ((z.b != "") & ((z.b == z.c) | (z.b == z.d)))
         return F.when((z.a == "") & (z.b == ""), -1).when(both, 2).when(one, 1).otherwise(0)
 
-    return names._let(F.struct(cut(c1).alias("a"), cut(c2).alias("b"), cut(t1).alias("c"), cut(t2).alias("d")), count)
+    return names.let(F.struct(cut(c1).alias("a"), cut(c2).alias("b"), cut(t1).alias("c"), cut(t2).alias("d")), count)
 
 
 def against_truth(truth: DataFrame, calls: DataFrame, fields: int = 2) -> DataFrame:

@@ -69,14 +69,9 @@ def pair_sums(weighted: DataFrame) -> DataFrame:
 
 
 def max_coverage_pair(scores: DataFrame) -> DataFrame:
-    """The pair of different alleles that hits most reads: |a| + |b| - |a and b|, ties by names."""
-    hits = scores.where(F.col("score") > 0).select(*LOCUS, "read_id", "allele").distinct()
-    n = hits.groupBy(*LOCUS, "allele").agg(F.count("*").alias("n"))
-    left, right = hits.withColumnRenamed("allele", "a1"), hits.withColumnRenamed("allele", "a2")
-    both = left.join(right, [*LOCUS, "read_id"]).where("a1 < a2").groupBy(*LOCUS, "a1", "a2").agg(F.count("*").alias("shared"))
-    x, y = n.select(*LOCUS, F.col("allele").alias("a1"), F.col("n").alias("n1")), n.select(*LOCUS, F.col("allele").alias("a2"), F.col("n").alias("n2"))
-    pairs = x.join(y, LOCUS).where("a1 < a2").join(both, [*LOCUS, "a1", "a2"], "left")
-    pairs = pairs.withColumn("covered", F.col("n1") + F.col("n2") - F.coalesce("shared", F.lit(0)))
+    """The pair of different alleles that hits most reads, ties by names; reads are counted as pair_sums does."""
+    hits = scores.where(F.col("score") > 0).select(*LOCUS, "read_id", "allele").distinct().withColumn("weight", F.lit(1.0))
+    pairs = pair_sums(hits).where("a1 < a2").withColumnRenamed("k", "covered")
     order = Window.partitionBy(*LOCUS).orderBy(F.col("covered").desc(), "a1", "a2")
     return pairs.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*LOCUS, "a1", "a2", "covered")
 

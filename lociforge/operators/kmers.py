@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..storage import kept
 
 
 #: Windows of a chunk; finding a position in a string takes time in proportion to it.
@@ -145,7 +146,7 @@ def _dealt(k: int, bits: int):
                     continue
                 of = np.repeat(np.flatnonzero(np.diff(last, prepend=0)), [len(p[0]) for p in parts])
                 codes, counts = (np.concatenate(x) for x in zip(*parts))
-                bucket = (codes >> shift).astype(np.uint16)
+                bucket = (codes >> shift).astype(np.uint32)
                 order = np.argsort(bucket, kind="stable")
                 of, codes, counts, bucket = of[order].astype(np.int32), codes[order], counts[order].astype(np.uint32), bucket[order]
                 del parts, order
@@ -163,42 +164,60 @@ def _dealt(k: int, bits: int):
 
 
 def _bucket_stats(t: pa.Table) -> pa.Table:
+    """Counts of a bucket's k-mers for each key and, under no key, those of the sequences that all keys share."""
     held: dict[str, list] = {}
     for sets, sizes, codes, counts in zip(*(t.column(c).to_pylist() for c in ("sets", "sizes", "codes", "counts"))):
         codes, counts = np.cumsum(_unpacked(codes, np.uint64), dtype=np.uint64), _unpacked(counts, np.uint32)
         at = np.cumsum(sizes)
         for name, i, j in zip(sets, [0, *at[:-1]], at):
             held.setdefault(name, []).append((codes[i:j], counts[i:j]))
+    whole = lambda name: _sorted_counts(*(np.concatenate(x) for x in zip(*[(c, n.astype(np.int64)) for c, n in held[name]])))
     none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    out = []
-    for key in sorted({name[1:] for name in held}):
-        a, d = (_sorted_counts(*(np.concatenate(x) for x in zip(*[(c, n.astype(np.int64)) for c, n in held[s + key]]))) if s + key in held else none for s in "ar")
-        inside = d[1][np.isin(d[0], a[0], assume_unique=True)]
-        out.append((key, len(a[0]), len(inside), len(d[0]), len(d[0]) - len(inside), int(inside.sum()), int((inside * inside).sum())))
+    shared = whole("s")[0] if "s" in held else none[0]
+    out = [(None, len(shared), 0, 0, 0, 0, 0)] if len(shared) else []
+    for key in sorted({name[1:] for name in held if name != "s"}):
+        a = np.union1d(shared, whole("a" + key)[0]) if "a" + key in held else shared
+        d = whole("r" + key) if "r" + key in held else none
+        inside = d[1][np.isin(d[0], a, assume_unique=True)]
+        out.append((key, len(a) - len(shared), len(inside), len(d[0]), len(d[0]) - len(inside), int(inside.sum()), int((inside * inside).sum())))
     names = ["_key", "n_kmers", "_hit", "_reads", "_out", "_s1", "_s2"]
     return pa.table({n: pa.array(v, pa.string() if n == "_key" else pa.int64()) for n, v in zip(names, zip(*out))})
 
 
-def depth_of_dna(alleles: DataFrame, reads: DataFrame, key: list[str], k: int = 31, letters: int | None = None) -> DataFrame:
-    """depth_of_alleles for sequences of A, C, G, T and N (others are an error) and k up to 31, for whole corpora.
+def depth_of_dna(alleles: DataFrame | None, reads: DataFrame, key: list[str], k: int = 31, letters: int | None = None, shared: DataFrame | None = None) -> DataFrame:
+    """depth_of_alleles for whole corpora and k up to 31; windows with other letters than A, C, G and T are left out.
 
     Every k-mer of every sequence counts.  Slices combine their k-mers as
     numbers and deal them to buckets by their bits; a bucket counts those of
-    all sets, and the buckets' sums are added up.  letters: about how many
-    there are; read if not given.  Null keys are a key of their own.
+    all sets, and the buckets' sums are added up.  shared(seq): sequences that
+    every key of `reads` has among its alleles, dealt once and not once a key.
+    letters: about how many there are; read if not given.  Null keys are a key
+    of their own.
     """
     if k > 31:
         raise ValueError("k is 31 at most")
-    side = lambda df, s: df.where(F.col("seq").isNotNull()).select(F.concat(F.lit(s), F.to_json(F.struct(*key))).alias("set"), "seq")
-    rows = side(alleles, "a").unionByName(side(reads, "r"))
+    name = F.to_json(F.struct(*key))
+    side = lambda df, s: df.where(F.col("seq").isNotNull()).select(F.concat(F.lit(s), name).alias("set"), "seq")
+    rows = side(reads, "r")
+    if alleles is not None:
+        rows = side(alleles, "a").unionByName(rows)
+    if shared is not None:
+        rows = rows.unionByName(shared.where(F.col("seq").isNotNull()).select(F.lit("s").alias("set"), "seq"))
     if letters is None:
         letters = rows.agg(F.sum(F.length("seq").cast("long"))).first()[0] or 0
-    bits = min(max(2, int(letters // BUCKET).bit_length()), 16, 2 * k)
+    bits = min(max(2, int(letters // BUCKET).bit_length()), 2 * k)
     dealt = rows.mapInArrow(_dealt(k, bits), "bucket int, sets array<string>, sizes array<long>, codes binary, counts binary")
     found = dealt.groupBy("bucket").applyInArrow(_bucket_stats, "_key string, n_kmers long, _hit long, _reads long, _out long, _s1 long, _s2 long")
-    stats = found.groupBy("_key").agg(*[F.sum(c).alias(c) for c in found.columns[1:]])
+    columns = found.columns[1:]
+    stats = found.groupBy("_key").agg(*[F.sum(c).alias(c) for c in columns])
+    if shared is not None:
+        # Every key has the shared k-mers, also one whose reads have none; their number is one row.
+        stats = kept(stats)
+        n = stats.where("_key is null").agg(F.coalesce(F.sum("n_kmers"), F.lit(0)).alias("_shared"))
+        keys = reads.select(name.alias("_key")).distinct()
+        stats = keys.join(stats, "_key", "left").na.fill(0, columns).crossJoin(F.broadcast(n)).withColumn("n_kmers", F.col("n_kmers") + F.col("_shared")).drop("_shared")
     schema = reads.select(*key).schema
-    stats = stats.withColumn("_k", F.from_json("_key", schema)).select(*[F.col("_k")[c].alias(c) for c in key], *found.columns[1:])
+    stats = stats.withColumn("_k", F.from_json("_key", schema)).select(*[F.col("_k")[c].alias(c) for c in key], *columns)
     return _coverage(stats.withColumn("mean_depth", F.when(F.col("n_kmers") > 0, F.col("_s1") / F.col("n_kmers"))), key)
 
 
@@ -222,7 +241,7 @@ BROADCAST_KMERS = 500_000
 def kmer_lists(df: DataFrame, key: str, k: int) -> DataFrame:
     """(key, n, codes): the distinct canonical k-mers of each sequence df(key, seq) as numbers, two bits a base; k up to 31.
 
-    Windows with N have none; other letters are an error.  Null sequences
+    Windows with other letters than A, C, G and T have none.  Null sequences
     count as empty.
     """
     kind = df.schema[key].dataType.simpleString()
@@ -243,7 +262,7 @@ def kmer_lists(df: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def jaccard(left: DataFrame, right: DataFrame, k: int = 21) -> DataFrame:
-    """(id, other, common, jaccard) of sequences left(id, seq) and right(other, seq) of A, C, G, T and N with common k-mers.
+    """(id, other, common, jaccard) of sequences left(id, seq) and right(other, seq) with common k-mers.
 
     K-mers are numbers that are made, with their count, in one pass over each
     side.  A right side of bounded size is broadcast, so that only matches are

@@ -41,14 +41,19 @@ def with_region(variants: DataFrame, model: DataFrame, pos: str = "pos") -> Data
 def codon_effect(ref_codon: Column, codon_pos: Column, alt: Column) -> Column:
     """struct<codon_change, aa_change, effect> of a base change at codon_pos (from 0); a codon cut short is unknown."""
     changed = F.concat(F.substring(ref_codon, F.lit(1), codon_pos), alt, F.substring(ref_codon, codon_pos + 2, F.lit(3)))
-    x, y = S.amino_acid(ref_codon), S.amino_acid(changed)
-    whole = F.length(ref_codon) == 3
-    change = lambda v: F.when(whole, v).otherwise(F.lit(""))
-    return F.struct(
-        change(F.concat(ref_codon, F.lit(">"), changed)).alias("codon_change"),
-        change(F.when(x == y, F.lit("synonymous")).otherwise(F.concat(x, F.lit(">"), y))).alias("aa_change"),
-        F.when(~whole, "coding_unknown").when(x == y, "synonymous").otherwise("non_synonymous").alias("effect"),
-    )
+    # Both codons' amino acids are looked up once, whatever is said of them.
+    both = F.struct(ref_codon.alias("c"), changed.alias("d"), S.amino_acid(ref_codon).alias("x"), S.amino_acid(changed).alias("y"))
+
+    def said(v: Column) -> Column:
+        whole, same = F.length(v.c) == 3, v.x == v.y
+        change = lambda text: F.when(whole, text).otherwise(F.lit(""))
+        return F.struct(
+            change(F.concat(v.c, F.lit(">"), v.d)).alias("codon_change"),
+            change(F.when(same, F.lit("synonymous")).otherwise(F.concat(v.x, F.lit(">"), v.y))).alias("aa_change"),
+            F.when(~whole, "coding_unknown").when(same, "synonymous").otherwise("non_synonymous").alias("effect"),
+        )
+
+    return names.let(both, said)
 
 
 def cigar_variants(alignments: DataFrame) -> DataFrame:

@@ -138,9 +138,9 @@ def _kmer_depths(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     keys = ["lang", "source"]
     reads = docs.select(*keys, adapter.bases(F.col("text")).alias("seq"))
-    alleles = docs.select(*keys).distinct().crossJoin(F.broadcast(adapter.dna(spark, d, "benchmark", "item_id", "item")).select("seq"))
+    passages = adapter.dna(spark, d, "benchmark", "item_id", "item").select("seq")
     letters = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    return kmers.depth_of_dna(alleles, reads, keys, 21, letters)
+    return kmers.depth_of_dna(None, reads, keys, 21, letters, shared=passages)
 
 
 @query(_KD + " select lang,source,n_kmers,round(case when n_kmers>0 then hit*1.0::double/n_kmers else 0 end,6) covered,round(coalesce(mean_depth,0),6) mean_depth,n_kmers>0 and hit*1.0::double/n_kmers>=0.9 and outs*1.0::double/greatest(rds,1)<=0.3 concordant from st")

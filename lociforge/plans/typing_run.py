@@ -63,7 +63,7 @@ def called_kmers(genotypes: DataFrame, sequences: DataFrame, reads: DataFrame, a
     pair = genotypes.where("allele1 <> '' and allele2 <> ''").select(*LOCUS, F.explode(F.array_distinct(F.array("allele1", "allele2"))).alias("allele"))
     wanted = pair.join(sequences.select("locus", "allele", "seq"), ["locus", "allele"]).select(*LOCUS, "seq")
     own = a.select(*LOCUS, "read_id").join(reads.select("sample_id", "read_id", "seq"), ["sample_id", "read_id"]).join(pair.select(*LOCUS).distinct(), LOCUS, "left_semi")
-    depths = kmers.depth_of_alleles(wanted, own.select(*LOCUS, "seq"), LOCUS, c.preset.k)
+    depths = kmers.depth_of_dna(wanted, own.select(*LOCUS, "seq"), LOCUS, c.preset.k)
     return kmers.validate(depths, c.preset.kmer_covered, c.preset.kmer_unexpected)
 
 
