@@ -39,43 +39,9 @@ def job2_screen_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.drop("batch")
 
 
-# Candidates of a whole run, and the evidence of the alleles that are left.
-_EVIDENCE = (
-    genotyping._PRE
-    + """, c1 as (select a.* from aln a join rk on rk.sample_id=a.sample_id and rk.locus=a.locus and rk.allele=a.allele where rk.rank<=80),
- s as (select sample_id,locus,allele,split_part(allele,':',1) g2,cast(sum(greatest(0,as_score)) as bigint) score from c1 group by 1,2,3),
- s2 as (select *,sum(score) over (partition by sample_id,locus,g2) gs from s),
- s3 as (select *,dense_rank() over (partition by sample_id,locus order by gs desc,g2) gr from s2),
- s4 as (select *,dense_rank() over (partition by sample_id,locus order by score desc,allele) ar from s3 where gr<=6),
- left_ as (select distinct sample_id,allele from s4 where ar<=20),
- own as (select a.* from aln a join left_ using (sample_id,allele)),
- pm as (select * from own where not is_secondary),
- u as (select sample_id,locus,read_id,allele,as_score from pm union all select o.sample_id,o.locus,o.read_id,o.allele,o.as_score from own o where o.is_secondary and exists (select 1 from pm where pm.sample_id=o.sample_id and pm.read_id=o.read_id)),
- m as (select sample_id,locus,read_id,allele,max(as_score) sc from u group by 1,2,3,4),
- w1 as (select *,cast(sc as double)/max(sc) over (partition by sample_id,read_id) w from m),
- w2 as (select *,cast(sc as double)/max(sc) over (partition by sample_id,locus,read_id) w from m)"""
-)
-_PAIRS = """, ob as (select sample_id,locus,allele,round(sum(w),6) obj from w1 group by 1,2,3),
- ro as (select *,row_number() over (partition by sample_id,locus order by obj desc,allele) rn from ob),
- b2 as (select * from ro where rn<=2),
- cl as (select sample_id,locus,min(allele) allele1,max(allele) allele2,count(*) kk from b2 group by 1,2),
- ex as (select w1.sample_id,w1.locus,count(distinct w1.read_id) reads_explained from w1 join b2 using (sample_id,locus,allele) where w>0 group by 1,2),
- tq as (select sample_id,locus,count(distinct read_id) total_reads from w1 group by 1,2),
- gt as (select cl.*,total_reads,coalesce(reads_explained,0) reads_explained from cl join tq using (sample_id,locus) left join ex using (sample_id,locus)),
- al as (select distinct sample_id,locus,allele from w2),
- pr as (select a.sample_id,a.locus,a.allele a1,b.allele a2 from al a join al b on a.sample_id=b.sample_id and a.locus=b.locus and a.allele<=b.allele),
- rd as (select distinct sample_id,locus,read_id from w2),
- pw as (select pr.*,rd.read_id,coalesce(x.w,0) p1,coalesce(y.w,0) p2 from pr join rd on pr.sample_id=rd.sample_id and pr.locus=rd.locus left join w2 x on x.sample_id=rd.sample_id and x.locus=rd.locus and x.read_id=rd.read_id and x.allele=pr.a1 left join w2 y on y.sample_id=rd.sample_id and y.locus=rd.locus and y.read_id=rd.read_id and y.allele=pr.a2),
- g as (select sample_id,locus,a1,a2,sum(case when p1>0 or p2>0 then ln((p1+p2)/2) else ln(1e-10) end) ll,count(*) filter (where p1>0 or p2>0) hit,count(*) over (partition by sample_id,locus) pairs from pw group by 1,2,3,4),
- e as (select *,exp(ll-max(ll) over (partition by sample_id,locus)) ex from g),
- p as (select *,case when pairs=1 then least(1.0,hit/20.0) else ex/sum(ex) over (partition by sample_id,locus) end p from e),
- k as (select *,row_number() over (partition by sample_id,locus order by round(p,9) desc,round(ll,6) desc,a1,a2) rank from p),
- gp as (select *,coalesce(p-lead(p) over (partition by sample_id,locus order by rank),1.0) gap from k)"""
-_COPIES = genotyping._DEPTH.split("from l)", 1)[1] + genotyping._CN + genotyping._THIRD.replace(genotyping._DEPTH, "").replace("th as", "t_ as").replace("from th join", "from t_ th join")
 JOB1_SQL = (
-    _EVIDENCE
-    + _PAIRS
-    + _COPIES
+    genotyping.RUN
+    + genotyping.RUN_COPIES
     + """, fl as (select sample_id,count(*) c from t3 where total>=20 and fraction>=0.10 group by 1),
  j as (select gt.*,cn.copies,gp.a1,gp.a2,gp.p,gp.gap,coalesce(fl.c,0)>=2 is_contaminated from gt join cn using (sample_id,locus) join gp using (sample_id,locus) left join fl using (sample_id) where gp.rank=1)
 select sample_id,locus,case when copies=0 then '' when copies=1 then allele1 else a1 end allele1,case when copies<=1 then '' else a2 end allele2,

@@ -56,6 +56,7 @@ def _parser() -> argparse.ArgumentParser:
     m.add_argument("--alignments", help="Parquet of all samples")
     m.add_argument("--assay", choices=PRESETS, default="short")
     m.add_argument("--resolution", type=int, default=2)
+    m.add_argument("--depths", help="target depths, such as 5,10,20: accuracy of the alignments' samples at each, from the truth's depths")
     s = sub.add_parser("setup-db", help="register a reference folder that is already there: check its release, write its lock")
     s.add_argument("folder")
     s.add_argument("--release", default="unknown")
@@ -147,6 +148,16 @@ def main(argv: list[str] | None = None) -> None:
         name = os.path.splitext(os.path.basename(a.truth))[0]
         overall = outputs.write_benchmark(outputs.benchmark(truth, calls, a.resolution), a.out, name)
         print(f"accuracy {overall['accuracy']:.4f}, call rate {overall['call_rate']:.4f}")
+        if a.depths:
+            if not a.alignments:
+                raise SystemExit("accuracy by depth needs --alignments")
+            own = spark.read.parquet(a.alignments)
+            present = truth.where("depth > 0").select("sample_id", F.col("depth").alias("_depth")).distinct()
+            own = own.join(present, "sample_id")  # samples whose depth is known
+            known = truth.join(present, "sample_id", "left_semi")
+            curve = outputs.depth_accuracy(own, known, F.col("_depth"), Config.create(a.assay), [int(x) for x in a.depths.split(",")], a.resolution)
+            for r in outputs.write_depths(curve, a.out, name):
+                print(f"at {r['target']}: accuracy {r['accuracy']:.4f}, call rate {r['call_rate']:.4f}")
     elif a.command == "setup-db":
         if not os.path.isdir(a.folder):
             raise SystemExit(f"{a.folder} is not there: the engine fetches nothing, copy the reference first")

@@ -73,10 +73,14 @@ def downsample(reads: DataFrame, fraction: float, key: str = "read_id", seed: in
     return reads.where(_draw(key, seed) < int(fraction * 100))
 
 
-def depth_curve(reads: DataFrame, depth: float, targets=(5, 10, 20, 30, 50, 100), key: str = "read_id", seed: int = 42) -> DataFrame:
-    """reads once for each target depth, at that depth's fraction (column target): all of them for a target at or above the present depth."""
-    steps = [(t, int(100 * t / depth) if t < depth else 100) for t in targets]
-    kept = F.filter(F.array(*[F.when(F.col("_h") < share, F.lit(t)) for t, share in steps]).cast("array<int>"), lambda x: x.isNotNull())
+def depth_curve(reads: DataFrame, depth: float | Column, targets=(5, 10, 20, 30, 50, 100), key: str = "read_id", seed: int = 42) -> DataFrame:
+    """reads once for each target depth, at that depth's fraction (column target): all of them for a target at or above the present depth.
+
+    depth: a number, or a column where samples differ.
+    """
+    present = depth if isinstance(depth, Column) else F.lit(float(depth))
+    share = lambda t: F.when(present > t, F.floor(F.lit(100.0 * t) / present)).otherwise(100)
+    kept = F.filter(F.array(*[F.when(F.col("_h") < share(t), F.lit(t)) for t in targets]).cast("array<int>"), lambda x: x.isNotNull())
     return reads.withColumn("_h", _draw(key, seed)).select(*reads.columns, F.explode(kept).alias("target"))
 
 

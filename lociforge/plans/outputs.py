@@ -6,7 +6,9 @@ the manifest and the lock, which hold no rows, are made on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -78,6 +80,20 @@ def benchmark(truth: DataFrame, calls: DataFrame, fields: int = 2) -> dict[str,
     }
 
 
+def depth_accuracy(alignments: DataFrame, truth: DataFrame, depth: float | Column, config: Config | None = None, targets=(5, 10, 20, 30, 50, 100), fields: int = 2) -> DataFrame:
+    """(target, counters, accuracy, call_rate): runs on the reads of each target depth against truth(sample_id, locus, t1, t2).
+
+    One run types all samples at all depths, as samples of their own.  depth:
+    the present one, a number or a column of the alignments.  A locus of the
+    truth that a depth leaves without a call is a no call there.
+    """
+    name = F.concat(F.col("target").cast("string"), F.lit("|"), F.col("sample_id").cast("string"))
+    sampled = evaluate.depth_curve(alignments, depth, targets)
+    calls = typing_run.run(sampled.withColumn("sample_id", name).drop("target"), config).calls
+    wanted = truth.withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets]))).withColumn("sample_id", name)
+    return evaluate.accuracy(evaluate.against_truth(wanted, calls, fields), "target")
+
+
 def results_of(spark: SparkSession, folder: str) -> DataFrame:
     """(sample_id, locus, allele1, allele2) of the types tables of many samples below a folder."""
     t = spark.read.text(f"{folder}/*/", pathGlobFilter="*.t*").select(F.regexp_extract(F.input_file_name(), r"(?:sample_id=)?([^/=]+)/[^/]+$", 1).alias("sample_id"), F.split("value", "\t").alias("f"))
@@ -86,6 +102,13 @@ def results_of(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("sample_id", F.regexp_replace(F.get("f", F.lit(0)), "^HLA-", "").alias("locus")).agg(pick("1").alias("allele1"), pick("2").alias("allele2"))
 
 
+def write_depths(curve: DataFrame, path: str, name: str) -> list[dict]:
+    """The curve as one JSON file, a few targets; returns its rows."""
+    rows = [r.asDict() for r in curve.orderBy("target").collect()]
+    write_text(curve.sparkSession, f"{path}/depth_curve_{name}.json", json.dumps({"depths": rows}, indent=2))
+    return rows
+
+
 def write_benchmark(report: dict[str, DataFrame], path: str, name: str) -> dict:
     """The report as one JSON file; returns its overall figures."""
     overall = report["overall"].first().asDict()

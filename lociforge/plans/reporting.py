@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import DEFAULT_LOCI
 from ..functions import names
 from ..operators import evaluate, genotype, kernels, matrix, novel, phasing, posterior, reports, samples
 from ..sources import callers
-from . import adapter, annotation
+from . import adapter, annotation, genotyping
 
 QUERIES, SQL = {}, {}
 _E = "with recursive " + adapter.EVIDENCE.format(lineitem="lineitem")
@@ -125,8 +126,7 @@ def _compiled(spark, d):
 
 
 def _compile_sql() -> str:
-    from . import genotyping as g
-
+    g = genotyping
     rest = g.SQL["cnv_rewrite"].split("from l)", 1)[1]
     head, tail = rest.rsplit(" select c.sample_id", 1)
     gap = g._GAP.split("from l)", 1)[1].replace("m as", "m2 as", 1).replace(" nrm", " nrm2").replace("from m)", "from m2)").replace(", al as", ", al2 as").replace("from al a join al b", "from al2 a join al2 b")
@@ -256,12 +256,66 @@ def depth_curve(spark, d):
     return kept.groupBy("target", "sample_id", "locus").agg(F.countDistinct("read_id").alias("reads"))
 
 
-@query()
-def typing_run_calls(spark, d):
+#: A whole run of the default loci: its candidates, evidence, genotypes, copies and posteriors.
+_RUN = genotyping.RUN.replace("from l)", "from l where locus in (" + ",".join(f"'{x}'" for x in DEFAULT_LOCI) + "))", 1) + genotyping.RUN_COPIES + ", rc as (select gt.*,cn.copies,gp.a1,gp.a2,gp.p,gp.gap from gt join cn using (sample_id,locus) join gp using (sample_id,locus) where gp.rank=1)"
+
+
+def _run(spark, d):
     from . import typing_run
 
-    c = typing_run.run(adapter.alignments(spark, d)).calls
-    return c.select("sample_id", "locus", "allele1", "allele2", "confidence", "status", "reads_explained", "total_reads")
+    return typing_run.run(adapter.alignments(spark, d))
+
+
+@query(_RUN + " select sample_id,locus,case when copies=0 then '' when copies=1 then allele1 else a1 end allele1,case when copies<=1 then '' else a2 end allele2,case when copies=0 then 'VERY_LOW' when p>=0.99 and gap>=0.10 then 'HIGH' when p>=0.90 and gap>=0.05 then 'MEDIUM' when p>=0.50 then 'LOW' else 'VERY_LOW' end confidence,case when copies=0 then 'no_call' when copies=1 then 'cnv_hemizygous' when kk=1 then 'trivial' else 'optimal' end status,reads_explained,total_reads from rc")
+def typing_run_calls(spark, d):
+    return _run(spark, d).calls.select("sample_id", "locus", "allele1", "allele2", "confidence", "status", "reads_explained", "total_reads")
+
+
+_HETS = genotyping._HET.split("from l)", 1)[1].split(", rb as", 1)[0]
+
+
+@query(
+    _RUN
+    + _HETS
+    + ", hs as (select sample_id,locus,count(*) c from het group by 1,2), ev as (select rc.*,dr.n locus_reads,dr.r ref_reads,coalesce(hs.c,0) n_het_sites from rc join dr using (sample_id,locus) left join hs using (sample_id,locus)),"
+    " sg as (select *,case when kk=1 then case when ref_reads>0 and locus_reads*1.0::double/ref_reads<0.6 then 1 else 0 end+case when n_het_sites>=2 then 2 when n_het_sites=1 then 1 else 0 end+case when p<0.90 then 1 else 0 end else 0 end signals from ev)"
+    " select sample_id,locus,n_het_sites,case when signals>=3 then 'HIGH' when signals=2 then 'MEDIUM' when signals=1 then 'LOW' else 'NONE' end dropout,"
+    "p<0.8 or reads_explained<0.5*greatest(total_reads,1) needs_assembly,total_reads>=20 and 1-reads_explained/(1.0::double*greatest(total_reads,1))>0.15 unexplained from sg"
+)
+def typing_run_reports(spark, d):
+    """What the run itself reports of each locus: heterozygous sites, risk of dropout, need of assembly, signs of a novel allele."""
+    r = _run(spark, d)
+    keys = ["sample_id", "locus"]
+    n = r.sites.groupBy(*keys).agg(F.count("*").alias("n_het_sites"))
+    flag = lambda df, name: df.select(*keys, F.lit(True).alias(name))
+    out = r.calls.select(*keys).join(n, keys, "left").join(r.dropout.select(*keys, F.col("risk").alias("dropout")), keys, "left").join(flag(r.assembly_needed, "needs_assembly"), keys, "left").join(flag(r.novel, "unexplained"), keys, "left")
+    return out.na.fill(0, ["n_het_sites"]).na.fill(False, ["needs_assembly", "unexplained"])
+
+
+#: The run above for every target depth of every sample: its reads below the target's share of 60.
+_DEPTHS = (5, 20, 60)
+_BY_DEPTH = _RUN.replace("aln as (", "aln0 as (", 1).replace(
+    "where locus in (" + ",".join(f"'{x}'" for x in DEFAULT_LOCI) + "))",
+    "where locus in (" + ",".join(f"'{x}'" for x in DEFAULT_LOCI) + ")), hh as (select *,('0x'||substr(md5('42|'||read_id::varchar),1,8))::bigint % 100 h from aln0), aln as (select target||'|'||sample_id sample_id,read_id,locus,allele,as_score,mapq,is_secondary,pos,base from hh join (values (5,8),(20,33),(60,100)) v(target,share) on h<share)",
+    1,
+)
+_TRUTH = "select distinct sample_id,locus,concat(locus,'*0',cast(1+sample_id%2 as string),':01') t1,concat(locus,'*0',cast(1+sample_id%3 as string),':02') t2"
+
+
+@query(
+    _BY_DEPTH
+    + ", tr as (" + _TRUTH + " from aln0), tg as (select tr.*,target from tr cross join (values (5),(20),(60)) v(target)), fc as (select sample_id,locus,case when copies=0 then '' when copies=1 then allele1 else a1 end c1,case when copies<=1 then '' else a2 end c2 from rc),"
+    " mm as (select target::int target,coalesce(c1,'') x0,coalesce(c2,'') x1,t1 x2,t2 x3 from tg left join fc on fc.sample_id=target||'|'||tg.sample_id and fc.locus=tg.locus),"
+    " cm as (select target,case when x0='' and x1='' then -1 when (x0=x2 and x1=x3) or (x0=x3 and x1=x2) then 2 when x0=x2 or x0=x3 or (x1<>'' and (x1=x2 or x1=x3)) then 1 else 0 end matches from mm) select target," + _COUNT + " from cm group by 1"
+)
+def depth_accuracy(spark, d):
+    """Accuracy of whole runs at three depths, against a truth made from the sample's number."""
+    from . import outputs
+
+    a = adapter.alignments(spark, d).where(F.col("locus").isin(*DEFAULT_LOCI))
+    s = F.col("sample_id")
+    truth = a.select("sample_id", "locus").distinct().withColumn("t1", F.concat("locus", F.lit("*0"), 1 + s % 2, F.lit(":01"))).withColumn("t2", F.concat("locus", F.lit("*0"), 1 + s % 3, F.lit(":02")))
+    return _rounded(outputs.depth_accuracy(a, truth, 60.0, targets=_DEPTHS))
 
 
 _ONE = _ALNS + ", o as (select sample_id*1000+read_id%997 as s, read_id, as_score, mapq, is_secondary from aln where locus='A' and allele='A*01:01'), n as (select s,count(*) filter (where mapq>=1) n from o group by 1), pm as (select distinct o.s,read_id from o join n on n.s=o.s where n>=2 and not is_secondary and mapq>=0), t as (select s,count(*) reads from pm group by 1)"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lociforge import __main__ as cli
 from lociforge import storage
 from lociforge.config import Config
-from lociforge.operators import candidates, kmers, matrix, novel, phasing, posterior
+from lociforge.operators import candidates, evaluate, kmers, matrix, novel, phasing, posterior
 from lociforge.plans import outputs, typing_run
 from lociforge.sources import sequences
 
@@ -217,3 +217,24 @@ def test_results_of_no_reads(spark):
     a = spark.createDataFrame([], "sample_id string, read_id string, locus string, allele string, as_score int, mapq int, is_secondary boolean, pos int, base string")
     r = typing_run.run(a)
     assert r.calls.count() == 0 and r.bins.count() == 0 and r.weights.count() == 0 and outputs.benchmark(spark.createDataFrame([], "sample_id string, locus string, t1 string, t2 string, ancestry string"), r.calls)["overall"].first()["n_samples"] == 0
+
+
+def test_accuracy_by_depth(spark, tmp_path, capsys):
+    rnd = random.Random(12)
+    rows = []
+    for sample, pair in (("s1", ("A*01:01", "A*02:01")), ("s2", ("A*03:01", "A*03:01"))):
+        for i in range(200):
+            own = pair[i % 2]
+            rows += [(sample, f"{sample}-{i}", "A", a, 100 if a == own else 60 + rnd.randrange(5), 60 if a == own else 0, a != own, i % 50, "A") for a in ("A*01:01", "A*02:01", "A*03:01")]
+    path = str(tmp_path / "a.parquet")
+    spark.createDataFrame(rows, "sample_id string, read_id string, locus string, allele string, as_score int, mapq int, is_secondary boolean, pos int, base string").write.parquet(path)
+    truth = tmp_path / "t.tsv"
+    truth.write_text("SampleID\tLocus\tAllele1\tAllele2\tAncestry\tDepth\ns1\tA\tA*01:01\tA*02:01\tEUR\t30\ns2\tA\tA*03:01\tA*03:01\tEUR\t60\ns2\tB\tB*07:02\tB*08:01\tEUR\t60\ns9\tA\tA*01:01\tA*01:01\tEUR\t0\n")
+    cli.main(["benchmark", str(truth), str(tmp_path / "out"), "--alignments", path, "--depths", "20,30,100"])
+    curve = json.load(open(tmp_path / "out" / "depth_curve_t.json"))["depths"]
+    assert [r["target"] for r in curve] == [20, 30, 100] and all(r["n_samples"] == 3 and r["n_no_call"] == 1 and r["n_correct_both"] == 2 for r in curve)
+    assert "at 30: accuracy 0.6667" in capsys.readouterr().out
+    # All reads at or above the present depth, a share below it.
+    own = spark.read.parquet(path).withColumn("d", F.when(F.col("sample_id") == "s1", 30.0).otherwise(60.0))
+    n = {(r["sample_id"], r["target"]): r["n"] for r in evaluate.depth_curve(own, F.col("d"), (20, 30, 100)).groupBy("sample_id", "target").agg(F.countDistinct("read_id").alias("n")).collect()}
+    assert n["s1", 30] == n["s1", 100] == n["s2", 100] == 200 and 100 < n["s1", 20] < 160 and 70 < n["s2", 30] < 130
