@@ -1,4 +1,4 @@
-"""Command line: type, validate, build-panel, benchmark and setup-db."""
+"""Command line: type, batch, validate, build-panel, benchmark and setup-db."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from .functions import sequences as S
 from .operators import evaluate
 from .plans import outputs, reads, typing_run
 from .sources import callers, fastq, sequences, sinks
+from .storage import kept
 
 
 #: Files of one sample's reads; anything else is Parquet.
@@ -57,6 +58,12 @@ def _parser() -> argparse.ArgumentParser:
     m.add_argument("--assay", choices=PRESETS, default="short")
     m.add_argument("--resolution", type=int, default=2)
     m.add_argument("--depths", help="target depths, such as 5,10,20: accuracy of the alignments' samples at each, from the truth's depths")
+    h = sub.add_parser("batch", help="BAM files of a sample sheet (sample_id, bam_path [, data_type]), those that are not done yet")
+    h.add_argument("sheet")
+    h.add_argument("out")
+    h.add_argument("--assay", choices=PRESETS, default="short", help="of rows without a data_type")
+    h.add_argument("--sequences", help="allele FASTA")
+    h.add_argument("--build", choices=REGIONS)
     s = sub.add_parser("setup-db", help="register a reference folder that is already there: check its release, write its lock")
     s.add_argument("folder")
     s.add_argument("--release", default="unknown")
@@ -131,11 +138,44 @@ def type_command(spark: SparkSession, a: argparse.Namespace) -> None:
         print(f"{r['sample_id']}\n{r['value']}\n")
 
 
+_DONE = "sample_id string, bam_path string, status string, message string"
+
+
+def batch_command(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Types what the sheet holds and OUT/samples does not list as done; a file that cannot be read is a row of status error, and is tried again next time.
+
+    All samples of an assay are one run.  A run that is cut off lists none of
+    its samples, so the next call writes their files again, in place.
+    """
+    log = f"{a.out}/samples"
+    spark.createDataFrame([], _DONE).write.mode("append").parquet(log)
+    done = kept(spark.read.schema(_DONE).parquet(log).where("status = 'done'").select("sample_id").distinct())
+    sheet = kept(callers.sample_sheet(spark, a.sheet, a.assay).join(done, "sample_id", "left_anti"))
+    alleles = alleles_of(spark, a.sequences) if a.sequences else None
+    more = {"sequences": alleles} if alleles is not None else {}
+    for kind in sorted(r[0] for r in sheet.select("data_type").distinct().collect()):  # assays
+        own = sheet.where(F.col("data_type") == kind)
+        rows, errors = reads.sheet_rows(spark, own, alleles, a.build)
+        sample = F.col("sample_id")
+        first = rows.where((F.col("flag").bitwiseAND(reads.PRIMARY) == 0) & (F.col("seq") != "*"))
+        if alleles is not None:
+            more["reads"] = first.select("sample_id", F.col("name").alias("read_id"), "seq")
+        config = Config.create(kind)
+        result = typing_run.run(sequences.alignments_of(rows, sample), config, bases=sequences.aligned_bases(rows, sample, secondary=True), **more)
+        outputs.write_run(result, a.out, config)
+        told = own.join(errors, "sample_id", "left").withColumn("status", F.when(F.col("message").isNull(), "done").otherwise("error"))
+        told.select("sample_id", "bam_path", "status", "message").coalesce(1).write.mode("append").parquet(log)
+        for r in told.where("status = 'error'").orderBy("sample_id").limit(20).collect():  # shown, not written
+            print(f"{r['sample_id']}: {r['message']}")
+
+
 def main(argv: list[str] | None = None) -> None:
     a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("lociforge").getOrCreate()
     if a.command == "type":
         type_command(spark, a)
+    elif a.command == "batch":
+        batch_command(spark, a)
     elif a.command == "validate":
         key = lambda df, c, d: df.select(F.col("locus").alias("key"), F.col("a1").alias(c), F.col("a2").alias(d))
         found = evaluate.validate(key(callers.result_tsv(spark, a.results), "c1", "c2"), key(callers.result_tsv(spark, a.truth), "t1", "t2"))

@@ -90,10 +90,16 @@ def estimate_depth(contigs: DataFrame, read_length: int = 150, default: float =
     return c.agg(F.coalesce(F.try_divide(F.sum("reads") * F.lit(float(read_length)), F.sum("length")), F.lit(default)).alias("depth"))
 
 
+def build_signs(name: Column, length: Column) -> dict[str, Column]:
+    """Whether a reference is chromosome 6, and by which build's name."""
+    six = (length > 170_000_000) & (length < 172_000_000)
+    return {"grch38": six & (name == "chr6"), "grch37": six & (name == "6")}
+
+
 def detect_build(contigs: DataFrame) -> DataFrame:
     """The genome build by the length and name of chromosome 6: chr6 is looked at first."""
-    inside = contigs.where(F.col("name").isin("chr6", "6") & (F.col("length") > 170_000_000) & (F.col("length") < 172_000_000))
-    return inside.agg(F.when(F.max(F.col("name") == "chr6"), "GRCh38").when(F.max(F.col("name") == "6"), "GRCh37").alias("build"))
+    found = contigs.agg(*[F.max(x).alias(n) for n, x in build_signs(F.col("name"), F.col("length")).items()])
+    return found.select(F.when(F.col("grch38"), "GRCh38").when(F.col("grch37"), "GRCh37").alias("build"))
 
 
 def region_reads(alignments: DataFrame, chrom: str, start: int, end: int, unmapped: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import REGIONS
@@ -26,11 +26,11 @@ def on_alleles(contigs: DataFrame) -> bool:
     return contigs.where(F.instr("name", "*") > 0).limit(1).count() > 0
 
 
-def unaligned(rows: DataFrame, sample: str) -> DataFrame:
+def unaligned(rows: DataFrame, sample: str | Column) -> DataFrame:
     """(sample_id, read_id, seq, qual) of alignment rows, each read once; read_id is name/mate."""
     mate = F.when(F.col("flag").bitwiseAND(0x40) != 0, "/1").when(F.col("flag").bitwiseAND(0x80) != 0, "/2").otherwise("/0")
     own = rows.where((F.col("flag").bitwiseAND(PRIMARY) == 0) & (F.col("seq") != "*"))
-    named = own.select(F.lit(sample).alias("sample_id"), F.concat("name", mate).alias("read_id"), "seq", "qual")
+    named = own.select((sample if isinstance(sample, Column) else F.lit(sample)).alias("sample_id"), F.concat("name", mate).alias("read_id"), "seq", "qual")
     return named.dropDuplicates(["sample_id", "read_id"])  # a placed unmapped read may come from two pieces of a file
 
 
@@ -45,7 +45,7 @@ def mapped(reads: DataFrame, alleles: DataFrame) -> DataFrame:
     rows = mapping.map_reads(reads, alleles)
     mate = F.substring("name", -1, 1)
     flag = F.col("flag") + F.when(mate == "1", 0x41).when(mate == "2", 0x81).otherwise(0)
-    return rows.withColumn("flag", flag).withColumn("name", F.expr("substring(name, 1, length(name) - 2)")).drop("sample_id", "locus")
+    return rows.withColumn("flag", flag).withColumn("name", F.expr("substring(name, 1, length(name) - 2)")).drop("locus")
 
 
 def alignment_rows(spark: SparkSession, path: str, sample: str, alleles: DataFrame | None = None, mates: str | None = None, build: str | None = None) -> DataFrame:
@@ -68,7 +68,48 @@ def alignment_rows(spark: SparkSession, path: str, sample: str, alleles: DataFra
         reads = unaligned(bam.bam(spark, path, region_of(contigs, build), unmapped=True), sample)
     else:
         reads = fastq_reads(spark, path, mates, sample)
-    return kept(mapped(reads, alleles))
+    return kept(mapped(reads, alleles)).drop("sample_id")
+
+
+def sheet_rows(spark: SparkSession, sheet: DataFrame, alleles: DataFrame | None, build: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(alignments, errors) of a sheet(sample_id, bam_path) of BAM files, all in one pass.
+
+    alignments have the columns of sequences.sam and sample_id; errors are
+    (sample_id, message), of every sample with a file that is not there, not
+    whole or of a genome without index or `alleles`.  Headers are read first,
+    so that files of a genome are read by region; a row of the sheet is one
+    small file name on the driver.
+    """
+    paths = [r[0] for r in sheet.select("bam_path").distinct().collect()]
+    schema = f"{bam.SCHEMA}, sample_id string"
+    if not paths:
+        return spark.createDataFrame([], schema).drop("path"), spark.createDataFrame([], "sample_id string, message string")
+    contigs = kept(bam.contigs(spark, paths, errors="rows"))
+    known = contigs.groupBy("path").agg(F.max(F.instr("name", "*") > 0).alias("alleles"), *[F.max(x).alias(n) for n, x in evaluate.build_signs(F.col("name"), F.col("length")).items()])
+    by = {}
+    for r in known.collect():  # a row a file
+        by.setdefault(None if r["alleles"] else build or ("GRCh38" if r["grch38"] or not r["grch37"] else "GRCh37"), []).append(r["path"])
+    unread = set(paths) - {p for group in by.values() for p in group}
+    parts = [bam.bam(spark, [*by.pop(None, []), *sorted(unread)], errors="rows")]
+    if alleles is not None:
+        for k, group in by.items():
+            chrom, start, end = REGIONS[k]
+            parts.append(bam.bam(spark, group, f"{chrom}:{start}-{end}", unmapped=True, errors="rows").withColumn("ref", F.when(F.col("flag") == bam.ERROR, F.col("ref"))))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    named = kept(rows.join(F.broadcast(sheet.select("sample_id", F.col("bam_path").alias("path"))), "path"))  # as many rows as the paths above
+    errors = named.where(F.col("flag") == bam.ERROR).groupBy("sample_id").agg(F.min("qual").alias("message"))
+    if alleles is None and by:
+        lost = [p for group in by.values() for p in group]
+        errors = errors.unionByName(sheet.where(F.col("bam_path").isin(lost)).select("sample_id", F.lit("reads of a genome need --sequences").alias("message")))
+    errors = kept(errors)
+    good = named.where(F.col("flag") != bam.ERROR).join(F.broadcast(errors.select("sample_id")), "sample_id", "left_anti")
+    direct = good.where(F.col("ref").isNotNull() & (F.col("ref") != "*")).drop("path")
+    if alleles is None:
+        return direct, errors
+    turned = mapped(unaligned(good.where(F.col("ref").isNull()), F.col("sample_id")), alleles)
+    return kept(direct.unionByName(turned)), errors
 
 
 def contig_rows(spark: SparkSession, path: str, alleles: DataFrame, sample: str) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ only their blocks are opened.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from dataclasses import dataclass
@@ -33,6 +34,8 @@ _HEX_TO_BASE = bytes.maketrans(b"0123456789abcdef", BASES)
 _QUALITY = bytes(min(i + 33, 126) for i in range(256))
 _FIXED = struct.Struct("<iiBBHHHiiii")
 BATCH = 8192
+#: Flag of rows that tell of an error; no record has it.
+ERROR = -1
 
 
 # ---- blocks --------------------------------------------------------------------------------------------------------------------
@@ -339,9 +342,25 @@ def _index_of(path: str) -> str | None:
     return next((x for x in (path + ".bai", path.removesuffix(".bam") + ".bai") if files.exists(x)), None)
 
 
+def _paths(options) -> list[str]:
+    return json.loads(options["paths"]) if "paths" in options else [options["path"]]
+
+
+def _checked(paths: list[str], lenient: bool):
+    """(path, bytes) of the files; where errors are rows, (path, -1) of what is not there."""
+    for p in paths:
+        try:
+            yield from files.found(p, (".bam",))
+        except OSError:
+            if not lenient:
+                raise
+            yield p, -1
+
+
 class RecordReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.split = options["path"], int(options.get("split", files.SPLIT))
+        self.paths, self.split = _paths(options), int(options.get("split", files.SPLIT))
+        self.lenient = options.get("errors") == "rows"
         region = options.get("region")
         self.region = None
         if region:
@@ -352,38 +371,56 @@ class RecordReader(DataSourceReader):
 
     def partitions(self):
         out = []
-        for path, size in files.found(self.path, (".bam",)):
-            if self.region is None:
-                out += [Piece(path, size, a, b) for a, b in files.ranges(size, self.split)]
-                continue
-            found = _index_of(path)
-            if found is None:
-                raise FileNotFoundError(f"a region of {path} needs its index {path}.bai")
-            with files.opened(found) as f:
-                refs = index(f.read())
-            with files.opened(path) as f:
-                names = header(Blocks(f, size)).names
-            last = max((r.span[1] for r in refs if r.span), default=0)
-            for name, r in zip(names, refs):
-                if name == self.region[0]:
-                    out += [Piece(path, size, a, b, True, self.region) for a, b in chunks(r, *self.region[1:], self.split)]
-                # Unmapped records that stand beside their mates are in the reference's span: read for them alone if it has any.
-                if self.unmapped and r.unmapped and r.span:
-                    out += [Piece(path, size, a, b, True, unmapped=True) for a, b in cut(*r.span, r.linear, self.split)]
-            if self.unmapped:
-                out.append(Piece(path, size, last, size << 16, last > 0, unmapped=True))
+        for path, size in _checked(self.paths, self.lenient):
+            try:
+                out += self._pieces(path, size)
+            except Exception:
+                if not self.lenient:
+                    raise
+                out.append(Piece(path, -1, 0, 0))  # read tells what is wrong
         return out or [Piece("", 0, 0, 0)]
 
+    def _pieces(self, path: str, size: int) -> list[Piece]:
+        if self.region is None or size < 0:
+            return [Piece(path, size, a, b) for a, b in files.ranges(size, self.split)] if size >= 0 else [Piece(path, -1, 0, 0)]
+        found = _index_of(path)
+        if found is None:
+            raise FileNotFoundError(f"a region of {path} needs its index {path}.bai")
+        with files.opened(found) as f:
+            refs = index(f.read())
+        with files.opened(path) as f:
+            names = header(Blocks(f, size)).names
+        out, last = [], max((r.span[1] for r in refs if r.span), default=0)
+        for name, r in zip(names, refs):
+            if name == self.region[0]:
+                out += [Piece(path, size, a, b, True, self.region) for a, b in chunks(r, *self.region[1:], self.split)]
+            # Unmapped records that stand beside their mates are in the reference's span: read for them alone if it has any.
+            if self.unmapped and r.unmapped and r.span:
+                out += [Piece(path, size, a, b, True, unmapped=True) for a, b in cut(*r.span, r.linear, self.split)]
+        if self.unmapped:
+            out.append(Piece(path, size, last, size << 16, last > 0, unmapped=True))
+        return out
+
     def read(self, piece):
-        if piece.size == 0:
+        if not piece.path:
             return
-        with files.opened(piece.path) as f:
-            yield from _batches(Blocks(f, piece.size), piece)
+        try:
+            if piece.size < 0:
+                self._pieces(*next(iter(files.found(piece.path, (".bam",)))))
+            with files.opened(piece.path) as f:
+                yield from _batches(Blocks(f, piece.size), piece)
+        except Exception as error:
+            if not self.lenient:
+                raise
+            row = [None, ERROR, "*", -1, 0, "*", "*", str(error) or type(error).__name__, None, None, None, piece.path]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _ARROW.types)], schema=_ARROW)
 
 
 def _kept(blocks: Blocks, piece: Piece, head: Header):
     if piece.exact:
         start, stop = piece.start, piece.end
+        if max(start >> 16, stop >> 16) > blocks.size:
+            raise ValueError("the file ends inside what its index names")
     else:
         block, stop = blocks.first(piece.start, min(piece.end, blocks.size)) if piece.start else 0, piece.end << 16
         if block is None:
@@ -440,13 +477,20 @@ class BamSource(DataSource):
 
 class ContigReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.paths, self.lenient = _paths(options), options.get("errors") == "rows"
 
     def partitions(self):
-        return [Piece(path, size, 0, 0) for path, size in files.found(self.path, (".bam",))] or [Piece("", 0, 0, 0)]
+        return [Piece(path, size, 0, 0) for path, size in _checked(self.paths, self.lenient)] or [Piece("", 0, 0, 0)]
 
     def read(self, piece):
-        if piece.size == 0:
+        try:
+            yield from self._rows(piece)
+        except Exception:
+            if not self.lenient:
+                raise  # the records' rows tell of a file that cannot be read
+
+    def _rows(self, piece):
+        if not piece.path or piece.size < 0:
             return
         with files.opened(piece.path) as f:
             head = header(Blocks(f, piece.size))
@@ -473,18 +517,24 @@ class ContigSource(DataSource):
         return ContigReader(self.options)
 
 
-def bam(spark: SparkSession, path: str, region: str | None = None, unmapped: bool = False, split: int = files.SPLIT) -> DataFrame:
+def bam(spark: SparkSession, path: str | list[str], region: str | None = None, unmapped: bool = False, split: int = files.SPLIT, errors: str = "fail") -> DataFrame:
     """SCHEMA's rows of a BAM file, or of all in a folder, in the columns of sequences.sam; ref is '*' for records without a place.
 
     region: only mapped records that overlap it, found by the index; unmapped:
-    then also all unmapped ones, wherever they stand.
+    then also all unmapped ones, wherever they stand.  errors: 'rows' gives a
+    row of flag ERROR with the message as `qual` for each piece of a file that
+    cannot be read, in place of the job's failure; several files are a list.
     """
     spark.dataSource.register(BamSource)
-    reader = spark.read.format("bam").option("split", split).option("unmapped", unmapped)
-    return (reader.option("region", region) if region else reader).load(path)
+    reader = spark.read.format("bam").option("split", split).option("unmapped", unmapped).option("errors", errors)
+    return _loaded(reader.option("region", region) if region else reader, path)
 
 
-def contigs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, length, reads, unmapped) of header and index: what estimate_depth and detect_build read."""
+def contigs(spark: SparkSession, path: str | list[str], errors: str = "fail") -> DataFrame:
+    """(path, name, length, reads, unmapped) of header and index: what estimate_depth and detect_build read; errors 'rows': none of a file that cannot be read."""
     spark.dataSource.register(ContigSource)
-    return spark.read.format("bam_contigs").load(path)
+    return _loaded(spark.read.format("bam_contigs").option("errors", errors), path)
+
+
+def _loaded(reader, path: str | list[str]) -> DataFrame:
+    return reader.load(path) if isinstance(path, str) else reader.option("paths", json.dumps(path)).load()

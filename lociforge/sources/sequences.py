@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -40,14 +40,18 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def alignments_of(sam_rows: DataFrame, sample: str) -> DataFrame:
-    """SAM rows as alignments of one sample: the reference is the allele."""
+def _sample(sample: str | Column) -> Column:
+    return (sample if isinstance(sample, Column) else F.lit(sample)).alias("sample_id")
+
+
+def alignments_of(sam_rows: DataFrame, sample: str | Column) -> DataFrame:
+    """SAM rows as alignments of one sample, or of those that a column names: the reference is the allele."""
     a = F.when(F.col("ref").startswith("HLA-"), F.substring("ref", F.lit(5), F.length("ref"))).otherwise(F.col("ref"))
     s = sam_rows.where(F.col("flag").bitwiseAND(4) == 0)
-    return s.select(F.lit(sample).alias("sample_id"), F.col("name").alias("read_id"), names.parse(a).locus.alias("locus"), a.alias("allele"), F.greatest(F.lit(0), F.coalesce("as_score", "mapq")).alias("as_score"), "mapq", (F.col("flag").bitwiseAND(256) != 0).alias("is_secondary"), F.col("pos0").alias("pos"), F.substring("seq", 1, 1).alias("base"))
+    return s.select(_sample(sample), F.col("name").alias("read_id"), names.parse(a).locus.alias("locus"), a.alias("allele"), F.greatest(F.lit(0), F.coalesce("as_score", "mapq")).alias("as_score"), "mapq", (F.col("flag").bitwiseAND(256) != 0).alias("is_secondary"), F.col("pos0").alias("pos"), F.substring("seq", 1, 1).alias("base"))
 
 
-def aligned_bases(sam_rows: DataFrame, sample: str, secondary: bool = False) -> DataFrame:
+def aligned_bases(sam_rows: DataFrame, sample: str | Column, secondary: bool = False) -> DataFrame:
     """(sample_id, read_id, locus, allele, pos, base, quality), a row for each base that an alignment sets against its reference.
 
     Insertions, clips, deletions and skips give no rows; positions count from
@@ -63,9 +67,9 @@ def aligned_bases(sam_rows: DataFrame, sample: str, secondary: bool = False) ->
     )
     start = F.struct(F.lit(0).alias("q"), F.col("pos0").cast("int").alias("r"), F.array().cast("array<struct<q:int,r:int>>").alias("at"))
     mapped = sam_rows.where((F.col("flag").bitwiseAND(4 if secondary else 260) == 0) & (F.col("seq") != "*")).withColumn("allele", a)
-    walked = mapped.select("name", "allele", F.split("seq", "").alias("s"), F.split("qual", "").alias("k"), (F.col("qual") != "*").alias("has"), F.explode(F.aggregate(S.cigar(F.col("cigar")), start, step, lambda acc: acc.at)).alias("x"))
+    walked = mapped.select(_sample(sample), "name", "allele", F.split("seq", "").alias("s"), F.split("qual", "").alias("k"), (F.col("qual") != "*").alias("has"), F.explode(F.aggregate(S.cigar(F.col("cigar")), start, step, lambda acc: acc.at)).alias("x"))
     quality = F.when(F.col("has"), F.ascii(F.get("k", F.col("x.q"))) - 33)
-    return walked.select(F.lit(sample).alias("sample_id"), F.col("name").alias("read_id"), names.parse(F.col("allele")).locus.alias("locus"), "allele", F.col("x.r").alias("pos"), F.upper(F.get("s", F.col("x.q"))).alias("base"), quality.alias("quality"))
+    return walked.select("sample_id", F.col("name").alias("read_id"), names.parse(F.col("allele")).locus.alias("locus"), "allele", F.col("x.r").alias("pos"), F.upper(F.get("s", F.col("x.q"))).alias("base"), quality.alias("quality"))
 
 
 def split_mates(alignments: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -70,8 +70,8 @@ def provenance(release: str, commit: str, version: str, assay: str, resolution)
 
 
 def write_samples(texts: DataFrame, path: str) -> None:
-    """(sample_id, value) as one text file a sample, in folders sample_id=..."""
-    texts.write.mode("overwrite").partitionBy("sample_id").text(path)
+    """(sample_id, value) as one text file a sample, in folders sample_id=...; other samples' files stay."""
+    texts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").text(path)
 
 
 def write_types(calls: DataFrame, path: str, head: list[str] | None = None, groups: DataFrame | None = None) -> None:

@@ -127,3 +127,29 @@ def test_contigs_give_novel_alleles(spark, sample, tmp_path):
     assert {r["locus"] for r in contigs.collect()} == {"B"} and all(r["seq"] in (own[:420] + "R" + own[421:], own[100:600]) for r in contigs.collect())
     best = hits.where("allele = 'B*07:02'").orderBy(F.length("query").desc()).first()
     assert best["pos0"] == 0 and best["cigar"] == "700M" and best["nm"] == 6
+
+
+def test_batch_of_a_sheet(spark, sample, tmp_path, monkeypatch, capsys):
+    """Three files of which one is broken: two results and an error row; the next call takes what is left."""
+    d, pairs = sample
+    genome_file(tmp_path / "g.bam", pairs)
+    whole = (tmp_path / "g.bam").read_bytes()
+    (tmp_path / "b.bam").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "b.bam.bai").write_bytes((tmp_path / "g.bam.bai").read_bytes())
+    with monkeypatch.context() as m:
+        m.setattr(files, "REFS", [(f"HLA-{a}", len(s)) for a, s in SEQS.items()])
+        rows = [(n, 0, f"HLA-{own}", SEQS[own].index(one), 60, "120M", one, "I" * 120, 0, 240, "120") for i, (n, one, _) in enumerate(pairs) for own in [("A*01:01", "A*02:01", "B*07:02")[min(i // 40, 2)]]]
+        files.write(tmp_path / "p.bam", sorted(rows, key=lambda r: (list(SEQS).index(r[2][4:]), r[3])), 5000)
+    sheet = tmp_path / "sheet.csv"
+    sheet.write_text(f"sample_id,bam_path\ns1,{tmp_path}/g.bam\ns2,{tmp_path}/p.bam\ns3,{tmp_path}/b.bam\ns4,{tmp_path}/none.bam\n")
+    out = str(tmp_path / "out")
+    cli.main(["batch", str(sheet), out, "--sequences", f"{d}/alleles.fa"])
+    told = {r["sample_id"]: (r["status"], r["message"]) for r in spark.read.parquet(f"{out}/samples").collect()}
+    assert {k: v[0] for k, v in told.items()} == {"s1": "done", "s2": "done", "s3": "error", "s4": "error"} and all(told[k][1] for k in ("s3", "s4"))
+    assert calls(out) == WANT and calls(out, "s2") == WANT and not glob.glob(f"{out}/*/sample_id=s3") and "s3:" in capsys.readouterr().out
+    old = {p: open(p).read() for p in glob.glob(f"{out}/hla_types.tsv/*/part-*")}
+    (tmp_path / "b.bam").write_bytes(whole)
+    cli.main(["batch", str(sheet), out, "--sequences", f"{d}/alleles.fa"])
+    assert calls(out, "s3") == WANT and {p: open(p).read() for p in old} == old
+    done = [r["sample_id"] for r in spark.read.parquet(f"{out}/samples").where("status = 'done'").collect()]
+    assert sorted(done) == ["s1", "s2", "s3"]
