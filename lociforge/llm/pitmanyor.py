@@ -154,7 +154,7 @@ def draw_tables(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray,
     # No more tables than customers, nor than a Poisson number ever gives.
     most = np.minimum(c, np.ceil(rate + 12 * np.sqrt(rate) + 40).astype(np.int64))
     # Where tables press against the customers the recursion is run further.
-    limit = np.where(rate > c**discount / 5, 16 * STEPS, STEPS)
+    limit = np.where(rate > c**discount, 16 * STEPS, STEPS)
     step = np.minimum(c, limit)
     order = np.lexsort((most, step))
     order = order[c[order] > 1]
@@ -178,6 +178,8 @@ def draw_tables(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray,
         wide = int(widest[i])
         s, row = beside[:wide], r[:wide]
         while n < step[order[first]]:
+            if n == STEPS:  # what only extended numbers hold no longer weighs
+                row, r = row.astype(np.float64), r.astype(np.float64)
             shifted = np.concatenate([row[:1] * 0, row[:-1]])
             row = (discount * s * shifted + (n - discount * (s + 1)) * row) / (n - discount)
             n += 1
