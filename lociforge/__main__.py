@@ -37,6 +37,7 @@ def _parser() -> argparse.ArgumentParser:
     t.add_argument("--mates", help="FASTQ file of the reads' mates")
     t.add_argument("--build", choices=REGIONS, help="genome build of a BAM file, by default what its header tells")
     t.add_argument("--contigs", help="FASTA of assembled contigs: loci that need assembly are compared with them, novel alleles described")
+    t.add_argument("--assemble", action="store_true", help="make the contigs from the reads")
     t.add_argument("--frequencies")
     t.add_argument("--population")
     t.add_argument("--g-groups")
@@ -123,11 +124,12 @@ def type_command(spark: SparkSession, a: argparse.Namespace) -> None:
         own = rows.where((F.col("flag").bitwiseAND(reads.PRIMARY) == 0) & (F.col("seq") != "*"))
         more["reads"] = own.select(F.lit(a.sample).alias("sample_id"), F.col("name").alias("read_id"), "seq")
     else:
-        alignments = spark.read.parquet(a.alignments)
-    if a.contigs:
-        if "sequences" not in more:
-            raise SystemExit("contigs need --sequences")
-        more["contigs"], aligned = reads.contig_rows(spark, a.contigs, more["sequences"], a.sample)
+        alignments, rows = spark.read.parquet(a.alignments), None
+    if a.contigs or a.assemble:
+        if "sequences" not in more or (a.assemble and rows is None):
+            raise SystemExit("contigs need --sequences, and their assembly a file of reads")
+        made = reads.assembled(rows, a.sample, config.preset.k) if a.assemble else reads.fasta_contigs(spark, a.contigs, a.sample)
+        more["contigs"], aligned = reads.contig_rows(made, more["sequences"])
         more["contig_hits"] = aligned.select("sample_id", "locus", "allele", "cigar", "nm")
     if a.frequencies:
         more["frequencies"] = sequences.frequencies(spark, a.frequencies, a.population)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import CODONS, FREQUENCIES, GENE_MODEL_A
 from ..functions import names
 from ..functions import sequences as S
-from ..operators import kmers, novel
+from ..operators import assembly, kmers, novel
 from ..sources import sequences
 from . import adapter
 
@@ -176,6 +176,21 @@ def jaccard_top5(spark, d):
     return kmers.best_matches(_jaccard(spark, d)).withColumn("jaccard", F.round("jaccard", 9))
 
 
+_UNITIGS = (
+    "with recursive b as (select " + _DNA + " seq from benchmark), km as (select k,count(*) n from (select unnest(list_transform(range(1,length(seq)-19), lambda i: substring(seq,i::int,21))) k from b where length(seq)>=21) q group by 1),"
+    " x as (select substring(k,2) x,k u,null::varchar v from km union all select substring(k,1,20),null::varchar,k from km), m as (select x,count(u) i,count(v) o,max(u) b,max(v) a from x group by 1), l as (select a km,b before from m where i=1 and o=1 and a<>b),"
+    " p as (select k km,k head,0 d from km where k not in (select km from l) union all select l.km,p.head,p.d+1 from p join l on l.before=p.km)"
+    " select substring(head,1,20)||string_agg(right(p.km,1),'' order by d) seq,count(*) n_kmers,round(avg(n),6) depth from p join km on km.k=p.km group by head having count(*)>=22"
+)
+
+
+@query(_UNITIGS)
+def unitigs(spark, d):
+    """Contigs of the passages of `benchmark`, read as sequences, all as one sample's reads of one locus."""
+    reads = adapter.dna(spark, d, "benchmark", "item_id", "item").select(F.lit("all").alias("sample_id"), F.lit("P").alias("locus"), "seq")
+    return assembly.unitigs(reads, k=21, least=1).select("seq", "n_kmers", F.round("depth", 6).alias("depth"))
+
+
 _N50 = "with w as (select lang,source,n_chars len,sum(n_chars) over (partition by lang,source order by n_chars desc,doc_id rows unbounded preceding) cs,sum(n_chars) over (partition by lang,source) tot from documents) select lang,source,count(*) n,max(tot)::bigint total,max(case when cs*2>=tot then len end) n50,least(1.0,max(tot)/4000.0)::double coverage from w group by 1,2"
 
 

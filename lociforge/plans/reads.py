@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import REGIONS
-from ..operators import evaluate, mapping
+from ..functions import names
+from ..operators import assembly, evaluate, mapping
 from ..sources import bam, fastq, sequences
 from ..storage import kept
 
@@ -112,15 +113,28 @@ def sheet_rows(spark: SparkSession, sheet: DataFrame, alleles: DataFrame | None,
     return kept(direct.unionByName(turned)), errors
 
 
-def contig_rows(spark: SparkSession, path: str, alleles: DataFrame, sample: str) -> tuple[DataFrame, DataFrame]:
-    """(contigs(sample_id, locus, seq), their alignments) of a FASTA file of assembled contigs.
+def contig_rows(contigs: DataFrame, alleles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(contigs(sample_id, locus, seq), their alignments) of contigs(sample_id, read_id, seq), whose loci are found by mapping.
 
     The alignments, (sample_id, locus, allele, pos0, cigar, nm, query, ref), are
     those with the alleles of the locus that holds a contig; so are the contigs,
     turned to run with the alleles.
     """
-    named = sequences.fasta(spark, path).select(F.lit(sample).alias("sample_id"), F.col("name").alias("read_id"), "seq")
-    rows = kept(mapping.map_reads(named, alleles, least=80))
-    contigs = rows.where(F.col("flag").bitwiseAND(256) == 0).select("sample_id", "locus", "seq")
+    rows = kept(mapping.map_reads(contigs, alleles, least=80))
+    own = rows.where(F.col("flag").bitwiseAND(256) == 0).select("sample_id", "locus", "seq")
     hits = rows.join(alleles.select("locus", F.col("allele").alias("ref"), F.col("seq").alias("_ref")), ["locus", "ref"])
-    return contigs, hits.select("sample_id", "locus", F.col("ref").alias("allele"), "pos0", "cigar", "nm", F.col("seq").alias("query"), F.col("_ref").alias("ref"))
+    return own, hits.select("sample_id", "locus", F.col("ref").alias("allele"), "pos0", "cigar", "nm", F.col("seq").alias("query"), F.col("_ref").alias("ref"))
+
+
+def fasta_contigs(spark: SparkSession, path: str, sample: str) -> DataFrame:
+    """Contigs of a FASTA file for contig_rows."""
+    return sequences.fasta(spark, path).select(F.lit(sample).alias("sample_id"), F.col("name").alias("read_id"), "seq")
+
+
+def assembled(rows: DataFrame, sample: str | Column, k: int = 31) -> DataFrame:
+    """Contigs for contig_rows of alignments in the columns of sequences.sam: each locus's primary reads, which run with the alleles, made to unitigs."""
+    a = F.when(F.col("ref").startswith("HLA-"), F.substring("ref", F.lit(5), F.length("ref"))).otherwise(F.col("ref"))
+    own = rows.where((F.col("flag").bitwiseAND(PRIMARY | 4) == 0) & (F.col("seq") != "*"))
+    reads = own.select((sample if isinstance(sample, Column) else F.lit(sample)).alias("sample_id"), names.parse(a).locus.alias("locus"), "seq")
+    found = assembly.unitigs(reads, k=k)
+    return found.select("sample_id", F.concat("locus", F.lit("/"), F.sha2("seq", 256)).alias("read_id"), "seq")

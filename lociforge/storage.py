@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,24 @@ def kept(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended and its folder with it
+        pass
+
+
+def tabled(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, removed when the program ends.
+
+    As `kept`, for loops of self-joins: the size that the planner reckons with
+    is the files', where that of a checkpoint is its plan's, squared in each round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lociforge/table-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
