@@ -111,7 +111,10 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_text, formatted_chars): what the rendering and its loss mask hold, unescaped."""
+    """(conv_id, turns, loss_text, formatted_chars, round_trip): what the rendering and its loss mask hold, unescaped.
+
+    A text that breaks the grammar is null in its turn; no rows give none.
+    """
     text = F.col("formatted")
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(text, s.start + 1, s.length))), "")
     return formatted.select("conv_id", parse(text).alias("turns"), loss.alias("loss_text"), F.length(text).cast("long").alias("formatted_chars"), "round_trip")

@@ -156,7 +156,10 @@ def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     """The rows of docs, with all their columns, whose score reaches the threshold.
 
     The rows are scored where they are scanned, so that no text is moved.
-    Without two labelled rows of each class every row stays.
+    Without two labelled rows of each class every row stays.  A null or empty
+    text is scored as one without words; equal texts have equal scores, so
+    repeated rows stay or go together; null ids have no label; an empty table
+    gives no rows; columns of any name stay as they are.
     """
     model = fit(written(featurise(docs, key, text), "features"), labels, **options)
     if not isinstance(model, Discriminant):

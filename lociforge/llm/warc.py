@@ -71,7 +71,11 @@ def transactions(pages: DataFrame, revisit_from: int = REVISIT_FROM, page: str =
 
 
 def write_warc(pages: DataFrame, path: str, records_a_file: int = 20_000, **options) -> None:
-    """Writes gzipped WARC files below path."""
+    """Writes gzipped WARC files below path, which must not exist.
+
+    A null html is an empty payload; equal payloads of any number stay
+    transactions of their own; without pages there are no records.
+    """
     transactions(pages, **options).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
 
 
@@ -136,7 +140,11 @@ def _rows(content: bytes, payloads: bool):
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of the WARC files below path, a row a record."""
+    """The records of the WARC files below path, a row a record.
+
+    A record without Content-Length is an error, and a file that ends inside a
+    record gives what is there of it.  Files without records give no rows.
+    """
     schema = spark.createDataFrame([], RECORDS).schema
     arrow = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in schema])
 
@@ -172,7 +180,11 @@ def captures(found: DataFrame) -> DataFrame:
 
 
 def resolve(joined: DataFrame) -> DataFrame:
-    """captures() with refers_to, and for revisits the payload's size, digest and text from the response with the same payload digest."""
+    """captures() with refers_to, and for revisits the payload's size, digest and text from the response with the same payload digest.
+
+    Of responses that share a digest the one of the largest page_id is meant;
+    a revisit without any has nulls.
+    """
     found = joined.where("response.record_type = 'response'").groupBy(F.col("response.digest").alias("_digest")).agg(
         F.max(F.struct(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_digest").alias("sha1"), F.col("response.payload").alias("payload"))).alias("_first")
     )

@@ -312,6 +312,26 @@ def test_quality(spark):
     assert quality.classify(df.where("false"), labels).count() == 0
 
 
+def test_discriminant_equals_two_gaussians():
+    """Fitted by sums and scored by Cholesky factors, against covariances and densities written out."""
+    rng = np.random.default_rng(5)
+    d, n = 4, (30, 200)
+    x = [rng.standard_normal((n[k], d)) @ rng.standard_normal((d, d)) + 2 * k for k in (0, 1)]
+    sums = np.stack([v.sum(axis=0) for v in x])
+    model = quality.Discriminant.fit(np.array(n, dtype=float), sums, np.stack([v.T @ v for v in x]), pooled=0.2, ridge=0.05)
+    cov = [np.cov(v.T, bias=True) for v in x]
+    both = (n[0] * cov[0] + n[1] * cov[1]) / sum(n)
+    probe = rng.standard_normal((50, d)) * 3
+    density = []
+    for k in (0, 1):
+        a = max(0.2, d / (d + n[k]))
+        c = (1 - a) * cov[k] + a * both
+        c = 0.95 * c + 0.05 * np.trace(c) / d * np.eye(d)
+        far = probe - x[k].mean(axis=0)
+        density.append(n[k] / sum(n) * np.exp(-0.5 * np.einsum("ij,jk,ik->i", far, np.linalg.inv(c), far)) / np.sqrt(np.linalg.det(2 * np.pi * c)))
+    assert np.allclose(model.score(probe), density[1] / (density[0] + density[1]), atol=1e-9)
+
+
 def vectors(seed=0, n=600, width=16):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((40, width))
