@@ -118,7 +118,7 @@ def type_command(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.sequences:
         more["sequences"] = alleles_of(spark, a.sequences)
     if a.alignments.endswith(ONE_SAMPLE):
-        rows = reads.alignment_rows(spark, a.alignments, a.sample, more.get("sequences"), a.mates, a.build)
+        rows = reads.alignment_rows(spark, a.alignments, a.sample, more.get("sequences"), a.mates, a.build, config.preset.unmapped)
         alignments = sequences.alignments_of(rows, a.sample)
         more["bases"] = sequences.aligned_bases(rows, a.sample, secondary=True)
         own = rows.where((F.col("flag").bitwiseAND(reads.PRIMARY) == 0) & (F.col("seq") != "*"))
@@ -157,12 +157,12 @@ def batch_command(spark: SparkSession, a: argparse.Namespace) -> None:
     more = {"sequences": alleles} if alleles is not None else {}
     for kind in sorted(r[0] for r in sheet.select("data_type").distinct().collect()):  # assays
         own = sheet.where(F.col("data_type") == kind)
-        rows, errors = reads.sheet_rows(spark, own, alleles, a.build)
+        config = Config.create(kind)
+        rows, errors = reads.sheet_rows(spark, own, alleles, a.build, config.preset.unmapped)
         sample = F.col("sample_id")
         first = rows.where((F.col("flag").bitwiseAND(reads.PRIMARY) == 0) & (F.col("seq") != "*"))
         if alleles is not None:
             more["reads"] = first.select("sample_id", F.col("name").alias("read_id"), "seq")
-        config = Config.create(kind)
         result = typing_run.run(sequences.alignments_of(rows, sample), config, bases=sequences.aligned_bases(rows, sample, secondary=True), **more)
         outputs.write_run(result, a.out, config)
         told = own.join(errors, "sample_id", "left").withColumn("status", F.when(F.col("message").isNull(), "done").otherwise("error"))

@@ -9,7 +9,11 @@ from .constants import DEFAULT_LOCI, EXTENDED
 
 @dataclass(frozen=True)
 class Preset:
-    """Thresholds of an assay."""
+    """Thresholds of an assay.
+
+    coverage, min_coverage, confidence, assembler, timeout, genome and
+    informative are told to other programs or people; no step here reads them.
+    """
 
     aligner: str
     coverage: int

@@ -49,13 +49,13 @@ def mapped(reads: DataFrame, alleles: DataFrame) -> DataFrame:
     return rows.withColumn("flag", flag).withColumn("name", F.expr("substring(name, 1, length(name) - 2)")).drop("locus")
 
 
-def alignment_rows(spark: SparkSession, path: str, sample: str, alleles: DataFrame | None = None, mates: str | None = None, build: str | None = None) -> DataFrame:
+def alignment_rows(spark: SparkSession, path: str, sample: str, alleles: DataFrame | None = None, mates: str | None = None, build: str | None = None, unmapped: bool = True) -> DataFrame:
     """Alignments with alleles in the columns of sequences.sam.
 
     SAM text is taken as it stands, and so is a BAM file whose references are
     alleles.  Of a BAM file of a genome, which needs its index, the reads of the
-    loci's region and the unmapped ones are taken and mapped to `alleles`, and
-    so are all reads of FASTQ files.
+    loci's region and, if asked for, the unmapped ones are taken and mapped to
+    `alleles`, and so are all reads of FASTQ files.
     """
     if path.endswith(".sam"):
         return sequences.sam(spark, path)
@@ -66,13 +66,13 @@ def alignment_rows(spark: SparkSession, path: str, sample: str, alleles: DataFra
     if alleles is None:
         raise SystemExit("reads that are not aligned with alleles need --sequences")
     if path.endswith(".bam"):
-        reads = unaligned(bam.bam(spark, path, region_of(contigs, build), unmapped=True), sample)
+        reads = unaligned(bam.bam(spark, path, region_of(contigs, build), unmapped), sample)
     else:
         reads = fastq_reads(spark, path, mates, sample)
     return kept(mapped(reads, alleles)).drop("sample_id")
 
 
-def sheet_rows(spark: SparkSession, sheet: DataFrame, alleles: DataFrame | None, build: str | None = None) -> tuple[DataFrame, DataFrame]:
+def sheet_rows(spark: SparkSession, sheet: DataFrame, alleles: DataFrame | None, build: str | None = None, unmapped: bool = True) -> tuple[DataFrame, DataFrame]:
     """(alignments, errors) of a sheet(sample_id, bam_path) of BAM files, all in one pass.
 
     alignments have the columns of sequences.sam and sample_id; errors are
@@ -95,7 +95,7 @@ def sheet_rows(spark: SparkSession, sheet: DataFrame, alleles: DataFrame | None,
     if alleles is not None:
         for k, group in by.items():
             chrom, start, end = REGIONS[k]
-            parts.append(bam.bam(spark, group, f"{chrom}:{start}-{end}", unmapped=True, errors="rows").withColumn("ref", F.when(F.col("flag") == bam.ERROR, F.col("ref"))))
+            parts.append(bam.bam(spark, group, f"{chrom}:{start}-{end}", unmapped, errors="rows").withColumn("ref", F.when(F.col("flag") == bam.ERROR, F.col("ref"))))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)

@@ -83,6 +83,8 @@ def test_reads_of_a_genome_bam(spark, sample, tmp_path):
     genome_file(tmp_path / "g.bam", pairs)
     own = reads.unaligned(bam.bam(spark, str(tmp_path / "g.bam"), reads.region_of(bam.contigs(spark, str(tmp_path / "g.bam"))), unmapped=True), "s1")
     assert sorted((r["read_id"], r["seq"]) for r in own.collect()) == sorted((f"{n}/{m}", s) for n, *both in pairs for m, s in enumerate(both, 1))
+    few = bam.bam(spark, str(tmp_path / "g.bam"), reads.region_of(bam.contigs(spark, str(tmp_path / "g.bam"))))  # as of captured loci
+    assert sorted(r["read_id"] for r in reads.unaligned(few, "s1").collect()) == sorted(f"{n}/1" for n, *_ in pairs)
     assert reads.region_of(bam.contigs(spark, str(tmp_path / "g.bam")), "GRCh37") == "6:28477797-33448354"
     with pytest.raises(SystemExit):
         reads.alignment_rows(spark, str(tmp_path / "g.bam"), "s1")
