@@ -1,8 +1,9 @@
 """Iterative kernels that columns cannot express: one pandas group is one locus of one sample.
 
 Everything around them is native; each ships only the columns that it needs.
-Reads with equal evidence are combined, with their number, before a kernel
-sees them, so a group is bounded by the different patterns of one locus.  Keys
+For variational weights reads with equal evidence are combined, with their
+number, before the kernel sees them, so a group is bounded by the different
+patterns of one locus; phasing gets every (read, site) row of a locus.  Keys
 keep the types of the input.
 """
 
