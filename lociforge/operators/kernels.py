@@ -3,20 +3,23 @@
 Everything around them is native; each ships only the columns that it needs.
 For variational weights reads with equal evidence are combined, with their
 number, before the kernel sees them, so a group is bounded by the different
-patterns of one locus; phasing gets every (read, site) row of a locus.  Keys
-keep the types of the input.
+patterns of one locus; phasing gets a locus's different signatures of reads,
+with their number.  Keys keep the types of the input.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructType
 
 LOCUS = ["sample_id", "locus"]
 
@@ -137,110 +140,308 @@ def vb_em(weighted: DataFrame, frequencies: DataFrame | None = None) -> DataFram
     return rows.groupBy(*LOCUS).applyInPandas(run, _typed(weighted, *LOCUS, "allele") + ", weight double, dosage double, elbo double, iterations int")
 
 
+class Signatures:
+    """The distinct reads of a locus in order of first appearance: the sites that each sees and what it has there (0, 1), one after the other, and how many reads each is."""
+
+    def __init__(self, seen: np.ndarray, site: np.ndarray, value: np.ndarray, times: np.ndarray):
+        self.seen, self.site, self.value, self.times = seen, site, value, times
+        self.start = np.concatenate([[0], np.cumsum(seen)])
+        self.n, self.sites = len(seen), int(site.max()) + 1 if len(site) else 0
+
+    @classmethod
+    def of(cls, m: np.ndarray) -> tuple[Signatures, np.ndarray]:
+        """Those of reads x sites (0, 1, -1 missing), and which one each read is."""
+        sig, first, back, times = np.unique(m, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(first)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        sig = sig[order]
+        row, site = np.nonzero(sig >= 0)
+        return cls(np.bincount(row, minlength=len(sig)), site, sig[row, site], times[order]), rank[back.reshape(-1)]
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Sums over each signature's sites."""
+        c = np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+        return c[self.start[1:]] - c[self.start[:-1]]
+
+    def against(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sites at which each signature agrees with one of them, and at which it differs."""
+        own = np.full(self.sites, -1, dtype=np.int8)
+        own[self.site[self.start[i] : self.start[i + 1]]] = self.value[self.start[i] : self.start[i + 1]]
+        there = own[self.site]
+        return self.sums(there == self.value), self.sums((there >= 0) & (there != self.value))
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of the rows, site, value) of some signatures."""
+        n = self.seen[rows]
+        at = np.repeat(self.start[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(rows)), n), self.site[at], self.value[at]
+
+
+def _greedy(s: Signatures, later=None) -> tuple[np.ndarray, tuple[int, int] | None]:
+    """(bins, the second seed): two seeds, the others by matches less mismatches; -1 if neither tells.
+
+    The second seed, (signature, which of its reads), is in bin 1 whatever its
+    signature's bin.  later(i, j): whether the second read of signature i comes
+    after the first one of j.
+    """
+    out = np.full(s.n, -1)
+    first = int(np.argmax(s.seen))
+    out[first] = 0
+    match, miss = s.against(first)
+    differ = np.where(match + miss > 0, miss, -1)
+    differ[first] = -1
+    top = differ.max()
+    ties = np.flatnonzero(differ == top)
+    second, which = int(ties[np.argmax(s.seen[ties])]), 1
+    # The other reads of the first seed's signature see as many sites as it does and differ at none.
+    if s.times[first] > 1 and (top < 0 or top == 0 and (s.seen[second] < s.seen[first] or not later(first, second))):
+        second, which, top = first, 2, 0
+    if top < 0:
+        return out, None
+    same, other = s.against(second)
+    a, b = match - miss, same - other
+    return np.where((a == 0) & (b == 0), -1, np.where(a >= b, 0, 1)), (second, which)
+
+
 def greedy_bins(m: np.ndarray) -> np.ndarray:
     """Two bins of reads x sites (0, 1, -1 missing): two seeds, the others by matches less mismatches; -1 if neither tells."""
-    seen = m >= 0
-    order = np.argsort(-seen.sum(axis=1), kind="stable")
-    first = order[0]
-    both = seen & seen[first]
-    differ = ((m != m[first]) & both).sum(axis=1)
-    differ[~both.any(axis=1)] = -1
-    differ[first] = -1
-    out = np.full(len(m), -1)
-    out[first] = 0
-    second = max(order[1:], key=lambda i: differ[i], default=None) if len(m) > 1 else None
-    if second is None or differ[second] < 0:
-        return out
-    out[second] = 1
-    for i in order:
-        if i in (first, second):
-            continue
-        score = [int(((m[i] == m[s]) & seen[i] & seen[s]).sum()) - int(((m[i] != m[s]) & seen[i] & seen[s]).sum()) for s in (first, second)]
-        if score[0] or score[1]:
-            out[i] = 0 if score[0] >= score[1] else 1
+    s, back = Signatures.of(m)
+    nth = lambda i, k: int(np.flatnonzero(back == i)[k - 1])
+    bins, seed = _greedy(s, lambda i, j: nth(i, 2) > nth(j, 1))
+    out = bins[back]
+    if seed:
+        out[nth(*seed)] = 1
     return out
 
 
-def _signatures(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct rows in order of first appearance, which one each row is, how many rows each is)."""
-    sig, first, back, times = np.unique(m, axis=0, return_index=True, return_inverse=True, return_counts=True)
-    order = np.argsort(first)
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    return sig[order], rank[back.reshape(-1)], times[order]
+def _farthest(s: Signatures) -> tuple[int, int]:
+    """The first pair of signatures of those that differ at most sites; the first two where none see a common site.
+
+    Sites are bits.  A pair differs at no more sites than the ones of either
+    and the zeros of the other allow, so a signature meets those only that
+    could exceed what is found so far; memory is linear.
+    """
+    words = -(-s.sites // 64)
+    bits = np.zeros((2, s.n, words), dtype=np.uint64)
+    row = np.repeat(np.arange(s.n), s.seen)
+    np.bitwise_or.at(bits, (s.value, row, s.site // 64), np.uint64(1) << (s.site % 64).astype(np.uint64))
+    zero, one = bits
+    ones = s.sums(s.value == 1)
+    zeros = s.seen - ones
+
+    def differ(i: int, j: np.ndarray) -> np.ndarray:
+        n = np.bitwise_count((one[j, 0] & zero[i, 0]) | (zero[j, 0] & one[i, 0])).astype(np.int32)
+        for w in range(1, words):
+            n += np.bitwise_count((one[j, w] & zero[i, w]) | (zero[j, w] & one[i, w]))
+        return n
+
+    every, most = np.arange(s.n), 1
+    for i in np.argsort(-s.seen, kind="stable")[:64]:  # what may be reached at once
+        most = max(most, int(differ(i, every).max()))
+    best, pair = most - 1, None
+    while True:
+        left = every[s.seen > best] if pair is None else every[(s.seen > best) & (every > pair[0])]
+        kinds = np.unique(ones[left] * (s.sites + 1) + zeros[left])
+        able, better = {}, None
+        for i in left:
+            kind = (int(ones[i]), int(zeros[i])) if len(kinds) <= 64 else None
+            if kind not in able:
+                able[kind] = left if kind is None else left[np.minimum(kind[0], zeros[left]) + np.minimum(kind[1], ones[left]) > best]
+            j = able[kind]
+            j = j[np.searchsorted(j, i, side="right") :]
+            if len(j):
+                n = differ(i, j)
+                k = int(n.argmax())
+                if n[k] > best:
+                    best, better = int(n[k]), (int(i), int(j[k]))
+                    break
+        if better is None:
+            break
+        pair = better
+    if pair is not None:
+        return pair
+    last = np.zeros(s.sites, dtype=np.int64)
+    np.maximum.at(last, s.site, row)
+    met = np.flatnonzero(s.sums(last[s.site] > row) > 0)
+    if not len(met):
+        return 0, 1
+    i = int(met[0])
+    match, miss = s.against(i)
+    return i, i + 1 + int(np.flatnonzero((match + miss)[i + 1 :] > 0)[0])
+
+
+def _signature(s: Signatures) -> np.ndarray:
+    if s.n < 2:
+        return np.zeros(s.n, dtype=int)
+    a, b = (s.against(i)[0] for i in _farthest(s))
+    return np.where(a >= b, 0, 1)
 
 
 def signature_bins(m: np.ndarray) -> np.ndarray:
     """Two bins by the most divergent pair of read signatures."""
-    sig, back, _ = _signatures(m)
-    if len(sig) < 2:
-        return np.zeros(len(m), dtype=int)
-    seen = (sig >= 0).astype(np.float32)
-    one, zero = (sig == 1).astype(np.float32), (sig == 0).astype(np.float32)
-    best, pair = -1, (0, 1)
-    for i in range(len(sig) - 1):  # one signature against all later ones: memory stays linear
-        both = seen[i + 1 :] @ seen[i]
-        differ = np.where(both > 0, both - one[i + 1 :] @ one[i] - zero[i + 1 :] @ zero[i], -1)
-        j = int(differ.argmax())
-        if differ[j] > best:
-            best, pair = differ[j], (i, i + 1 + j)
-    agree = [((sig == sig[s]) & (sig >= 0) & (sig[s] >= 0)).sum(axis=1) for s in pair]
-    return np.where(agree[0] >= agree[1], 0, 1)[back]
-
-
-def _second_vector(a: np.ndarray, first: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Eigenvector of the second largest eigenvalue of a symmetric matrix whose first is known: Lanczos steps, all of them solved if these do not settle."""
-    n = len(a)
-    if n > 4 * steps:
-        first = first / np.linalg.norm(first)
-        basis = np.zeros((steps + 1, n))
-        x = np.cos(np.arange(n) * 2.399963)  # a fixed start
-        x -= first * (first @ x)
-        basis[0] = x / np.linalg.norm(x)
-        t = np.zeros((steps + 1, steps + 1))
-        for k in range(steps):
-            y = a @ basis[k]
-            t[k, k] = basis[k] @ y
-            y -= first * (first @ y)
-            for _ in range(2):
-                y -= basis[: k + 1].T @ (basis[: k + 1] @ y)
+    s, back = Signatures.of(m)
+    return _signature(s)[back]
+
+
+class _Agreement:
+    """The matrix of signatures' agreement (sites at which two have the same, as a share of those that both see) as an operator.
+
+    The share is a sum over the subsets of the common sites: those of k sites
+    weigh (-1)^(k-1) / k for each site that agrees.  So signatures of few sites
+    meet in what they share of subset, site and value, which is linear in their
+    number; those of many sites meet all others block by block.
+    """
+
+    MOST, BLOCK = 7, 1 << 22
+
+    def __init__(self, s: Signatures):
+        self.s = s
+        width = max(1, int(s.sites).bit_length())
+        most = min(self.MOST, 58 // width)
+        self.long = np.flatnonzero(s.seen > most)
+        self.levels, self.own = [], np.zeros(s.n)
+        groups = [(n, np.flatnonzero(s.seen == n)) for n in range(1, most + 1)]
+        for k in range(1, most + 1):
+            keys, rows = [], []
+            for n, r in groups:
+                if n < k or not len(r):
+                    continue
+                at = s.start[r]
+                for subset in combinations(range(n), k):
+                    code = np.zeros(len(r), dtype=np.uint64)
+                    for i in subset:
+                        code = code << np.uint64(width) | (s.site[at + i] + 1).astype(np.uint64)
+                    for where, i in enumerate(subset):
+                        keys.append(code << np.uint64(4) | np.uint64(2 * where) | s.value[at + i].astype(np.uint64))
+                        rows.append(r.astype(np.int32))
+            if not keys:
+                continue
+            _, feature, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            del keys
+            # What one signature has alone is a part of its agreement with itself, which is known.
+            shared = times[feature] > 1
+            rank = np.cumsum(times > 1) - 1
+            row, feature = np.concatenate(rows)[shared], rank[feature[shared]].astype(np.int32)
+            weight = (-1.0) ** (k - 1) / k
+            self.own += weight * np.bincount(row, minlength=s.n)
+            self.levels.append((weight, row, feature, int(rank[-1]) + 1))
+        self.kept = [] if len(self.long) * s.n <= self.BLOCK * 4 else None
+
+    def _blocks(self):
+        """(rows, columns, their agreement) of signatures of many sites with all."""
+        if self.kept:
+            yield from self.kept
+            return
+        for a in range(0, len(self.long), 512):
+            rows = self.long[a : a + 512]
+            for b in range(0, self.s.n, 8192):
+                columns = np.arange(b, min(b + 8192, self.s.n))
+                both = same = 0
+                dense = []
+                for r in (rows, columns):
+                    which, site, value = self.s.take(r)
+                    d = np.zeros((2, len(r), self.s.sites), dtype=np.float32)
+                    d[value, which, site] = 1
+                    dense.append(d)
+                (x0, x1), (y0, y1) = dense
+                same, both = x0 @ y0.T + x1 @ y1.T, (x0 + x1) @ (y0 + y1).T
+                block = rows, columns, np.divide(same, both, out=np.zeros(both.shape), where=both > 0)
+                if self.kept is not None:
+                    self.kept.append(block)
+                yield block
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        n = self.s.n
+        y = np.zeros(n)
+        for weight, row, feature, features in self.levels:
+            t = np.zeros(features)
+            parts = [slice(i, i + self.BLOCK) for i in range(0, len(row), self.BLOCK)]
+            for p in parts:
+                t += np.bincount(feature[p], weights=x[row[p]], minlength=features)
+            for p in parts:
+                y += weight * np.bincount(row[p], weights=t[feature[p]], minlength=n)
+        y += (1 - self.own) * x
+        y[self.long] = 0
+        if len(self.long):
+            many = np.zeros(n, dtype=bool)
+            many[self.long] = True
+            for rows, columns, block in self._blocks():
+                y[rows] += block @ x[columns]
+                few = ~many[columns]
+                y[columns[few]] += x[rows] @ block[:, few]
+        return y
+
+
+def _second_vector(apply, n: int, first: np.ndarray, keep: int = 40, rounds: int = 100) -> np.ndarray:
+    """Eigenvector of the second largest eigenvalue of a symmetric operator whose first is known: Krylov spaces of `keep` vectors, begun again with the best ones until it settles."""
+    first = first / np.linalg.norm(first)
+    keep = min(keep, n - 1)
+    x = np.cos(np.arange(n) * 2.399963)  # a fixed start
+    x -= first * (first @ x)
+    basis, h, have = np.zeros((keep + 1, n)), np.zeros((keep + 1, keep + 1)), 0
+    basis[0] = x / np.linalg.norm(x)
+    for _ in range(rounds):
+        for k in range(have, keep):
+            y = apply(basis[k])
+            for again in range(3):
+                y -= first * (first @ y)
+                part = basis[: k + 1] @ y
+                y -= part @ basis[: k + 1]
+                if not again:
+                    h[k, : k + 1] = h[: k + 1, k] = part
             size = np.linalg.norm(y)
-            t[k, k + 1] = t[k + 1, k] = size
-            value, vector = np.linalg.eigh(t[: k + 1, : k + 1]) if k % 20 == 19 or size < 1e-12 else (None, None)
-            if value is not None and abs(size * vector[-1, -1]) < 1e-9:
-                return basis[: k + 1].T @ vector[:, -1]
-            if size < 1e-12:
-                break
+            if k % 10 == 9 or k == keep - 1 or size < 1e-12:
+                value, vector = np.linalg.eigh(h[: k + 1, : k + 1])
+                if abs(size * vector[-1, -1]) < 1e-9 or size < 1e-12:
+                    return vector[:, -1] @ basis[: k + 1]
             basis[k + 1] = y / size
-    _, vectors = np.linalg.eigh(a)
-    return vectors[:, -2] if n > 1 else vectors[:, 0]
+        have = min(keep // 4, keep - 1)
+        basis[:have], basis[have] = vector[:, -have:].T @ basis[:keep], basis[keep].copy()
+        h[:] = 0
+        h[np.arange(have), np.arange(have)] = value[-have:]
+    return vector[:, -1] @ basis[:keep] if not have else basis[have - 1]
 
 
-def spectral_bins(m: np.ndarray) -> np.ndarray:
-    """Two bins by the second eigenvector of the normalised Laplacian of reads' agreement, cut at its median.
+#: Signatures up to which the eigenvectors are all found from the whole matrix.
+DENSE = 800
 
-    Reads of equal signature have equal entries in the eigenvector, so it is
-    found on signatures weighted by their reads.
-    """
-    sig, back, times = _signatures(m)
-    seen = (sig >= 0).astype(float)
-    both = seen @ seen.T
-    same = sum(((sig == v).astype(float) @ (sig == v).astype(float).T) for v in (0, 1))
-    sim = np.divide(same, both, out=np.zeros_like(both), where=both > 0)
-    own = np.diag(sim)
-    degree = sim @ times - own
+
+def _spectral(s: Signatures) -> np.ndarray | None:
+    """Bins of signatures, or nothing if the eigenvectors cannot be found."""
+    sim = _Agreement(s)
+    times = s.times.astype(float)
+    degree = sim @ times - 1
     degree[degree == 0] = 1e-10
     scale = np.sqrt(times / degree)
-    near = scale[:, None] * sim * scale[None]
-    near[np.diag_indices(len(sig))] -= own / degree  # the Laplacian is 1 less this
+    first = np.sqrt(times * degree)
+    apply = lambda x: scale * (sim @ (scale * x)) - x / degree  # noqa: E731  the Laplacian is 1 less this
     try:
-        v = _second_vector(near, np.sqrt(times * degree))
+        if s.n <= DENSE:
+            _, vectors = np.linalg.eigh(np.array([apply(x) for x in np.eye(s.n)]))
+            v = vectors[:, -2] if s.n > 1 else vectors[:, 0]
+        else:
+            v = _second_vector(apply, s.n, first)
     except np.linalg.LinAlgError:
-        return greedy_bins(m)
+        return None
     v = v / np.sqrt(times)
     v = v * (np.sign(v[np.flatnonzero(np.abs(v) > 1e-12)[:1]]).prod() or 1)  # a fixed sign
-    v = v[back]
-    return np.where(v <= np.median(v), 0, 1)
+    order = np.argsort(v, kind="stable")
+    upto = np.cumsum(s.times[order])
+    at = lambda k: v[order[np.searchsorted(upto, k, side="right")]]
+    median = (at((upto[-1] - 1) // 2) + at(upto[-1] // 2)) / 2
+    return np.where(v <= median, 0, 1)
+
+
+def spectral_bins(m: np.ndarray) -> np.ndarray:
+    """Two bins by the second eigenvector of the normalised Laplacian of reads' agreement, cut at its median.
+
+    Reads of equal signature have equal entries in the eigenvector, so it is
+    found on signatures weighted by their reads.
+    """
+    s, back = Signatures.of(m)
+    bins = _spectral(s)
+    return greedy_bins(m) if bins is None else bins[back]
 
 
 def phase(matrix: DataFrame, method: str = "greedy", min_sites: int = 2, min_reads: int = 4) -> DataFrame:
@@ -248,20 +449,45 @@ def phase(matrix: DataFrame, method: str = "greedy", min_sites: int = 2, min_rea
 
     method: greedy (with the spectral one where its balance is below 0.1 and
     there are 3 sites or more), signature or spectral.  Loci with too few
-    sites or reads stay unassigned.
+    sites or reads stay unassigned.  A kernel gets the different signatures of
+    a locus with their numbers of reads; the reads join their signature's bin.
     """
-    kernels = {"greedy": greedy_bins, "signature": signature_bins, "spectral": spectral_bins}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf.pivot_table(index="read_id", columns="pos", values="v", aggfunc="min", fill_value=-1).sort_index()
-        m, used = t.to_numpy(dtype=int), method
-        if m.shape[1] < min_sites or m.shape[0] < min_reads:
-            bins, used = np.full(len(m), -1), "none"
-        else:
-            bins = kernels[method](m)
-            some = (bins >= 0).sum()
-            if method == "greedy" and m.shape[1] >= 3 and some and min((bins == 0).sum(), (bins == 1).sum()) / some < 0.10:
-                bins, used = spectral_bins(m), "spectral"
-        return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "locus": pdf["locus"].iloc[0], "read_id": t.index, "bin": bins, "method": used})
-
-    return matrix.groupBy(*LOCUS).applyInPandas(run, _typed(matrix, *LOCUS, "read_id") + ", bin int, method string")
+    seen = matrix.groupBy(*LOCUS, "read_id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_all"))
+    seen = seen.select(*LOCUS, "read_id", F.filter("_all", lambda x, i: (i == 0) | (F.get("_all", i - 1).pos != x.pos)).alias("sig"))
+    same = [*LOCUS, "sig"]
+    reads = seen.withColumn("_k", F.row_number().over(Window.partitionBy(*same).orderBy("read_id")))
+    found = reads.groupBy(*same).agg(F.count("*").alias("times"), F.min("read_id").alias("first"), F.max(F.when(F.col("_k") == 2, F.col("read_id"))).alias("next"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pa.compute.sort_indices(t, [("first", "ascending")])).combine_chunks()
+        sig = t.column("sig").combine_chunks()
+        flat = sig.flatten()
+        sites, site = np.unique(flat.field("pos").to_numpy(zero_copy_only=False), return_inverse=True)
+        s = Signatures(np.asarray(sig.value_lengths()).astype(np.int64), site.astype(np.int64), np.asarray(flat.field("v")).astype(np.int8), np.asarray(t.column("times")))
+        bins, used, seed = np.full(s.n, -1), "none", None
+        if len(sites) >= min_sites and s.times.sum() >= min_reads:
+            used = method
+            greedy = lambda: _greedy(s, lambda i, j: t.column("next")[i].as_py() > t.column("first")[j].as_py())
+            if method == "greedy":
+                bins, seed = greedy()
+                n = np.array([s.times[bins == b].sum() for b in (0, 1)])
+                if seed and bins[seed[0]] != 1:  # one read more in bin 1
+                    n += [-1 if bins[seed[0]] == 0 else 0, 1]
+                if len(sites) >= 3 and n.sum() and n.min() / n.sum() < 0.10:
+                    found = _spectral(s)
+                    bins, seed, used = (*greedy(), "spectral") if found is None else (found, None, "spectral")
+            elif method == "spectral":
+                bins = _spectral(s)
+                if bins is None:
+                    bins, seed = greedy()
+            else:
+                bins = _signature(s)
+        seeds = np.zeros(s.n, dtype=np.int32)
+        if seed:
+            seeds[seed[0]] = seed[1]
+        out = {"bin": pa.array(bins.astype(np.int32)), "method": pa.array([used] * s.n), "_seed": pa.array(seeds)}
+        return pa.table({**{c: t.column(c) for c in same}, **out})
+
+    bins = found.groupBy(*LOCUS).applyInArrow(run, StructType([found.schema[c] for c in same]).add("bin", "integer").add("method", "string").add("_seed", "integer"))
+    bin_ = F.when(F.col("_k") == F.col("_seed"), F.lit(1)).otherwise(F.col("bin"))
+    return reads.join(bins, same).select(*LOCUS, "read_id", bin_.alias("bin"), "method")
