@@ -1,4 +1,4 @@
-"""Iterative kernels that columns cannot express: one pandas group is one locus of one sample.
+"""Iterative kernels that columns cannot express: one group is one locus of one sample.
 
 Everything around them is native; each ships only the columns that it needs.
 For variational weights reads with equal evidence are combined, with their
@@ -10,6 +10,7 @@ with their number.  Keys keep the types of the input.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -74,38 +75,50 @@ def _typed(df: DataFrame, *columns: str) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
+#: Numbers of a piece of the evidence matrix; what a round derives from them is made piece by piece.
+PIECE = 1 << 18
+
+
 def variational_weights(m: np.ndarray, prior: np.ndarray | None = None, rounds: int = 200, tolerance: float = 1e-6, times: np.ndarray | None = None):
     """(weights, dosages, evidence bound, rounds) of the allele mixture of reads x alleles scores; times: how many reads each row stands for."""
     n = m.shape[1]
     k = np.ones(len(m)) if times is None else times.astype(float)
     reads = k.sum()
-    top = m.max(axis=1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ll = np.where(m > 0, np.log(m / top), -np.inf)
     a0 = np.ones(n) if prior is None else 1 + n * prior / prior.sum()
     alpha = a0 + reads / n
-    finite = np.isfinite(ll)
     log_beta = lambda a: sum(map(math.lgamma, a)) - math.lgamma(a.sum())
+    expected = lambda a: digamma(a) - digamma(np.array([a.sum()]))[0]
+    size = max(1, PIECE // max(n, 1))
 
     def expect(alpha):
-        s = digamma(alpha) - digamma(np.array([alpha.sum()]))[0] + ll
-        peak = np.where(finite.any(axis=1), s.max(axis=1), 0)
-        e = np.where(finite, np.exp(s - peak[:, None]), 0)
-        total = e.sum(axis=1, keepdims=True)
-        return np.divide(e, total, out=np.zeros_like(e), where=total > 0)
-
-    q, last, bound, r = expect(alpha), -np.inf, -np.inf, 0
+        """The reads of each allele, and what they add to the bound besides the alleles' expectations."""
+        e, sums, bound = expected(alpha), np.zeros(n), 0.0
+        for i in range(0, len(m), size):
+            part, kp = m[i : i + size], k[i : i + size]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ll = np.where(part > 0, np.log(part / part.max(axis=1, keepdims=True)), -np.inf)
+            finite = np.isfinite(ll)
+            s = e + ll
+            peak = np.where(finite.any(axis=1), s.max(axis=1, initial=-np.inf), 0)
+            q = np.where(finite, np.exp(s - peak[:, None]), 0)
+            total = q.sum(axis=1, keepdims=True)
+            q = np.divide(q, total, out=np.zeros_like(q), where=total > 0)
+            some = q > 0
+            kq = kp[:, None] * q
+            sums += kp @ q
+            bound += (kq[some] * ll[some]).sum() - (kq[some] * np.log(q[some])).sum()
+        return sums, bound
+
+    (sums, _), last, bound, r = expect(alpha), -np.inf, -np.inf, 0
     for r in range(1, rounds + 1):
-        alpha = a0 + k @ q
-        q = expect(alpha)
-        e = digamma(alpha) - digamma(np.array([alpha.sum()]))[0]
-        some = q > 0
-        kq = k[:, None] * q
-        bound = (kq[some & finite] * ll[some & finite]).sum() + (kq * e).sum() + log_beta(a0) + ((a0 - 1) * e).sum() - (kq[some] * np.log(q[some])).sum() - log_beta(alpha) - ((alpha - 1) * e).sum()
+        alpha = a0 + sums
+        sums, own = expect(alpha)
+        e = expected(alpha)
+        bound = own + (sums * e).sum() + log_beta(a0) + ((a0 - 1) * e).sum() - log_beta(alpha) - ((alpha - 1) * e).sum()
         if abs(bound - last) < tolerance:
             break
         last = bound
-    dosage = k @ q / reads if reads else np.zeros(n)
+    dosage = sums / reads if reads else np.zeros(n)
     return alpha / alpha.sum(), dosage / dosage.sum() if dosage.sum() else dosage, float(bound), r
 
 
@@ -125,19 +138,37 @@ def vb_em(weighted: DataFrame, frequencies: DataFrame | None = None) -> DataFram
         rows = rows.join(alleles, "locus", "left")
         known = {"freq": True}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, column = np.unique(np.concatenate(pdf["alleles"].to_numpy()).astype(str), return_inverse=True)
-        m = np.zeros((len(pdf), len(names)))
-        m[np.repeat(np.arange(len(pdf)), pdf["alleles"].map(len)), column] = np.concatenate(pdf["w"].to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Only numbers are held of a batch: which alleles, their weights and how many reads.
+        index, parts, keys, freq = {}, [], None, None
+        for b in batches:
+            if keys is None:
+                keys, freq = [b.column(c).slice(0, 1) for c in LOCUS], b.column("freq")[0].as_py() if known else None
+            alleles, w = b.column("alleles"), b.column("w")
+            coded = alleles.flatten().dictionary_encode()
+            code = np.array([index.setdefault(a, len(index)) for a in coded.dictionary.to_pylist()], dtype=np.int32)
+            parts.append((code[np.asarray(coded.indices)], np.asarray(w.flatten()), np.asarray(alleles.value_lengths()).astype(np.int32), np.asarray(b.column("times")).copy()))
+        names = sorted(index)
+        at = np.empty(len(names), dtype=np.int32)
+        at[[index[a] for a in names]] = np.arange(len(names))
+        m, times, have = np.zeros((sum(len(p[3]) for p in parts), len(names))), np.concatenate([p[3] for p in parts]), 0
+        parts.reverse()
+        while parts:
+            code, w, n, _ = parts.pop()
+            m[have + np.repeat(np.arange(len(n)), n), at[code]] = w
+            have += len(n)
         order = np.lexsort(m.T[::-1])
+        m, times = m[order], times[order]
+        del order
         prior = None
-        if known and pdf["freq"].iloc[0] is not None:
-            f = dict(pdf["freq"].iloc[0])
+        if freq is not None:
+            f = dict(freq)
             prior = np.array([f.get(a, 1 / len(names)) for a in names])
-        w, d, bound, r = variational_weights(m[order], prior, times=pdf["times"].to_numpy()[order])
-        return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "locus": pdf["locus"].iloc[0], "allele": names, "weight": w, "dosage": d, "elbo": bound, "iterations": r})
+        w, d, bound, r = variational_weights(m, prior, times=times)
+        repeated = [pa.concat_arrays([c] * len(names)) for c in keys]
+        yield pa.RecordBatch.from_arrays([*repeated, pa.array(names, pa.string()), pa.array(w), pa.array(d), pa.array([bound] * len(names)), pa.array([r] * len(names), pa.int32())], names=[*LOCUS, "allele", "weight", "dosage", "elbo", "iterations"])
 
-    return rows.groupBy(*LOCUS).applyInPandas(run, _typed(weighted, *LOCUS, "allele") + ", weight double, dosage double, elbo double, iterations int")
+    return rows.groupBy(*LOCUS).applyInArrow(run, _typed(weighted, *LOCUS, "allele") + ", weight double, dosage double, elbo double, iterations int")
 
 
 class Signatures:
