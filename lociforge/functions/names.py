@@ -60,10 +60,14 @@ def full_name(p: Column) -> Column:
 
 def truncate(name: Column, fields: Column | int) -> Column:
     """The name cut to its first fields, suffix kept, prefix dropped; a name without fields as it is."""
-    p = parse(name)
+    return let(F.struct(name.alias("name"), parse(name).alias("p")), lambda x: truncated(x["name"], x.p, fields))
+
+
+def truncated(name: Column, p: Column, fields: Column | int) -> Column:
+    """truncate of a name whose parts are at hand."""
     n = F.lit(fields) if isinstance(fields, int) else fields
     kept = F.filter(F.slice(F.array(p.field1, p.field2, p.field3, p.field4), F.lit(1), n), lambda x: x != "")
-    return F.when(F.size(kept) == 0, name).otherwise(F.concat(p.locus, F.lit("*"), F.array_join(kept, ":"), p.suffix))
+    return let(kept, lambda k: F.when(F.size(k) == 0, name).otherwise(F.concat(p.locus, F.lit("*"), F.array_join(k, ":"), p.suffix)))
 
 
 def max_fields(locus: Column, assay: str) -> Column:
