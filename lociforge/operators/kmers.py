@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -61,6 +63,8 @@ def _coverage(stats: DataFrame, key: list[str]) -> DataFrame:
 
 #: Letters of a slice, and about as many k-mers as a bucket holds.
 SLICE, BUCKET = 4 << 20, 2 << 20
+#: Rows of a batch that leaves a slice.
+ROWS = 256
 #: Codes of letters; 4 breaks a k-mer: N, and with it the letters for several bases that contigs hold.
 _LETTERS = np.full(256, 4, dtype=np.uint8)
 _LETTERS[[ord(c) for c in "ACGT"]] = range(4)
@@ -121,63 +125,103 @@ def _unpacked(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def _dealt(k: int, bits: int):
-    """Per slice a row a bucket: its sets, and of each set the distinct k-mers and their counts."""
+def _listed(names: list[str]) -> bytes:
+    """Names of sets as one compressed text; being JSON, they hold no line breaks."""
+    raw = "\n".join(names).encode()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _names(blob: bytes) -> list[str]:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True).decode().split("\n")
+
+
+def _slice_rows(names: list[str], seqs: list[list[str]], k: int, bits: int):
+    """A slice's rows, one a bucket: its sets, and of each set the distinct k-mers and their counts; uses up seqs.
+
+    Sets are counted one by one into two arrays, and only places in these are dealt.
+    """
     odd, low = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 2 * k) - 1)
-    shift = np.uint64(max(2 * k - bits, 0))
+    n = sum(max(sum(map(len, own)) + len(own) - k, 0) for own in seqs)
+    codes, counts = np.empty(n, dtype=np.uint64), np.empty(n, dtype=np.uint32)
+    starts, have = [], 0
+    for own in seqs:
+        found = kmer_codes("N".join(own).encode(), k)[1]
+        own.clear()
+        found *= odd  # mixed one to one, so that the upper bits deal evenly
+        found &= low
+        starts.append(have)
+        if len(found):
+            found, times = _sorted_counts(found)
+            codes[have : have + len(found)], counts[have : have + len(found)] = found, times
+            have += len(found)
+            del times
+        del found
+    bucket = (codes[:have] >> np.uint64(max(2 * k - bits, 0))).astype(np.uint16 if bits <= 16 else np.uint32)
+    starts, every, step = np.array(starts), _listed(names), max((1 << bits) >> 3, 1)
+    for low_end in range(0, 1 << bits, step):
+        places = np.flatnonzero((bucket >= low_end) & (bucket < low_end + step))
+        places = places[np.argsort(bucket[places], kind="stable")]  # by bucket; there set by set, and in order within a set
+        first = np.flatnonzero(np.diff(bucket[places].astype(np.int64), prepend=-1))
+        for i, j in zip(first, [*first[1:], len(places)]):
+            own = places[i:j]
+            has, sizes = _sorted_counts(np.searchsorted(starts, own, side="right") - 1)
+            sets = every if len(has) == len(names) else _listed([names[x] for x in has])
+            yield int(bucket[own[0]]), sets, _packed(sizes.astype(np.uint32)), _packed(np.diff(codes[own], prepend=np.uint64(0))), _packed(counts[own])
+
+
+def _dealt(k: int, bits: int):
+    """Rows of _slice_rows for each slice of about SLICE letters."""
 
     def run(batches):
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
             n = np.asarray(pa.compute.binary_length(batch.column(1))).astype(np.int64)
             at = np.cumsum(n) // SLICE
             edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
             for a, b in zip(edges, edges[1:]):
-                names, member = np.unique(np.array(batch.column(0)[a:b].to_pylist(), dtype=object), return_inverse=True)
-                seqs = batch.column(1)[a:b].to_pylist()
-                by = np.argsort(member, kind="stable")
-                ends = np.cumsum([len(seqs[i]) + 1 for i in by])
-                where, codes = kmer_codes("N".join(seqs[i] for i in by).encode(), k)
-                codes *= odd  # mixed one to one, so that the upper bits deal evenly
-                codes &= low
-                last = np.searchsorted(where, ends[np.searchsorted(member[by], np.arange(len(names)), side="right") - 1])
-                parts = [_sorted_counts(codes[i:j]) for i, j in zip([0, *last[:-1]], last) if i < j]
-                del seqs, where
-                if not parts:
-                    continue
-                of = np.repeat(np.flatnonzero(np.diff(last, prepend=0)), [len(p[0]) for p in parts])
-                codes, counts = (np.concatenate(x) for x in zip(*parts))
-                bucket = (codes >> shift).astype(np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                of, codes, counts, bucket = of[order].astype(np.int32), codes[order], counts[order].astype(np.uint32), bucket[order]
-                del parts, order
-                first = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1 if bucket[0] else 1))
-                rows = []
-                for i, j in zip(first, [*first[1:], len(bucket)]):
-                    has, sizes = _sorted_counts(of[i:j])
-                    rows.append((int(bucket[i]), names[has].tolist(), sizes.tolist(), _packed(np.diff(codes[i:j], prepend=np.uint64(0))), _packed(counts[i:j])))
-                x = list(zip(*rows))
-                kinds = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(x, kinds)], names=["bucket", "sets", "sizes", "codes", "counts"])
-                del of, codes, counts, bucket, rows, x
+                by: dict[str, list[str]] = {}
+                for name, seq in zip(batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist()):
+                    by.setdefault(name, []).append(seq)
+                names = sorted(by)
+                rows = _slice_rows(names, [by.pop(name) for name in names], k, bits)
+                while part := list(islice(rows, ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*part), kinds)], names=["bucket", "sets", "sizes", "codes", "counts"])
 
     return run
 
 
 def _bucket_stats(t: pa.Table) -> pa.Table:
     """Counts of a bucket's k-mers for each key and, under no key, those of the sequences that all keys share."""
-    held: dict[str, list] = {}
-    for sets, sizes, codes, counts in zip(*(t.column(c).to_pylist() for c in ("sets", "sizes", "codes", "counts"))):
-        codes, counts = np.cumsum(_unpacked(codes, np.uint64), dtype=np.uint64), _unpacked(counts, np.uint32)
-        at = np.cumsum(sizes)
-        for name, i, j in zip(sets, [0, *at[:-1]], at):
-            held.setdefault(name, []).append((codes[i:j], counts[i:j]))
-    whole = lambda name: _sorted_counts(*(np.concatenate(x) for x in zip(*[(c, n.astype(np.int64)) for c, n in held[name]])))
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    shared = whole("s")[0] if "s" in held else none[0]
+    sizes = [_unpacked(x, np.uint32) for x in t.column("sizes").to_pylist()]
+    n = sum(int(x.sum()) for x in sizes)
+    codes, counts, member = np.empty(n, np.uint64), np.empty(n, np.uint32), np.empty(n, np.int32)
+    number: dict[str, int] = {}
+    at, last, listed = 0, None, None
+    for row, size in enumerate(sizes):
+        sets = t.column("sets")[row].as_py()
+        if sets != last:
+            last, listed = sets, np.array([number.setdefault(x, len(number)) for x in _names(sets)], dtype=np.int32)
+        end = at + int(size.sum())
+        np.cumsum(_unpacked(t.column("codes")[row].as_py(), np.uint64), out=codes[at:end])
+        counts[at:end] = _unpacked(t.column("counts")[row].as_py(), np.uint32)
+        member[at:end] = np.repeat(listed, size)
+        at = end
+    order = np.argsort(member, kind="stable")
+    edges = np.searchsorted(member[order], np.arange(len(number) + 1))
+    del member
+
+    def whole(name):
+        i = number.get(name)
+        if i is None:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        own = order[edges[i] : edges[i + 1]]
+        return _sorted_counts(codes[own], counts[own].astype(np.int64))
+
+    shared = whole("s")[0]
     out = [(None, len(shared), 0, 0, 0, 0, 0)] if len(shared) else []
-    for key in sorted({name[1:] for name in held if name != "s"}):
-        a = np.union1d(shared, whole("a" + key)[0]) if "a" + key in held else shared
-        d = whole("r" + key) if "r" + key in held else none
+    for key in sorted({name[1:] for name in number if name != "s"}):
+        a = np.union1d(shared, whole("a" + key)[0]) if "a" + key in number else shared
+        d = whole("r" + key)
         inside = d[1][np.isin(d[0], a, assume_unique=True)]
         out.append((key, len(a) - len(shared), len(inside), len(d[0]), len(d[0]) - len(inside), int(inside.sum()), int((inside * inside).sum())))
     names = ["_key", "n_kmers", "_hit", "_reads", "_out", "_s1", "_s2"]
@@ -206,7 +250,7 @@ def depth_of_dna(alleles: DataFrame | None, reads: DataFrame, key: list[str], k:
     if letters is None:
         letters = rows.agg(F.sum(F.length("seq").cast("long"))).first()[0] or 0
     bits = min(max(2, int(letters // BUCKET).bit_length()), 2 * k)
-    dealt = rows.mapInArrow(_dealt(k, bits), "bucket int, sets array<string>, sizes array<long>, codes binary, counts binary")
+    dealt = rows.mapInArrow(_dealt(k, bits), "bucket int, sets binary, sizes binary, codes binary, counts binary")
     found = dealt.groupBy("bucket").applyInArrow(_bucket_stats, "_key string, n_kmers long, _hit long, _reads long, _out long, _s1 long, _s2 long")
     columns = found.columns[1:]
     stats = found.groupBy("_key").agg(*[F.sum(c).alias(c) for c in columns])
