@@ -150,12 +150,13 @@ def _slice_rows(names: list[str], seqs: list[list[str]], k: int, bits: int):
         found *= odd  # mixed one to one, so that the upper bits deal evenly
         found &= low
         starts.append(have)
-        if len(found):
-            found, times = _sorted_counts(found)
-            codes[have : have + len(found)], counts[have : have + len(found)] = found, times
-            have += len(found)
-            del times
+        found.sort()
+        first = np.flatnonzero(np.diff(found, prepend=~found[:1]))
+        end, size = have + len(first), len(found)
+        codes[have:end] = found[first]
         del found
+        counts[have:end] = np.diff(first, append=size)
+        have = end
     bucket = (codes[:have] >> np.uint64(max(2 * k - bits, 0))).astype(np.uint16 if bits <= 16 else np.uint32)
     starts, every, step = np.array(starts), _listed(names), max((1 << bits) >> 3, 1)
     for low_end in range(0, 1 << bits, step):

@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lociforge.operators import kmers
 
@@ -16,8 +17,9 @@ def slice_of(sets):
     return pa.RecordBatch.from_arrays([pa.array([f'r{{"lang":"l{i % 4}","source":"source {i}"}}' for i in range(sets)]), pa.array(seqs)], names=["set", "seq"])
 
 
-def test_a_slice_needs_little_memory():
-    batch = slice_of(80)
+@pytest.mark.parametrize("sets", [1, 80, 2000])
+def test_a_slice_needs_little_memory(sets):
+    batch = slice_of(sets)
     tracemalloc.start()
     n = sum(b.num_rows for b in kmers._dealt(21, 9)([batch]))
     peak = tracemalloc.get_traced_memory()[1]
