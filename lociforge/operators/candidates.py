@@ -34,10 +34,16 @@ def best_groups(scores: DataFrame, digits: int, k: int) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def refine(alignments: DataFrame, two: int = 6, four: int = 20) -> DataFrame:
-    """Alleles left after keeping the best two-digit and then the best four-digit groups; alignments are summed up once."""
+def refine(alignments: DataFrame, two: int = 6, four: int = 20, found: DataFrame | None = None) -> DataFrame:
+    """Alleles left after keeping the best two-digit and then the best four-digit groups; alignments are summed up once.
+
+    found(locus keys, allele), if given, are the alleles that count.
+    """
     p = names.parse(F.col("allele"))
-    rows = allele_scores(alignments).withColumn("_p", p).withColumn("g2", names.two_digit(F.col("_p"))).withColumn("g4", names.four_digit(F.col("_p"))).drop("_p")
+    scores = allele_scores(alignments)
+    if found is not None:  # sums of alleles are few, alignments are not
+        scores = scores.join(found.select(*LOCUS, "allele"), [*LOCUS, "allele"], "left_semi")
+    rows = scores.withColumn("_p", p).withColumn("g2", names.two_digit(F.col("_p"))).withColumn("g4", names.four_digit(F.col("_p"))).drop("_p")
     locus = Window.partitionBy(*LOCUS)
     for group, k in (("g2", two), ("g4", four)):
         rows = rows.withColumn("_s", F.sum("score").over(Window.partitionBy(*LOCUS, group)))

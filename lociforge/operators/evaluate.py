@@ -80,8 +80,8 @@ def depth_curve(reads: DataFrame, depth: float | Column, targets=(5, 10, 20, 30,
     """
     present = depth if isinstance(depth, Column) else F.lit(float(depth))
     share = lambda t: F.when(present > t, F.floor(F.lit(100.0 * t) / present)).otherwise(100)
-    kept = F.filter(F.array(*[F.when(F.col("_h") < share(t), F.lit(t)) for t in targets]).cast("array<int>"), lambda x: x.isNotNull())
-    return reads.withColumn("_h", _draw(key, seed)).select(*reads.columns, F.explode(kept).alias("target"))
+    held = F.array(*[F.when(F.col("_h") < share(t), F.lit(t)) for t in targets]).cast("array<int>")
+    return reads.withColumn("_h", _draw(key, seed)).select(*reads.columns, F.explode(held).alias("target")).where("target is not null")
 
 
 def estimate_depth(contigs: DataFrame, read_length: int = 150, default: float = 30.0) -> DataFrame:

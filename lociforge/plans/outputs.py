@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import evaluate, novel
 from ..sources import sinks
-from ..storage import kept
+from ..storage import kept, tabled
 from . import typing_run
 
 VERSION = "1"
@@ -89,7 +89,8 @@ def depth_accuracy(alignments: DataFrame, truth: DataFrame, depth: float | Colum
     """
     name = F.concat(F.col("target").cast("string"), F.lit("|"), F.col("sample_id").cast("string"))
     sampled = evaluate.depth_curve(alignments, depth, targets)
-    calls = typing_run.run(sampled.withColumn("sample_id", name).drop("target"), config).calls
+    # Most stages of a run start from the alignments: hashes of reads are made once, not in each.
+    calls = typing_run.run(tabled(sampled.withColumn("sample_id", name).drop("target")), config).calls
     wanted = truth.withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets]))).withColumn("sample_id", name)
     return evaluate.accuracy(evaluate.against_truth(wanted, calls, fields), "target")
 

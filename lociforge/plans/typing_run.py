@@ -107,7 +107,7 @@ def run(
         sequences = sequences.where("kind = 'nuc'")
     # 1, 2: candidates
     found = candidates.prefilter(a, c.preset.candidates)
-    refined = candidates.refine(a.join(found.select(*LOCUS, "allele"), [*LOCUS, "allele"], "left_semi"), four=c.preset.refined).select(*LOCUS, "allele")
+    refined = candidates.refine(a, four=c.preset.refined, found=found).select(*LOCUS, "allele")
     # 2.5: phases, and what they add to the candidates
     at = a if bases is None else bases.where(F.col("locus").isin(*c.loci)).join(found.where("rank = 1").select(*LOCUS, "allele"), [*LOCUS, "allele"], "left_semi")
     sites = phasing.het_sites(at, c.preset.het_depth, c.preset.minor_share, 1 - c.preset.minor_share)
