@@ -43,14 +43,16 @@ def triage(alignments: DataFrame, c: Config) -> DataFrame:
     a = alignments.where(F.col("locus").isin(*c.loci))
     found = candidates.prefilter(a, c.preset.candidates).select(*LOCUS, "allele")
     # What several stages start from is kept: a plan of all of them would count the alignments once for each use.
-    refined = kept(candidates.refine(a.join(found, [*LOCUS, "allele"], "left_semi"), four=c.preset.refined).select("sample_id", "allele").distinct())
-    scores = kept(matrix.evidence(a, refined))
-    copies = kept(samples.copy_number(samples.depths(a)))
-    genotypes = kept(samples.apply_copy_number(genotype.calls(matrix.normalise(scores)), copies))
-    best = kept(posterior.best_with_gap(posterior.pair_posteriors(matrix.normalise(scores, within_locus=True))))
+    refined = kept(candidates.refine(a, four=c.preset.refined, found=found).select("sample_id", "allele").distinct())
+    # Both weights are made where a read's evidence already is; reads dealt again would be as many rows.
+    weights = kept(matrix.normalise(matrix.normalise(matrix.evidence(a, refined)).withColumnRenamed("weight", "_whole"), within_locus=True))
+    counts = kept(samples.read_counts(a))
+    copies = kept(samples.copy_number(samples.depths(a, counts)))
+    genotypes = kept(samples.apply_copy_number(genotype.calls(weights.withColumn("weight", F.col("_whole")).drop("_whole")), copies))
+    best = kept(posterior.best_with_gap(posterior.pair_posteriors(weights.drop("_whole"))))
     calls = reports.at_resolution(reports.compile_calls(genotypes, best), c.resolution, c.assay)
     needs = reports.assembly_trigger(F.col("posterior"), F.lit(None).cast("boolean"), F.col("evidence"), F.col("reads_explained"), c.preset.assembly_trigger)
-    mixed = samples.contamination(a).select("sample_id", "is_contaminated")
+    mixed = samples.contamination(a, counts=counts).select("sample_id", "is_contaminated")
     out = calls.join(copies.select(*LOCUS, "copies"), LOCUS, "left").join(mixed, "sample_id", "left").withColumn("needs_run", needs)
     return out.select(
         "sample_id", "allele1", "allele2", "confidence", "posterior", "gap", F.col("copies").cast("int").alias("copies"), "status",

@@ -10,9 +10,17 @@ from ..constants import CNV_LOCI, REFERENCE_LOCUS
 LOCUS = ["sample_id", "locus"]
 
 
-def depths(alignments: DataFrame) -> DataFrame:
-    """Reads of each locus, with those of the sample's reference locus."""
-    n = alignments.groupBy(*LOCUS).agg(F.countDistinct("read_id").alias("reads"))
+def read_counts(alignments: DataFrame) -> DataFrame:
+    """(locus keys, allele, n, total): reads of each allele, and of its locus; reads are dealt once for both."""
+    own = alignments.select(*LOCUS, "read_id", "allele").repartition("sample_id", "read_id").distinct()
+    first = F.row_number().over(Window.partitionBy(*LOCUS, "read_id").orderBy("allele")) == 1
+    n = own.withColumn("_f", first).groupBy(*LOCUS, "allele").agg(F.count("read_id").alias("n"), F.count_if(F.col("_f") & F.col("read_id").isNotNull()).alias("_t"))
+    return n.withColumn("total", F.sum("_t").over(Window.partitionBy(*LOCUS))).drop("_t")
+
+
+def depths(alignments: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Reads of each locus, with those of the sample's reference locus; counts: read_counts of the alignments, if they are at hand."""
+    n = alignments.groupBy(*LOCUS).agg(F.countDistinct("read_id").alias("reads")) if counts is None else counts.groupBy(*LOCUS).agg(F.max("total").alias("reads"))
     ref = n.where(F.col("locus") == REFERENCE_LOCUS).select("sample_id", F.col("reads").alias("_r"))
     return n.join(ref, "sample_id", "left").select(*LOCUS, "reads", F.coalesce("_r", F.lit(0)).alias("ref_reads"))
 
@@ -52,19 +60,18 @@ def dropout_risk(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("signals", n).withColumn("risk", F.when(F.col("signals") >= 3, "HIGH").when(F.col("signals") == 2, "MEDIUM").when(F.col("signals") == 1, "LOW").otherwise("NONE"))
 
 
-def third_allele(alignments: DataFrame) -> DataFrame:
-    """The third most frequent allele of each locus and its share of the locus's reads."""
-    n = alignments.groupBy(*LOCUS, "allele").agg(F.countDistinct("read_id").alias("n"))
-    total = alignments.groupBy(*LOCUS).agg(F.countDistinct("read_id").alias("total"))
+def third_allele(counts: DataFrame) -> DataFrame:
+    """The third most frequent allele of each locus of read_counts and its share of the locus's reads."""
     order = Window.partitionBy(*LOCUS).orderBy(F.col("n").desc(), "allele")
-    third = n.withColumn("_r", F.row_number().over(order)).where("_r = 3").drop("_r")
-    return third.join(total, LOCUS).select(*LOCUS, "allele", "n", "total", (F.col("n").cast("double") / F.col("total")).alias("fraction"))
+    third = counts.withColumn("_r", F.row_number().over(order)).where("_r = 3 and sample_id is not null and locus is not null")
+    return third.select(*LOCUS, "allele", "n", "total", (F.col("n").cast("double") / F.col("total")).alias("fraction"))
 
 
-def contamination(alignments: DataFrame, least: int = 20, fraction: float = 0.10, loci: int = 2) -> DataFrame:
+def contamination(alignments: DataFrame, least: int = 20, fraction: float = 0.10, loci: int = 2, counts: DataFrame | None = None) -> DataFrame:
     """Samples with the loci whose third allele is too frequent, their share, and whether there are enough."""
-    flagged = third_allele(alignments).where((F.col("total") >= least) & (F.col("fraction") >= fraction)).select(*LOCUS)
-    all_loci = alignments.groupBy("sample_id").agg(F.countDistinct("locus").alias("n_loci"))
+    counts = read_counts(alignments) if counts is None else counts
+    flagged = third_allele(counts).where((F.col("total") >= least) & (F.col("fraction") >= fraction)).select(*LOCUS)
+    all_loci = counts.groupBy("sample_id").agg(F.countDistinct("locus").alias("n_loci"))
     hits = flagged.groupBy("sample_id").agg(F.count("*").alias("_n"), F.array_join(F.array_sort(F.collect_set("locus")), ",").alias("_l"))
     out = all_loci.join(hits, "sample_id", "left").withColumn("n_flagged", F.coalesce("_n", F.lit(0)))
     return out.select("sample_id", "n_loci", "n_flagged", F.coalesce("_l", F.lit("")).alias("flagged_loci"), F.round(F.col("n_flagged") / F.col("n_loci"), 4).alias("score"), (F.col("n_flagged") >= loci).alias("is_contaminated"))

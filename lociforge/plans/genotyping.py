@@ -141,7 +141,7 @@ _THIRD = _DEPTH + ", an as (select sample_id,locus,allele,count(distinct read_id
 
 @query(_THIRD + " select sample_id,locus,allele,n,total,round(fraction,6) fraction from t3")
 def third_allele(spark, d):
-    return samples.third_allele(adapter.alignments(spark, d)).withColumn("fraction", F.round("fraction", 6))
+    return samples.third_allele(samples.read_counts(adapter.alignments(spark, d))).withColumn("fraction", F.round("fraction", 6))
 
 
 @query(_THIRD + ", f as (select sample_id,count(*) c,string_agg(locus,',' order by locus) l from t3 where total>=20 and fraction>=0.10 group by 1), a as (select sample_id,count(distinct locus) n_loci from aln group by 1) select a.sample_id,n_loci,coalesce(c,0) n_flagged,coalesce(l,'') flagged_loci,round(coalesce(c,0)*1.0::double/n_loci,4) score,coalesce(c,0)>=2 is_contaminated from a left join f on f.sample_id=a.sample_id")
